@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewake.functions.binning import cut, first_match
 from tidewake.functions.numeric import as_col, log_ratio, positive_part, ratio
@@ -338,7 +338,7 @@ def port_traits(daily: DataFrame, pair, unit: str) -> DataFrame:
     classes = ["tanker", "cargo", "passenger", "other", ALL]
     s = rows.groupBy(unit).agg(*[take((v == c) & (t == TOTAL)).alias(c) for c in classes],
                                *[take((v == ALL) & (t == z)).alias(f"z_{z}") for z in TIERS])
-    days = (rows.select(*pair, "k_days", "rel_day").distinct().groupBy(unit).agg(F.count(F.lit(1)).alias("days")))
+    days = (rows.select(*dict.fromkeys([*pair, unit, "k_days", "rel_day"])).distinct().groupBy(unit).agg(F.count(F.lit(1)).alias("days")))
     s = s.join(days, unit)
     for c in classes[:-1]:
         s = s.withColumn(f"{c}_sh", ratio(c, ALL))
@@ -451,15 +451,22 @@ def claims(events: DataFrame, keys, *, cluster: str = "SID", **kw) -> DataFrame:
     return bootstrap(events, keys, cluster, sums, stats, min_clusters=3, **kw)
 
 
-def queue_claim(events: DataFrame, keys, saved: str = "jit_co2", normal: str = "norm_co2_day") -> DataFrame:
+def queue_claim(events: DataFrame, keys, saved: str = "jit_co2", normal: str = "norm_co2_day", top: int = 3) -> DataFrame:
     """Arrival management in days of normal CO2, the share of events with a queue, and the share
-    of the three largest."""
+    of the largest `top` events in the positive total. keys must not be empty.
+
+    The rank filter is applied before the shuffle too, so a hot group sends `top` rows per task.
+    """
+    keys = list(keys)
     rows = events.filter(F.col(saved).isNotNull())
     base = rows.groupBy(*keys).agg(ratio(F.greatest(F.sum(saved), F.lit(0.0)), F.sum(normal)).alias("queue_days"),
                                    (F.count_if(F.col(saved) > 0) / F.count(F.lit(1))).alias("share_with_queue"),
-                                   F.sum(positive_part(saved)).alias("_all"),
-                                   F.max_by(F.col(saved), F.col(saved)).alias("_m"))
-    return base.withColumn("largest_share", ratio(positive_part("_m"), "_all")).drop("_all", "_m")
+                                   F.sum(positive_part(saved)).alias("_all"))
+    order = Window.partitionBy(*keys).orderBy(F.desc(saved))
+    head = (rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top)
+            .groupBy(*keys).agg(F.sum(positive_part(saved)).alias("_top")))
+    return (base.join(head, keys).withColumn("top_share", F.when(F.col("_all") > 0, ratio("_top", "_all")))
+            .drop("_all", "_top"))
 
 
 # ---------------------------------------------------------------- comparison and checks
