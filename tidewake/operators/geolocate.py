@@ -96,16 +96,34 @@ def locate_storms(track: DataFrame, ports: DataFrame) -> DataFrame:
             .select("SID", "_f.time", "_f.lat", "_f.lon", "_f.rms_km", "_f.n_ports"))
 
 
-def refine_ports(track: DataFrame, fixes: DataFrame, ports: DataFrame) -> DataFrame:
-    """Move each port to where its good fixes put it, unless that is more than 150 km away."""
-    good = track.join(fixes.filter(F.col("rms_km") < GOOD_RMS_KM).select("SID", "time", F.col("lat").alias("_flat"), F.col("lon").alias("_flon")), ["SID", "time"])
-    anchors = good.groupBy("port").agg(F.collect_list(F.struct(F.col("_flat").alias("lat"), F.col("_flon").alias("lon"), F.col("dist_km").alias("d"))).alias("_near"))
-    anchors = anchors.filter(F.size("_near") >= MIN_GOOD_FIXES)
-    start = ports.join(anchors, "port").withColumnsRenamed({"p_lat": "lat", "p_lon": "lon"}).withColumns({"_lat0": F.col("lat"), "_lon0": F.col("lon")})
-    moved = _refine(start, F.col("_near"), None, step=0.25)
-    ok = geo.haversine_km("lat", "lon", "_lat0", "_lon0") < MAX_MOVE_KM
-    better = moved.filter(ok).select("port", F.col("lat").alias("_nlat"), F.col("lon").alias("_nlon"))
-    return ports.join(better, "port", "left").select("port", F.coalesce("_nlat", "p_lat").alias("p_lat"), F.coalesce("_nlon", "p_lon").alias("p_lon"))
+def refine_ports(track: DataFrame, fixes: DataFrame, ports: DataFrame, steps: int = 8) -> DataFrame:
+    """Move each port to where its good fixes put it, unless that is more than 150 km away.
+
+    Least squares by Gauss-Newton: a step is one sum of moments per port, so the fixes of a port
+    are never gathered.
+    """
+    good = checkpointed(track.join(
+        fixes.filter(F.col("rms_km") < GOOD_RMS_KM).select("SID", "time", F.col("lat").alias("_flat"), F.col("lon").alias("_flon")),
+        ["SID", "time"]).select("port", "_flat", "_flon", "dist_km"))
+    enough = good.groupBy("port").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_GOOD_FIXES).select("port")
+    here = ports.join(enough, "port", "left_semi").withColumnsRenamed({"p_lat": "lat", "p_lon": "lon"})
+    north = (F.col("lat") - F.col("_flat")) * geo.KM_PER_LAT_DEGREE
+    scale = geo.KM_PER_LON_DEGREE * F.cos(F.radians("lat"))
+    east = (F.col("lon") - F.col("_flon")) * scale
+    for _ in range(steps):
+        rows = good.join(here, "port").withColumn("_d", F.hypot(north, east)).filter(F.col("_d") > 1e-6)
+        u, v = north / F.col("_d"), east / F.col("_d")
+        r = F.col("dist_km") - geo.haversine_km("lat", "lon", "_flat", "_flon")
+        m = rows.groupBy("port", "lat", "lon").agg(
+            F.sum(u * u).alias("a"), F.sum(u * v).alias("b"), F.sum(v * v).alias("c"), F.sum(u * r).alias("e"), F.sum(v * r).alias("f"))
+        det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
+        dn = F.coalesce(F.try_divide(F.col("c") * F.col("e") - F.col("b") * F.col("f"), det), F.lit(0.0))
+        de = F.coalesce(F.try_divide(F.col("a") * F.col("f") - F.col("b") * F.col("e"), det), F.lit(0.0))
+        here = m.select("port", (F.col("lat") + dn / geo.KM_PER_LAT_DEGREE).alias("lat"), (F.col("lon") + de / scale).alias("lon"))
+    moved = ports.join(here, "port", "left")
+    near = F.coalesce(geo.haversine_km("lat", "lon", "p_lat", "p_lon") < MAX_MOVE_KM, F.lit(False))
+    return moved.select("port", F.when(near, F.col("lat")).otherwise(F.col("p_lat")).alias("p_lat"),
+                        F.when(near, F.col("lon")).otherwise(F.col("p_lon")).alias("p_lon"))
 
 
 def locate(track: DataFrame, ports: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
