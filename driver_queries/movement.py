@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import geo
 from tidewake.operators import emission as em, exposure as ex, lookup, space, trajectory as tr
+from tidewake.operators.sizing import checkpointed
 from tidewake.sources import positions, registry
 from . import standins as s
 from .standins import rounded, sql
@@ -42,7 +43,7 @@ def gap_credit_hours(spark, d):
 
 @query("band_lookup", sql(s.SHIP, s.BAND, s.ENGINE, body="SELECT * FROM engine"))
 def band_lookup(spark, d):
-    out = lookup.band_join(s.ships(spark, d), s.bands(spark, d), "vessel_type_str", "dwt")
+    out = lookup.band_join(s.ships(spark, d), s.bands(spark, d), "vessel_type_str", "dwt", s.BAND_TABLES)
     return out.select("imo", *s.BAND_TABLES)
 
 
@@ -171,7 +172,8 @@ ZONE_CHAIN = (*FUEL_CHAIN, s.RING, CELLS, VERTEX, TIERS, ZONED)
 
 
 def zoned(spark, d):
-    m = space.assign_cell(fuel(spark, d), "latitude", "longitude", tiers(spark, d), (FINE, COARSE))
+    stored = checkpointed(tiers(spark, d))      # the map is a stored table in practice
+    m = space.assign_cell(fuel(spark, d), "latitude", "longitude", stored, (FINE, COARSE))
     return em.settle_zone(m).withColumn("vclass", em.traffic_class("vessel_type_str"))
 
 

@@ -23,15 +23,18 @@ def covered_array(df: DataFrame, day: str) -> Column:
             .agg(F.sort_array(F.collect_list(day)).alias("_days")).scalar())
 
 
-def gap_array(df: DataFrame, day: str) -> Column:
-    """The uncovered days strictly inside the span of a panel, as a scalar subquery."""
-    return (covered_days(df, day)
-            .agg(F.array_except(F.sequence(F.min(day), F.max(day)), F.collect_list(day))
-                 .alias("_gaps")).scalar())
+def calendar_summary(df: DataFrame, day: str) -> Column:
+    """struct<lo, hi, gaps> of a panel's covered calendar in one scalar subquery: its first and
+    last day and the uncovered days between them."""
+    bounds = F.struct(F.min(day).alias("lo"), F.max(day).alias("hi"),
+                      F.array_except(F.sequence(F.min(day), F.max(day)), F.collect_list(day)).alias("gaps"))
+    return covered_days(df, day).agg(bounds.alias("_calendar")).scalar()
 
 
 def span(df: DataFrame, day: str) -> tuple[Column, Column]:
-    return (df.agg(F.min(day)).scalar(), df.agg(F.max(day)).scalar())
+    """First and last covered day."""
+    bounds = df.agg(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi")).alias("_span")).scalar()
+    return bounds["lo"], bounds["hi"]
 
 
 def densify(df: DataFrame, keys, day: str, values, fill: float = 0.0,
@@ -51,11 +54,10 @@ def densify(df: DataFrame, keys, day: str, values, fill: float = 0.0,
 def covered_events(events: DataFrame, panel: DataFrame, day: str, start: str, end: str,
                    pad: int = 0) -> DataFrame:
     """Keep events whose padded window lies inside the covered calendar."""
-    lo, hi = span(panel, day)
     first, last = F.date_sub(F.col(start), pad), F.date_add(F.col(end), pad)
-    holes = F.exists(F.col("_gaps"), lambda d: (d >= first) & (d <= last))
-    return (events.withColumn("_gaps", gap_array(panel, day))
-            .filter((first >= lo) & (last <= hi) & ~holes).drop("_gaps"))
+    holes = F.exists(F.col("_calendar.gaps"), lambda d: (d >= first) & (d <= last))
+    return (events.withColumn("_calendar", calendar_summary(panel, day))
+            .filter((first >= F.col("_calendar.lo")) & (last <= F.col("_calendar.hi")) & ~holes).drop("_calendar"))
 
 
 def event_days(events: DataFrame, start: str, end: str, before: int, after: int,

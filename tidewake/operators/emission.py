@@ -22,6 +22,7 @@ ENGINE_CLASS = {
     "Auto": "SSD", "Passenger": "MSD", "Yacht": "HSD", "Fishing": "HSD", "Other": "MSD",
     "Research": "MSD"}
 CO2_PER_FUEL = 3.114
+BAND_TABLES = ["p_main", "v_design", "ae_sea", "ae_berth", "ae_anchor", "boiler"]
 BERTH_SPEED, ANCHOR_SPEED, CRUISE_RATIO, SPEED_LIMIT = 1.0, 3.0, 0.3, 40.0
 POWER_CAP, WEATHER = 0.85, 1.15
 LOAD_A, LOAD_B, LOAD_C, LOAD_MIN = 0.455, -0.71, 1.28, 0.07
@@ -102,7 +103,7 @@ def ship_engines(registry: DataFrame, bands: DataFrame) -> DataFrame:
     hull = (F.when(F.col("vessel_type_str") == "Passenger", PASSENGER_HULL)
             .when((F.col("vessel_type_str") == "Container") & (F.col("dwt") >= LARGE_CONTAINER_DWT),
                   LARGE_CONTAINER_HULL).otherwise(1.0))
-    return (band_join(registry, bands, "vessel_type_str", "dwt")
+    return (band_join(registry, bands, "vessel_type_str", "dwt", BAND_TABLES)
             .withColumn("v_eff", F.col("v_design") * hull)
             .withColumn("sfoc_main_base", main)
             .withColumn("sfoc_aux_base", _by_build_year("built", SFOC_AUX)))
@@ -118,7 +119,7 @@ def message_fuel(messages: DataFrame, registry: DataFrame, bands: DataFrame, *,
     Unregistered ships and bad speeds leave before intervals are taken, so a bad message
     widens the next interval. A ship without a band has NULL fuel for that engine.
     """
-    engines = small_side(ship_engines(registry, bands).withColumnRenamed("imo", ship))
+    engines = small_side(ship_engines(registry, bands).withColumnRenamed("imo", ship), like=registry)
     m = (messages.filter(valid_speed(sog)).join(engines, ship)
          .transform(lambda d: credit_gaps(d, ship, time, day, tie=tie)))
     speed_share = F.when(F.col("v_eff") > 0, ratio(sog, "v_eff")).otherwise(0.0)

@@ -21,26 +21,25 @@ def lookup_join(df: DataFrame, table: DataFrame, on, default: dict | None = None
     return out.fillna(default) if default else out
 
 
-def band_values(sizes: DataFrame, bands: DataFrame, type_col: str, size_col: str) -> DataFrame:
+def band_values(sizes: DataFrame, bands: DataFrame, type_col: str, size_col: str, tables) -> DataFrame:
     """Resolve band tables once per distinct (type, size).
 
     bands: table, <type_col>, lo, hi, value, band_no. A band holds lo <= size < hi with a
     NULL or infinite hi open; where bands overlap the highest band_no wins. Returns
-    type, size and one column per band table.
+    type, size and one column per name in `tables`.
     """
     keys = sizes.select(type_col, size_col).distinct()
     b = small_side(bands)
     hit = (F.col(size_col) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(size_col) < F.col("hi")))
     found = keys.join(b, type_col).filter(hit)
-    names = sorted(r["table"] for r in bands.select("table").distinct().collect())
     last = lambda t: F.max_by(F.when(F.col("table") == t, F.col("value")),
                               F.when(F.col("table") == t, F.col("band_no")))
-    return found.groupBy(type_col, size_col).agg(*[last(t).alias(t) for t in names])
+    return found.groupBy(type_col, size_col).agg(*[last(t).alias(t) for t in tables])
 
 
-def band_join(df: DataFrame, bands: DataFrame, type_col: str, size_col: str) -> DataFrame:
+def band_join(df: DataFrame, bands: DataFrame, type_col: str, size_col: str, tables) -> DataFrame:
     """Add one value column per band table to every row; no band gives NULL."""
-    return df.join(band_values(df, bands, type_col, size_col), [type_col, size_col], "left")
+    return df.join(band_values(df, bands, type_col, size_col, tables), [type_col, size_col], "left")
 
 
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:

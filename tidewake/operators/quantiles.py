@@ -58,11 +58,13 @@ def ks_two_sample(df: DataFrame, keys, value: str, sample: str, first, second,
     size = F.sqrt(F.try_divide(F.col("n_first").cast("double") * F.col("n_second"),
                                F.col("n_first") + F.col("n_second")))
     lam = (size + 0.12 + F.try_divide(F.lit(0.11), size)) * F.col("ks_d")
-    series = sum(((-1) ** (j - 1)) * F.exp(F.lit(-2.0 * j * j) * lam * lam)
-                 for j in range(1, 101))
-    p = F.when(lam < 0.2, F.lit(1.0)).otherwise(
+    out = out.withColumn("_lam", lam)
+    sign = lambda j: F.when(j % 2 == 1, 1.0).otherwise(-1.0)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
+                         lambda s, j: s + sign(j) * F.exp(-2.0 * j * j * F.col("_lam") * F.col("_lam")))
+    p = F.when(F.col("_lam") < 0.2, F.lit(1.0)).otherwise(
         F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
-    return out.withColumn("ks_p", F.when(F.col("ks_d").isNotNull(), p))
+    return out.withColumn("ks_p", F.when(F.col("ks_d").isNotNull(), p)).drop("_lam")
 
 
 def cumulative_share(df: DataFrame, keys, unit: str, value: str, bins: int = 1024) -> DataFrame:

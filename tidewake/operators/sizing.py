@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, functions as F
 SMALL_ROWS = 200_000
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
+    """Whether a dimension has at most max_rows rows. The count stops at max_rows + 1."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS, like: DataFrame | None = None) -> DataFrame:
     """Mark a dimension for broadcast only if it has at most max_rows rows.
 
-    The count stops at max_rows + 1, so the check never reads more of a big
-    table than that. Past the bound the table is returned unmarked and the join
-    shuffles both sides, where adaptive execution splits skewed partitions.
+    `like` is a cheaper table with at least as many rows to check instead. Past the bound the
+    table is returned unmarked and the join shuffles both sides, where adaptive execution splits
+    skewed partitions.
     """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    return F.broadcast(df) if is_small(df if like is None else like, max_rows) else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -31,9 +31,9 @@ def wide_to_long(wide: DataFrame, names: DataFrame, key: str, value: str = "vess
     """Released ports x dates table as (date, port, value), ids replaced by names."""
     days = [c for c in wide.columns if c != key]
     long = wide.unpivot([key], days, "_day", value)
-    return (long.join(names.select(F.col("id").alias(key), F.col("name").alias("port")), key)
+    return (long.join(names.select(F.col("id").alias(key), F.col("name").alias("_name")), key)
             .select(F.coalesce(F.col("_day").try_cast("date"), F.try_to_timestamp("_day", F.lit("M/d/yyyy")).cast("date")).alias("date"),
-                    "port", value)
+                    F.col("_name").alias("port"), value)
             .filter(F.col(value).isNotNull()))
 
 
