@@ -111,7 +111,7 @@ visit AS (SELECT ship, port, CAST(visit_no AS BIGINT) AS visit_no, min(imo0) AS
 
 def presence(spark, d):
     e = s.table(spark, d, "events").selectExpr("user_id AS ship", "event_type AS port", "ts", "CAST(ts AS DATE) AS date", "event_id AS imo_raw")
-    return tr.daily_presence(e, ship="ship", port="port", time="ts", day="date", imo="imo_raw")
+    return checkpointed(tr.daily_presence(e, ship="ship", port="port", time="ts", day="date", imo="imo_raw"))
 
 
 @query("daily_presence", sql(PRESENCE, body="SELECT * FROM presence"))
@@ -130,7 +130,7 @@ def visit_stitch(spark, d):
  FULL JOIN (SELECT CAST(d AS DATE) AS date, port, count(DISTINCT ship) AS vessels_present FROM (SELECT port, ship, unnest(generate_series(CAST(arrival AS DATE), CAST(departure AS DATE), INTERVAL 1 DAY)) AS d FROM visit WHERE duration_h>=4) GROUP BY ALL) p
  ON a.date=p.date AND a.port=p.port"""))
 def call_panel(spark, d):
-    visits = tr.stitch_visits(presence(spark, d), ship="ship", port="port")
+    visits = checkpointed(tr.stitch_visits(presence(spark, d), ship="ship", port="port"))
     return rounded(tr.call_panel(visits, ship="ship", port="port"), {"median_duration_h": 6})
 
 

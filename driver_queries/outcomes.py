@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewake.functions.binning import cut
+from tidewake.functions.draws import pick_sql
 from tidewake.functions.numeric import ratio
 from tidewake.operators import emission as em, normal as nm, products as pr, quantiles as qt, regress as rg, resample as rs
-from tidewake.functions.draws import pick_sql
+
+from tidewake.operators.sizing import checkpointed
 from . import standins as s
 from .standins import rounded, sql
 from .study import boot_sql
@@ -66,10 +68,11 @@ WSUM = ("wsum AS (SELECT 'P' || (l_linenumber % 2) AS unit, " + ", ".join(f'{e}
 
 
 def wsum(spark, d):
+    """Window sums per event and zone, a stored table in practice."""
     keys = _wcols("div", "D")
     rows = s.table(spark, d, "lineitem").selectExpr("concat('P', l_linenumber % 2) AS unit", *[f"{e} AS {n}" for n, e in keys.items()],
                                                     *[f"{e.format(d='D')} AS {n}" for n, e in SUMS.items()])
-    return rows.groupBy("unit", *keys).agg(*[F.sum(n).alias(n) for n in SUMS])
+    return checkpointed(rows.groupBy("unit", *keys).agg(*[F.sum(n).alias(n) for n in SUMS]))
 
 
 RATIO = {"ratio": "obs/nullif(expected,0)"}

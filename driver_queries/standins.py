@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewake.operators.sizing import checkpointed
+
 CLASSES = ["Container", "Bulk", "Oil", "Passenger", "Other-Liquids"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 TECHS = ["Open Loop", "Closed Loop", "Hybrid", "Membrane", "Dry", "TBC", "Unknown", "No Scrubber"]
@@ -170,10 +172,14 @@ FIRST_YEAR, LAST_YEAR = 1995, 2000
 
 
 def panel(spark, d):
-    """Daily activity per region from line items: calls, hours, co2, vessels."""
+    """Daily activity per region from line items: calls, hours, co2, fuel.
+
+    Panels are stored tables in practice: the line items are read once, here.
+    """
     li = table(spark, d, "lineitem")
     su = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey"))
-    return (li.join(su, li["l_suppkey"] == su["s_suppkey"])
+    return checkpointed(
+            li.join(su, li["l_suppkey"] == su["s_suppkey"])
             .selectExpr("n_regionkey AS unit", "CAST(l_shipdate AS DATE) AS date", "l_returnflag AS vclass",
                         "l_linestatus AS tier", "l_suppkey", "l_quantity AS hours", "l_extendedprice / 1000 AS co2_ton",
                         "l_extendedprice * l_discount / 1000 AS fc_main_ton", "l_extendedprice * l_tax / 1000 AS fc_AE_ton",

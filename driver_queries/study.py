@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewake.functions.dates import same_day_in_year
 from tidewake.functions.draws import pick_sql
 from tidewake.operators import calendar as cal, normal as nm, resample as rs, window_tests as wt
+from tidewake.operators.sizing import checkpointed
 from . import standins as s
 from .standins import rounded, sql
 
@@ -114,7 +115,7 @@ rec AS (SELECT *, CASE WHEN ns IS NULL THEN t_o ELSE least(ns+1, t_e) END AS ss,
 
 def disruption(preset):
     def run(spark, d):
-        out = wt.disruption_metrics(curve(spark, d), unit="unit", day="date", preset=preset)
+        out = wt.disruption_metrics(checkpointed(curve(spark, d)), unit="unit", day="date", preset=preset)
         return rounded(out.drop("observed_in_window", "baseline_in_window"), {"total_impact": 5, "total_impact_value": 3, "max_impact": 5})
     return run
 
@@ -127,7 +128,7 @@ query("disruption_center", disruption_sql("yhat", "yhat", False))(disruption("ce
 @query("excess_center", sql(*CURVE, run_sql("observed > yhat"), body="""SELECT e.SID, e.unit, coalesce(x.n,0) AS excess_days, round(coalesce(te,0),5) AS total_excess, round(coalesce(tv,0),3) AS total_excess_value FROM (SELECT DISTINCT SID, unit FROM curve) e LEFT JOIN
  (SELECT SID, unit, min(n) AS n, sum(CASE WHEN yhat<>0 AND observed/nullif(yhat,0)-1>0 THEN observed/nullif(yhat,0)-1 ELSE 0 END) AS te, sum(greatest(observed-yhat,0)) AS tv FROM curve JOIN best USING (SID, unit) WHERE date BETWEEN rs AND re GROUP BY SID, unit) x USING (SID, unit)"""))
 def excess_center(spark, d):
-    return rounded(wt.excess_metrics(curve(spark, d), unit="unit", day="date", preset="center"), {"total_excess": 5, "total_excess_value": 3})
+    return rounded(wt.excess_metrics(checkpointed(curve(spark, d)), unit="unit", day="date", preset="center"), {"total_excess": 5, "total_excess_value": 3})
 
 
 @query("fitted_baseline")
@@ -261,7 +262,7 @@ def placebo_verdict(spark, d):
 @query("factor_medians", sql(*FAC, body="""SELECT level, count(*) AS n_rows, round(quantile_cont(r_CO2,0.5),6) AS median_co2, round(quantile_cont(r_N,0.5),6) AS median_n, round(quantile_cont(r_H,0.5),6) AS median_h, round(quantile_cont(r_I,0.5),6) AS median_i FROM
  (SELECT *, CASE WHEN dist>0 AND dist<=100 THEN '0-100 km' WHEN dist>100 AND dist<=200 THEN '100-200 km' WHEN dist>200 AND dist<=300 THEN '200-300 km' WHEN dist>300 AND dist<=400 THEN '300-400 km' WHEN dist>400 AND dist<=500 THEN '400-500 km' END AS level FROM fac) WHERE level IS NOT NULL GROUP BY level"""))
 def factor_medians(spark, d):
-    out = wt.factor_medians(factors(spark, d, gaps=False), wt.distance_bin("dist"))
+    out = wt.factor_medians(checkpointed(factors(spark, d, gaps=False)), wt.distance_bin("dist"))
     return rounded(out, {c: 6 for c in ("median_co2", "median_n", "median_h", "median_i")})
 
 

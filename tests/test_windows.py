@@ -123,13 +123,13 @@ def factors_panel(spark, n, h, c):
 
 def test_window_factors_identity_and_gaps(spark):
     rng = np.random.default_rng(1)
-    frames, evs = None, None
+    rows = []
     for u in range(40):
         n = rng.integers(5, 30, 150)
         h = n * rng.uniform(5, 9, 150)
         c = h * rng.uniform(1, 2, 150)
-        p = factors_panel(spark, n, h, c).withColumn("unit", F.lit(f"U{u:02d}"))
-        frames = p if frames is None else frames.unionByName(p)
+        rows += [(f"U{u:02d}", day(i), float(n[i]), float(h[i]), float(c[i])) for i in range(150)]
+    frames = spark.createDataFrame(rows, "unit string, date date, vessels_present double, hours double, co2_ton double")
     evs = spark.createDataFrame([("S", f"U{u:02d}", day(70), day(71 + u % 3)) for u in range(40)], "SID string, unit string, start date, end date")
     w = wt.window_factors(frames, evs, unit="unit", day="date")
     b = {y: wt.log_slope(w, y).first().b for y in ("r_CO2", "r_H", "r_I")}

@@ -8,6 +8,7 @@ from tidewake.functions import geo
 from tidewake.functions.binning import first_match
 from tidewake.functions.dates import day_range
 from tidewake.functions.numeric import hours_between
+from .quantiles import exact_quantiles
 from .space import nearest, within_km
 
 # fixed values of the tier map
@@ -150,10 +151,11 @@ def station_covariates(exposed: DataFrame, levels: DataFrame, winds: DataFrame,
         whole = (t >= F.date_sub("_d0", pad).cast("timestamp_ntz")) & (t <= F.date_add("_d1", pad).cast("timestamp_ntz"))
         return days.join(o, [station, "_day"]).filter(whole).withColumn("_in", (t >= lo) & (t <= hi))
 
-    level = meet(levels, "coops_station", "t", reference_days).groupBy(*keys).agg(
-        F.max(F.when(F.col("_in"), F.col("v"))).alias("_peak"),
-        F.percentile(F.when(~F.col("_in"), F.col("v")), F.lit(0.5)).alias("_calm"),
-        F.percentile("v", F.lit(0.5)).alias("_all"))
+    around = meet(levels, "coops_station", "t", reference_days)
+    level = around.groupBy(*keys).agg(F.max(F.when(F.col("_in"), F.col("v"))).alias("_peak"))
+    calm = exact_quantiles(around.filter(~F.col("_in")), keys, "v", {"_calm": 0.5})
+    whole = exact_quantiles(around, keys, "v", {"_all": 0.5})
+    level = level.join(calm, keys, "left").join(whole, keys, "left")
     wind = meet(winds, "coops_station", "t", 0).groupBy(*keys).agg(F.max("v").alias("_wind"))
     hourly = (meet(rain, "asos_station", "valid", 0)
               .groupBy(*keys, F.date_trunc("hour", "valid").alias("_hour")).agg(F.max("p01i").alias("_in_h"))

@@ -12,6 +12,7 @@ from .emission import CO2_PER_FUEL, POLLUTANTS
 from .normal import ALL, TIERS, TOTAL, window_table
 from .quantiles import exact_quantiles
 from .resample import bootstrap, boot_ratio, excess_over_rate, ratio_of_ratios
+from .sizing import checkpointed
 
 # ---- fixed values ------------------------------------------------------------
 DISTANCE_EDGES, DISTANCE_LABELS = [0, 50, 100, 200], ["≤50 km", "50–100 km", "100–200 km"]
@@ -215,7 +216,7 @@ def queue_pairs(daily: DataFrame, pair, windows=("queue", "event30")) -> DataFra
         total(open_water & (F.col("measure") == "fc_main_ton"), "expected").alias("_f"))
     s = (s.withColumn("net_excess_wait_h", F.col("wait_h_obs") - F.col("wait_h_exp"))
          .withColumn("f_main_t_per_h", F.when(F.col("_h") > 0, ratio("_f", "_h"))).drop("_h", "_f"))
-    return impute_group_median(s, ["vclass"], "f_main_t_per_h")
+    return impute_group_median(checkpointed(s), ["vclass"], "f_main_t_per_h")
 
 
 def impute_group_median(df: DataFrame, keys, value: str) -> DataFrame:

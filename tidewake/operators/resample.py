@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidewake.functions.draws import pick
 from tidewake.functions.numeric import ratio
 from .ordered import stable_index
+from .sizing import checkpointed
 
 INTERVAL = (0.025, 0.975)
 
@@ -21,7 +22,8 @@ def replicate_sums(df: DataFrame, groups, cluster: str, sums, *, draws: int, see
     """(totals, replicates): the sums per group with n_clusters, and per (group, draw) the sums
     over as many clusters drawn with replacement as the group has."""
     groups, sums = list(groups), list(sums)
-    per = df.groupBy(*groups, cluster).agg(*[F.sum(c).cast("double").alias(c) for c in sums])
+    # the cluster sums are read several times; cutting here keeps the input to one scan
+    per = checkpointed(df.groupBy(*groups, cluster).agg(*[F.sum(c).cast("double").alias(c) for c in sums]))
     totals = per.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_clusters"), *[F.sum(c).alias(c) for c in sums])
     indexed = stable_index(per, groups, cluster, "_i").drop(cluster)
     slots = (totals.filter(F.col("n_clusters") >= min_clusters).select(*groups, "n_clusters")

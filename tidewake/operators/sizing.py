@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SMALL_ROWS = 200_000
 
@@ -24,14 +25,23 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS, like: DataFrame | None
     return F.broadcast(df) if is_small(df if like is None else like, max_rows) else df
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only a session without one (tests, a laptop)
+    gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tidewake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage.
+    """Cut lineage: write df as a Parquet table in the shared folder and read it back.
 
-    Uses the shared folder named by ``spark.checkpoint.dir``; only a session
-    without one (tests, a laptop) gets a temporary folder.
+    The table outlives lost executors, is pruned by column, and has a known size, so the joins
+    behind it are planned on facts. It runs the work so far.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewake-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/tidewake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,10 +1,11 @@
-"""From raw positions to visits and emission panels, each as one lazy plan."""
+"""From raw positions to visits and emission panels."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from tidewake.operators import emission as em, exposure as ex, space, trajectory as tr
+from tidewake.operators.sizing import checkpointed
 from tidewake.sources.positions import merchant, sample_days
 
 # position columns of the canonical layout -> names used by the fuel model
@@ -15,8 +16,9 @@ def port_calls(positions: DataFrame, rings: DataFrame) -> tuple[DataFrame, DataF
     """(visits, daily call panel) of merchant ships in port polygons."""
     inside = space.assign_polygon(merchant(positions), "LON", "LAT", rings).filter(F.col("port").isNotNull())
     rows = inside.select(F.col("MMSI").alias("mmsi"), "port", F.col("BaseDateTime").alias("time"), "date", F.col("IMO").alias("imo"))
-    presence = tr.daily_presence(rows, ship="mmsi", port="port", time="time", day="date", imo="imo")
-    visits = tr.stitch_visits(presence, ship="mmsi", port="port")
+    # stage boundaries: positions are read once, however often the small tables are used
+    presence = checkpointed(tr.daily_presence(rows, ship="mmsi", port="port", time="time", day="date", imo="imo"))
+    visits = checkpointed(tr.stitch_visits(presence, ship="mmsi", port="port"))
     return visits, tr.call_panel(visits, ship="mmsi", port="port")
 
 
