@@ -672,3 +672,34 @@ def port_labels(spark, d):
     name = s._nth("n_nationkey % 5", ["South Louisiana, LA, Port of", "Tampa Port Authority, FL", "Jacksonville, FL", "Virgin Islands - St. Croix, VI", "New York, NY & NJ"])
     n = s.table(spark, d, "nation").selectExpr("n_nationkey", f"{name} AS port")
     return n.select("n_nationkey", pr.coast("port").alias("coast"), pr.gulf_or_other("port").alias("side"), pr.period(F.col("n_nationkey") + 2010).alias("period"))
+
+
+TGS = """tu AS (SELECT unit, count(*) AS ev, sum(x_wait_co2) AS w, sum(x_wait_nox) AS wn, sum(ms*3.114::DOUBLE) AS ca FROM te LEFT JOIN ts USING (SID, unit) GROUP BY unit HAVING sum(x_wait_co2)>0),
+tk AS (SELECT *, row_number() OVER (ORDER BY w DESC, unit) AS r FROM tu)"""
+
+
+@query("targeting_concentration", sql(RES, QUEUE, TGT, TGS, body="""SELECT 'top' AS scope, k AS units, CAST(sum(ev)*10 AS BIGINT) AS intervention_port_days, round(sum(w)/(SELECT sum(w) FROM tk),5) AS share_of_waiting_co2, round(sum(w)/(SELECT sum(x_all_co2) FROM te),5) AS share_of_excess_co2, round(sum(wn)/(SELECT sum(x_all_nox) FROM te),5) AS share_of_excess_nox, round(greatest(sum(ca),0),3) AS co2_avoided_t FROM tk JOIN (VALUES (1),(2),(3),(5),(8)) t(k) ON r<=k GROUP BY k
+ UNION ALL SELECT 'all positive', CAST(count(*) AS INT), CAST(sum(ev)*10 AS BIGINT), 1.0, round(sum(w)/(SELECT sum(x_all_co2) FROM te),5), round(sum(wn)/(SELECT sum(x_all_nox) FROM te),5), round(greatest(sum(ca),0),3) FROM tk"""))
+def targeting_concentration(spark, d):
+    ev = checkpointed(pr.targeting(res(spark, d).filter("py = 0"), queued(spark, d), ["SID", "unit"]))
+    out = pr.targeting_concentration(ev, "unit", port_days=1000, event_days=100)
+    return rounded(out.select("scope", "units", "intervention_port_days", "share_of_waiting_co2", "share_of_excess_co2", "share_of_excess_nox", "co2_avoided_t"),
+                   {"share_of_waiting_co2": 5, "share_of_excess_co2": 5, "share_of_excess_nox": 5, "co2_avoided_t": 3})
+
+
+CT = f"""ctr AS (SELECT SID, "window" AS wd, CASE WHEN SID % 2 = 0 THEN 'Gulf' ELSE 'Atlantic' END AS coast, CASE SID % 3 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Cargo' ELSE 'Mixed' END AS port_type, obs_co2, exp_co2, obs_hours, exp_hours FROM wsum WHERE py=0 AND zone='total' AND intensity IN ('{STS}','{HU}'))"""
+
+
+@query("coast_type_ratios", sql(WSUM, CT, boot_sql("ctr", "coast, port_type, wd", "SID", ZS, {"co2": "obs_co2/exp_co2", "hours": "obs_hours/exp_hours"}, 200, 8),
+       body=f'SELECT coast, port_type, wd AS "window", n_clusters, {R5(*CI("co2"), *CI("hours"))} FROM bt'))
+def coast_type_ratios(spark, d):
+    w = wsum(spark, d).filter("py = 0 AND zone = 'total'").withColumn("coast", F.expr("CASE WHEN SID % 2 = 0 THEN 'Gulf' ELSE 'Atlantic' END")) \
+        .withColumn("port_type", F.expr("CASE SID % 3 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Cargo' ELSE 'Mixed' END"))
+    return rounded(pr.coast_type_ratios(w, strong=[STS, HU], draws=200, seed=8), {c: 5 for c in (*CI("co2"), *CI("hours"))})
+
+
+@query("leave_top_ports_out")
+def leave_top_ports_out(spark, d):
+    r = reg_rows(spark, d)
+    out = rg.leave_top_out(r, "y", ["x"], "SID", "w", "x", top=3)
+    return rounded(out.select("left_out", "coef", "se", "n"), {"coef": 6, "se": 6})

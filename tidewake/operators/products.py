@@ -11,7 +11,7 @@ from tidewake.functions.numeric import as_col, log_ratio, positive_part, ratio
 from .emission import CO2_PER_FUEL, POLLUTANTS
 from .normal import ALL, TIERS, TOTAL, window_table
 from .quantiles import exact_quantiles
-from .resample import bootstrap, boot_ratio, excess_over_rate, ratio_of_ratios
+from .resample import bootstrap, boot_ratio, excess_over_rate, ratio_of_ratios, topk_share
 from .sizing import checkpointed
 
 # ---- fixed values ------------------------------------------------------------
@@ -49,6 +49,12 @@ def coast(port) -> Column:
     return first_match(rules + [(state == s, c) for s, c in STATE_COAST.items()], "Atlantic")
 
 
+def coast_group(coast_name) -> Column:
+    """The two big coasts, the others together."""
+    c = as_col(coast_name)
+    return F.when(c.isin("Gulf", "Atlantic"), c).otherwise("Caribbean / Great Lakes")
+
+
 def gulf_or_other(port) -> Column:
     state = F.regexp_extract(as_col(port), r",\s*([A-Z]{2})\b", 1)
     return F.when(state.isin(*GULF_STATES), "Gulf/SE").otherwise("other")
@@ -385,6 +391,14 @@ def outer_share(zone_sums: DataFrame, keys, pollutants=("co2", *POLLUTANTS)) ->
         ratio(take(anchorage, "o"), take(anchorage, "e")).alias("anchorage_ratio"))
 
 
+def coast_type_ratios(window_rows: DataFrame, measures=("co2", "hours"), *, coast_col: str = "coast", type_col: str = "port_type",
+                      strong=None, cluster: str = "SID", **kw) -> DataFrame:
+    """Pooled ratios per coast, port type and window, for the given intensity classes only."""
+    rows = window_rows if strong is None else window_rows.filter(F.col("intensity").isin(*strong))
+    stats = {m: (lambda m: lambda c: ratio(c(f"obs_{m}"), c(f"exp_{m}")))(m) for m in measures}
+    return bootstrap(rows, [coast_col, type_col, "window"], cluster, [f"{k}_{m}" for m in measures for k in ("obs", "exp")], stats, **kw)
+
+
 def zone_ratios(zone_sums: DataFrame, keys, measures, *, cluster: str = "SID", **kw) -> DataFrame:
     """Ratio per key and zone with clusters that miss a zone counted as zero there, plus the
     zone's share of the normal CO2."""
@@ -422,6 +436,25 @@ def targeting(daily: DataFrame, queue: DataFrame, pair) -> DataFrame:
             .withColumn("nox_avoided_t", F.col("main_fuel_saved_t") * POLLUTANTS["nox"]["main_big"] / 1000))
 
 
+def targeting_concentration(events: DataFrame, unit: str, *, port_days: int, event_days: int, ks=(1, 2, 3, 5, 8),
+                            days_per_event: int = 10) -> DataFrame:
+    """The ports with the largest excess waiting CO2: how many port-days an intervention there
+    takes and what share of the excess and of the savings it reaches.
+
+    events: targeting() rows of the storms in question. port_days and event_days are the totals
+    the port-day shares refer to.
+    """
+    extra = ["_events", "x_wait_nox", "co2_avoided_t", "nox_avoided_t"]
+    rows = events.withColumn("_events", F.lit(1))
+    whole = rows.agg(F.struct(F.sum("x_all_co2").alias("co2"), F.sum("x_all_nox").alias("nox"))).scalar()
+    top = topk_share(rows, unit, "x_wait_co2", ks, extra).withColumn("_w", whole)
+    days = F.col("_events") * days_per_event
+    return top.select("scope", "units", days.alias("intervention_port_days"), (days / port_days).alias("share_all_port_days"),
+                      (days / event_days).alias("share_event_port_days"), F.col("share").alias("share_of_waiting_co2"),
+                      ratio("x_wait_co2", "_w.co2").alias("share_of_excess_co2"), ratio("x_wait_nox", "_w.nox").alias("share_of_excess_nox"),
+                      positive_part("co2_avoided_t").alias("co2_avoided_t"), positive_part("nox_avoided_t").alias("nox_avoided_t"))
+
+
 def saving_concentration(queue: DataFrame, groupings: dict, pair) -> DataFrame:
     """Waiting hours, saving index and share of the total per group."""
     per = (queue.filter(F.col("window") == "queue").groupBy(*pair, *[c for c in groupings.values() if isinstance(c, str)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -123,13 +124,25 @@ def nested_specs(df: DataFrame, y: str, specs: dict, clusters: dict, focus: str)
     return out
 
 
+def leave_top_out(df: DataFrame, y: str, xs, unit: str, rank_by: str, focus: str, *, top: int = 8, cluster: str = "SID",
+                  second: str | None = None) -> DataFrame:
+    """The focus coefficient with each of the `top` units of largest rank_by left out in turn."""
+    head = df.groupBy(unit).agg(F.max(rank_by).alias("_r")).orderBy(F.desc("_r"), unit).limit(top)
+    out = None
+    for row in head.collect():
+        fit = (cluster_ols(df.filter(F.col(unit) != row[unit]), y, xs, cluster, second=second)
+               .filter(F.col("term") == focus).withColumn("left_out", F.lit(row[unit])))
+        out = fit if out is None else out.unionByName(fit)
+    return out
+
+
 def quantile_bands(df: DataFrame, groups, y: str, xs, *, q: float = 0.95, min_rows: int = 50,
-                   iterations: int = 60, floor: float = 1e-6, tolerance: float = 1e-7) -> DataFrame:
+                   iterations: int = 40, floor: float = 1e-6, tolerance: float = 5e-4) -> DataFrame:
     """Quantile regression of y on xs for every group at once: groups, intercept, one column per
     x and n.
 
     Each round is one aggregate of weighted moments over all groups. It stops when no
-    coefficient moves by more than `tolerance`. The number of groups is a product of small
+    coefficient moves by more than `tolerance`, a fortieth of the smallest band. The number of groups is a product of small
     vocabularies (window, zone, measure); their k x k systems are solved on the driver.
     """
     groups, xs = list(groups), list(xs)
@@ -140,7 +153,7 @@ def quantile_bands(df: DataFrame, groups, y: str, xs, *, q: float = 0.95, min_ro
     spark = df.sparkSession
     kinds = dict(data.dtypes)
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in groups], *[f"_b{i} double" for i in range(k)]])
-    aggs = lambda w: [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)],
+    aggs = lambda w: [F.count(F.lit(1)).alias("n"), F.sum(w * F.col(y) * F.col(y)).alias("yy"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)],
                       *[F.sum(w * cols[i] * cols[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)],
                       *[F.sum(w * cols[i] * F.col(y)).alias(f"b{i}") for i in range(k)]]
     beta: dict = {}
@@ -161,6 +174,9 @@ def quantile_bands(df: DataFrame, groups, y: str, xs, *, q: float = 0.95, min_ro
             if step:
                 b = b + (2 * q - 1) * np.array([r[f"s{i}"] for i in range(k)], dtype=float)
             new = np.linalg.lstsq(A, b, rcond=None)[0]
+            if step == 0:      # start near the quantile: the mean line raised by a normal quantile
+                spread = math.sqrt(max(float(r["yy"]) - float(new @ b), 0.0) / r["n"])
+                new[0] += NormalDist().inv_cdf(q) * spread
             moved = max(moved, float(np.max(np.abs(new - beta[g]))) if g in beta else math.inf)
             beta[g], sizes[g] = new, int(r["n"])
         if not rows or moved < tolerance:

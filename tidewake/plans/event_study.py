@@ -15,6 +15,9 @@ ZONE_MEASURES = ["hours", "co2_ton", "fc_main_ton", "fc_AE_ton", "fc_boiler_ton"
 SULFUR_MEASURES = ["so2_air_ton", "so2_washwater_ton"]
 CALL_MEASURES = ["port_calls", "vessels_present"]
 SERIES = ["vclass", "tier", "measure"]
+# fixed values: Caribbean and Great Lakes ports left out of the study sample
+EXCLUDED_PORTS = ["Guayama, PR", "Guaynabo, PR", "San Juan, PR", "Virgin Islands - St. Croix, VI", "Green Bay, WI",
+                  "Illinois International Port, IL", "Marquette, MI", "Milwaukee, WI", "Mueller Township, MI"]
 
 
 def all_series(zones: DataFrame, sulfur: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
@@ -37,8 +40,14 @@ def all_series(zones: DataFrame, sulfur: DataFrame | None = None, calls: DataFra
     return reduce(lambda a, b: a.unionByName(b), [p.select(*cols) for p in parts])
 
 
+def with_covariates(exposures: DataFrame, covariates: DataFrame, on=("SID", "unit")) -> DataFrame:
+    """Attach the observed surge, wind and rain of each exposure, NULL where none was observed."""
+    cols = ["surge_height_m", "max_wind_ms", "rainfall_mm"]
+    return exposures.join(covariates.select(*on, *cols), list(on), "left")
+
+
 def score(series: DataFrame, exposures: DataFrame, *, first: date, last: date, years, opts: dict | None = None,
-          placebo: bool = False, keep_series=None, exclude_units=()) -> tuple[DataFrame, DataFrame, dict]:
+          placebo: bool = False, keep_series=None, exclude_units=EXCLUDED_PORTS) -> tuple[DataFrame, DataFrame, dict]:
     """(window results, daily results, options) of all eligible events.
 
     exposures: SID, unit, exposure_start, exposure_end, dist, wind, wind_at_closest and any other
@@ -47,7 +56,7 @@ def score(series: DataFrame, exposures: DataFrame, *, first: date, last: date, y
     o = nm.options(**(opts or {}))
     ex = (exposures.withColumn("start", F.to_date("exposure_start")).withColumn("end", F.to_date("exposure_end")))
     near = ex.filter(F.col("dist") <= o["excl_km"])
-    chosen = nm.select_events(ex, o, exclude_units)
+    chosen = nm.select_events(ex, o, list(exclude_units) if dict(ex.dtypes)["unit"] == "string" else ())
     based = cal.baseline_years(chosen, near, unit="unit", start="start", end="end", x_start=ceil_day("exposure_start"),
                                x_end="end", years=years, pre=o["pre"], post=o["post"])
     arrays = nm.series_arrays(series, ["unit", *SERIES], "date", "value", first, last)
