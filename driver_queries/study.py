@@ -145,7 +145,7 @@ rf AS (SELECT w.*, o FROM win w JOIN ob USING (SID, unit) WHERE d0 + CAST(k_days
 
 
 @query("window_rank", sql(*BASE, COVERED0, RANK, body="""SELECT SID, unit, k_days, round(any_value(o),4) AS obs_mean, count(*) AS n_ref, round(quantile_cont(m,0.5),4) AS ref_median, round(quantile_cont(m,0.05),4) AS ref_p05, round(quantile_cont(m,0.95),4) AS ref_p95,
- round(any_value(o)/quantile_cont(m,0.5),5) AS ratio, round((any_value(o)-quantile_cont(m,0.5))/stddev_samp(m),5) AS z, round((sum(CASE WHEN round(m,9)<=round(o,9) THEN 1 ELSE 0 END)+1)/(count(*)+1),6) AS p_lower, round((sum(CASE WHEN round(m,9)>=round(o,9) THEN 1 ELSE 0 END)+1)/(count(*)+1),6) AS p_upper
+ round(CASE WHEN quantile_cont(m,0.5)>0 THEN any_value(o)/quantile_cont(m,0.5) END,5) AS ratio, round(CASE WHEN stddev_samp(m)>0 THEN (any_value(o)-quantile_cont(m,0.5))/stddev_samp(m) END,5) AS z, round((sum(CASE WHEN round(m,9)<=round(o,9) THEN 1 ELSE 0 END)+1)/(count(*)+1),6) AS p_lower, round((sum(CASE WHEN round(m,9)>=round(o,9) THEN 1 ELSE 0 END)+1)/(count(*)+1),6) AS p_upper
  FROM rf GROUP BY SID, unit, k_days HAVING count(*)>=20"""))
 def window_rank(spark, d):
     out = wt.window_rank(s.daily(spark, d), s.events(spark, d), unit="unit", day="date", value="hours")
@@ -191,7 +191,7 @@ def window_elasticity(spark, d):
 
 
 def slope_sql(col):
-    return f"SELECT '{col.lower()}' AS factor, count(*) AS n, round(regr_slope(ln({col}), ln(r_N)),6) AS b FROM fac WHERE r_N>0 AND {col}>0"
+    return f"SELECT '{col.lower()}' AS factor, count(*) AS n, round(CASE WHEN count(*)>=10 THEN regr_slope(ln({col}), ln(r_N)) END,6) AS b FROM fac WHERE r_N>0 AND {col}>0"
 
 
 @query("elasticity_slope", sql(*FAC, body=" UNION ALL ".join(slope_sql(c) for c in ("r_CO2", "r_H", "r_I"))))
@@ -245,13 +245,13 @@ def shifted_factors(spark, d):
     return wt.window_factors(p, moved, unit="unit", day="date", keep=("storm", "dist", "wind", "shift"))
 
 
-@query("placebo_shift", sql(*BASE, SHIFTED, factors_sql("csh"), body="SELECT split_part(SID,'/',1) AS shift, count(*) FILTER (r_N>0 AND r_CO2>0) AS n, round(regr_slope(ln(r_CO2), ln(r_N)) FILTER (r_N>0 AND r_CO2>0),6) AS b FROM fac GROUP BY 1"))
+@query("placebo_shift", sql(*BASE, SHIFTED, factors_sql("csh"), body="SELECT split_part(SID,'/',1) AS shift, count(*) FILTER (r_N>0 AND r_CO2>0) AS n, round(CASE WHEN count(*) FILTER (r_N>0 AND r_CO2>0)>=10 THEN regr_slope(ln(r_CO2), ln(r_N)) FILTER (r_N>0 AND r_CO2>0) END,6) AS b FROM fac GROUP BY 1"))
 def placebo_shift(spark, d):
     return rounded(wt.log_slope(shifted_factors(spark, d), "r_CO2", ["shift"]), {"b": 6})
 
 
 @query("placebo_verdict", sql(*BASE, COVERED0, SHIFTED, factors_sql("csh").replace("fr AS", "fr2 AS").replace("fs AS", "fs2 AS").replace("gp AS", "gp2 AS").replace("gd AS", "gd2 AS").replace("fac AS", "fac2 AS").replace("FROM fr GROUP", "FROM fr2 GROUP").replace("FROM fr JOIN gp", "FROM fr2 JOIN gp2").replace("FROM fs LEFT JOIN gd", "FROM fs2 LEFT JOIN gd2"), factors_sql("cov0"),
-       """pb AS (SELECT split_part(SID,'/',1) AS shift, regr_slope(ln(r_CO2), ln(r_N)) FILTER (r_N>0 AND r_CO2>0) AS b FROM fac2 GROUP BY 1), rb AS (SELECT regr_slope(ln(r_CO2), ln(r_N)) FILTER (r_N>0 AND r_CO2>0) AS b FROM fac)""",
+       """pb AS (SELECT split_part(SID,'/',1) AS shift, CASE WHEN count(*) FILTER (r_N>0 AND r_CO2>0)>=10 THEN regr_slope(ln(r_CO2), ln(r_N)) FILTER (r_N>0 AND r_CO2>0) END AS b FROM fac2 GROUP BY 1), rb AS (SELECT CASE WHEN count(*) FILTER (r_N>0 AND r_CO2>0)>=10 THEN regr_slope(ln(r_CO2), ln(r_N)) FILTER (r_N>0 AND r_CO2>0) END AS b FROM fac)""",
        body="SELECT round(rb.b,6) AS b, round(min(pb.b),6) AS placebo_lo, round(max(pb.b),6) AS placebo_hi, count(pb.b) AS n_shifts, CASE WHEN rb.b>max(pb.b) THEN 'above' WHEN rb.b<min(pb.b) THEN 'below' ELSE 'inside' END AS verdict FROM rb, pb GROUP BY rb.b"))
 def placebo_verdict(spark, d):
     real = wt.log_slope(factors(spark, d, gaps=False), "r_CO2")
