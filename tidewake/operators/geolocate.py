@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidewake.functions import geo
-from .sizing import checkpointed, small_side
+from .sizing import checkpointed, small_side, spread
 
 BUFFER_KM, FAR_WEIGHT = 500.0, 0.5
 MIN_ANCHORS, MAX_CANDIDATES, DISTINCT_KM = 3, 3, 30.0
@@ -76,8 +76,8 @@ def locate_storms(track: DataFrame, ports: DataFrame) -> DataFrame:
              .withColumn("_far", F.filter("_all", lambda p: ~F.array_contains("_ports", p["port"]))).drop("_all", "_ports"))
     steps = F.sequence(F.lit(-6.0).cast("int"), F.lit(6), F.lit(3))
     starts = (fixes.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-              .withColumn("lat", F.col("_lat") + F.col("_dy")).withColumn("lon", F.col("_lon") + F.col("_dx"))
-              .repartition("SID", "time", "_dy", "_dx"))
+              .withColumn("lat", F.col("_lat") + F.col("_dy")).withColumn("lon", F.col("_lon") + F.col("_dx")))
+    starts = spread(starts, "SID", "time", "_dy", "_dx")
     tuned = _refine(starts, F.col("_near"), F.col("_far"))
     offered = _spread(tuned, ["SID", "time"])
     path = offered.groupBy("SID").agg(F.sort_array(F.collect_list(F.struct("time", "candidates", "n_ports", "_near"))).alias("_path"))

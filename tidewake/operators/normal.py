@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewake.functions.dates import same_day_in_year, scored_season
 from tidewake.functions.numeric import ratio
 from .emission import FUEL_ENGINE, POLLUTANTS, pollutant_ton
+from .sizing import spread
 
 DEFAULTS = dict(max_dist=200, min_wind=34, min_co2=50.0, min_base=3, excl_km=250, ref=(45, 11),
                 pool=3, stat="median", pre=60, post=45, normal="seasonal")
@@ -152,6 +153,7 @@ def normal_arrays(events: DataFrame, arrays: DataFrame, o: dict, first: date, un
         ones = F.array_repeat(F.lit(1.0), F.col("_n"))
         return (df.withColumn("pooled", ones)
                 .withColumn("expected", F.array_repeat(_mean(flat), F.col("_n"))).drop("_n", "_blocks", "values"))
+    df = spread(df.drop("_blocks", "values"), unit, "start", "end", *[c for c in arrays.columns if c not in (unit, "values")])
     edge = lambda x, i: F.array_repeat(F.element_at(x, i), p)
     padded = F.transform("index", lambda x: F.concat(edge(x, 1), x, edge(x, -1)))
     df = df.withColumn("_padded", padded)
@@ -160,7 +162,7 @@ def normal_arrays(events: DataFrame, arrays: DataFrame, o: dict, first: date, un
     center = _middle if o["stat"] == "median" else _mean
     return (df.withColumn("pooled", F.transform(pool, center))
             .withColumn("expected", F.transform("pooled", lambda m: m * F.col("level")))
-            .drop("_n", "_blocks", "_padded", "values"))
+            .drop("_n", "_padded"))
 
 
 def phase_scores(scored: DataFrame, o: dict) -> DataFrame:

@@ -25,6 +25,16 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS, like: DataFrame | None
     return F.broadcast(df) if is_small(df if like is None else like, max_rows) else df
 
 
+def spread(df: DataFrame, *columns) -> DataFrame:
+    """Hash rows over all shuffle partitions before CPU-heavy work on few bytes.
+
+    Adaptive execution merges partitions by size, which would leave such work to one task; an
+    explicit partition number is kept.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only a session without one (tests, a laptop)
     gets a temporary folder."""

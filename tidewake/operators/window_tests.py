@@ -14,6 +14,7 @@ from tidewake.functions.numeric import log_ratio, positive_part, ratio
 from .calendar import attach_daily, covered_days, covered_events, event_days
 from .ordered import runs
 from .quantiles import exact_quantiles
+from .sizing import spread
 
 HALF_DAYS, MASK_DAYS = 45, 10
 INTERVAL = 0.95
@@ -60,7 +61,7 @@ def local_baseline(panel: DataFrame, events: DataFrame, *, unit: str, day: str,
 
 def fitted_baseline(panel: DataFrame, events: DataFrame, *, unit: str, day: str, value: str,
                     mask: int = MASK_DAYS, interval: float = INTERVAL,
-                    events_per_task: int = 64) -> DataFrame:
+                    events_per_task: int = 16) -> DataFrame:
     """The same curve from a regression on trend, hinges and weekly and yearly waves, fitted on
     all days outside the mask.
 
@@ -82,7 +83,8 @@ def fitted_baseline(panel: DataFrame, events: DataFrame, *, unit: str, day: str,
               .withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals"))
     kinds = dict(ev.dtypes)
     schema = f"SID {kinds['SID']}, {unit} {kinds[unit]}, {day} date, yhat double, yhat_lower double, yhat_upper double"
-    fits = (series.groupBy(unit, "_deal").cogroup(dealt.groupBy(unit, "_deal"))
+    fits = (spread(series, unit, "_deal").groupBy(unit, "_deal")
+            .cogroup(spread(dealt, unit, "_deal").groupBy(unit, "_deal"))
             .applyInPandas(fit_events(unit, day, mask, interval), schema))
     return observed.join(fits, ["SID", unit, day])
 
