@@ -36,10 +36,11 @@ def spread(df: DataFrame, *columns) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only a session without one (tests, a laptop)
-    gets a temporary folder."""
+    """The folder named by ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
