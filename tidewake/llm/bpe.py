@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .columns import list_array, parse_ranks, put_columns, read_vocabulary
 
-MAX_REMEMBERED = 1 << 20
+#: Entries that a worker remembers of pieces and of neighbours before it starts afresh.
+MAX_REMEMBERED = 1 << 17
 BLOCK_CHARS = 1 << 20
 
 
@@ -164,7 +165,7 @@ class TextEncoder:
         ids = self.known.get(piece)
         if ids is None:
             ids = self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass"))
-            if len(self.known) >= MAX_REMEMBERED // 2:
+            if len(self.known) >= MAX_REMEMBERED:
                 self.known.clear()
             if len(piece) <= 64:
                 self.known[piece] = ids
@@ -205,7 +206,7 @@ def encode(records: DataFrame, vocabulary: str, pattern: str, text: str = "text"
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(content, pattern)
         for batch in batches:
-            rows = [encoder.encode(value) if value else np.empty(0, np.int32) for value in batch.to_pylist()]
+            rows = [encoder.encode(value) if value else np.empty(0, np.int32) for value in (v.as_py() for v in batch)]
             flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
             yield list_array(flat, [len(r) for r in rows], pa.int32())
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import query_bpe
+from . import query_bpe, query_index, query_simhash
 
-MODULES = [query_bpe]
+MODULES = [query_bpe, query_index, query_simhash]
 Q = {name: fn for module in MODULES for name, fn in module.Q.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
