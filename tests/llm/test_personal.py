@@ -1,0 +1,88 @@
+"""Base kinds against their patterns, and the weakly supervised part on planted text."""
+
+import random
+import re
+import time
+
+import numpy as np
+
+from tidewake.llm import personal_data as pd
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def slow(text):
+    def digits(m):
+        return re.sub("[^0-9]", "", m[0])
+
+    def luhn(d):
+        values = [int(c) for c in d[::-1]]
+        return sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(values)) % 10 == 0
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15]
+    return out
+
+
+def test_base_kinds():
+    rng = random.Random(2)
+    parts = ["a.b@c.de", "@", "x@y", "1.2.3.4", "300.1.1.1", "1.2.3", "0001.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1111",
+             "4111111111111112", "+1 (988) 555-2485", "+49", "+1((((", " ", ".", "-", "é", "12", "a@b.c@d.e", "%+", ")", "b@-.-", "0" * 17]
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        assert pd.base_spans(text) == slow(text), text
+
+
+def test_long_runs_take_linear_time():
+    start = time.time()
+    for text in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1." * 100_000, "+1" + "(" * 300_000, "- " * 100_000, "a." * 100_000 + "@", "1-" * 100_000):
+        pd.candidates(text, pd.base_spans(text))
+    assert time.time() - start < 20
+
+
+def rows():
+    rng = random.Random(4)
+    out = []
+    for i in range(300):
+        filler = " ".join(rng.choice(["tide", "harbour", "wind", "quay", "calm"]) for _ in range(20))
+        code = "".join(rng.choice("0123456789abcdef") for _ in range(24))
+        middle = ["password=" + code, f'token = "{code}"', f"version {rng.randint(10, 99)}-abcdefghijklmnop", f"mail a.b@port{i}.example.com now",
+                  "phone (555) 123-4567", "nothing"][i % 6]
+        out.append((i, f"{filler} {middle} {filler}", "x"))
+    return out
+
+
+def test_operator_adds_and_keeps(spark):
+    data = rows() + [(900, None, "x"), (901, "", "x"), (0, rows()[0][1], "x"), (902, "z" * 100_000 + " a@b.cd", "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, PII string")
+    model = pd.learn(df)
+    got = pd.find(df, model)
+    secrets = plain = 0
+    for r in got.collect():
+        text = r.text or ""
+        base = [tuple(s) for s in r.pii if s.kind in pd.BASE_KINDS]
+        assert base == slow(text)
+        kinds = {s.kind for s in r.pii}
+        secrets += r.doc_id < 300 and r.doc_id % 6 in (0, 1) and "secret" in kinds
+        plain += r.doc_id < 300 and r.doc_id % 6 in (2, 5) and bool(kinds)
+    assert secrets >= 100 and plain == 0
+    masked = {r.doc_id: r.text for r in pd.mask(got).collect()}
+    assert "a.b@" not in masked[3] and "<EMAIL>" in masked[3] and masked[900] is None and masked[5] == data[5][1]
+    assert pd.find(df.limit(0), model).count() == 0
+    nothing = pd.learn(df.where("doc_id = 5"))
+    assert nothing.chance(np.zeros(len(nothing.weights))) < 0.01
+
+
+def test_em_recovers_reliabilities():
+    rng = np.random.default_rng(0)
+    truth = rng.random(20000) < 0.4
+    right = [0.95, 0.8, 0.7]
+    votes = np.stack([np.where(rng.random(20000) < p, truth, ~truth) * 2 - 1 for p in right], axis=1)
+    patterns, inverse = np.unique(votes, axis=0, return_inverse=True)
+    _, table, chance = pd.expectation(["secret"] * len(patterns), patterns, np.bincount(inverse.ravel()).astype(float))
+    assert all(abs(table[k, 1, 2] - p) < 0.05 for k, p in enumerate(right))
+    assert ((chance[inverse.ravel()] > 0.5) == truth).mean() > 0.93

@@ -24,6 +24,7 @@ from .columns import list_array, parse_ranks, put_columns, read_vocabulary
 #: Entries that a worker remembers of pieces and of neighbours before it starts afresh.
 MAX_REMEMBERED = 1 << 17
 BLOCK_CHARS = 1 << 20
+SLICE_ROWS = 256
 
 
 class PairEncoder:
@@ -138,6 +139,25 @@ class PairEncoder:
             token = fewer
 
 
+class Remembered(dict):
+    """Ids of pieces seen lately. A full table becomes the old one, whose entries are taken back when they are asked for."""
+
+    def __init__(self, encoder: PairEncoder):
+        super().__init__()
+        self.encoder, self.old = encoder, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= 64:
+            if len(self) >= MAX_REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class TextEncoder:
     """Splits text by a pattern and encodes each match; matches seen before are looked up."""
 
@@ -146,8 +166,7 @@ class TextEncoder:
 
         self.pieces = regex.compile(pattern).findall
         self.cut = regex.compile(r"\S (?=\p{L})").search
-        self.encoder = PairEncoder(ranks)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Remembered(PairEncoder(ranks))
 
     def blocks(self, text: str) -> Iterator[str]:
         """Parts of a long text. A cut lies before a space between a non-space and a letter, where the pattern of the
@@ -161,56 +180,56 @@ class TextEncoder:
             start = found.start() + 1
         yield text[start:]
 
-    def lookup(self, piece: str) -> tuple[int, ...]:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass"))
-            if len(self.known) >= MAX_REMEMBERED:
-                self.known.clear()
-            if len(piece) <= 64:
-                self.known[piece] = ids
+    def encode(self, text: str) -> list[int]:
+        ids: list[int] = []
+        for block in self.blocks(text):
+            ids += chain.from_iterable(map(self.known.__getitem__, self.pieces(block)))
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        parts = [np.fromiter(chain.from_iterable(map(self.lookup, self.pieces(block))), dtype=np.int32)
-                 for block in self.blocks(text)]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
-
 
 _workers: dict = {}
 
 
 def _encoder(content: Broadcast, pattern: str) -> TextEncoder:
     """One encoder for each Python worker and vocabulary."""
-    key = (content.id if hasattr(content, "id") else id(content), len(content.value), hash(content.value), pattern)
+    key = (hash(content.value), pattern)
     if key not in _workers:
-        _workers.clear()
         _workers[key] = TextEncoder(parse_ranks(content.value), pattern)
     return _workers[key]
 
 
-def encode(records: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(records: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids",
+           content: str | None = None) -> DataFrame:
     """Append the token ids of a text column.
 
-    records: any table; its other columns are kept, one named like `ids` is replaced. vocabulary: path on the driver of
-    a rank file with lines of base64 token and rank; at most columns.MAX_VOCABULARY_BYTES, so it can be broadcast.
-    pattern: regular expression whose matches are encoded separately; it must end a match before a space that follows a
-    non-space and precedes a letter, as the public ones do. No special tokens.
+    records: any table; its other columns are kept, those named like the new ones are replaced. vocabulary: path on the
+    driver of a rank file with lines of base64 token and rank; at most columns.MAX_VOCABULARY_BYTES, so it can be
+    broadcast. pattern: regular expression whose matches are encoded separately; it must end a match before a space that
+    follows a non-space and precedes a letter, as the public ones do. No special tokens. content: if given, also append
+    the bytes that the ids decode to, in the same pass.
 
     Null and empty texts give an empty array. Repeated rows are encoded each; row order and count do not change. Very
     long texts are encoded whole, in blocks of BLOCK_CHARS characters cut where a match ends anyway.
     """
-    content = records.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    ranks = records.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("content", pa.binary())])
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>,content:binary>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(content, pattern)
+        encoder, tokens = _encoder(ranks, pattern), _tokens(ranks)
         for batch in batches:
-            rows = [encoder.encode(value) if value else np.empty(0, np.int32) for value in (v.as_py() for v in batch)]
-            flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-            yield list_array(flat, [len(r) for r in rows], pa.int32())
-
-    return put_columns(records, **{ids: encoded(F.col(text).cast("string"))})
+            for i in range(0, len(batch), SLICE_ROWS):
+                flat, sizes, back = [], [], []
+                for value in batch.slice(i, SLICE_ROWS):
+                    own = encoder.encode(value.as_py() or "")
+                    flat.append(np.fromiter(own, np.int32, len(own)))
+                    sizes.append(len(own))
+                    back.append(b"".join(map(tokens.__getitem__, own)) if content else None)
+                yield pa.StructArray.from_arrays([list_array(np.concatenate(flat), sizes, pa.int32()), pa.array(back, pa.binary())], fields=list(kind))
+
+    found = put_columns(records, __bpe=encoded(F.col(text).cast("string")))
+    new = {ids: F.col("__bpe.ids")} | ({content: F.col("__bpe.content")} if content else {})
+    return put_columns(found, **new).drop("__bpe")
 
 
 def decode(records: DataFrame, vocabulary: str, ids: str = "ids", content: str = "content") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import query_bpe, query_index, query_simhash
+from . import (query_bpe, query_chat, query_huffman, query_index, query_language, query_personal, query_repeats, query_simhash,
+               query_topk)
 
-MODULES = [query_bpe, query_index, query_simhash]
+MODULES = [query_bpe, query_personal, query_huffman, query_chat, query_index, query_topk, query_simhash, query_repeats, query_language]
 Q = {name: fn for module in MODULES for name, fn in module.Q.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
