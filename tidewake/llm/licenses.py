@@ -13,7 +13,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # fixed values: short notices by licence
 TEMPLATES = {
@@ -26,7 +26,7 @@ TEMPLATES = {
     "MIT": "Released under the MIT License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
-WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+WORD = "[a-z0-9]+"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 MAX_TEMPLATE_WORDS = 10_000
 THRESHOLD = 0.6
@@ -67,11 +67,6 @@ def _needed(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]
     return sorted(needed)
 
 
-def _best(name: str, score: str) -> Column:
-    """The name with the highest score; of equal scores the least name."""
-    return F.max(F.struct(F.col(score).alias("score"), F.lit(None).cast("string").alias("x")))["score"].alias(score)
-
-
 def scan(records: DataFrame, record_id: str = "doc_id", path: str = "path", text: str = "text", templates: dict[str, str] | None = None,
          threshold: float = THRESHOLD, license_file: str = LICENSE_FILE) -> DataFrame:
     """Licence of every record: its own notice's, or that inherited from the nearest directory above.
@@ -104,20 +99,20 @@ def scan(records: DataFrame, record_id: str = "doc_id", path: str = "path", text
     trigger = "(?i)(" + "|".join(re.escape(w) for w in needed) + ")" if needed else "(?!)"
     lines = _lines(base.where(F.col("body").rlike(trigger)), "record", "path").where(
         F.arrays_overlap("words", F.array(*[F.lit(w) for w in needed] or [F.lit("")])))
-    lines = lines.withColumn("lid", F.xxhash64("words"))
-    distinct = lines.select("lid", "words").groupBy("words").agg(F.first("lid").alias("lid"))
-    counted = distinct.select("words", F.explode("words").alias("word")).groupBy("words", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # equal lines are weighed once; a line is named by a digest while its words are apart
+    lines = lines.select("record", "path", "words", F.sha2(F.array_join("words", " "), 256).alias("key"))
+    counted = lines.groupBy("key").agg(F.first("words").alias("words")).select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(
+        F.count(F.lit(1)).alias("tf"))
     weighed = counted.join(idf, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    norm = weighed.groupBy("words").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(entries, "word").groupBy("words", "name").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scored = dots.join(norm, "words").select("words", "name", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
-    by_line = scored.groupBy("words").agg(F.min(F.struct((-F.col("score")).alias("minus"), "name")).alias("m"))
-    own = lines.join(by_line, "words").groupBy("record", "path").agg(F.min("m").alias("m")).select(
-        "record", "path", F.col("m.name").alias("own"), (-F.col("m.minus")).alias("own_score"))
-
-    files = base.select("record", "path").distinct()
-    found = files.join(own, files["record"].eqNullSafe(own["record"]) & files["path"].eqNullSafe(own["path"]), "left").select(
-        files["record"], files["path"], "own", "own_score")
+    norm = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(entries, "word").groupBy("key", "name").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    scored = dots.join(norm, "key").select("key", "name", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
+    by_line = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "name")).alias("m"))
+    own = lines.select("record", "path", "key").join(by_line, "key").groupBy("record", "path").agg(F.min("m").alias("m")).select(
+        F.col("record").alias("record_"), F.col("path").alias("path_"), F.col("m.name").alias("own"), (-F.col("m.minus")).alias("own_score"))
+    same = F.col("record").eqNullSafe(F.col("record_")) & F.col("path").eqNullSafe(F.col("path_"))
+
+    found = base.select("record", "path").distinct().join(own, same, "left").select("record", "path", "own", "own_score")
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     above = found.where(F.col("own").isNotNull() & F.col("path").rlike(license_file)).groupBy(parent.alias("dir")).agg(
         F.min(F.struct((-F.col("own_score")).alias("minus"), F.col("own").alias("name"))).alias("m"))
@@ -125,7 +120,7 @@ def scan(records: DataFrame, record_id: str = "doc_id", path: str = "path", text
     ancestors = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, 1, k), "/").alias("dir")))
     wanting = found.where(F.col("own").isNull() & F.col("path").isNotNull()).select("record", "path", F.explode(ancestors).alias("a"))
     inherited = wanting.select("record", "path", "a.depth", "a.dir").join(above, "dir").groupBy("record", "path").agg(
-        F.max(F.struct("depth", "dir", "m")).alias("best"))
-    out = found.join(inherited, found["record"].eqNullSafe(inherited["record"]) & (found["path"] == inherited["path"]), "left")
-    return out.select(found["record"].alias(record_id), found["path"].alias(path), F.coalesce("own", F.col("best.m.name")).alias("license"),
-                      F.coalesce("own_score", -F.col("best.m.minus")).alias("score"), F.when(F.col("own").isNull(), F.col("best.dir")).alias("inherited_from"))
+        F.max(F.struct("depth", "dir", "m")).alias("best")).select(F.col("record").alias("record_"), F.col("path").alias("path_"), "best")
+    return found.join(inherited, same, "left").select(
+        F.col("record").alias(record_id), F.col("path").alias(path), F.coalesce("own", F.col("best.m.name")).alias("license"),
+        F.coalesce("own_score", -F.col("best.m.minus")).alias("score"), F.when(F.col("own").isNull(), F.col("best.dir")).alias("inherited_from"))

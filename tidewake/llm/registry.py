@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import (query_bpe, query_chat, query_huffman, query_index, query_language, query_personal, query_repeats, query_simhash,
-               query_topk)
+import corpus_pipeline
 
-MODULES = [query_bpe, query_personal, query_huffman, query_chat, query_index, query_topk, query_simhash, query_repeats, query_language]
-Q = {name: fn for module in MODULES for name, fn in module.Q.items()}
+from . import (query_bpe, query_chat, query_huffman, query_index, query_language, query_licenses, query_personal, query_repeats,
+               query_simhash, query_topk)
+
+MODULES = [query_bpe, query_personal, query_huffman, query_licenses, query_chat, query_index, query_topk, query_simhash,
+           query_repeats, query_language]
+Q = {name: fn for module in MODULES for name, fn in module.Q.items()} | {"pipeline": corpus_pipeline.run}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

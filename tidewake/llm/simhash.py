@@ -142,6 +142,17 @@ def links(prints: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
     return dealt.mapInArrow(_cell_links, "a long, b long")
 
 
+def classes(prints: DataFrame, record_id: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
+    """Group of each distinct fingerprint: fingerprint, component (one name for each group, a fingerprint of it) and
+    component_id (the least record id of the group; null if it has none). prints: stored ids and fingerprints of all rows."""
+    distinct = checkpointed(prints.groupBy(F.col(fingerprint).alias("fingerprint")).agg(F.min(record_id).alias("least")))
+    joined = connected(links(distinct))
+    groups = distinct.join(joined.withColumnRenamed("vertex", "fingerprint"), "fingerprint", "left").withColumn(
+        "component", F.coalesce("component", "fingerprint"))
+    return groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(
+        "fingerprint", "component", "component_id")
+
+
 def near_copies(records: DataFrame, record_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint and group of every record: fingerprints of at most MAX_DISTANCE differing bits are linked.
 
@@ -151,10 +162,14 @@ def near_copies(records: DataFrame, record_id: str = "doc_id", text: str = "text
     """
     prints = checkpointed(fingerprints(records.select(F.col(record_id).alias("record"), F.col(text).alias("body")), "body")
                           .select("record", "fingerprint"))
-    classes = checkpointed(prints.groupBy("fingerprint").agg(F.min("record").alias("least")))
-    joined = connected(links(classes))
-    groups = classes.join(joined.withColumnRenamed("vertex", "fingerprint"), "fingerprint", "left").withColumn(
-        "component", F.coalesce("component", "fingerprint"))
-    named = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component")
-    return prints.join(named.select("fingerprint", "component_id"), "fingerprint").select(
+    return prints.join(classes(prints, "record"), "fingerprint").select(
         F.col("record").alias(record_id), "fingerprint", "component_id")
+
+
+def first_of_each(records: DataFrame, record_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One record of each group of near copies, with all its columns: that of the least id, of repeated rows any one, of
+    records without ids any one. A column named __print is taken for the fingerprint."""
+    marked = fingerprints(records, text, "__print")
+    groups = classes(checkpointed(marked.select(F.col(record_id).alias("record"), "__print")), "record", "__print")
+    kept = marked.join(groups.withColumnRenamed("fingerprint", "__print"), "__print").where(F.col(record_id).eqNullSafe(F.col("component_id")))
+    return kept.dropDuplicates(["component"]).select(*[marked[c] for c in records.columns])

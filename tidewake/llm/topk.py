@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewake.operators.sizing import checkpointed
 
-BLOCK_QUERIES = 4096
+BLOCK_QUERIES = 2048
 SHARD_UNITS = 16384
 STEP_UNITS = 2048
 #: Scores are exact as long as no partial sum leaves the integers that a double holds.
@@ -48,8 +48,10 @@ def best_of_cell(query_ids: np.ndarray, queries: np.ndarray, unit_ids: np.ndarra
     top_q = np.empty(0, np.int64)
     top_id, top_score = np.empty(0, unit_ids.dtype), np.empty(0)
     floor = np.full(n, -np.inf)
-    for start in range(0, len(units), STEP_UNITS):
-        some, ids = units[start:start + STEP_UNITS], unit_ids[start:start + STEP_UNITS]
+    start, step = 0, min(64, STEP_UNITS)                             # short steps first, so that floors rise early
+    while start < len(units):
+        some, ids = units[start:start + step], unit_ids[start:start + step]
+        start, step = start + step, min(2 * step, STEP_UNITS)
         least, most = some.min(axis=0), some.max(axis=0)
         bound = high_q * most + low_q * least                        # what a term can add at most
         lowest = high_q * least + low_q * most                       # and at least
