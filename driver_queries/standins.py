@@ -17,6 +17,11 @@ STATUS = {"click": 0, "error": 1, "purchase": 5, "signup": 5, "view": 1}
 BAND_TABLES = ["p_main", "v_design", "ae_sea", "ae_berth", "ae_anchor", "boiler"]
 
 
+def draw_sql(draw: str, slot: str, size: str, seed: int) -> str:
+    """Index in 0..size-1: the first 15 hex digits of md5('seed|draw|slot') modulo size."""
+    return f"((('0x' || substr(md5(concat_ws('|', {seed}, {draw}, {slot})), 1, 15))::BIGINT) % ({size}))"
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 

@@ -79,11 +79,29 @@ def test_centroid_and_projection(spark):
     assert row.d == pytest.approx(math.pi * 6371)
 
 
-def test_draws_match_integer_arithmetic(spark):
+def test_draws_match_the_hash(spark):
+    import hashlib
     df = spark.range(2000).select((F.col("id") % 50 + 1).alias("draw"), F.floor(F.col("id") / 50).alias("slot"))
     out = df.select("draw", "slot", pick("draw", "slot", F.lit(37), 9).alias("i")).collect()
     for r in out:
-        x = (r.draw * 2654435761 + r.slot * 40503 + 9) % 2**32
-        x = (x * 1664525 + 1013904223) % 2**32
-        assert r.i == (x // 65536) % 37
+        assert r.i == int(hashlib.md5(f"9|{r.draw}|{r.slot}".encode()).hexdigest()[:15], 16) % 37
     assert len({r.i for r in out}) == 37
+
+
+@pytest.mark.parametrize("n", [5, 20, 26, 48, 200, 1000])
+def test_draws_resample_like_numpy(spark, n):
+    """Over 1,000 draws: the variance of a cluster's count is 1 - 1/n, and resampled means spread as they should."""
+    draws = 1000
+    df = spark.range(draws).select((F.col("id") + 1).alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    got = df.select("draw", pick("draw", "slot", F.lit(n), 3).alias("i")).groupBy("draw", "i").count().toPandas()
+    counts = np.zeros((draws, n))
+    counts[got.draw.to_numpy() - 1, got.i.to_numpy()] = got["count"]
+    assert abs(counts.var() / (1 - 1 / n) - 1) < 0.05
+    values = np.random.default_rng(n).normal(size=(40, n))
+    ratio = (counts @ values.T / n).std(axis=0) / (values.std(axis=1) / np.sqrt(n))
+    assert abs(ratio.mean() - 1) < 0.1
+
+
+def test_large_groups_are_drawn_whole(spark):
+    top = spark.range(20000).select(F.max(pick(F.lit(1), "id", F.lit(10_000_000), 1))).first()[0]
+    assert top > 9_900_000

@@ -1,7 +1,8 @@
-"""Seeded draws from pure integer arithmetic.
+"""Seeded draws from a hash of (seed, draw, slot).
 
-The same draw comes out on every executor, after every retry and in any SQL
-engine, which a stateful random generator cannot promise.
+The same draw comes out on every executor, after every retry and in any SQL engine that has md5, which a stateful random
+generator cannot promise. 60 bits of the hash are used, so groups of any size that fits in memory anywhere are drawn
+evenly (the bias of the modulus is the group size over 2 to the 60).
 """
 
 from __future__ import annotations
@@ -10,26 +11,10 @@ from pyspark.sql import Column, functions as F
 
 from .numeric import as_col
 
-# fixed values of two linear congruential steps modulo 2^32
-MODULUS = 4294967296
-DRAW_STEP = 2654435761
-SLOT_STEP = 40503
-MULTIPLIER = 1664525
-INCREMENT = 1013904223
-HIGH_BITS = 65536
+HEX_DIGITS = 15
 
 
 def pick(draw, slot, size, seed: int) -> Column:
     """Index in 0..size-1 for (draw, slot)."""
-    d, s, n = (as_col(c).cast("long") for c in (draw, slot, size))
-    x = (d * F.lit(DRAW_STEP) + s * F.lit(SLOT_STEP) + F.lit(int(seed))) % F.lit(MODULUS)
-    x = (x * F.lit(MULTIPLIER) + F.lit(INCREMENT)) % F.lit(MODULUS)
-    high = F.floor(x / F.lit(HIGH_BITS)).cast("long")
-    return high % n
-
-
-def pick_sql(draw: str, slot: str, size: str, seed: int) -> str:
-    """The same index as SQL text (integer division written ``//``)."""
-    x = f"((({draw})*{DRAW_STEP} + ({slot})*{SLOT_STEP} + {int(seed)}) % {MODULUS})"
-    x = f"(({x}*{MULTIPLIER} + {INCREMENT}) % {MODULUS})"
-    return f"(({x} // {HIGH_BITS}) % ({size}))"
+    name = F.concat_ws("|", F.lit(str(int(seed))), as_col(draw).cast("string"), as_col(slot).cast("string"))
+    return F.conv(F.substring(F.md5(name), 1, HEX_DIGITS), 16, 10).cast("bigint") % as_col(size).cast("bigint")
