@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewake.functions.binning import cut
-from tidewake.functions.draws import pick_sql
 from tidewake.functions.numeric import ratio
 from tidewake.operators import emission as em, normal as nm, products as pr, quantiles as qt, regress as rg, resample as rs
 
 from tidewake.operators.sizing import checkpointed
 from . import standins as s
-from .standins import rounded, sql
+from .standins import draw_sql, rounded, sql
 from .study import boot_sql
 
 Q, SQL = {}, {}
@@ -88,23 +87,23 @@ def pooled_ratio_ci(spark, d):
     return rounded(rs.boot_ratio(r, ["intensity"], "SID", "obs", "expected"), {c: 5 for c in CI("ratio")})
 
 
-@query("pooled_ratios", sql(RES, boot_sql("res", "intensity, tier, phase", "SID", OE, RATIO, 200, 1, extra_where="WHERE py=0 AND vclass='all'"),
+@query("pooled_ratios", sql(RES, boot_sql("res", "intensity, tier, phase", "SID", OE, RATIO, 1000, 1, extra_where="WHERE py=0 AND vclass='all'"),
        "sz AS (SELECT intensity, tier, phase, count(*) AS n, sum(obs-expected) AS delta, avg(CASE WHEN outside THEN 1 ELSE 0 END) AS share_outside FROM res WHERE py=0 AND vclass='all' GROUP BY ALL HAVING count(*)>=5)",
        body=f"SELECT intensity, tier, phase, n, n_clusters, round(delta,3) AS delta, round(share_outside,6) AS share_outside, {R5(*CI('ratio'))} FROM sz JOIN bt USING (intensity, tier, phase)"))
 def pooled_ratios(spark, d):
-    out = pr.pooled_ratios(res(spark, d).filter("py = 0 AND vclass = 'all'"), ["intensity", "tier", "phase"], draws=200)
+    out = pr.pooled_ratios(res(spark, d).filter("py = 0 AND vclass = 'all'"), ["intensity", "tier", "phase"], draws=1000)
     return rounded(out, {"delta": 3, "share_outside": 6, **{c: 5 for c in CI("ratio")}})
 
 
 W4 = {"n1": "obs_co2", "d1": "obs_hours", "n2": "exp_co2", "d2": "exp_hours"}
 
 
-@query("ratio_of_ratios_ci", sql(WSUM, boot_sql("wsum", "intensity, zone", "SID", W4, {"rr": "(n1/d1)/(n2/d2)", "gap": "n1/n2-d1/d2"}, 200, 1, extra_where="WHERE py=0 AND \"window\"='storm'"),
+@query("ratio_of_ratios_ci", sql(WSUM, boot_sql("wsum", "intensity, zone", "SID", W4, {"rr": "(n1/d1)/(n2/d2)", "gap": "n1/n2-d1/d2"}, 1000, 1, extra_where="WHERE py=0 AND \"window\"='storm'"),
        body=f"SELECT intensity, zone, n_clusters, {R5(*CI('rr'), *CI('gap'))} FROM bt"))
 def ratio_of_ratios_ci(spark, d):
     w = wsum(spark, d).filter("py = 0 AND window = 'storm'")
     out = rs.bootstrap(w, ["intensity", "zone"], "SID", ["obs_co2", "obs_hours", "exp_co2", "exp_hours"],
-                       {"rr": rs.ratio_of_ratios("obs_co2", "obs_hours", "exp_co2", "exp_hours"), "gap": rs.ratio_gap("obs_co2", "exp_co2", "obs_hours", "exp_hours")}, draws=200)
+                       {"rr": rs.ratio_of_ratios("obs_co2", "obs_hours", "exp_co2", "exp_hours"), "gap": rs.ratio_gap("obs_co2", "exp_co2", "obs_hours", "exp_hours")}, draws=1000)
     return rounded(out, {c: 5 for c in (*CI("rr"), *CI("gap"))})
 
 
@@ -124,11 +123,11 @@ def contrast_body(op):
  (SELECT window_, quantile_cont(x.st {op} y.st,0.025) AS lo, quantile_cont(x.st {op} y.st,0.975) AS hi FROM adx x JOIN bdx y USING (window_, draw) GROUP BY window_) q USING (window_)"""
 
 
-@query("mean_diff_ci", sql(WSUM, GAPS, contrast_sql("a", "gaps", "WHERE py=0", "sv/nv", 300, 5, MEAN), contrast_sql("b", "gaps", "WHERE py<>0", "sv/nv", 300, 6, MEAN),
+@query("mean_diff_ci", sql(WSUM, GAPS, contrast_sql("a", "gaps", "WHERE py=0", "sv/nv", 1000, 5, MEAN), contrast_sql("b", "gaps", "WHERE py<>0", "sv/nv", 1000, 6, MEAN),
        "adx AS (SELECT *, sv/nv AS st FROM adr)", "bdx AS (SELECT *, sv/nv AS st FROM bdr)", body=contrast_body("-")))
 def mean_diff_ci(spark, d):
     w = wsum(spark, d).filter("zone = 'total'").selectExpr("SID", "window", "py", "ln(obs_co2/exp_co2) - ln(obs_hours/exp_hours) AS g")
-    out = rs.boot_mean_difference(w.filter("py = 0"), w.filter("py <> 0"), ["window"], "SID", "g", draws=300)
+    out = rs.boot_mean_difference(w.filter("py = 0"), w.filter("py <> 0"), ["window"], "SID", "g", draws=1000)
     return rounded(out.select("window", "first", "second", "contrast", "contrast_lo", "contrast_hi"), {c: 5 for c in ("first", "second", "contrast", "contrast_lo", "contrast_hi")})
 
 
@@ -136,12 +135,12 @@ INT4 = {"a": "obs_nox", "b": "obs_co2", "c": "exp_nox", "e": "exp_co2"}
 TOTALW = """tw AS (SELECT *, "window" AS window_ FROM wsum WHERE zone='total')"""
 
 
-@query("pollutant_per_co2", sql(WSUM, TOTALW, contrast_sql("a", "tw", "WHERE py=0", "(a/b)/(c/e)", 300, 5, INT4), contrast_sql("b", "tw", "WHERE py<>0", "(a/b)/(c/e)", 300, 6, INT4),
+@query("pollutant_per_co2", sql(WSUM, TOTALW, contrast_sql("a", "tw", "WHERE py=0", "(a/b)/(c/e)", 1000, 5, INT4), contrast_sql("b", "tw", "WHERE py<>0", "(a/b)/(c/e)", 1000, 6, INT4),
        "adx AS (SELECT *, (a/b)/(c/e) AS st FROM adr)", "bdx AS (SELECT *, (a/b)/(c/e) AS st FROM bdr)", body=contrast_body("/")))
 def pollutant_per_co2(spark, d):
     w = wsum(spark, d).filter("zone = 'total'")
     out = rs.boot_contrast(w.filter("py = 0"), w.filter("py <> 0"), ["window"], "SID", ["obs_nox", "obs_co2", "exp_nox", "exp_co2"],
-                           rs.ratio_of_ratios("obs_nox", "obs_co2", "exp_nox", "exp_co2"), lambda x, y: ratio(x, y), draws=300)
+                           rs.ratio_of_ratios("obs_nox", "obs_co2", "exp_nox", "exp_co2"), lambda x, y: ratio(x, y), draws=1000)
     return rounded(out.select("window", "first", "second", "contrast", "contrast_lo", "contrast_hi"), {c: 5 for c in ("first", "second", "contrast", "contrast_lo", "contrast_hi")})
 
 
@@ -150,13 +149,13 @@ rw AS (SELECT *, row_number() OVER (PARTITION BY "window", SID, unit ORDER BY py
 sz AS (SELECT "window", SID, unit, count(*) AS m, (('0x' || substr(md5(CAST(SID AS VARCHAR) || '|' || unit),1,8))::BIGINT) % 1000003 AS slot FROM pp WHERE py<>0 GROUP BY ALL)"""
 
 
-@query("permutation_p", sql(WSUM, PAIRS, f"""pk AS (SELECT "window", SID, unit, draw, {pick_sql('draw', 'slot', 'm', 7)} AS j FROM sz, range(1,501) r(draw)),
+@query("permutation_p", sql(WSUM, PAIRS, f"""pk AS (SELECT "window", SID, unit, draw, {draw_sql('draw', 'slot', 'm', 7)} AS j FROM sz, range(1,2001) r(draw)),
 dw AS (SELECT pk."window", draw, sum(obs)/sum(expected) AS r FROM pk JOIN rw ON pk."window"=rw."window" AND pk.SID=rw.SID AND pk.unit=rw.unit AND pk.j=rw.j GROUP BY ALL),
 tr AS (SELECT "window", sum(obs)/sum(expected) AS real_ratio FROM pp WHERE py=0 GROUP BY "window")""",
        body="""SELECT "window", round(real_ratio,6) AS real_ratio, round(quantile_cont(r,0.5),6) AS null_median, round(quantile_cont(r,0.025),6) AS null_lo, round(quantile_cont(r,0.975),6) AS null_hi, round((sum(CASE WHEN abs(ln(r))>=abs(ln(real_ratio))-1e-12 THEN 1 ELSE 0 END)+1)/(count(*)+1),6) AS p_perm FROM dw JOIN tr USING ("window") GROUP BY "window", real_ratio"""))
 def permutation_p(spark, d):
     w = wsum(spark, d).filter("zone = 'total'").selectExpr("SID", "unit", "window", "py", "obs_co2 AS obs", "exp_co2 AS expected")
-    out = rs.permutation_test(w.filter("py = 0"), w.filter("py <> 0"), ["window"], ["SID", "unit"], "py", draws=500)
+    out = rs.permutation_test(w.filter("py = 0"), w.filter("py <> 0"), ["window"], ["SID", "unit"], "py", draws=2000)
     return rounded(out, {c: 6 for c in ("real_ratio", "null_median", "null_lo", "null_hi", "p_perm")})
 
 
@@ -220,7 +219,24 @@ def cluster_wls(spark, d):
     return rounded(rg.cluster_ols(reg_rows(spark, d), "y", ["x"], "SID", weight="w").select("term", "coef", "se", "n", "n_clusters"), {"coef": 6, "se": 6})
 
 
-@query("two_way_nested_specs")
+def focus_sql(prefix, source):
+    """Coefficient of x and its variances clustered by storm (s), port (p) and both at once (sp), after the other terms are
+    partialled out: xt and yt are residuals on them, k counts all terms."""
+    one = lambda name, cols: (f"{prefix}{name} AS (SELECT sp, g/(g-1.0::DOUBLE)*((n-1.0::DOUBLE)/(n-k))*m/(sxx*sxx) AS v FROM (SELECT sp, count(*) AS g, sum(u*u) AS m FROM "
+                              f"(SELECT e.sp, {cols}, sum(xt*(yt-b*xt)) AS u FROM {source} e JOIN {prefix}b USING (sp) GROUP BY e.sp, {cols}) GROUP BY sp) JOIN {prefix}b USING (sp))")
+    parts = [f"{prefix}b AS (SELECT sp, any_value(k) AS k, count(*) AS n, sum(xt*xt) AS sxx, sum(xt*yt)/sum(xt*xt) AS b FROM {source} GROUP BY sp)", one("s", "SID"), one("p", "unit"), one("sp", "SID, unit")]
+    return ",\n".join(parts)
+
+
+NESTED = """ok AS (SELECT SID, unit, y, x, ln(w) AS z FROM rg WHERE isfinite(y) AND isfinite(x)),
+co AS (SELECT regr_slope(x, z) AS cx, regr_slope(y, z) AS cy, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM ok WHERE z IS NOT NULL AND isfinite(z)),
+ft AS (SELECT '1 wind' AS sp, 2 AS k, SID, unit, x - avg(x) OVER () AS xt, y - avg(y) OVER () AS yt FROM ok UNION ALL
+ SELECT '2 + size', 3, SID, unit, (x-mx) - cx*(z-mz), (y-my) - cy*(z-mz) FROM ok, co WHERE z IS NOT NULL AND isfinite(z))"""
+
+
+@query("two_way_nested_specs", sql(WSUM, REG, NESTED, focus_sql("f", "ft"), body="""SELECT sp AS spec, clustering, round(b,6) AS coef, round(sqrt(CASE WHEN v > 0 THEN v ELSE 'NaN'::DOUBLE END),6) AS se, n FROM (
+ SELECT sp, 'storm' AS clustering, b, n, v FROM fb JOIN fs USING (sp) UNION ALL SELECT sp, 'port', b, n, v FROM fb JOIN fp USING (sp) UNION ALL
+ SELECT fb.sp, 'two-way', b, n, fs.v + fp.v - fsp.v FROM fb JOIN fs USING (sp) JOIN fp USING (sp) JOIN fsp USING (sp))"""))
 def two_way_nested_specs(spark, d):
     r = reg_rows(spark, d).withColumn("logw", F.ln("w"))
     specs = {"1 wind": ["x"], "2 + size": ["x", "logw"]}
@@ -381,11 +397,11 @@ def recovery_events(spark, d):
 RECSTAT = {**{f"rec{n}_pct": f"100*rec{n}/nullif(loss,0)" for n in (10, 20, 30, 45)}, "moved_pct": "100*moved/nullif(gross,0)"}
 
 
-@query("recovery_share", sql(RES, REC, boot_sql("rp", "measure, intensity", "SID", {c: c for c in RECC}, RECSTAT, 200, 1, extra_where="WHERE loss>0"),
+@query("recovery_share", sql(RES, REC, boot_sql("rp", "measure, intensity", "SID", {c: c for c in RECC}, RECSTAT, 1000, 1, extra_where="WHERE loss>0"),
        "rn AS (SELECT measure, intensity, count(*) AS n FROM rp WHERE loss>0 GROUP BY ALL HAVING count(*)>=5)",
        body=f"SELECT measure, intensity, n, n_clusters, {', '.join(f'round({c},3) AS {c}' for k in RECSTAT for c in CI(k))} FROM rn JOIN bt USING (measure, intensity)"))
 def recovery_share(spark, d):
-    out = pr.recovery_pooled(recovered(spark, d), ["measure", "intensity"], draws=200)
+    out = pr.recovery_pooled(recovered(spark, d), ["measure", "intensity"], draws=1000)
     return rounded(out.drop("loss"), {c: 3 for k in RECSTAT for c in CI(k)})
 
 
@@ -398,13 +414,13 @@ for _f, _n in pr.ENGINES.items():
 ENGSUM = {f"{k}_{m}": f"{k}_{m}" for k in ("obs", "exp") for m in ("hours", *pr.ENGINES)}
 
 
-@query("engine_intensity", sql(RES, ENG, boot_sql("ew", "vclass, tier, intensity", "SID", ENGSUM, ENGSTAT, 100, 1, extra_where="WHERE exp_hours>0"),
+@query("engine_intensity", sql(RES, ENG, boot_sql("ew", "vclass, tier, intensity", "SID", ENGSUM, ENGSTAT, 1000, 1, extra_where="WHERE exp_hours>0"),
        "en AS (SELECT vclass, tier, intensity, count(*) AS n FROM ew WHERE exp_hours>0 GROUP BY ALL HAVING count(*)>=5)",
        body=f"SELECT vclass, tier, intensity, n, {', '.join(f'round({c},3) AS {c}' for k in ENGSTAT if not k.endswith('share') for c in CI(k))}, {', '.join(f'round({k},3) AS {k}' for k in ENGSTAT if k.endswith('share'))} FROM en JOIN bt USING (vclass, tier, intensity)"))
 def engine_intensity(spark, d):
     r = res(spark, d).filter("py = 0 AND phase = 'storm'")
     wide = pr.wide_measures(r, ["SID", "unit", "vclass", "tier", "intensity"], ["hours", *pr.ENGINES])
-    out = pr.engine_intensity(wide, ["vclass", "tier", "intensity"], draws=100)
+    out = pr.engine_intensity(wide, ["vclass", "tier", "intensity"], draws=1000)
     keep = [c for k in ENGSTAT if not k.endswith("share") for c in CI(k)] + [k for k in ENGSTAT if k.endswith("share")]
     return rounded(out.select("vclass", "tier", "intensity", "n", *keep), {c: 3 for c in keep})
 
@@ -414,11 +430,11 @@ EFS = {f"{k}_{m}": f"{k}_{m}" for k in ("obs", "exp") for m in ("calls", "co2",
 EFT = {"calls": "obs_calls/exp_calls", "co2": "obs_co2/exp_co2", "co2_per_call": "(obs_co2/obs_calls)/(exp_co2/exp_calls)", "wait_per_call": "(obs_wait_hours/obs_calls)/(exp_wait_hours/exp_calls)", "penalty": "obs_co2-obs_calls*exp_co2/exp_calls"}
 
 
-@query("efficiency_ratios", sql(WSUM, EFF, boot_sql("ef", '"window", intensity', "SID", EFS, EFT, 200, 1).replace('s."window"=p."window"', 's."window"=p."window"'),
+@query("efficiency_ratios", sql(WSUM, EFF, boot_sql("ef", '"window", intensity', "SID", EFS, EFT, 1000, 1).replace('s."window"=p."window"', 's."window"=p."window"'),
        body=f"""SELECT "window", intensity, n_clusters, {', '.join(f'round({c},4) AS {c}' for k in EFT for c in CI(k))}, round(ln(calls)/ln(co2),3) AS activity_share, round(ln(co2_per_call)/ln(co2),3) AS efficiency_share FROM bt"""))
 def efficiency_ratios(spark, d):
     e = wsum(spark, d).filter("py = 0 AND zone = 'total'").selectExpr("SID", "unit", "window", "intensity", "obs_co2", "exp_co2", "obs_hours AS obs_wait_hours", "exp_hours AS exp_wait_hours", "obs_pm25 AS obs_calls", "exp_pm25 AS exp_calls")
-    out = pr.efficiency(e, ["window", "intensity"], draws=200)
+    out = pr.efficiency(e, ["window", "intensity"], draws=1000)
     return rounded(out, {**{c: 4 for k in EFT for c in CI(k)}, "activity_share": 3, "efficiency_share": 3})
 
 
@@ -443,12 +459,12 @@ JIT = {"h": "nx", "fh": "nx*fh", "hotel": "fx"}
 PER = "CASE WHEN w<0 THEN 2 ELSE t*(1-greatest(t/(t+w)::DOUBLE,0.6::DOUBLE)*greatest(t/(t+w)::DOUBLE,0.6::DOUBLE))/w END"
 
 
-@query("arrival_scenarios", sql(RES, QUEUE, boot_sql("qd", "wd, intensity", "SID", JIT, {k: k for k in JIT}, 200, 1), "np AS (SELECT wd, intensity, count(DISTINCT (SID, unit)) AS n_pairs FROM qd GROUP BY ALL)",
+@query("arrival_scenarios", sql(RES, QUEUE, boot_sql("qd", "wd, intensity", "SID", JIT, {k: k for k in JIT}, 1000, 1), "np AS (SELECT wd, intensity, count(DISTINCT (SID, unit)) AS n_pairs FROM qd GROUP BY ALL)",
        body=f"""SELECT wd AS "window", intensity, n_pairs, round(greatest(h,0),3) AS net_excess_wait_h, round(h_lo,3) AS wait_h_lo, round(h_hi,3) AS wait_h_hi, round(greatest(hotel,0),3) AS relocated_hotel_fuel_t, t AS T_h, w AS W_h, p AS fuel_price, round(greatest(fh,0)*k,3) AS fuel_saved_t,
  round(greatest(fh,0)*k*3.114::DOUBLE,3) AS co2_saved_t, round(greatest(fh_lo,0)*k*3.114::DOUBLE,3) AS co2_lo, round(greatest(fh_hi,0)*k*3.114::DOUBLE,3) AS co2_hi, round(greatest(fh,0)*k*p,2) AS fuel_cost_saved_usd, round(greatest(fh,0)*k*3.114::DOUBLE*51,2) AS scc51_usd, round(greatest(fh,0)*k*3.114::DOUBLE*190,2) AS scc190_usd
  FROM bt JOIN np USING (wd, intensity), (SELECT t, w, p, {PER} AS k FROM (VALUES (24),(72),(120)) a(t), (VALUES (12),(24),(48),(-1)) b(w), (VALUES (450),(650),(900)) c(p))"""))
 def arrival_scenarios(spark, d):
-    out = pr.arrival_scenarios(queued(spark, d), ["window", "intensity"], draws=200)
+    out = pr.arrival_scenarios(queued(spark, d), ["window", "intensity"], draws=1000)
     return rounded(out, {**{c: 3 for c in ("net_excess_wait_h", "wait_h_lo", "wait_h_hi", "relocated_hotel_fuel_t", "fuel_saved_t", "co2_saved_t", "co2_lo", "co2_hi")},
                          "fuel_cost_saved_usd": 2, "scc51_usd": 2, "scc190_usd": 2})
 
@@ -477,23 +493,23 @@ def targeting(spark, d):
 GR = """gr AS (SELECT *, unnest(['intensity','dist','dur']) AS grouping, unnest([intensity, CASE WHEN dist>-1 AND dist<=50 THEN '<50 km' WHEN dist>50 AND dist<=100 THEN '50–100 km' WHEN dist>100 AND dist<=201 THEN '100–200 km' END, CASE WHEN k_days<=2 THEN '1–2 days' WHEN k_days<=4 THEN '3–4 days' ELSE '≥5 days' END]) AS level FROM res WHERE py=0 AND measure='co2_ton')"""
 
 
-@query("grouped_pooled_ratios", sql(RES, GR, boot_sql("gr", "grouping, level, phase", "SID", OE, RATIO, 100, 1, extra_where="WHERE level IS NOT NULL"), body=f"SELECT grouping, level, phase, n_clusters, {R5(*CI('ratio'))} FROM bt"))
+@query("grouped_pooled_ratios", sql(RES, GR, boot_sql("gr", "grouping, level, phase", "SID", OE, RATIO, 1000, 1, extra_where="WHERE level IS NOT NULL"), body=f"SELECT grouping, level, phase, n_clusters, {R5(*CI('ratio'))} FROM bt"))
 def grouped_pooled_ratios(spark, d):
     rows = pr.by_groupings(res(spark, d).filter("py = 0 AND measure = 'co2_ton'"), {
         "intensity": "intensity", "dist": cut("dist", pr.WIDE_DISTANCE_EDGES, pr.WIDE_DISTANCE_LABELS), "dur": cut("k_days", pr.DURATION_EDGES, pr.DURATION_LABELS)})
-    return rounded(rs.boot_ratio(rows, ["grouping", "level", "phase"], "SID", "obs", "expected", draws=100), {c: 5 for c in CI("ratio")})
+    return rounded(rs.boot_ratio(rows, ["grouping", "level", "phase"], "SID", "obs", "expected", draws=1000), {c: 5 for c in CI("ratio")})
 
 
 def dose_sql(right):
     edges = pr.WIND_EDGES if right else [*pr.WIND_EDGES[:-1], 999]
     whens = " ".join(f"WHEN wind{'>' if right else '>='}{a} AND wind{'<=' if right else '<'}{b} THEN '{n}'" for a, b, n in zip(edges, edges[1:], pr.WIND_LABELS))
-    return sql(RES, f"db AS (SELECT *, CASE {whens} END AS wind_bin FROM res WHERE py=0 AND measure='co2_ton' AND phase='storm')", boot_sql("db", "wind_bin", "SID", OE, RATIO, 200, 1, extra_where="WHERE wind_bin IS NOT NULL"),
+    return sql(RES, f"db AS (SELECT *, CASE {whens} END AS wind_bin FROM res WHERE py=0 AND measure='co2_ton' AND phase='storm')", boot_sql("db", "wind_bin", "SID", OE, RATIO, 1000, 1, extra_where="WHERE wind_bin IS NOT NULL"),
                body=f"SELECT wind_bin, (SELECT count(*) FROM db WHERE db.wind_bin=bt.wind_bin) AS n, n_clusters, {R5(*CI('ratio'))} FROM bt")
 
 
 def dose(right):
     def run(spark, d):
-        out = pr.dose_bins(res(spark, d).filter("py = 0 AND measure = 'co2_ton' AND phase = 'storm'"), "wind", right=right, draws=200)
+        out = pr.dose_bins(res(spark, d).filter("py = 0 AND measure = 'co2_ton' AND phase = 'storm'"), "wind", right=right, draws=1000)
         return rounded(out, {c: 5 for c in CI("ratio")})
     return run
 
@@ -508,13 +524,13 @@ RESP = ('rv1 AS (SELECT SID, "window" AS wd, obs_hours, exp_hours, obs_co2, exp_
         "CASE m WHEN 'hours' THEN exp_hours WHEN 'co2' THEN exp_co2 WHEN 'nox' THEN exp_nox ELSE exp_pm25 END AS expected FROM rv1, (VALUES ('hours'),('co2'),('nox'),('pm25')) t(m))")
 
 
-@query("response_by_window", sql(WSUM, *RESP, boot_sql("rv2", "grouping, level, wd, measure", "SID", OE, RATIO, 100, 1),
+@query("response_by_window", sql(WSUM, *RESP, boot_sql("rv2", "grouping, level, wd, measure", "SID", OE, RATIO, 1000, 1),
        body=f'SELECT grouping, level, wd AS "window", measure, n_clusters, {R5(*CI("ratio"))} FROM bt'))
 def response_by_window(spark, d):
     w = wsum(spark, d).filter("py = 0 AND zone = 'total'")
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"obs_{m}").alias("obs"), F.col(f"exp_{m}").alias("expected")) for m in ("hours", "co2", "nox", "pm25")])
     rows = pr.by_groupings(w, {"intensity": "intensity"}, total="All events").withColumn("_p", F.explode(pairs)).select("SID", "grouping", "level", "window", "_p.*")
-    return rounded(rs.boot_ratio(rows, ["grouping", "level", "window", "measure"], "SID", "obs", "expected", draws=100), {c: 5 for c in CI("ratio")})
+    return rounded(rs.boot_ratio(rows, ["grouping", "level", "window", "measure"], "SID", "obs", "expected", draws=1000), {c: 5 for c in CI("ratio")})
 
 
 ZR = """zf AS (SELECT i.intensity, i.wd, i.SID, z.zone, coalesce(sum(w.obs_co2),0) AS obs_co2, coalesce(sum(w.exp_co2),0) AS exp_co2, coalesce(sum(w.obs_hours),0) AS obs_hours, coalesce(sum(w.exp_hours),0) AS exp_hours FROM (SELECT DISTINCT intensity, "window" AS wd, SID FROM wsum WHERE py=0 AND zone<>'total') i
@@ -522,10 +538,10 @@ ZR = """zf AS (SELECT i.intensity, i.wd, i.SID, z.zone, coalesce(sum(w.obs_co2),
 ZS = {f"{k}_{m}": f"{k}_{m}" for m in ("co2", "hours") for k in ("obs", "exp")}
 
 
-@query("zone_ratios", sql(WSUM, ZR, boot_sql("zf", "intensity, wd, zone", "SID", ZS, {"co2": "obs_co2/nullif(exp_co2,0)", "hours": "obs_hours/nullif(exp_hours,0)"}, 100, 7),
+@query("zone_ratios", sql(WSUM, ZR, boot_sql("zf", "intensity, wd, zone", "SID", ZS, {"co2": "obs_co2/nullif(exp_co2,0)", "hours": "obs_hours/nullif(exp_hours,0)"}, 1000, 7),
        body=f'SELECT intensity, wd AS "window", zone, n_clusters, {R5(*CI("co2"), *CI("hours"))} FROM bt'))
 def zone_ratios(spark, d):
-    out = pr.zone_ratios(wsum(spark, d).filter("py = 0"), ["intensity", "window"], ["co2", "hours"], draws=100, seed=7)
+    out = pr.zone_ratios(wsum(spark, d).filter("py = 0"), ["intensity", "window"], ["co2", "hours"], draws=1000, seed=7)
     return rounded(out, {c: 5 for c in (*CI("co2"), *CI("hours"))})
 
 
@@ -585,10 +601,10 @@ def claim_rows(spark, d):
 CEST = [c for k in CLS for c in ((k,) if k == "c2_share_outside" else CI(k))]
 
 
-@query("claims_by_group", sql(WSUM, CLM, boot_sql("cg", "grouping, level", "SID", CSUM, CLS, 100, 1, min_clusters=3), body=f"SELECT grouping, level, n_clusters, {', '.join(f'round({c},4) AS {c}' for c in CEST)} FROM bt"))
+@query("claims_by_group", sql(WSUM, CLM, boot_sql("cg", "grouping, level", "SID", CSUM, CLS, 1000, 1, min_clusters=3), body=f"SELECT grouping, level, n_clusters, {', '.join(f'round({c},4) AS {c}' for c in CEST)} FROM bt"))
 def claims_by_group(spark, d):
     rows = pr.by_groupings(claim_rows(spark, d), {"intensity": "intensity", "port": "unit"}, total="All events")
-    return rounded(pr.claims(rows, ["grouping", "level"], draws=100).select("grouping", "level", "n_clusters", *CEST), {c: 4 for c in CEST})
+    return rounded(pr.claims(rows, ["grouping", "level"], draws=1000).select("grouping", "level", "n_clusters", *CEST), {c: 4 for c in CEST})
 
 
 @query("claims_left_out", sql(WSUM, CLM, body="""SELECT SID AS left_out, round((sum(a) OVER ()-a)/(sum(b) OVER ()-b),6) AS c1, round((sum(c) OVER ()-c)/(sum(e) OVER ()-e),6) AS c3 FROM (SELECT SID, sum(storm_o_co2) AS a, sum(storm_e_co2) AS b, sum(event30_o_co2) AS c, sum(event30_e_co2) AS e FROM ce GROUP BY SID)"""))
@@ -690,16 +706,19 @@ def targeting_concentration(spark, d):
 CT = f"""ctr AS (SELECT SID, "window" AS wd, CASE WHEN SID % 2 = 0 THEN 'Gulf' ELSE 'Atlantic' END AS coast, CASE SID % 3 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Cargo' ELSE 'Mixed' END AS port_type, obs_co2, exp_co2, obs_hours, exp_hours FROM wsum WHERE py=0 AND zone='total' AND intensity IN ('{STS}','{HU}'))"""
 
 
-@query("coast_type_ratios", sql(WSUM, CT, boot_sql("ctr", "coast, port_type, wd", "SID", ZS, {"co2": "obs_co2/exp_co2", "hours": "obs_hours/exp_hours"}, 200, 8),
+@query("coast_type_ratios", sql(WSUM, CT, boot_sql("ctr", "coast, port_type, wd", "SID", ZS, {"co2": "obs_co2/exp_co2", "hours": "obs_hours/exp_hours"}, 1000, 8),
        body=f'SELECT coast, port_type, wd AS "window", n_clusters, {R5(*CI("co2"), *CI("hours"))} FROM bt'))
 def coast_type_ratios(spark, d):
     w = wsum(spark, d).filter("py = 0 AND zone = 'total'").withColumn("coast", F.expr("CASE WHEN SID % 2 = 0 THEN 'Gulf' ELSE 'Atlantic' END")) \
         .withColumn("port_type", F.expr("CASE SID % 3 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Cargo' ELSE 'Mixed' END"))
-    return rounded(pr.coast_type_ratios(w, strong=[STS, HU], draws=200, seed=8), {c: 5 for c in (*CI("co2"), *CI("hours"))})
+    return rounded(pr.coast_type_ratios(w, strong=[STS, HU], draws=1000, seed=8), {c: 5 for c in (*CI("co2"), *CI("hours"))})
+
+
+LEFT = """tops AS (SELECT unit AS sp FROM (SELECT unit, max(w) AS r FROM rg GROUP BY unit ORDER BY r DESC, unit LIMIT 8)),
+lo AS (SELECT sp, 2 AS k, SID, unit, x - avg(x) OVER (PARTITION BY sp) AS xt, y - avg(y) OVER (PARTITION BY sp) AS yt FROM rg JOIN tops ON rg.unit <> sp WHERE isfinite(y) AND isfinite(x))"""
 
 
-@query("leave_top_ports_out")
+@query("leave_top_ports_out", sql(WSUM, REG, LEFT, focus_sql("l", "lo"), body="SELECT sp AS left_out, round(b,6) AS coef, round(sqrt(v),6) AS se, n FROM lb JOIN ls USING (sp)"))
 def leave_top_ports_out(spark, d):
-    r = reg_rows(spark, d)
-    out = rg.leave_top_out(r, "y", ["x"], "SID", "w", "x", top=3)
+    out = rg.leave_top_out(reg_rows(spark, d), "y", ["x"], "unit", "w", "x", top=8)
     return rounded(out.select("left_out", "coef", "se", "n"), {"coef": 6, "se": 6})

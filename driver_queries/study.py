@@ -7,11 +7,10 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tidewake.functions.dates import same_day_in_year
-from tidewake.functions.draws import pick_sql
 from tidewake.operators import calendar as cal, normal as nm, resample as rs, window_tests as wt
 from tidewake.operators.sizing import checkpointed
 from . import standins as s
-from .standins import rounded, sql
+from .standins import draw_sql, rounded, sql
 
 Q, SQL = {}, {}
 
@@ -214,7 +213,7 @@ def boot_sql(source, group, cluster, sums, stats, draws, seed, min_clusters=2, e
     return f"""cs AS (SELECT {g}{cluster} AS cl, {agg} FROM {source} {extra_where} GROUP BY {g}{cluster}),
 ci AS (SELECT *, row_number() OVER ({pg}ORDER BY md5(CAST(cl AS VARCHAR)), cl) - 1 AS i FROM cs),
 ct AS (SELECT {g}count(*) AS n_clusters, {resum} FROM cs {('GROUP BY ' + group) if group else ''}),
-sl AS (SELECT {g}draw, {pick_sql('draw', 'slot', 'n_clusters', seed)} AS i FROM (SELECT {g}n_clusters, draw, unnest(range(0, n_clusters)) AS slot FROM ct, range(1, {draws + 1}) r(draw) WHERE n_clusters >= {min_clusters})),
+sl AS (SELECT {g}draw, {draw_sql('draw', 'slot', 'n_clusters', seed)} AS i FROM (SELECT {g}n_clusters, draw, unnest(range(0, n_clusters)) AS slot FROM ct, range(1, {draws + 1}) r(draw) WHERE n_clusters >= {min_clusters})),
 dr AS (SELECT {gs}draw, {', '.join(f'sum(p.{n}) AS {n}' for n in sums)} FROM sl s JOIN ci p ON {on} GROUP BY {gs}draw),
 bs AS (SELECT {g}{quant} FROM (SELECT {g}{calc} FROM dr) {('GROUP BY ' + group) if group else ''}),
 es AS (SELECT {g}n_clusters, {calc} FROM ct),
@@ -225,11 +224,11 @@ SLOPE_E = "CASE WHEN n1 > 20 AND n1*sxx-sx*sx > 1e-9 THEN (n1*sxy-sx*sy)/(n1*sxx
 
 
 @query("elasticity_slope_ci", sql(*FAC, "lp AS (SELECT storm, ln(r_N) AS x, ln(r_CO2) AS y FROM fac WHERE r_N>0 AND r_CO2>0)",
-       boot_sql("lp", "", "storm", {"n1": "1", "sx": "x", "sy": "y", "sxy": "x*y", "sxx": "x*x"}, {"slope": SLOPE_E}, 500, 20260913),
+       boot_sql("lp", "", "storm", {"n1": "1", "sx": "x", "sy": "y", "sxy": "x*y", "sxx": "x*x"}, {"slope": SLOPE_E}, 2000, 20260913),
        body="SELECT n_clusters, round(slope,5) AS slope, round(slope_lo,5) AS slope_lo, round(slope_hi,5) AS slope_hi FROM bt"))
 def elasticity_slope_ci(spark, d):
     pairs = wt.log_pairs(factors(spark, d, gaps=False), "r_CO2")
-    return rounded(rs.boot_slope(pairs, [], "storm", draws=500), {"slope": 5, "slope_lo": 5, "slope_hi": 5})
+    return rounded(rs.boot_slope(pairs, [], "storm", draws=2000), {"slope": 5, "slope_lo": 5, "slope_hi": 5})
 
 
 SHIFTS = [("-60d", -60), ("-30d", -30), ("+30d", 30), ("+60d", 60), ("+1y", 365)]
