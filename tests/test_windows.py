@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewake.operators import calendar as cal, window_tests as wt
-from tidewake.operators.trend_fit import fit_curve
 
 D0 = dt.date(2020, 1, 1)
 
@@ -91,17 +90,29 @@ def test_fitted_baseline_recovers_a_smooth_series(spark):
     out = wt.fitted_baseline(panel(spark, hit), ev.filter("SID = 'S0'"), unit="unit", day="date", value="v").orderBy("date").toPandas()
     assert len(out) == 26 and np.allclose(out.yhat, y[390:416], atol=.2)
     assert wt.disruption_metrics(spark.createDataFrame(out), unit="unit", day="date").first().disruption_days == 6
-    many = wt.fitted_baseline(panel(spark, hit), ev, unit="unit", day="date", value="v", events_per_task=1)
+    many = wt.fitted_baseline(panel(spark, hit), ev, unit="unit", day="date", value="v")
     assert many.groupBy("SID").count().count() == 3
     same = many.filter("SID = 'S0'").orderBy("date").toPandas()
     assert np.allclose(same.yhat, out.yhat)
 
 
-def test_fit_curve_limits():
-    t = np.arange(40.0)
-    assert fit_curve(t, t, t, .95) is None and fit_curve(np.arange(60.0), np.zeros(60), t, .95) is None
-    c, lo, hi = fit_curve(np.arange(60.0), np.full(60, 5.0), np.array([70.0]), .95)
-    assert c[0] == pytest.approx(5) and lo[0] == pytest.approx(5) and hi[0] == pytest.approx(5)
+def test_fitted_baseline_limits(spark):
+    fit = lambda v, a: wt.fitted_baseline(panel(spark, v), event(spark, a, a + 1), unit="unit", day="date", value="v").collect()
+    assert fit(np.arange(60.0), 30) == [] and fit(np.zeros(200), 100) == []
+    flat = fit(np.full(100, 5.0), 50)
+    assert len(flat) == 22 and all(c == pytest.approx(5) for r in flat for c in (r.yhat, r.yhat_lower, r.yhat_upper))
+
+
+def test_fit_solves_the_normal_equations(spark):
+    from tidewake.operators import trend_fit
+    rng = np.random.default_rng(4)
+    y = 30 + rng.normal(0, 3, 900)
+    facts, terms = wt.fitted_terms(panel(spark, y), event(spark, 500, 510), unit="unit", day="date", value="v")
+    beta = np.array(trend_fit.solve(terms, ["SID", "unit"], "_x", "_y").first().coefficients)
+    rows = terms.toPandas()
+    x = np.array(rows._x.tolist())
+    assert x.shape == (900 - 31, 1 + 1 + 9 + 6 + 20) and facts.first()._n == 869
+    assert np.abs(x.T @ (rows._y.to_numpy() - x @ beta)).max() < 1e-6
 
 
 def test_window_rank_against_pandas(spark):
