@@ -20,7 +20,7 @@ def write(path, text):
 def test_positions_two_layouts(spark, tmp_path):
     a = write(tmp_path / "AIS_2024_01_02.csv", OLD + '1,2024-01-02T03:04:05,29.5,-90.1,x,0,0,A "quoted,IMO9123456,C,70,0,1,1,1,70,A\n1,bad,,,,,,,,,,,,,,,\n')
     b = write(tmp_path / "ais-2025-01-03.csv", NEW + "2,2025-01-03 00:00:01,-91.0,30.0,3.5,0,0,B, 9123457 ,C,1016,5,1,1,1,70,A\n")
-    df = positions.read_layouts(spark, [a, b])
+    df = positions.read_positions(spark, str(tmp_path))
     rows = {r.MMSI: r for r in df.filter("BaseDateTime IS NOT NULL").collect()}
     assert rows[1].LAT == 29.5 and rows[1].SOG is None and rows[1].VesselName == 'A "quoted'
     assert rows[1].BaseDateTime == dt.datetime(2024, 1, 2, 3, 4, 5) and rows[1].date == dt.date(2024, 1, 2)
@@ -30,6 +30,9 @@ def test_positions_two_layouts(spark, tmp_path):
     with pytest.raises(ValueError, match="missing"):
         positions.read_positions(spark, a, ["MMSI", "Nope"])
     assert positions.between_days(df, "2025-01-01").count() == 1
+    pruned = positions.read_positions(spark, [a, b], start="2025-01-01")
+    assert pruned.count() == 1 and positions.list_files(spark, [a, b], "2025-01-01")[0].endswith("ais-2025-01-03.csv")
+    assert len(pruned.inputFiles()) == 1
 
 
 def test_null_guard(spark):
@@ -174,14 +177,19 @@ def test_incremental_runs(spark, tmp_path):
         seen.append(1)
         return out_df
 
-    schema = ", ".join(f"{c} string" for c in OLD.strip().split(","))
-    inc.run_new_files(spark, str(src), out, ck, schema, count)
+    inc.run_new_files(spark, str(src), out, ck, count)
     write(src / "AIS_2024_01_02.csv", OLD + row.format(d=2) * 2)
-    inc.run_new_files(spark, str(src), out, ck, schema, count)
-    inc.run_new_files(spark, str(src), out, ck, schema, count)
+    inc.run_new_files(spark, str(src), out, ck, count)
+    inc.run_new_files(spark, str(src), out, ck, count)
     assert len(seen) == 2
     assert {r.date: r.n for r in spark.read.parquet(out).collect()} == {dt.date(2024, 1, 1): 1, dt.date(2024, 1, 2): 2}
 
+    # another file of a day that is done, in the other layout: the day is whole afterwards
+    write(src / "ais-2024-01-02.csv", NEW + "2,2024-01-02 00:00:01,-91.0,30.0,3.5,0,0,B, 9123457 ,C,1016,5,1,1,1,70,A\n")
+    inc.run_new_files(spark, str(src), out, ck, count)
+    assert {r.date.day: r.n for r in spark.read.parquet(out).collect()} == {1: 1, 2: 3}
+    (src / "ais-2024-01-02.csv").unlink()
+
     out2 = str(tmp_path / "out2")
     df = positions.read_positions(spark, str(src))
     inc.append_new_days(df.filter("date = '2024-01-01'"), out2, count)

@@ -27,19 +27,27 @@ def read_airport_stations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gauge_stations(spark: SparkSession, path: str) -> DataFrame:
-    """station, name, s_lat, s_lon from the gauge catalogue JSON."""
+    """Gauge catalogue of a JSON file, see gauge_stations."""
     schema = "stations array<struct<id: string, name: string, lat: double, lng: double>>"
-    return (spark.read.schema(schema).option("multiLine", True).json(path)
-            .select(F.explode("stations").alias("_s"))
+    return gauge_stations(spark.read.schema(schema).option("multiLine", True).json(path))
+
+
+def gauge_stations(raw: DataFrame) -> DataFrame:
+    """station, name, s_lat, s_lon from rows with an array of stations; stations without a place are dropped."""
+    return (raw.select(F.explode("stations").alias("_s"))
             .select(F.col("_s.id").alias("station"), "_s.name", F.col("_s.lat").alias("s_lat"),
                     F.col("_s.lng").alias("s_lon")).dropna(subset=["s_lat", "s_lon"]))
 
 
 def read_series(spark: SparkSession, path, value: str = "v", station_pattern: str = r"([^/_]+)_[^/]*\.json") -> DataFrame:
-    """station, t, v from JSON answers (`v` levels, `s` wind speeds); bad rows are skipped and the
-    last report of a time wins. The station comes from the file name."""
+    """Series of JSON answers, see parse_series. The station comes from the file name."""
     raw = (spark.read.schema(SERIES).option("multiLine", True).json(path)
            .withColumn("station", F.regexp_extract(F.input_file_name(), station_pattern, 1)))
+    return parse_series(raw, value)
+
+
+def parse_series(raw: DataFrame, value: str = "v") -> DataFrame:
+    """station, t, v from answers (`v` levels, `s` wind speeds); bad rows are skipped and the last report of a time wins."""
     rows = raw.select("station", F.posexplode(F.when(F.size("data") > 0, F.col("data"))
                                               .otherwise(F.col("predictions"))).alias("_i", "_r"))
     return (rows.select("station", "_i", F.col("_r.t").try_cast("timestamp_ntz").alias("t"),
@@ -48,7 +56,11 @@ def read_series(spark: SparkSession, path, value: str = "v", station_pattern: st
 
 
 def read_rain(spark: SparkSession, path) -> DataFrame:
-    """station, valid, p01i from hourly report CSVs; blank and bad amounts are skipped."""
-    raw = spark.read.option("header", True).csv(path)
+    """Hourly report CSVs, see parse_rain."""
+    return parse_rain(spark.read.option("header", True).csv(path))
+
+
+def parse_rain(raw: DataFrame) -> DataFrame:
+    """station, valid, p01i from text columns; blank and bad amounts are skipped."""
     return (raw.select("station", F.col("valid").try_cast("timestamp_ntz").alias("valid"),
                        F.trim(F.col("p01i")).try_cast("double").alias("p01i")).dropna())

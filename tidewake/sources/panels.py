@@ -11,6 +11,11 @@ def read_panel(spark: SparkSession, path, columns=None, fmt: str = "parquet", da
                types: dict | None = None) -> DataFrame:
     """Panel with the named columns and a parsed day. CSV columns are cast by `types`."""
     df = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).csv(path)
+    return parse_panel(df, columns, day, types)
+
+
+def parse_panel(df: DataFrame, columns=None, day: str = "date", types: dict | None = None) -> DataFrame:
+    """The named columns, cast by `types` where they are text, and a parsed day."""
     missing = [c for c in columns or [] if c not in df.columns]
     if missing:
         raise ValueError(f"panel is missing columns {missing}; it has {df.columns}")

@@ -13,10 +13,14 @@ POLYGON = "array<array<array<double>>>"
 
 
 def read_features(spark: SparkSession, path: str, drop_states=("AK",)) -> DataFrame:
-    """feature_no, port, type, rings of the named features. Multipolygon parts are flattened;
-    other geometries and names ending in a dropped state are left out."""
-    f = (spark.read.schema(SCHEMA).option("multiLine", True).json(path)
-         .select(F.posexplode("features").alias("feature_no", "_f")))
+    """Features of a GeoJSON file, see parse_features."""
+    return parse_features(spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+                          .select(F.posexplode("features").alias("feature_no", "_f")), drop_states)
+
+
+def parse_features(f: DataFrame, drop_states=("AK",)) -> DataFrame:
+    """feature_no, port, type, rings of the named features, from rows of feature_no and _f. Multipolygon parts are
+    flattened; other geometries and names ending in a dropped state are left out."""
     name = F.trim(F.coalesce("_f.properties.PORTNAME", F.lit("")))
     shape, text = F.col("_f.geometry.type"), F.col("_f.geometry.coordinates")
     rings = (F.when(shape == "Polygon", F.from_json(text, POLYGON))
@@ -35,12 +39,16 @@ def _to_degrees(p):
 
 
 def read_polygons(spark: SparkSession, path: str, drop_states=("AK",)) -> DataFrame:
+    """Rings of a GeoJSON file, see polygons."""
+    return polygons(read_features(spark, path, drop_states))
+
+
+def polygons(features: DataFrame) -> DataFrame:
     """Rings as own polygons: ring_no (file order), port, pts, x0, x1, y0, y1.
 
     Rings with fewer than four points are dropped and projected ones turned to degrees.
     """
-    r = (read_features(spark, path, drop_states)
-         .select("feature_no", "port", F.posexplode("rings").alias("_part", "pts"))
+    r = (features.select("feature_no", "port", F.posexplode("rings").alias("_part", "pts"))
          .filter(F.size("pts") >= 4))
     big = F.exists("pts", lambda p: (F.abs(p["lon"]) > PLANAR_LIMIT) | (F.abs(p["lat"]) > PLANAR_LIMIT))
     r = r.withColumn("pts", F.when(big, F.transform("pts", _to_degrees)).otherwise(F.col("pts")))
@@ -53,9 +61,17 @@ def read_polygons(spark: SparkSession, path: str, drop_states=("AK",)) -> DataFr
 
 
 def read_port_points(spark: SparkSession, path: str, drop_states=("AK",), types=None) -> DataFrame:
-    """port, p_lat, p_lon: centroid of the ring with most points (the first of equals); a
-    repeated name keeps its last feature. Raises if a point is not on the globe."""
-    f = read_features(spark, path, drop_states)
+    """Points of a GeoJSON file, see port_points. Raises if a point is not on the globe."""
+    pts = port_points(read_features(spark, path, drop_states), types)
+    bad = pts.filter((F.abs("p_lat") > 90) | (F.abs("p_lon") > 180)).limit(1).collect()
+    if bad:
+        raise ValueError(f"port coordinates are not geographic: {bad[0]}")
+    return pts
+
+
+def port_points(f: DataFrame, types=None) -> DataFrame:
+    """port, p_lat, p_lon: centroid of the ring with most points (the first of equals); a repeated name keeps its last
+    feature."""
     if types:
         f = f.filter(F.col("type").isin(*types))
     longest = F.array_max(F.transform("rings", lambda r: F.size(r)))
@@ -66,8 +82,4 @@ def read_port_points(spark: SparkSession, path: str, drop_states=("AK",), types=
                    F.when(off, geo.mercator_lat(F.col("_c.lat"))).otherwise(F.col("_c.lat")).alias("p_lat"),
                    F.when(off, geo.mercator_lon(F.col("_c.lon"))).otherwise(F.col("_c.lon")).alias("p_lon"))
     pts = pts.groupBy("port").agg(F.max_by(F.struct("p_lat", "p_lon"), "feature_no").alias("_p"))
-    pts = pts.select("port", "_p.p_lat", "_p.p_lon")
-    bad = pts.filter((F.abs("p_lat") > 90) | (F.abs("p_lon") > 180)).limit(1).collect()
-    if bad:
-        raise ValueError(f"port coordinates are not geographic: {bad[0]}")
-    return pts
+    return pts.select("port", "_p.p_lat", "_p.p_lon")

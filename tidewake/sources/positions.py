@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 # fixed values: column names of the two feed layouts, lower case -> canonical
@@ -26,10 +29,38 @@ SOFT_NULLS = {"SOG": 0.9, "VesselType": 0.9, "Status": 0.9}
 
 def file_day():
     """Day named in the input file, NULL when the name does not follow the pattern."""
-    part = lambda i: F.regexp_extract(F.input_file_name(), FILE_DAY, i)
+    part = lambda i: F.regexp_extract(F.col("_metadata.file_name"), FILE_DAY, i)
     return F.concat_ws("-", part(1), part(2), part(3)).try_cast("date")
 
 
+def named_day(path: str) -> str | None:
+    """The same, of a path on the driver, as yyyy-mm-dd."""
+    m = re.search(FILE_DAY + "$", path)
+    return "-".join(m.groups()) if m else None
+
+
+def list_files(spark: SparkSession, paths, start=None, end=None) -> list[str]:
+    """Files under paths in name order, without opening them. With a range, files that name a day outside it are left out;
+    files that name none stay."""
+    found = spark.read.format("binaryFile").load(paths).select("path").collect()
+    day = lambda p: named_day(p) or ""
+    lo, hi = str(start or ""), str(end or "9999-99-99")
+    return sorted(r.path for r in found if not day(r.path) or lo <= day(r.path) <= hi)
+
+
+def header_line(spark: SparkSession, path: str) -> str:
+    """First line of a plain or compressed text file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        return (reader.readLine() or "").lstrip("\ufeff")
+    finally:
+        reader.close()
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Rename known columns case-insensitively, cast them, and parse the timestamp.
 
@@ -48,15 +79,29 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_positions(spark: SparkSession, paths, columns=None, fmt: str = "csv") -> DataFrame:
-    """Scan day files of one layout (plain or gz CSV, or Parquet) and add the `date` partition
-    day from the file name, falling back to the timestamp. Quote characters are data."""
+def read_positions(spark: SparkSession, paths, columns=None, fmt: str = "csv", start=None, end=None) -> DataFrame:
+    """Scan day files (plain or gz CSV, or Parquet) and add the `date` partition day from the file name, falling back to
+    the timestamp. Quote characters are data.
+
+    Layouts may be mixed: each CSV file is read by its own header, one scan for each distinct header, and columns meet by
+    name. start and end prune files by the day in their names. Without files there is an error, as Spark's own readers
+    give it.
+    """
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("quote", "").option("mode", "PERMISSIVE").csv(paths)
+        groups: dict[str, list[str]] = {}
+        for path in list_files(spark, paths, start, end):
+            groups.setdefault(header_line(spark, path), []).append(path)
+        parts = [_one_layout(spark, header, files) for header, files in sorted(groups.items())]
+        if not parts:
+            raise ValueError(f"no files in {paths}")
+        df = parts[0]
+        for p in parts[1:]:
+            df = df.unionByName(p, allowMissingColumns=True)
     else:
-        raw = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    df = canonical(raw.withColumn("_day", file_day()))
+        df = canonical(spark.read.parquet(*([paths] if isinstance(paths, str) else paths)).withColumn("_day", file_day()))
     df = df.withColumn("date", F.coalesce("_day", F.to_date("BaseDateTime"))).drop("_day")
+    if start is not None or end is not None:
+        df = between_days(df, start, end)
     if columns:
         missing = [c for c in columns if c not in df.columns]
         if missing:
@@ -65,13 +110,10 @@ def read_positions(spark: SparkSession, paths, columns=None, fmt: str = "csv") -
     return df
 
 
-def read_layouts(spark: SparkSession, groups, columns=None, fmt: str = "csv") -> DataFrame:
-    """Union of path groups, one header layout per group."""
-    parts = [read_positions(spark, g, columns, fmt) for g in groups]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+def _one_layout(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
+    schema = StructType([StructField(name.strip(), StringType()) for name in header.split(",")])
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("quote", "").option("mode", "PERMISSIVE").csv(files)
+    return canonical(raw.withColumn("_day", file_day()))
 
 
 def between_days(df: DataFrame, start=None, end=None, day: str = "date") -> DataFrame:
@@ -126,4 +168,4 @@ def only_days(df: DataFrame, days, day: str = "date") -> DataFrame:
 
 
 __all__ = ["CANONICAL", "between_days", "canonical", "file_day", "merchant", "null_rates", "only_days",
-           "read_layouts", "read_positions", "require_parsed", "sample_days"]
+           "list_files", "named_day", "read_positions", "require_parsed", "sample_days"]

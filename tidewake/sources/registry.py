@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewake.functions.numeric import as_col
 from tidewake.operators.lookup import first_per_key, map_values
-from tidewake.operators.sizing import small_side
 
 # ---- fixed values ------------------------------------------------------------
 # registry type -> class of the fuel model; anything else is "Other"
@@ -163,7 +162,7 @@ def impute_built(df: DataFrame, imo: str = "imo", year: str = "year") -> DataFra
     known = df.filter(F.col(year).between(1900, 2030))
     counts = known.groupBy(imo_block(imo).alias("_block"), year).agg(F.count(F.lit(1)).alias("_n"))
     med = counts.groupBy("_block").agg(F.percentile(year, F.lit(0.5), F.col("_n")).alias("_median"))
-    out = df.withColumn("_block", imo_block(imo)).join(small_side(med), "_block", "left")
+    out = df.withColumn("_block", imo_block(imo)).join(med, "_block", "left")
     source = (F.when(F.col(year).isNotNull(), "status_date")
               .when(F.col("_median").isNotNull(), "imo_segment").otherwise("none"))
     return (out.withColumn("built_source", source)
@@ -194,7 +193,7 @@ def build_fleet(export: DataFrame, scrubbers: DataFrame | None = None,
         tech = first_per_key(scrubbers.select(_number("IMO Number").alias("IMO Number"),
                                               "SOx Scrubber Technology Type", *[o for o in order if o.startswith("_")])
                              .filter(F.col("`IMO Number`").isNotNull()), ["IMO Number"], order)
-        out = (out.join(small_side(tech.select("IMO Number", "SOx Scrubber Technology Type")), "IMO Number", "left")
+        out = (out.join(tech.select("IMO Number", "SOx Scrubber Technology Type"), "IMO Number", "left")
                .fillna("No Scrubber", subset=["SOx Scrubber Technology Type"]))
     dated = out.withColumn("Built Date", F.format_string("01-Jul-%d", "built"))
     return dated.filter((F.col("Dwt") > 0) & F.col("built").isNotNull()).drop("built")

@@ -9,9 +9,12 @@ COLUMNS = ["SID", "SEASON", "NAME", "ISO_TIME", "NATURE", *NUMERIC]
 
 
 def read_tracks(spark: SparkSession, path: str, season_min: int = 2015, season_max: int = 2025) -> DataFrame:
-    """Track points of the seasons. The units row under the header has no numeric season and
+    return parse_tracks(spark.read.option("header", True).csv(path).select(*COLUMNS), season_min, season_max)
+
+
+def parse_tracks(raw: DataFrame, season_min: int = 2015, season_max: int = 2025) -> DataFrame:
+    """Track points of the seasons from text columns. The units row under the header has no numeric season and
     falls out with it; cells that do not parse are NULL; rows need a time and a place."""
-    raw = spark.read.option("header", True).csv(path).select(*COLUMNS)
     num = lambda c, t: F.trim(F.col(c)).try_cast(t).alias(c)
     df = raw.select("SID", num("SEASON", "int"), "NAME",
                     F.col("ISO_TIME").try_cast("timestamp_ntz").alias("ISO_TIME"), "NATURE",

@@ -1,29 +1,35 @@
-"""Process each day of position files once, as the files arrive.
+"""Process position files once, as they arrive.
 
-Input is finished day files, so the only streaming need is to pick up new ones. The file
-source keeps the list of processed files in its checkpoint; a batch replaces exactly the day
-partitions it holds, which makes a replayed batch harmless.
+The file source keeps the list of processed files in its checkpoint. A batch names days; all files of these days are read
+again, each by its own header, and exactly these day partitions are replaced. So a day whose files come in two batches is
+whole after the second, and a replayed batch changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidewake.sources.panels import new_days, write_days
-from tidewake.sources.positions import canonical, file_day
+from tidewake.sources.positions import list_files, named_day, read_positions
 
 
-def run_new_files(spark: SparkSession, source: str, output: str, checkpoint: str, schema,
-                  compute, files_per_batch: int = 30) -> None:
-    """Run compute(messages) -> DataFrame with a date column on every unseen file, then stop."""
-    stream = (spark.readStream.schema(schema).option("header", True).option("quote", "")
-              .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True)
-              .csv(source).withColumn("_day", file_day()))
+def run_new_files(spark: SparkSession, source: str, output: str, checkpoint: str, compute, files_per_batch: int = 30) -> None:
+    """Run compute(messages) -> DataFrame with a date column on the days of every unseen file, then stop.
+
+    Files have to name their day.
+    """
+    stream = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+              .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(source).select("path"))
 
     def write(batch: DataFrame, _id: int) -> None:
-        days = canonical(batch)
-        days = days.withColumn("date", F.coalesce("_day", F.to_date("BaseDateTime"))).drop("_day")
-        write_days(compute(days), output)
+        fresh = [r.path for r in batch.collect()]
+        nameless = [p for p in fresh if named_day(p) is None]
+        if nameless:
+            raise ValueError(f"files without a day in their name: {nameless[:5]}")
+        days = {named_day(p) for p in fresh}
+        whole = [p for p in list_files(spark, source, min(days), max(days)) if named_day(p) in days] if days else []
+        if whole:
+            write_days(compute(read_positions(spark, whole)), output)
 
     (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
@@ -32,11 +38,8 @@ def run_new_files(spark: SparkSession, source: str, output: str, checkpoint: str
 def append_new_days(source: DataFrame, output: str, compute, day: str = "date") -> None:
     """Batch form: compute the days of source that output lacks and add them."""
     spark = source.sparkSession
-    try:
-        done = spark.read.parquet(output)
-    except Exception as err:      # only a missing output means that nothing is done yet
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
+    place = spark._jvm.org.apache.hadoop.fs.Path(output)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         write_days(compute(source), output, day)
         return
-    write_days(compute(new_days(source, done, day)), output, day)
+    write_days(compute(new_days(source, spark.read.parquet(output), day)), output, day)
