@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from tidewake.functions.binning import first_match
 from tidewake.functions.numeric import as_col, clip, ratio
 from .lookup import band_join, map_values
-from .sizing import small_side
 from .trajectory import credit_gaps
 
 # ---- fixed values of the fuel model -----------------------------------------
@@ -35,6 +34,7 @@ TRAFFIC_CLASS = {
     "Other-Liquids": "tanker", "Liquified-Gas": "tanker", "Passenger": "passenger",
     "Fishing": "fishing"}
 
+# fixed values
 # sulfur: SO2 per sulfur, oxidised share, sulfur in compliant and in residual fuel
 SO2_PER_SULFUR, OXIDISED = 2.0, 0.97753
 SULFUR_COMPLIANT, SULFUR_RESIDUAL = 0.001, 0.035
@@ -45,7 +45,7 @@ SCRUBBER_REMOVAL = {"Open Loop": 0.98, "Closed Loop": 0.98, "Hybrid": 0.98, "Mem
 SCRUBBER_DISCHARGES = {"Open Loop": True, "Closed Loop": False, "Hybrid": True, "Membrane": True,
                        "Dry": False, "TBC": True, "Unknown": True, "No Scrubber": False}
 
-# g of pollutant per kg of fuel; big main engines are those of tankers and cargo ships
+# fixed values: g of pollutant per kg of fuel; big main engines are those of tankers and cargo ships
 POLLUTANTS = {"nox": {"main_big": 91.9, "main_small": 62.9, "aux": 52.6, "boiler": 6.6},
               "pm25": {"main_big": 0.995, "main_small": 0.898, "aux": 0.856, "boiler": 0.302}}
 FUEL_ENGINE = {"fc_main_ton": "main", "fc_AE_ton": "aux", "fc_boiler_ton": "boiler"}
@@ -119,7 +119,7 @@ def message_fuel(messages: DataFrame, registry: DataFrame, bands: DataFrame, *,
     Unregistered ships and bad speeds leave before intervals are taken, so a bad message
     widens the next interval. A ship without a band has NULL fuel for that engine.
     """
-    engines = small_side(ship_engines(registry, bands).withColumnRenamed("imo", ship), like=registry)
+    engines = ship_engines(registry, bands).withColumnRenamed("imo", ship)
     m = (messages.filter(valid_speed(sog)).join(engines, ship)
          .transform(lambda d: credit_gaps(d, ship, time, day, tie=tie)))
     speed_share = F.when(F.col("v_eff") > 0, ratio(sog, "v_eff")).otherwise(0.0)
@@ -149,7 +149,7 @@ def add_fitted(df: DataFrame, installs: DataFrame, *, ship: str = "imo",
     """scrubber_fitted = 1 from the ship's install date on; no record means never."""
     dates = installs.select(F.col("imo").alias(ship), F.col("install_date").alias("_install"))
     on = F.coalesce(F.col(time).cast("timestamp_ntz") >= F.col("_install").cast("timestamp_ntz"), F.lit(False))
-    return (df.join(small_side(dates), ship, "left")
+    return (df.join(dates, ship, "left")
             .withColumn("scrubber_fitted", on.cast("int")).drop("_install"))
 
 

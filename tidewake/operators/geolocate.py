@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidewake.functions import geo
-from .sizing import checkpointed, small_side, spread
+from .sizing import checkpointed, spread
 
 BUFFER_KM, FAR_WEIGHT = 500.0, 0.5
 MIN_ANCHORS, MAX_CANDIDATES, DISTINCT_KM = 3, 3, 30.0
@@ -65,7 +65,7 @@ def locate_storms(track: DataFrame, ports: DataFrame) -> DataFrame:
     Each fix offers up to three candidates; along a storm the cheapest is taken, with a charge
     for jumps beyond 150 km.
     """
-    known = track.join(small_side(ports), "port")
+    known = track.join(ports, "port")
     place = F.struct(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"), F.col("dist_km").alias("d"))
     fixes = known.groupBy("SID", "time").agg(
         F.collect_list(place).alias("_near"), F.collect_set("port").alias("_ports"), F.avg("p_lat").alias("_lat"),
@@ -136,6 +136,6 @@ def locate(track: DataFrame, ports: DataFrame, rounds: int = 3) -> tuple[DataFra
 
 def distance_errors(track: DataFrame, fixes: DataFrame, ports: DataFrame) -> DataFrame:
     """Per port: root mean square of predicted minus reported distance, and the fixes used."""
-    m = track.join(fixes, ["SID", "time"]).join(small_side(ports), "port")
+    m = track.join(fixes, ["SID", "time"]).join(ports, "port")
     err = geo.haversine_km("lat", "lon", "p_lat", "p_lon") - F.col("dist_km")
     return m.groupBy("port").agg(F.sqrt(F.avg(err * err)).alias("rms_km"), F.count(F.lit(1)).alias("n_fixes"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewake.functions.numeric import as_col
-from .sizing import small_side
 
 
 def map_values(x, table: dict, default=None) -> Column:
@@ -17,7 +16,7 @@ def map_values(x, table: dict, default=None) -> Column:
 
 def lookup_join(df: DataFrame, table: DataFrame, on, default: dict | None = None) -> DataFrame:
     """Left lookup in a dimension table; `default` fills columns that found nothing."""
-    out = df.join(small_side(table), on, "left")
+    out = df.join(table, on, "left")
     return out.fillna(default) if default else out
 
 
@@ -29,7 +28,7 @@ def band_values(sizes: DataFrame, bands: DataFrame, type_col: str, size_col: str
     type, size and one column per name in `tables`.
     """
     keys = sizes.select(type_col, size_col).distinct()
-    b = small_side(bands)
+    b = bands
     hit = (F.col(size_col) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(size_col) < F.col("hi")))
     found = keys.join(b, type_col).filter(hit)
     last = lambda t: F.max_by(F.when(F.col("table") == t, F.col("value")),

@@ -17,6 +17,7 @@ from tidewake.functions.numeric import ratio
 from .emission import FUEL_ENGINE, POLLUTANTS, pollutant_ton
 from .sizing import spread
 
+# fixed values: the published choices, their variants, and intensity classes
 DEFAULTS = dict(max_dist=200, min_wind=34, min_co2=50.0, min_base=3, excl_km=250, ref=(45, 11),
                 pool=3, stat="median", pre=60, post=45, normal="seasonal")
 VARIANTS = {"default": {}, "reference [-60,-11]": dict(ref=(60, 11)), "reference [-30,-8]": dict(ref=(30, 8)),
@@ -138,7 +139,10 @@ def normal_arrays(events: DataFrame, arrays: DataFrame, o: dict, first: date, un
 
     def block(y):
         level = level_at(same_day_in_year(ref_a, y), same_day_in_year(ref_b, y))
-        return F.struct(level.alias("level"), part(at(same_day_in_year(lo, y)), F.col("_n")).alias("v"))
+        begin = at(same_day_in_year(lo, y))
+        whole = (begin >= 0) & (begin + F.col("_n") <= F.size("values"))        # a year that leaves the array is dropped
+        empty = F.array_repeat(F.lit(None).cast("double"), F.col("_n"))
+        return F.struct(F.when(whole, level).alias("level"), F.when(whole, part(begin, F.col("_n"))).otherwise(empty).alias("v"))
 
     inside = (at(lo) >= 0) & (at(lo) + F.col("_n") <= F.size("values"))
     df = (events.withColumn("_n", days).join(arrays, unit).filter(inside)

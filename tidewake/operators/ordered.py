@@ -57,12 +57,12 @@ def chain_number(df: DataFrame, keys, start: str, end: str, max_gap_hours: float
              .rowsBetween(Window.unboundedPreceding, -1))
     reach = (rows.groupBy(*slots).agg(F.max(end).alias("_end"))
              .select(*slots, F.max("_end").over(along).alias("_carry")))
-    gap = F.timestamp_diff("SECOND", F.col("_reach"), F.col(start))
+    gap = F.timestamp_diff("MICROSECOND", F.col("_reach"), F.col(start))
     flagged = (rows.withColumn("_within", F.max(end).over(before))
                .join(reach, slots, "left")
                .withColumn("_reach", F.greatest("_within", "_carry"))
                .withColumn("_new", F.when(F.col("_reach").isNull()
-                                          | (gap > max_gap_hours * 3600), 1).otherwise(0))
+                                          | (gap > round(max_gap_hours * 3_600_000_000)), 1).otherwise(0))
                .drop("_within", "_carry", "_reach"))
     starts = (flagged.groupBy(*slots).agg(F.sum("_new").alias("_n"))
               .select(*slots, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_offset")))

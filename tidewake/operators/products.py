@@ -270,6 +270,7 @@ def divergence(sums: DataFrame) -> DataFrame:
             .withColumn("ld", F.ln("days")).withColumn("hours_day", F.col("exp_hours") / F.col("days")))
 
 
+# fixed values: output names of the bands
 BAND_NAMES = {"lh": "tau_h", "lc": "tau_c", "ln": "tau_n", "g": "tau_g", "g_nox": "tau_gn"}
 
 

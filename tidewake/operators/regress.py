@@ -139,10 +139,11 @@ def leave_top_out(df: DataFrame, y: str, xs, unit: str, rank_by: str, focus: str
 def quantile_bands(df: DataFrame, groups, y: str, xs, *, q: float = 0.95, min_rows: int = 50,
                    iterations: int = 40, floor: float = 1e-6, tolerance: float = 5e-4) -> DataFrame:
     """Quantile regression of y on xs for every group at once: groups, intercept, one column per
-    x and n.
+    x, n, rounds and converged.
 
     Each round is one aggregate of weighted moments over all groups. It stops when no
-    coefficient moves by more than `tolerance`, a fortieth of the smallest band. The number of groups is a product of small
+    coefficient moves by more than `tolerance`, a fortieth of the smallest band, or after `iterations` rounds; a group whose
+    last step was larger than the tolerance says so in `converged`. The number of groups is a product of small
     vocabularies (window, zone, measure); their k x k systems are solved on the driver.
     """
     groups, xs = list(groups), list(xs)
@@ -158,6 +159,7 @@ def quantile_bands(df: DataFrame, groups, y: str, xs, *, q: float = 0.95, min_ro
                       *[F.sum(w * cols[i] * F.col(y)).alias(f"b{i}") for i in range(k)]]
     beta: dict = {}
     sizes: dict = {}
+    steps: dict = {}
     for step in range(iterations):
         if step == 0:
             rows = data.groupBy(*groups).agg(*aggs(F.lit(1.0))).filter(F.col("n") >= min_rows).collect()
@@ -177,9 +179,10 @@ def quantile_bands(df: DataFrame, groups, y: str, xs, *, q: float = 0.95, min_ro
             if step == 0:      # start near the quantile: the mean line raised by a normal quantile
                 spread = math.sqrt(max(float(r["yy"]) - float(new @ b), 0.0) / r["n"])
                 new[0] += NormalDist().inv_cdf(q) * spread
-            moved = max(moved, float(np.max(np.abs(new - beta[g]))) if g in beta else math.inf)
+            steps[g] = float(np.max(np.abs(new - beta[g]))) if g in beta else math.inf
+            moved = max(moved, steps[g])
             beta[g], sizes[g] = new, int(r["n"])
         if not rows or moved < tolerance:
             break
-    out = ", ".join([*[f"{g} {kinds[g]}" for g in groups], "intercept double", *[f"{x} double" for x in xs], "n bigint"])
-    return spark.createDataFrame([(*g, *map(float, v), sizes[g]) for g, v in beta.items()], out)
+    out = ", ".join([*[f"{g} {kinds[g]}" for g in groups], "intercept double", *[f"{x} double" for x in xs], "n bigint", "rounds int", "converged boolean"])
+    return spark.createDataFrame([(*g, *map(float, v), sizes[g], step + 1, steps[g] < tolerance) for g, v in beta.items()], out)

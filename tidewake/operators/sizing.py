@@ -1,4 +1,5 @@
-"""Size checks before broadcasting, and reliable lineage cuts."""
+"""Spreading CPU-heavy work, and reliable lineage cuts. Which side of a join is broadcast is left to Spark, which knows bytes
+at run time."""
 
 from __future__ import annotations
 
@@ -7,24 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SMALL_ROWS = 200_000
-
-
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Whether a dimension has at most max_rows rows. The count stops at max_rows + 1."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS, like: DataFrame | None = None) -> DataFrame:
-    """Mark a dimension for broadcast only if it has at most max_rows rows.
-
-    `like` is a cheaper table with at least as many rows to check instead. Past the bound the
-    table is returned unmarked and the join shuffles both sides, where adaptive execution splits
-    skewed partitions.
-    """
-    return F.broadcast(df) if is_small(df if like is None else like, max_rows) else df
-
-
 def spread(df: DataFrame, *columns) -> DataFrame:
     """Hash rows over all shuffle partitions before CPU-heavy work on few bytes.
 

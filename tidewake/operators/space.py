@@ -7,7 +7,6 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from tidewake.functions import geo
-from .sizing import small_side
 
 SLACK = 1e-9
 
@@ -44,7 +43,7 @@ def assign_polygon(df: DataFrame, lon: str, lat: str, rings: DataFrame, out: str
     over the positions: no shuffle and no extra rows.
     """
     x, y = F.col(lon), F.col(lat)
-    index = small_side(ring_index(rings, cell_lon, cell_lat))
+    index = ring_index(rings, cell_lon, cell_lat)
     holds = lambda c: ((x >= c["x0"]) & (x <= c["x1"]) & (y >= c["y0"]) & (y <= c["y1"])
                        & geo.ray_parity(x, y, c["edges"]))
     return (df.withColumn("cx", geo.cell_index(x, cell_lon))
@@ -66,7 +65,7 @@ def assign_cell(df: DataFrame, lat: str, lon: str, cell_map: DataFrame,
                          F.struct(*columns).alias(f"_hit{i}")))
         out = (out.withColumn("_gy", geo.rounded_cell(lat, res))
                .withColumn("_gx", geo.rounded_cell(lon, res))
-               .join(small_side(level, 2_000_000), ["_gy", "_gx"], "left").drop("_gy", "_gx"))
+               .join(level, ["_gy", "_gx"], "left").drop("_gy", "_gx"))
         hits.append(F.col(f"_hit{i}"))
     found = F.coalesce(*hits)
     return (out.select("*", *[found[c].alias(c) for c in columns])
@@ -101,7 +100,7 @@ def within_km(points: DataFrame, centers: DataFrame, *, lat: str, lon: str, c_la
                                                      geo.cell_index(F.col(c_lat) + half, cell)))))
     keyed = (points.withColumn("_cx", wrap(geo.cell_index(lon, cell)))
              .withColumn("_cy", geo.cell_index(lat, cell)))
-    return (keyed.join(small_side(reach), ["_cx", "_cy"]).drop("_cx", "_cy")
+    return (keyed.join(reach, ["_cx", "_cy"]).drop("_cx", "_cy")
             .withColumn(out, geo.haversine_km(c_lat, c_lon, lat, lon))
             .filter(F.col(out) <= km))
 
@@ -147,6 +146,8 @@ def nearest(df: DataFrame, targets: DataFrame, *, lat: str, lon: str, t_lat: str
 
     size = F.pow(F.lit(2.0), F.col("_level")) * cell
     km = size * 4 * geo.KM_PER_LON_DEGREE
+    if cap is not None:            # nothing beyond the cap can be an answer
+        km = F.least(km, F.lit(float(cap) * 1.001))
     dlat = F.least(km / geo.KM_PER_LAT_DEGREE, F.lit(180.0))
     far = F.greatest(F.abs(F.col("_qy") * cell), F.abs((F.col("_qy") + 1) * cell))
     if metric == "haversine":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewake.functions.dates import day_range
 from tidewake.functions.numeric import hours_between
-from .ordered import chain_number, previous_in_time
+from .ordered import chain_number
 from .quantiles import exact_quantiles
 
 MAX_INTERVAL_HOURS = 3.0
@@ -19,8 +19,10 @@ def credit_gaps(df: DataFrame, ship: str, time: str, day: str, *, tie=(),
                 max_hours: float = MAX_INTERVAL_HOURS, raw: str = "raw_h",
                 credited: str = "dt_h") -> DataFrame:
     """Hours since the ship's previous message of the same day: 0 for its first message,
-    and nothing credited past max_hours. An interval belongs to its later message."""
-    out = previous_in_time(df, [ship, day], time, "_prev", tie)
+    and nothing credited past max_hours. An interval belongs to its later message.
+
+    A ship's day is bounded by the clock, so one window reads and shuffles the messages once."""
+    out = df.withColumn("_prev", F.lag(time).over(Window.partitionBy(ship, day).orderBy(time, *tie)))
     gap = F.coalesce(hours_between("_prev", time), F.lit(0.0))
     return (out.withColumn(raw, gap)
             .withColumn(credited, F.when(F.col(raw) > max_hours, 0.0).otherwise(F.col(raw)))
@@ -35,7 +37,7 @@ def gap_panel(messages: DataFrame, *, ship: str, time: str, day: str, port: str,
     Gaps are taken again between in-port messages only, so leaving and coming back counts.
     """
     inside = messages.filter(F.col(port).isNotNull())
-    seen = previous_in_time(inside, [ship, day], time, "_prev", tie)
+    seen = inside.withColumn("_prev", F.lag(time).over(Window.partitionBy(ship, day).orderBy(time, *tie)))
     raw = F.coalesce(hours_between("_prev", time), F.lit(0.0))
     over = raw > max_hours
     panel = seen.groupBy(day, port).agg(

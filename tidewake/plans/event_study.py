@@ -47,16 +47,16 @@ def with_covariates(exposures: DataFrame, covariates: DataFrame, on=("SID", "uni
 
 
 def score(series: DataFrame, exposures: DataFrame, *, first: date, last: date, years, opts: dict | None = None,
-          placebo: bool = False, keep_series=None, exclude_units=EXCLUDED_PORTS) -> tuple[DataFrame, DataFrame, dict]:
+          placebo: bool = False, keep_series=None, exclude_units=()) -> tuple[DataFrame, DataFrame, dict]:
     """(window results, daily results, options) of all eligible events.
 
     exposures: SID, unit, exposure_start, exposure_end, dist, wind, wind_at_closest and any other
-    event columns. keep_series filters the series that are scored (a column expression).
+    event columns. exclude_units: units to leave out, such as EXCLUDED_PORTS. keep_series filters the series that are scored (a column expression).
     """
     o = nm.options(**(opts or {}))
     ex = (exposures.withColumn("start", F.to_date("exposure_start")).withColumn("end", F.to_date("exposure_end")))
     near = ex.filter(F.col("dist") <= o["excl_km"])
-    chosen = nm.select_events(ex, o, list(exclude_units) if dict(ex.dtypes)["unit"] == "string" else ())
+    chosen = nm.select_events(ex, o, list(exclude_units))
     based = cal.baseline_years(chosen, near, unit="unit", start="start", end="end", x_start=ceil_day("exposure_start"),
                                x_end="end", years=years, pre=o["pre"], post=o["post"])
     arrays = nm.series_arrays(series, ["unit", *SERIES], "date", "value", first, last)
