@@ -82,13 +82,21 @@ def test_blocks_and_hot_anchors(monkeypatch):
     """Cutting texts into small blocks and salting do not lose a window."""
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 700)
     texts = [(t or "").encode() for t in corpus(200)]
-    number, start, windows, anchor, content = repeats.pieces_of(texts)
+    number, start, windows, anchor, content, sides = repeats.pieces_of(texts)
     covered = {(int(i), int(s) + k) for i, s, n in zip(number, start, windows) for k in range(n)}
     assert covered == {(i, k) for i, t in enumerate(texts) for k in range(len(t) - 199)} and len(covered) == windows.sum()
     by_window = {}
     for i, s, n, a in zip(number.tolist(), start.tolist(), windows.tolist(), anchor.tolist()):
         for k in range(s, s + n):
             assert by_window.setdefault(texts[i][k:k + 200], a) == a
+    shared = {}                                           # pieces with an equal window share a side
+    for k, (i, s, n) in enumerate(zip(number.tolist(), start.tolist(), windows.tolist())):
+        for w in range(s, s + n):
+            shared.setdefault(texts[i][w:w + 200], set()).add(k)
+    both = [(int(x) >> 32 & 0xFFFFFFFF, int(x) & 0xFFFFFFFF) for x in sides]
+    for ks in shared.values():
+        for k in ks:
+            assert all((both[k][0] and both[k][0] == both[j][0]) or (both[k][1] and both[k][1] == both[j][1]) for j in ks)
     runs = repeats.repeated_windows(texts)
     want = slow(texts, 200)
     for t, found, (_, gone, _, _) in zip(texts, runs, want):

@@ -4,8 +4,9 @@ The project keeps no free text, so the operators are general: records are any ta
 
 Every window of `length` bytes has an anchor: the 32-byte gram in it with the least hash. Equal windows have equal anchors,
 so windows are dealt out by the hash of their anchor, and neighbours that share an anchor travel as one piece. Anchors that
-occur once cannot hold a repeat and go no further; equal pieces are counted before anything is shuffled. What is left, one
-copy of each piece, is gathered in shards of bounded size. A shard's suffix array is built by induced sorting, its permuted
+occur once cannot hold a repeat and go no further; equal pieces are counted before anything is shuffled. A window reaches
+half of what it holds beside its anchor to the left or to the right, so a piece that shares neither side with another is
+left out too. What is left, one copy of each piece, is gathered in shards of bounded size. A shard's suffix array is built by induced sorting, its permuted
 common prefixes tell which windows start a repeat, and the places go back to the texts.
 """
 
@@ -62,8 +63,10 @@ def _anchors(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Pieces of texts: text number, first window, windows, anchor hash, content hash."""
-    found: list[list] = [[], [], [], [], []]
+    """Pieces of texts: text number, first window, windows, anchor hash, content hash, and the hashes of the left and the
+    right side of the anchor in the two halves of a long (0 for a side that no window holds)."""
+    found: list[list] = [[], [], [], [], [], []]
+    half = (length - GRAM) // 2
     parts, size = [], 0                                   # text number, offset in the text, bytes
 
     def flush() -> None:
@@ -85,6 +88,10 @@ def pieces_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...
         found[3].append(h[own[first]].view(np.int64))
         found[4].append(np.array([xxhash.xxh3_64_intdigest(blob[a:b]) for a, b in zip(start.tolist(), (start + counts + length - 1).tolist())],
                                  np.uint64).view(np.int64))
+        at, low, high = own[first].tolist(), begin[part].tolist(), (begin + sizes)[part].tolist()
+        side = xxhash.xxh32_intdigest
+        found[5].append(np.array([(side(blob[a - half:a + GRAM]) | 1 if a - half >= b else 0) << 32 | (side(blob[a:a + GRAM + half]) | 1 if a + GRAM + half <= e else 0)
+                                  for a, b, e in zip(at, low, high)], np.uint64).view(np.int64))
 
     for i, text in enumerate(texts):
         at = 0
@@ -107,12 +114,12 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
-                number, start, windows, anchor, content = pieces_of([unpack(z.as_py()) for z in some.column(1)], length)
+                number, start, windows, anchor, content, sides = pieces_of([unpack(z.as_py()) for z in some.column(1)], length)
                 yield pa.record_batch([pa.array(anchor), pa.array(content), some.column(0).take(pa.array(number)),
-                                       pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
-                                      names=["anchor", "content", "t", "start", "windows"])
+                                       pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(sides)],
+                                      names=["anchor", "content", "t", "start", "windows", "sides"])
 
-    return texts.select("t", "z").mapInArrow(cut, "anchor long, content long, t binary, start int, windows int")
+    return texts.select("t", "z").mapInArrow(cut, "anchor long, content long, t binary, start int, windows int, sides long")
 
 
 def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -139,8 +146,10 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[list[tupl
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Suffix arrays over a partition that is sorted by anchor. A shard ends between anchors once it is full."""
+    """Suffix arrays over a partition that is sorted by anchor. A shard ends between anchors once it is full. A piece that
+    comes under several salts is in a shard once, or it would repeat itself."""
     rows: list[tuple] = []
+    here: set[tuple] = set()
     size, key = 0, None
 
     def flush() -> pa.RecordBatch:
@@ -154,9 +163,12 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             if size >= SHARD_BYTES and (anchor, salt) != key:
                 yield flush()
                 rows, size = [], 0
+                here.clear()
             key = (anchor, salt)
-            rows.append((t, start, n, piece))
-            size += len(piece)
+            if (t, start) not in here:
+                here.add((t, start))
+                rows.append((t, start, n, piece))
+                size += len(piece)
     if rows:
         yield flush()
 
@@ -186,10 +198,17 @@ def _window_runs(texts: DataFrame, length: int) -> DataFrame:
     live = _pieces(texts, length).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     pieces = checkpointed(_pieces(texts, length).join(live, "anchor", "left_semi"))
     groups = checkpointed(pieces.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "start", "windows")).alias("at")))
-    kinds = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    fetch = groups.join(kinds, "anchor").groupBy("at.t").agg(
-        F.collect_list(F.struct("at.start", "at.windows", "anchor", "n", "kinds")).alias("asked"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "start", "windows")).alias("at"), F.min("sides").alias("sides"))
+        .select("anchor", "n", "at", "content", F.shiftrightunsigned("sides", 32).alias("left"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("right")))
+    chosen = groups
+    for side in ("left", "right"):
+        shared = checkpointed(groups.where(F.col(side) != 0).groupBy("anchor", side).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+                              .select("anchor", side, F.lit(True).alias(f"{side}_shared")))
+        chosen = chosen.join(shared, ["anchor", side], "left")
+    chosen = checkpointed(chosen.where("left_shared or right_shared").select("anchor", "n", "at"))
+    hot = checkpointed(chosen.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > ANCHOR_PIECES))
+    fetch = chosen.join(hot, "anchor", "left").groupBy("at.t").agg(
+        F.collect_list(F.struct("at.start", "at.windows", "anchor", "n", F.coalesce("kinds", F.lit(1)).alias("kinds"))).alias("asked"))
 
     limit = ANCHOR_PIECES
 
