@@ -231,7 +231,7 @@ def elasticity_slope_ci(spark, d):
     return rounded(rs.boot_slope(pairs, [], "storm", draws=2000), {"slope": 5, "slope_lo": 5, "slope_hi": 5})
 
 
-SHIFTS = [("-60d", -60), ("-30d", -30), ("+30d", 30), ("+60d", 60), ("+1y", 365)]
+SHIFTS = [("-2y", -730), ("-1y", -365), ("-60d", -60), ("-30d", -30), ("+30d", 30), ("+60d", 60), ("+1y", 365), ("+2y", 730)]
 SHIFTED = "sh AS (SELECT e.* REPLACE (e.\"start\" + sd AS \"start\", e.\"end\" + sd AS \"end\", label || '/' || SID AS SID), label FROM event e, (VALUES " + ",".join(f"('{n}',{d_})" for n, d_ in SHIFTS) + """) t(label, sd) WHERE e."start" + sd >= (SELECT min(date) FROM days) + 60 AND e."end" + sd <= (SELECT max(date) FROM days) - 60),
 csh AS (SELECT e.* FROM sh e WHERE (SELECT count(*) FROM days WHERE date BETWEEN e."start" AND e."end") = (e."end" - e."start") + 1)"""
 

@@ -232,11 +232,13 @@ def impute_group_median(df: DataFrame, keys, value: str) -> DataFrame:
 
 
 def arrival_scenarios(queue: DataFrame, keys, *, cluster: str = "SID", pair=("SID", "unit"), draws: int = 1000,
-                      seed: int = 1) -> DataFrame:
+                      seed: int = 1, total: str | None = None) -> DataFrame:
     """Fuel, CO2 and money saved per scenario of approach length, wait and fuel price. Excess
     waiting is pooled over events and only then floored at zero. W_h -1 marks the upper bound,
-    two hours' worth of fuel per waiting hour."""
+    two hours' worth of fuel per waiting hour. total: name of a level of the last key that pools all of its levels."""
     keys = list(keys)
+    if total is not None:
+        queue = queue.unionByName(queue.withColumn(keys[-1], F.lit(total)))
     d = queue.withColumn("_fh", F.col("net_excess_wait_h") * F.col("f_main_t_per_h"))
     sums = ["net_excess_wait_h", "_fh", "net_excess_wait_fuel_t"]
     pool = bootstrap(d, keys, cluster, sums, {"h": lambda c: c("net_excess_wait_h"), "fh": lambda c: c("_fh"),
