@@ -283,6 +283,17 @@ def noise_bands(spark, d):
     return rounded(rg.quantile_bands(rows, ["window", "zone", "measure"], "a", ["size", "ld"]), {"intercept": 4, "size": 4, "ld": 4})
 
 
+@query("noise_band_checks", sql(WSUM, DIV, body="""SELECT wd AS "window", zone, measure, count(*) AS n, true AS five_percent_above FROM (SELECT wd, zone, unnest(['lh','lc','ln','g','g_nox']) AS measure, unnest([lh,lc,lno,g,g_nox]) AS a FROM dg WHERE py<>0 AND hours_day>=24)
+ WHERE a IS NOT NULL AND isfinite(a) GROUP BY ALL HAVING count(*) >= 50"""))
+def noise_band_checks(spark, d):
+    """Rows each band is fitted on, and whether a twentieth of them, give or take the terms of the fit, lies above it."""
+    keys = ["window", "zone", "measure"]
+    rows = pr.band_inputs(divergences(spark, d).filter("py <> 0"))
+    fits = rg.quantile_bands(rows, keys, "a", ["size", "ld"]).select(*keys, F.col("intercept").alias("c0"), F.col("size").alias("c1"), F.col("ld").alias("c2"))
+    out = rg.complete_rows(rows, ["a", "size", "ld"]).join(fits, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") > F.expr("c0 + c1 * size + c2 * ld")).alias("k"))
+    return out.select(*keys, "n", (F.abs(F.col("k") - 0.05 * F.col("n")) <= 4 + 0.01 * F.col("n")).alias("five_percent_above"))
+
+
 COUNT = ", ".join(f"CAST(sum(CASE WHEN cls='{c}' THEN 1 ELSE 0 END) AS BIGINT) AS \"{c}\"" for c in pr.CLASS_NAMES)
 
 

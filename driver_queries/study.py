@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tidewake.functions.dates import same_day_in_year
-from tidewake.operators import calendar as cal, normal as nm, resample as rs, window_tests as wt
+from tidewake.operators import calendar as cal, normal as nm, resample as rs, trend_fit, window_tests as wt
 from tidewake.operators.sizing import checkpointed
 from . import standins as s
 from .standins import draw_sql, rounded, sql
@@ -136,6 +136,22 @@ def fitted_baseline(spark, d):
     return rounded(out.select("SID", "unit", "date", "observed", "yhat", "yhat_lower", "yhat_upper"), {"observed": 2, "yhat": 3, "yhat_lower": 3, "yhat_upper": 3})
 
 
+TRAIN = """tr AS (SELECT e.SID, e.unit, date_diff('day', (SELECT min(date) FROM days), d.date)::DOUBLE AS t, coalesce(p.hours,0) AS y FROM cov10 e JOIN days d ON d.date < e."start" - 10 OR d.date > e."end" + 10 LEFT JOIN daily p ON p.unit=e.unit AND p.date=d.date)"""
+
+
+@query("trend_fit_checks", sql(*BASE, COVERED10, TRAIN, body="""SELECT SID, unit, count(*) AS n_train, min(t) AS first_t, max(t) AS last_t, round(quantile_cont(t,0.8),4) AS within, round(2*max(y)+stddev_samp(y)+1,4) AS top,
+ CAST(2 + least(floor((max(t)-min(t))/90),12) + CASE WHEN max(t)-min(t)>=28 THEN 6 ELSE 0 END + CASE WHEN max(t)-min(t)>=730 THEN 20 WHEN max(t)-min(t)>=365 THEN 6 ELSE 0 END AS INT) AS n_terms, 0.0::DOUBLE AS off_normal FROM tr GROUP BY SID, unit HAVING count(*)>=45 AND avg(y)>=1e-9"""))
+def trend_fit_checks(spark, d):
+    """The fit's training days and terms, and how far its residuals are from satisfying the normal equations."""
+    facts, terms = wt.fitted_terms(s.daily(spark, d), s.events(spark, d), unit="unit", day="date", value="hours")
+    keys = ["SID", "unit"]
+    off = (terms.join(trend_fit.solve(terms, keys, "_x", "_y"), keys).withColumn("_r", F.col("_y") - trend_fit.product(F.col("_x"), F.col("coefficients")))
+           .select(*keys, "_r", F.posexplode("_x").alias("term", "_v")).groupBy(*keys, "term").agg(F.abs(F.avg(F.col("_v") * F.col("_r"))).alias("off"))
+           .groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n_terms"), F.max("off").alias("off_normal")))
+    out = facts.join(off, keys).select(*keys, F.col("_n").alias("n_train"), F.col("_first").alias("first_t"), F.col("_last").alias("last_t"), F.col("_within").alias("within"), F.col("_top").alias("top"), "n_terms", "off_normal")
+    return rounded(out, {"within": 4, "top": 4, "off_normal": 6})
+
+
 RANK = """wr AS (SELECT e.SID, e.unit, e."start", e."end", e.k_days, k.date, coalesce(hours,0) AS v, row_number() OVER (PARTITION BY e.SID, e.unit ORDER BY k.date) AS i FROM (SELECT SID, unit, CAST(unnest(generate_series("start" - 45, "end" + 45, INTERVAL 1 DAY)) AS DATE) AS date FROM cov0) k
   JOIN cov0 e USING (SID, unit) JOIN days ON k.date=days.date LEFT JOIN daily p ON p.unit=e.unit AND p.date=k.date),
 win AS (SELECT a.SID, a.unit, a."start", a."end", a.k_days, a.date AS d0, avg(b.v) AS m FROM wr a JOIN wr b ON a.SID=b.SID AND a.unit=b.unit AND b.i BETWEEN a.i AND a.i + a.k_days - 1 GROUP BY ALL HAVING count(*)=a.k_days),
