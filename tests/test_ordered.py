@@ -56,8 +56,10 @@ def test_cumulative_and_shares(spark):
     rng = np.random.default_rng(3)
     v = np.unique(np.concatenate([rng.normal(0, 1, 400), rng.lognormal(5, 3, 400), [-1e12, 1e12]]))
     df = spark.createDataFrame([(float(x), int(i % 7)) for i, x in enumerate(v)], "v double, n int")
-    out = ordered.cumulative(df, [], "v", ["n"], bins=16).orderBy("v").toPandas()
-    assert (out.cum_n.to_numpy() == np.cumsum([i % 7 for i in range(len(v))])).all()
+    for heavy in (100_000, 30):
+        out = ordered.cumulative(df, [], "v", ["n"], bins=16, heavy=heavy).orderBy("v").toPandas()
+        assert out.columns.tolist() == ["v", "n", "cum_n", "total_n"]
+        assert (out.cum_n.to_numpy() == np.cumsum([i % 7 for i in range(len(v))])).all()
     assert set(out.total_n) == {sum(i % 7 for i in range(len(v)))}
 
 

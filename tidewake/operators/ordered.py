@@ -73,12 +73,13 @@ def chain_number(df: DataFrame, keys, start: str, end: str, max_gap_hours: float
             .drop("_bucket", "_new", "_local", "_offset"))
 
 
-def cumulative(df: DataFrame, keys, order: str, sums, tie=(), bins: int = 1024) -> DataFrame:
+def cumulative(df: DataFrame, keys, order: str, sums, tie=(), bins: int = 1024, heavy: int = 100_000) -> DataFrame:
     """Add cum_<m> (inclusive running sum in ascending `order`) and total_<m> per key.
 
-    Rows are cut into value bins (signed logarithm, so heavy tails spread too), summed
-    inside each bin and offset by the totals of the lower bins: at most `bins` summary
-    rows travel along a key. Equal (order, tie) rows must have been merged beforehand.
+    Rows are cut into value bins (signed logarithm, so heavy tails spread too), and a bin of over `heavy` rows, such as one
+    beside a far outlier, is cut again over its own range. Rows are summed inside each bin and offset by the totals of the
+    lower bins: at most `bins` summary rows, and as many again for each heavy bin, travel along a key. Equal (order, tie)
+    rows must have been merged beforehand.
     """
     keys, sums = list(keys), list(sums)
     scaled = F.signum(order) * F.log1p(F.abs(F.col(order)))
@@ -93,10 +94,15 @@ def cumulative(df: DataFrame, keys, order: str, sums, tie=(), bins: int = 1024)
     width = F.col("_span.hi") - F.col("_span.lo")
     place = F.floor(F.try_divide(scaled - F.col("_span.lo"), width) * bins)
     rows = rows.withColumn("_bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
-    slots = [*keys, "_bin"]
+    crowded = (rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_crowd"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+               .filter(F.col("_crowd") > heavy))
+    part = F.floor(F.try_divide(F.col(order) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins)
+    rows = (rows.join(crowded, [*keys, "_bin"], "left")
+            .withColumn("_part", F.least(F.coalesce(part, F.lit(0)), F.lit(bins - 1))).drop("_crowd", "_lo", "_hi"))
+    slots = [*keys, "_bin", "_part"]
     inside = (Window.partitionBy(*slots).orderBy(order, *tie)
               .rowsBetween(Window.unboundedPreceding, 0))
-    along = (Window.partitionBy(*keys).orderBy("_bin")
+    along = (Window.partitionBy(*keys).orderBy("_bin", "_part")
              .rowsBetween(Window.unboundedPreceding, -1))
     totals = rows.groupBy(*slots).agg(*[F.sum(m).alias(f"_s_{m}") for m in sums])
     carry = totals.select(*slots, *[F.coalesce(F.sum(f"_s_{m}").over(along), F.lit(0))
@@ -107,7 +113,7 @@ def cumulative(df: DataFrame, keys, order: str, sums, tie=(), bins: int = 1024)
         out = (out.withColumn(f"cum_{m}", F.col(f"_w_{m}") + F.col(f"_c_{m}"))
                .withColumn(f"total_{m}", F.col(f"_span.total_{m}")))
     drop = [f"_{p}_{m}" for p in "wc" for m in sums]
-    return out.drop("_span", "_bin", *drop)
+    return out.drop("_span", "_bin", "_part", *drop)
 
 
 def stable_index(df: DataFrame, keys, item: str, out: str) -> DataFrame:
