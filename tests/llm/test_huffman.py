@@ -45,8 +45,11 @@ def test_pack(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.geometric(0.05, n), 200).astype(np.int32)
     code = hf.canonical(hf.code_lengths(np.bincount(np.append(ids, [0, 5]), minlength=201)))
-    bits, checkpoints = hf.pack(code, ids)
-    assert hf.unpack(code, bits, checkpoints, n).tolist() == ids.tolist()
+    sizes = np.array([s for s in (n // 3, 0, n // 2, n - n // 3 - n // 2)])
+    done = hf.pack(code, ids, sizes)
+    begin = 8 * np.cumsum([0, *(len(d) for d, _ in done)])
+    marks = np.concatenate([m + b for (_, m), b in zip(done, begin)])
+    assert hf.unpack(code, b"".join(d for d, _ in done) + bytes(8), marks, sizes).tolist() == ids.tolist()
 
 
 @pytest.mark.parametrize("block", [1 << 16, 10])
@@ -55,13 +58,13 @@ def test_round_trip(spark, monkeypatch, block):
     rng = random.Random(7)
     rows = [(i, [rng.randrange(50) for _ in range(rng.choice([0, 1, 5, 40, 95]))]) for i in range(0, 120, 2)]
     rows += [(3, None), (4, [9, 9]), (4, [9, 9]), (None, [7])]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, ids array<int>, RECORD int")
-    got = [(r.start, r.record, list(r.ids)) for r in hf.read(spark, hf.write(df)).collect()]
-    want, start = [], 0
-    for key, ids in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or [])):
-        want.append((start, key, [*(ids or []), 0]))
-        start += len(ids or []) + 1
-    assert sorted(got, key=lambda r: r[0]) == want
+    packed = [(k, None if ids is None else bytearray(np.array(ids, "<u4").tobytes()), 1) for k, ids in rows]
+    df = spark.createDataFrame(packed, "doc_id long, ids binary, RECORD int")
+    got = [(r.start, r.record, np.frombuffer(r.ids, "<u4").tolist()) for r in hf.read(spark, hf.write(df)).collect()]
+    got.sort(key=lambda r: r[0])
+    assert sorted(((k, ids) for _, k, ids in got), key=str) == sorted(((k, [*(ids or []), 0]) for k, ids in rows), key=str)
+    keys = [-1 if k is None else k for _, k, _ in got]
+    assert keys == sorted(keys) and [s for s, _, _ in got] == [sum(len(ids) for *_, ids in got[:i]) for i in range(len(got))]
     assert hf.read(spark, hf.write(df.limit(0))).count() == 0
 
 
@@ -72,4 +75,19 @@ def test_library_ids(spark):
     texts = ["", None, "a b", "été <|endoftext|> x", "  \n x", "=" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in tokenize(df, read_vocabulary(path)).collect():
-        assert list(r.ids) == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+
+
+def test_units_change_nothing():
+    """Cut or whole, the ids are the library's."""
+    from tokenizers import Tokenizer
+
+    from tidewake.llm.library_tokens import LibraryEncoder
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), LibraryEncoder(read_vocabulary(path))
+    assert encoder.cuts
+    rng = random.Random(9)
+    parts = ["a", "the", "It", "'", "s", "'ll", " ", "  ", "\n", "\t ", "1", "23", ".", ",", "!?", "é", "ß", "ő", "\xa0", "\x1c", "²", "東", "_", "<|endoftext|>", "¿", "\x85", "×"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)

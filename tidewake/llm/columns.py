@@ -9,10 +9,21 @@ from pyspark.sql import Column, DataFrame
 
 #: Largest vocabulary file that is sent to the executors.
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Rows that a Python worker gets at once. Texts can be long, and workers keep the memory of their largest batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table; its session sends at most BATCH_ROWS rows at once to Python workers from here on."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
 
 
 def put_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """Append columns. An input column of the same name (Spark compares without case) is replaced."""
+    small_batches(df)
     clash = {c.lower() for c in columns}
     kept = [df[c] for c in df.columns if c.lower() not in clash]
     return df.select(*kept, *[expression.alias(name) for name, expression in columns.items()])

@@ -1,6 +1,7 @@
 """Token ids in a compressed binary table: canonical, length-limited Huffman codes.
 
-The project keeps no token ids, so the operators are general: records are any table with an id and an array of ids.
+The project keeps no token ids, so the operators are general: records are any table with an id and a binary column of
+packed ids (little-endian unsigned 32-bit integers).
 
 A file set is a Parquet table of blocks. Code lengths come from the counts of all ids (package-merge, so no code is longer
 than MAX_BITS), codes are canonical, and every block repeats nothing but what it needs: its bits, and the bit offset of
@@ -15,9 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidewake.operators.sizing import _shared_folder
+from tidewake.operators.sizing import _shared_folder, checkpointed
+
+from .columns import small_batches
 
 MAX_BITS = 20
 CHECKPOINT = 64
@@ -88,93 +92,119 @@ def canonical(lengths: np.ndarray) -> Code:
     return Code(lengths, codes, symbol, size, bits)
 
 
-def pack(code: Code, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Bits of a block, padded so that a decoder may read beyond the end, and the offset of every CHECKPOINT-th id."""
-    size = code.lengths[ids].astype(np.int64)
-    if len(ids) and not size.all():
+def pack(code: Code, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+    """Bits of consecutive pieces of `sizes` ids, each from a byte of its own, and the offset of every CHECKPOINT-th id in
+    its piece.
+
+    A code reaches into at most two 32-bit words. Codes do not overlap, so the words are sums, exact in doubles.
+    """
+    length = code.lengths[ids].astype(np.int64)
+    if len(ids) and not length.all():
         raise ValueError("an id has no code")
-    if len(ids) and int(ids.min()) < 0:
-        raise ValueError("negative id")
-    ends = np.cumsum(size)
-    starts = ends - size
-    left = (code.codes[ids] << (32 - size)).astype(">u4")
-    bits = np.unpackbits(left.view(np.uint8).reshape(-1, 4), axis=1)[:, :code.bits]
-    taken = bits[np.arange(code.bits)[None, :] < size[:, None]]
-    return np.packbits(taken).tobytes() + b"\0" * 8, starts[::CHECKPOINT].astype("<u4")
-
-
-def unpack(code: Code, data: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
-    """Ids of a block. All runs between checkpoints advance together, one id a step."""
-    out = np.zeros((len(checkpoints), CHECKPOINT), np.int32)
-    raw = np.frombuffer(data, np.uint8)
-    at = checkpoints.astype(np.int64)
-    left = n - CHECKPOINT * np.arange(len(checkpoints))
-    mask = (1 << code.bits) - 1
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    bits = np.concatenate([[0], np.cumsum(length)])[edges]
+    room = (np.diff(bits) + 7) // 8
+    begin = np.concatenate([[0], np.cumsum(room)])
+    own = np.cumsum(length) - length - np.repeat(bits[:-1], sizes)            # offset in the piece
+    starts = own + np.repeat(8 * begin[:-1], sizes)
+    word = starts >> 5
+    value = code.codes[ids] << (64 - (starts & 31) - length)
+    n = int(begin[-1] >> 2) + 3
+    words = np.bincount(word, weights=(value >> 32) & 0xFFFFFFFF, minlength=n) + np.bincount(word + 1, weights=value & 0xFFFFFFFF, minlength=n)
+    data = words.astype(np.uint32).astype(">u4").tobytes()
+    return [(data[begin[i]:begin[i + 1]], own[edges[i]:edges[i + 1]:CHECKPOINT].astype("<u4")) for i in range(len(sizes))]
+
+
+def unpack(code: Code, data: bytes, checkpoints: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ids of consecutive pieces of `sizes` ids. checkpoints: bit offsets of their runs in data, which ends in 4 free bytes
+    at least. All runs advance together, one id a step, the longest first."""
+    runs = -(-sizes // CHECKPOINT)
+    left = np.full(int(runs.sum()), CHECKPOINT)
+    filled = runs > 0
+    left[np.cumsum(runs)[filled] - 1] = (sizes - (runs - 1) * CHECKPOINT)[filled]
+    order = np.argsort(-left, kind="stable")
+    live_at = np.searchsorted(-left[order], -np.arange(CHECKPOINT), side="left")
+    out = np.zeros((len(left), CHECKPOINT), np.uint32)
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+    at = checkpoints.astype(np.int64)[order]
+    mask, room = (1 << code.bits) - 1, 32 - code.bits
     for k in range(CHECKPOINT):
-        live = int((left > k).sum())                   # only the last run can be short
+        live = int(live_at[k])
         if not live:
             break
         spot = at[:live]
-        byte = spot >> 3
-        word = ((raw[byte].astype(np.int64) << 24) | (raw[byte + 1].astype(np.int64) << 16)
-                | (raw[byte + 2].astype(np.int64) << 8) | raw[byte + 3])
-        peek = (word >> (32 - code.bits - (spot & 7))) & mask
+        peek = (window[spot >> 3] >> (room - (spot & 7))) & mask
         out[:live, k] = code.symbol[peek]
         spot += code.size[peek]
-    return out.ravel()[:n]
-
-
-def _blocks(part: int, rows: Iterator[tuple], code: Code, limit: int) -> Iterator[dict]:
-    """Cut the records of a part, in order, into blocks. A record can go on over blocks: it is listed in each."""
-    records, sizes, chunks, held, block, place, seen = [], [], [], 0, 0, 0, 0
+    back = np.empty_like(out)
+    back[order] = out
+    return back[np.arange(CHECKPOINT) < left[:, None]]
+
+
+def _encode(batch: pa.RecordBatch, code: Code, limit: int, end_id: int, row: int) -> pa.RecordBatch:
+    """Records to coded pieces of at most `limit` ids."""
+    parts, sizes, records, rows, numbers = [], [], [], [], []
+    for key, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids = np.append(np.frombuffer(packed.as_buffer(), "<u4"), np.uint32(end_id))
+        parts.append(ids)
+        for number, start in enumerate(range(0, len(ids), limit)):
+            sizes.append(min(limit, len(ids) - start))
+            records.append(key)
+            rows.append(row)
+            numbers.append(number)
+        row += 1
+    done = pack(code, np.concatenate(parts), np.array(sizes))
+    return pa.record_batch([pa.array(records, batch.schema.field(0).type), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()),
+                            pa.array([d for d, _ in done], pa.binary()), pa.array([m.tobytes() for _, m in done], pa.binary())],
+                           names=["record", "row", "number", "n", "bits", "marks"])
+
+
+def _blocks(part: int, pieces: Iterator[tuple], limit: int) -> Iterator[dict]:
+    """Put the coded pieces of a part, in order, into blocks. A record can go on over blocks: it is listed in each."""
+    held: list[tuple] = []
+    block = seen = count = 0
+    place, last = -1, None
 
     def flush() -> dict:
-        nonlocal records, sizes, chunks, held, block, seen
-        ids = np.concatenate(chunks) if chunks else np.empty(0, np.int32)
-        bits, checkpoints = pack(code, ids)
-        out = {"part": part, "block": block, "first_place": place - len(records) + 1, "first_id": seen, "n_ids": len(ids),
-               "bits": bits, "checkpoints": checkpoints.tobytes(), "records": records, "sizes": sizes}
-        seen += len(ids)
-        records, sizes, chunks, held, block = [], [], [], 0, block + 1
+        nonlocal held, block, seen, count
+        shift = 8 * (np.cumsum([len(p[4]) for p in held]) - [len(p[4]) for p in held])
+        marks = [np.frombuffer(p[5], "<u4") + np.uint32(s) for p, s in zip(held, shift)]
+        out = {"part": part, "block": block, "first_place": held[0][6], "first_id": seen, "n_ids": count, "bits": b"".join(p[4] for p in held) + bytes(8),
+               "checkpoints": np.concatenate(marks).astype("<u4").tobytes(), "records": [p[0] for p in held], "sizes": [p[3] for p in held]}
+        seen, held, block, count = seen + count, [], block + 1, 0
         return out
 
-    place = -1
-    for record, ids in rows:
-        place += 1
-        start = 0
-        while True:
-            piece = ids[start:start + limit - held]
-            records.append(record)
-            sizes.append(len(piece))
-            chunks.append(piece)
-            held += len(piece)
-            start += len(piece)
-            if held >= limit or len(records) >= limit:
-                yield flush()
-            if start >= len(ids):
-                break
-    if records:
+    for piece in pieces:
+        if piece[1] != last:
+            place, last = place + 1, piece[1]
+        held.append((*piece, place))
+        count += piece[3]
+        if count >= limit:
+            yield flush()
+    if held:
         yield flush()
 
 
 def write(records: DataFrame, record_id: str = "doc_id", ids: str = "ids", end_id: int = 0, folder: str | None = None) -> str:
     """Write the ids of all records, in ascending order of record_id, and return the folder.
 
-    After each record comes `end_id`. A null array is an empty one; nulls inside an array are an error. Null record ids
-    come first; equal ids follow each other in the order of their arrays. Other columns are not written. An empty table
-    gives a file set without blocks. Ids lie in 0 .. MAX_SYMBOLS - 1; counts of all ids are gathered (one row for each id,
-    so bounded by MAX_SYMBOLS). `records` is computed three times (counts, range bounds, writing): pass a stored table.
+    After each record comes `end_id`. Null ids are no ids. Null record ids come first; equal record ids follow each other in
+    any order. Other columns are not written. An empty table gives a file set without blocks. Ids lie in 0 .. MAX_SYMBOLS -
+    1; counts of all ids are gathered (one row for each id, so bounded by MAX_SYMBOLS). `records` is computed twice (counts,
+    coding): pass a stored table. Records are coded before they are sorted, so the shuffle moves coded bits.
     """
-    spark = records.sparkSession
+    spark = small_batches(records).sparkSession
     folder = folder or f"{_shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     kind = records.schema[record_id].dataType.simpleString()
-    whole = records.select(F.col(record_id).alias("record"), F.concat(
-        F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")), F.array(F.lit(end_id))).alias("ids"))
+    whole = records.select(F.col(record_id).alias("record"), F.coalesce(F.col(ids), F.lit(b"")).alias("ids"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(MAX_SYMBOLS, np.int64)
         for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=MAX_SYMBOLS)
+            for packed in batch.column(0):
+                total += np.bincount(np.frombuffer(packed.as_buffer(), "<u4"), minlength=MAX_SYMBOLS)
+            total[end_id] += batch.num_rows
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
@@ -185,35 +215,39 @@ def write(records: DataFrame, record_id: str = "doc_id", ids: str = "ids", end_i
     shared = spark.sparkContext.broadcast(lengths)
     limit = BLOCK_IDS
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, row = canonical(shared.value), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                yield _encode(some, code, limit, end_id, row)
+                row += some.num_rows
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        code = canonical(shared.value)
         schema = None
 
-        def rows() -> Iterator[tuple]:
+        def pieces() -> Iterator[tuple]:
             nonlocal schema
             for batch in batches:
                 schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_place", pa.int32()), ("first_id", pa.int64()),
                                     ("n_ids", pa.int32()), ("bits", pa.binary()), ("checkpoints", pa.binary()),
                                     ("records", pa.list_(batch.schema.field(0).type)), ("sizes", pa.list_(pa.int32()))])
-                column = batch.column(1)
-                flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-                for i, key in enumerate(batch.column(0).to_pylist()):
-                    yield key, flat[offsets[i]:offsets[i + 1]]
+                yield from zip(*(batch.column(i).to_pylist() for i in range(6)))
 
-        for block in _blocks(TaskContext.get().partitionId(), rows(), code, limit):
+        for block in _blocks(TaskContext.get().partitionId(), pieces(), limit):
             yield pa.RecordBatch.from_pylist([block], schema=schema)
 
+    stored = checkpointed(whole.mapInArrow(coded, f"record {kind}, row long, number int, n int, bits binary, marks binary"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = whole.repartitionByRange(n, "record").sortWithinPartitions("record", "ids")
-    ordered.mapInArrow(blocks, BLOCK_TYPE.format(kind=kind)).write.parquet(f"{folder}/blocks")
+    ordered = stored.repartitionByRange(n, "record").sortWithinPartitions("record", "row", "number")
+    ordered.mapInArrow(blocks, BLOCK_TYPE.format(kind=kind)).write.option("compression", "none").parquet(f"{folder}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()), end_id)], "lengths binary, end_id int").write.parquet(f"{folder}/code")
     return folder
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Read a file set: one row for each record, with record, start (ids of all records before it), and ids (its own, the
-    end id included).
+    """Read a file set: one row for each record, with record, start (ids of all records before it), and ids (its own,
+    packed, the end id included).
 
     Blocks are decoded alone and in any order. Starts come from one sum for each part, which the number of written
     partitions bounds. A record that goes on over blocks is joined again.
@@ -228,24 +262,25 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         code = canonical(shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {name: batch.column(name)[i] for name in ("part", "first_place", "first_id", "n_ids", "bits", "checkpoints")}
-                ids = unpack(code, r["bits"].as_buffer(), np.frombuffer(r["checkpoints"].as_buffer(), "<u4"), r["n_ids"].as_py())
+                r = {name: batch.column(name)[i] for name in ("part", "first_place", "first_id", "bits", "checkpoints")}
                 sizes = batch.column("sizes")[i].values.to_numpy()
+                ids = unpack(code, r["bits"].as_buffer(), np.frombuffer(r["checkpoints"].as_buffer(), "<u4"), sizes)
                 ends = np.cumsum(sizes)
                 k = len(sizes)
                 yield pa.record_batch([
                     pa.array(np.full(k, r["part"].as_py(), np.int32)), pa.array(r["first_place"].as_py() + np.arange(k, dtype=np.int32)),
                     batch.column("records")[i].values, pa.array(r["first_id"].as_py() + ends - sizes),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids)),
+                    pa.BinaryArray.from_buffers(pa.binary(), k, [None, pa.py_buffer((4 * np.concatenate([[0], ends])).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]),
                     pa.array(np.isin(np.arange(k), (0, k - 1)))],
                     names=["part", "place", "record", "first_id", "ids", "edge"])
 
     pieces = blocks.select("part", "first_place", "first_id", "n_ids", "bits", "checkpoints", "records", "sizes").mapInArrow(
-        decoded, f"part int, place int, record {kind}, first_id long, ids array<int>, edge boolean")
+        decoded, f"part int, place int, record {kind}, first_id long, ids binary, edge boolean")
     inner = pieces.where(~F.col("edge")).drop("edge")
     joined = (pieces.where("edge").groupBy("part", "place").agg(
         F.first("record").alias("record"), F.min("first_id").alias("first_id"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "ids"))), lambda s: s["ids"])).alias("ids"))
+        F.array_sort(F.collect_list(F.struct("first_id", "ids"))).alias("runs"))
+        .withColumn("ids", F.aggregate("runs", F.lit(b""), lambda done, run: F.concat(done, run["ids"])))
         .select("part", "place", "record", "first_id", "ids"))
     parts = blocks.groupBy("part").agg(F.sum(F.col("n_ids").cast("long")).alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))

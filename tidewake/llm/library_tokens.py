@@ -3,45 +3,105 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .columns import list_array, put_columns
+from .columns import put_columns
 
-BATCH = 128
-_workers: dict = {}
+#: Units that a worker remembers before the table becomes the old one.
+MAX_REMEMBERED = 1 << 19
+_SPACE, _LETTER = r" \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A unit is white space and a run of letters, or of anything else (an apostrophe takes the letters behind it along). The
+#: splitting pattern of byte-level vocabularies always ends a match where a unit ends.
+_UNITS = re.compile(f"[{_SPACE}]*+(?:[{_LETTER}]++|(?:[^{_SPACE}{_LETTER}']|'[{_LETTER}]*+)++)|[{_SPACE}]++")
+_OTHER = re.compile(f"[^\x00-\x1b\x20-\x7f{_LETTER}]")
+_WORD = re.compile(f" ?[{_LETTER}]+")
+
+
+def _byte_characters() -> dict[int, int]:
+    """Character that stands for each byte in the vocabulary: printable Latin-1 stands for itself, the rest follows 255."""
+    out = {b: b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    for b in range(256):
+        if b not in out:
+            out[b] = 256 + len(out) - 188
+    return out
+
+
+class _Units(dict):
+    """Packed ids of units seen lately; what is missing is asked of the library."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model.tokenize, {}
+        self.characters = _byte_characters()
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.old.get(unit)
+        if ids is None:
+            if _WORD.fullmatch(unit):                     # one match of the pattern: the model alone
+                ascii_word = unit if unit[0] != " " else "Ġ" + unit[1:]
+                found = [t.id for t in self.model(ascii_word if unit.isascii() else unit.encode().decode("latin-1").translate(self.characters))]
+            else:
+                found = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            ids = pack(f"<{len(found)}I", *found)
+        if len(unit) <= 64:
+            if len(self) >= MAX_REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[unit] = ids
+        return ids
 
 
-def _tokenizer(content: bytes):
-    """One tokenizer for each Python worker and file."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    key = hash(content)
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Tokenizer.from_str(content.decode())
-    return _workers[key]
+class LibraryEncoder:
+    """The library's ids of whole texts. A text is cut into units only if it has nothing but ASCII and Latin-1 letters, no
+    string of a special token, and a tokenizer that splits bytes by the usual pattern; any other goes to the library whole."""
+
+    def __init__(self, content: bytes):
+        import json
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(content.decode())
+        form = json.loads(content)
+        split = form["pre_tokenizer"] or {}
+        self.cuts = (form["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+                     and form["model"]["type"] == "BPE" and not form["model"].get("ignore_merges") and not form["truncation"] and not form["padding"])
+        self.special = [t["content"] for t in form["added_tokens"]]
+        self.units = _Units(self.tokenizer)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if not self.cuts or any(s in text for s in self.special) or _OTHER.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.units.__getitem__, _UNITS.findall(text)))
+
+
+_workers: dict = {}
 
 
 def tokenize(records: DataFrame, vocabulary: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Append the library's ids of each whole text, without special tokens added.
+    """Append the library's ids of each whole text, without special tokens added, packed as little-endian unsigned 32-bit
+    integers in a binary column.
 
-    vocabulary: content of a tokenizer file, of bounded size. Null and empty texts give an empty array. Other columns are
-    kept, one named like `ids` is replaced.
+    vocabulary: content of a tokenizer file, of bounded size. Null and empty texts give no bytes. Other columns are kept,
+    one named like `ids` is replaced.
     """
     content = records.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("binary")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer = _tokenizer(content.value)
+        key = hash(content.value)
+        if key not in _workers:
+            _workers[key] = LibraryEncoder(content.value)
+        encode = _workers[key].encode
         for batch in batches:
-            rows = []
-            for i in range(0, len(batch), BATCH):
-                texts = [v.as_py() or "" for v in batch.slice(i, BATCH)]
-                rows += [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            yield list_array(np.concatenate(rows) if rows else np.empty(0, np.int32), [len(r) for r in rows], pa.int32())
+            for i in range(0, len(batch), 512):
+                yield pa.array([encode(v.as_py() or "") for v in batch.slice(i, 512)], pa.binary())
 
     return put_columns(records, **{ids: encoded(F.col(text).cast("string"))})

@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from zlib import crc32
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewake.operators.sizing import checkpointed
 
 from . import huffman
-from .columns import put_columns, read_vocabulary
+from .columns import read_vocabulary
 from .library_tokens import tokenize
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
-@F.arrow_udf("long")
-def _crc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        flat, offsets = batch.values.to_numpy().astype("<u4", copy=False), batch.offsets.to_numpy()
-        yield pa.array([crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.int64())
-
-
 def op3_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ids = checkpointed(tokenize(docs, read_vocabulary(public_tokenizers.path(VOCABULARY))).select("doc_id", "ids"))
     back = huffman.read(spark, huffman.write(ids))
-    return put_columns(back, crc=_crc("ids")).select(
-        F.col("record").alias("doc_id"), "start", F.size("ids").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return back.select(F.col("record").alias("doc_id"), "start", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 Q = {"op3_huffman": op3_huffman}
