@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewake.operators.sizing import _shared_folder, checkpointed, spread
 
+from .columns import small_batches
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -195,7 +196,8 @@ def _distinct_texts(records: DataFrame, length: int) -> DataFrame:
 
 def _window_runs(texts: DataFrame, length: int) -> DataFrame:
     """Runs (t, first, end) of window starts that start somewhere else too, between different texts or inside one."""
-    live = _pieces(texts, length).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # stored, so that the join below reads two plain shuffles and adaptive execution can split a hot anchor
+    live = checkpointed(_pieces(texts, length).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     pieces = checkpointed(_pieces(texts, length).join(live, "anchor", "left_semi"))
     groups = checkpointed(pieces.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "start", "windows")).alias("at"), F.min("sides").alias("sides"))
@@ -248,7 +250,7 @@ def drop_repeats(records: DataFrame, record_id: str = "doc_id", text: str = "tex
     are long enough; a null id stays null. An empty table gives no rows. Other columns are left out.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    plain = records.select(F.col(record_id).alias("record"), body.alias("body")).withColumn(
+    plain = small_batches(records).select(F.col(record_id).alias("record"), body.alias("body")).withColumn(
         "t", F.substring(F.unhex(F.sha2(F.col("body").cast("binary"), 256)), 1, 16))
     texts = _distinct_texts(plain.select("t", "body"), length)
     runs = _window_runs(texts, length).groupBy("t").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
