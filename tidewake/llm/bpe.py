@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .columns import list_array, parse_ranks, put_columns, read_vocabulary
 
 #: Entries that a worker remembers of pieces and of neighbours before it starts afresh.
-MAX_REMEMBERED = 1 << 17
+MAX_REMEMBERED = 1 << 16
 BLOCK_CHARS = 1 << 20
 SLICE_ROWS = 256
 
