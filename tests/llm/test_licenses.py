@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 from tidewake.llm import licenses as li
+from tidewake.llm import license_templates as lt
 
 
 def plain(rows, threshold):
@@ -69,3 +70,46 @@ def test_same_as_plain(spark):
     assert li.scan(df.limit(0)).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+GPL = """/*
+ * Copyright (C) 2020 A. Body
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {} Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ */
+ship = port"""
+
+
+def full(name):
+    with open(f"{lt._FOLDER}/{name}.txt", encoding="utf-8") as file:
+        return file.read()
+
+
+#: Text and licence.
+WHOLE = [
+    (GPL.format("General", 3), "GPL-3.0"), (GPL.format("General", 2), "GPL-2.0"), (GPL.format("Affero General", 3), "AGPL-3.0"),
+    (GPL.format("Lesser General", "2.1"), "LGPL-2.1"), ("# SPDX-License-Identifier: MIT\nimport os", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ("SPDX-License-Identifier: Unheard-1.7", None), ("a mit of the port", None), ("Apache ships sail under the moon", None),
+    (" ".join(f"word{i}" for i in range(60)) + " Released under the MIT License. " + " ".join(f"more{i}" for i in range(60)), "MIT"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY-NC-ND 3.0", "CC-BY-NC-ND-3.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("   Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n", "Apache-2.0"),
+    ("/* " + full("MIT").replace("\n", "\n * ") + "*/\n" + "code " * 900, "MIT"), ("Copyright 2001 Somebody\n" + full("BSD-2-Clause"), "BSD-2-Clause"),
+    (full("GPL-3.0").replace("\n", " "), "GPL-3.0"), (full("Apache-2.0")[2000:], "Apache-2.0")] + [(full(name), name) for name in lt._FULL]
+
+
+def test_headers_files_and_windows(spark):
+    rows = [(k, f"d{k}/LICENSE", text) for k, (text, _) in enumerate(WHOLE)] + [(1000 + k, f"d{k}/x.c", "port") for k in range(len(WHOLE))]
+    rows += [(5000 + k, None, f"ship {k} of the port and a town is in the sea\nwith {k * 7} other lines") for k in range(1000)]
+    out = li.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"))
+    got = {r.doc_id: (r.license, r.inherited_from) for r in out.collect()}
+    assert {k: got[k][0] for k in range(len(WHOLE))} == {k: name for k, (_, name) in enumerate(WHOLE)}
+    for k, (_, name) in enumerate(WHOLE):
+        assert got[1000 + k] == (name, name and f"d{k}")
+    assert not any(got[5000 + k][0] for k in range(1000))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
