@@ -15,10 +15,20 @@ from tidewake.operators.sizing import checkpointed
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: A text of so many characters or more goes if no language has so much of its chance: it is mixed, or of a language without labels.
+JUDGED_CHARS, LEAST_SCORE = 100, 0.4
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null texts and those without a letter, which the network gives `und`."""
-    found = language_id.predict(docs, trained(docs), lang_pred="__tongue", score="__chance")
-    return found.where(F.col("__tongue") != language_id.UNKNOWN).select(*docs.columns)
+    """Drop documents without a language: null texts, those without a letter, which the network gives `und`, and those of at
+    least JUDGED_CHARS characters whose best language scores under LEAST_SCORE. Shorter ones say too little to be judged.
+    Without labels to learn from, or with one or two languages, all documents with a letter stay."""
+    net = trained(docs)
+    if not net.labels:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = language_id.predict(docs, net, lang_pred="__tongue", score="__chance")
+    clear = (F.length("text") < JUDGED_CHARS) | (F.col("__chance") >= LEAST_SCORE)
+    return found.where((F.col("__tongue") != language_id.UNKNOWN) & clear).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,22 @@ def test_empty_corpus(spark, folder, tmp_path):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_decides(spark):
+    """Texts in four scripts; one that deals its words to all four has no language, unless it is short."""
+    letters = {"a": "abcdefg", "b": "hijklmn", "c": "opqrstu", "d": "vwxyzßé"}
+    text = lambda s, k: " ".join("".join(s[(k * 7 + i * j * j + i + j) % 7] for j in range(5)) for i in range(40))
+    rows = [(100 * n + k, text(s, k), lang) for n, (lang, s) in enumerate(letters.items()) for k in range(40)]
+    mixed = " ".join(text(s, 3)[:60] for s in letters.values())
+    rows += [(900, mixed, None), (901, mixed[:0] + "b", None), (902, "12 ?!", "a"), (903, None, "a")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in cp.identify_language(spark, docs, "").collect()}
+    assert got == {r[0] for r in rows} - {900, 902, 903}
+
+
+def test_no_labels(spark):
+    rows = [(1, "été", None, "x", 3), (2, "12 ?!", None, "x", 5), (3, None, None, "x", 0), (4, "", None, "x", 0), (5, "the ship", None, "x", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.identify_language(spark, docs, "")
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {1, 5}
