@@ -35,11 +35,11 @@ SQL = {"op13_addresses": f"""
 WITH cut AS (
   SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
 parts AS (
-  SELECT row_number() OVER () AS at, page_id, contains(url, '://') AS fine,
+  SELECT row_number() OVER () AS row_no, page_id, contains(url, '://') AS fine,
     translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path, substr(tail, length(regexp_extract(tail, '^[^/?#]*')) + 1) AS rest FROM cut),
 rules AS (SELECT * FROM (VALUES {_RULES}) AS r(rule, pattern, expression, verdict, named)),
 best AS (
-  SELECT at, rule, pattern, verdict FROM parts JOIN rules ON fine AND regexp_matches('://' || host || rest, expression)
-  QUALIFY row_number() OVER (PARTITION BY at ORDER BY named DESC, length(pattern) DESC, verdict DESC, rule DESC, pattern DESC) = 1)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, pattern FROM parts LEFT JOIN best USING (at)"""}
+  SELECT row_no, rule, pattern, verdict FROM parts JOIN rules ON fine AND regexp_matches('://' || host || rest, expression)
+  QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY named DESC, length(pattern) DESC, verdict DESC, rule DESC, pattern DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, pattern FROM parts LEFT JOIN best USING (row_no)"""}
