@@ -4,9 +4,9 @@ The project's only written records are names: position messages and registries c
 show in them ("CMA CGM", "MAERSK"). A record is a vessel with its name and its traffic class; any other text and class do.
 
 Counts are kept as streams of (class, phrase, count) and never looked up in a table. Phrases are counted by length: words
-first, then pairs of frequent words, then windows of up to `longest` words in which every pair is frequent. A frequent phrase has
-only frequent parts, so nothing frequent is lost. Between the passes a bitmap of fixed size tells which words (or pairs) are
-worth counting; it can only let too much through, and the exact counts decide.
+first, then in each pass those of one more word whose first and last words are frequent phrases of the pass before. A frequent
+phrase has only frequent parts, so nothing frequent is lost. Between passes a bitmap of fixed size tells which shorter phrases
+are frequent; it can only let too much through, and the exact counts decide.
 
 The frequent phrases then form two streams, one in the order of their words (prefix order), one in the order of their words
 read backwards (suffix order). Sort-merge joins walk each of them against its own shorter phrases, which gives the counts of
@@ -16,6 +16,7 @@ all first parts and of all last parts, and, from a phrase to the one that lacks
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewake.operators.sizing import checkpointed
 
-#: Bits of the map of frequent words or pairs: 8 MB, whatever the size of the tables.
+#: Bits of the map of frequent phrases of one length: 8 MB, whatever the size of the tables.
 BITS = 1 << 26
 BITMAP_BITS = 1 << 15                       # of one row of Spark's bitmap aggregate
 #: A task passes on what it has counted after so many words, or so many different ones.
@@ -61,7 +62,7 @@ def split_words(text: bytes, size: int) -> Iterator[list[bytes]]:
         start = end
 
 
-Counter = Callable[[str, list[bytes], np.ndarray], tuple[pa.Array, np.ndarray]]
+Counter = Callable[[str, list[bytes], list[np.ndarray]], tuple[pa.Array, np.ndarray]]
 
 
 def _counted(records: DataFrame, count: Counter) -> DataFrame:
@@ -74,7 +75,7 @@ def _counted(records: DataFrame, count: Counter) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for vclass, (numbers, runs) in held.items():
-                phrase, f = count(vclass, list(numbers), np.concatenate([*runs, np.zeros(1, np.int32)]))
+                phrase, f = count(vclass, list(numbers), runs)
                 yield pa.record_batch({"vclass": pa.array([vclass] * len(f), pa.string()), "phrase": phrase.cast(pa.string()), "f": pa.array(f, pa.int64())})
             held.clear()
 
@@ -87,7 +88,6 @@ def _counted(records: DataFrame, count: Counter) -> DataFrame:
                         numbers, runs = held.setdefault(vclass, (_Numbers(), []))
                         before = len(numbers)
                         runs.append(np.fromiter(map(numbers.__getitem__, run_of), np.int32, len(run_of)))
-                        runs.append(np.zeros(1, np.int32))
                         words, distinct = words + len(run_of), distinct + len(numbers) - before
                         if words >= most_words or distinct >= most_distinct:
                             yield from flush()
@@ -97,17 +97,9 @@ def _counted(records: DataFrame, count: Counter) -> DataFrame:
     return records.mapInArrow(run, "vclass string, phrase string, f long").groupBy("vclass", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _words(numbers: list[bytes], *columns: np.ndarray) -> pa.Array:
-    """Space-joined phrases from columns of word numbers; 0 adds no word."""
-    listed = pa.array(numbers, pa.binary())
-    taken = [listed.take(pa.array(c, mask=c == 0)) for c in columns]
-    return pc.binary_join_element_wise(*taken, pa.scalar(b" ", pa.binary()), null_handling="skip")
-
-
-def _count_words(vclass: str, numbers: list[bytes], ids: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    f = np.bincount(ids, minlength=len(numbers))
-    found = np.arange(1, len(numbers))
-    return pa.array(numbers, pa.binary()).take(pa.array(found)), f[1:]
+def _count_words(vclass: str, numbers: list[bytes], runs: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    f = sum((np.bincount(ids, minlength=len(numbers)) for ids in runs), np.zeros(len(numbers), np.int64))
+    return pa.array(numbers, pa.binary()).slice(1), f[1:]
 
 
 def _hashes(vclass: str, numbers: list[bytes]) -> np.ndarray:
@@ -121,43 +113,35 @@ def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _turned(hashes: np.ndarray) -> np.ndarray:
-    return hashes << np.uint64(1) | hashes >> np.uint64(63)
-
-
-def _count_pairs(bitmap: np.ndarray) -> Counter:
-    """Pairs of words that the bitmap holds."""
-    def count(vclass: str, numbers: list[bytes], ids: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        keep = _has(bitmap, _hashes(vclass, numbers))
-        keep[0] = False
-        fine = keep[ids]
-        at = np.flatnonzero(fine[:-1] & fine[1:])
-        pairs, f = np.unique(ids[at].astype(np.int64) << 32 | ids[at + 1], return_counts=True)
-        return _words(numbers, pairs >> 32, pairs & 0xFFFFFFFF), f
-    return count
-
-
-def _count_windows(bitmap: np.ndarray, longest: int) -> Counter:
-    """The longest run, up to `longest` words and at least three, in which the bitmap holds every pair, from each word on."""
-    def count(vclass: str, numbers: list[bytes], ids: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+def _count_phrases(bitmap: np.ndarray, size: int) -> Counter:
+    """Phrases of `size` words inside a piece of which the bitmap holds the first size - 1 words and the last size - 1 words."""
+    def found(own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Word numbers of all such phrases, a column each."""
+        if len(ids) < size:
+            return np.empty((size, 0), np.int32)
+        count = len(ids) - size + 2                              # starts of shorter phrases
+        hashes, whole = own[ids[:count]], ids[:count] > 0
+        for i in range(1, size - 1):
+            hashes = (hashes << np.uint64(1) | hashes >> np.uint64(63)) ^ own[ids[i:i + count]]
+            whole &= ids[i:i + count] > 0
+        at = np.flatnonzero(whole)
+        held = np.zeros(count, bool)
+        held[at] = _has(bitmap, hashes[at])
+        at = np.flatnonzero(held[:-1] & held[1:])
+        return ids[at + np.arange(size)[:, None]]
+
+    def count(vclass: str, numbers: list[bytes], runs: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
         own = _hashes(vclass, numbers)
-        turned = _turned(own)
-        pair = (ids[:-1] > 0) & (ids[1:] > 0)
-        at = np.flatnonzero(pair)
-        pair[at] = _has(bitmap, own[ids[at]] ^ turned[ids[at + 1]])
-        pair = np.concatenate([pair, np.zeros(longest, bool)])
-        at = np.flatnonzero(pair[:-1] & pair[1:])
-        columns = np.zeros((longest, len(at)), np.int64)
-        columns[0], columns[1] = ids[at], ids[at + 1]
-        open_ = np.ones(len(at), bool)
-        for i in range(2, longest):
-            open_ = open_ & pair[at + i - 1]
-            columns[i, open_] = ids[at[open_] + i]
-        order = np.lexsort(columns[::-1])
-        columns = columns[:, order]
-        new = np.concatenate([np.ones(min(1, len(at)), bool), (columns[:, 1:] != columns[:, :-1]).any(axis=0)])
-        first = np.flatnonzero(new)
-        return _words(numbers, *columns[:, first]), np.diff(np.append(first, len(at)))
+        columns = np.concatenate([found(own, ids) for ids in runs], axis=1)
+        key, span = columns[0].astype(np.int64), len(numbers)
+        for column in columns[1:]:
+            if span * len(numbers) >= 1 << 62:                   # keys of the first words are numbered anew
+                key = np.unique(key, return_inverse=True)[1]
+                span = len(key)
+            key, span = key * len(numbers) + column, span * len(numbers)
+        _, first, f = np.unique(key, return_index=True, return_counts=True)
+        listed = pa.array(numbers, pa.binary())
+        return pc.binary_join_element_wise(*[listed.take(pa.array(c)) for c in columns[:, first]], pa.scalar(b" ", pa.binary())), f
     return count
 
 
@@ -172,8 +156,10 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _word_hash(word: Column) -> Column:
-    return F.xxhash64("vclass", word)
+def _phrase_hash(size: int) -> Column:
+    """What `found` above makes of the words of a phrase."""
+    words = [F.xxhash64("vclass", F.split("phrase", " ")[i]) for i in range(size)]
+    return reduce(lambda done, word: F.shiftleft(done, 1).bitwiseOR(F.shiftrightunsigned(done, 63)).bitwiseXOR(word), words)
 
 
 def frequent_phrases(records: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
@@ -183,16 +169,10 @@ def frequent_phrases(records: DataFrame, least: int, longest: int) -> tuple[Data
     totals = words.groupBy("vclass").agg(F.sum("f").alias("n"))
     kept = words.where(F.col("f") >= least)
     found = kept
-    if longest > 1:
-        pairs = checkpointed(_counted(records, _count_pairs(_bitmap(kept.select(_word_hash(F.col("phrase")).alias("bit"))))).where(F.col("f") >= least))
-        found = found.unionByName(pairs)
-    if longest > 2:
-        second = _word_hash(F.substring_index("phrase", " ", -1))
-        bits = pairs.select(_word_hash(F.substring_index("phrase", " ", 1)).bitwiseXOR(
-            F.shiftleft(second, 1).bitwiseOR(F.shiftrightunsigned(second, 63))).alias("bit"))
-        windows = _counted(records, _count_windows(_bitmap(bits), longest)).withColumn("w", F.split("phrase", " "))
-        starts = windows.select("vclass", "f", F.explode(F.transform(F.sequence(F.lit(3), F.size("w")), lambda m: F.array_join(F.slice("w", 1, m), " "))).alias("phrase"))
-        found = found.unionByName(starts.groupBy("vclass", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("vclass", "phrase", "f"))
+    for size in range(2, longest + 1):
+        bitmap = _bitmap(kept.select(_phrase_hash(size - 1).alias("bit")))
+        kept = checkpointed(_counted(records, _count_phrases(bitmap, size)).where(F.col("f") >= least))
+        found = found.unionByName(kept)
     return checkpointed(found.select("vclass", F.split("phrase", " ").alias("words"), "f")), totals
 
 
