@@ -7,6 +7,10 @@ evenly (the bias of the modulus is the group size over 2 to the 60).
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 from .numeric import as_col
@@ -18,3 +22,18 @@ def pick(draw, slot, size, seed: int) -> Column:
     """Index in 0..size-1 for (draw, slot)."""
     name = F.concat_ws("|", F.lit(str(int(seed))), as_col(draw).cast("string"), as_col(slot).cast("string"))
     return F.conv(F.substring(F.md5(name), 1, HEX_DIGITS), 16, 10).cast("bigint") % as_col(size).cast("bigint")
+
+
+@lru_cache(maxsize=512)
+def _numbers(seed: int, draw: int, slots: int) -> np.ndarray:
+    return np.array([int(md5(b"%d|%d|%d" % (seed, draw, slot)).hexdigest()[:HEX_DIGITS], 16) for slot in range(slots)], np.int64)
+
+
+def picked(seed: int, draw: int, slots: int, size: int) -> np.ndarray:
+    """The same indices for slots 0..slots-1 of a draw, for use inside a task. Hashes are remembered for the next group."""
+    return _numbers(seed, draw, slots) % size
+
+
+def picked_in_draws(seed: int, draws: int, slot: int) -> np.ndarray:
+    """Hashes of one slot in draws 1..draws; the index is their remainder by a size."""
+    return np.array([int(md5(b"%d|%d|%d" % (seed, draw, slot)).hexdigest()[:HEX_DIGITS], 16) for draw in range(1, draws + 1)], np.int64)

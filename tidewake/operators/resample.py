@@ -1,20 +1,25 @@
 """Cluster bootstrap, permutation and leave-one-out as joins and aggregates.
 
-Rows are reduced to one sum per (group, cluster) before any draw is made. A draw is a set of
-(draw, slot) rows, spread over the cluster by (group, draw), and every pick comes from integer
-arithmetic, so a retried task repeats it exactly.
+Rows are reduced to one sum per (group, cluster) before any draw is made. How often a draw takes a cluster is counted where
+the cluster's sums are: blocks of clusters meet runs of draws, and a block sends one row of sums per draw. Every pick is
+a hash of (seed, draw, slot), so a retried task repeats it exactly.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewake.functions.draws import pick
+from tidewake.functions.draws import picked, picked_in_draws
 from tidewake.functions.numeric import ratio
 from .ordered import stable_index
-from .sizing import checkpointed
+from .sizing import checkpointed, spread
 
 INTERVAL = (0.025, 0.975)
+#: Clusters and draws that one task holds at once, and groups of permutation sums.
+CLUSTERS_AT_ONCE, DRAWS_AT_ONCE, GROUPS_AT_ONCE = 1024, 250, 1000
 
 
 def replicate_sums(df: DataFrame, groups, cluster: str, sums, *, draws: int, seed: int,
@@ -26,13 +31,35 @@ def replicate_sums(df: DataFrame, groups, cluster: str, sums, *, draws: int, see
     per = checkpointed(df.groupBy(*groups, cluster).agg(*[F.sum(c).cast("double").alias(c) for c in sums]))
     totals = per.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_clusters"), *[F.sum(c).alias(c) for c in sums])
     indexed = stable_index(per, groups, cluster, "_i").drop(cluster)
-    slots = (totals.filter(F.col("n_clusters") >= min_clusters).select(*groups, "n_clusters")
-             .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(int(draws)))))
-             .repartition(*groups, "draw")
-             .withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_clusters") - 1)))
-             .withColumn("_i", pick("draw", "_slot", "n_clusters", seed)))
-    drawn = slots.join(indexed, [*groups, "_i"]).groupBy(*groups, "draw").agg(*[F.sum(c).alias(c) for c in sums])
-    return totals, drawn
+    if groups:
+        sized = indexed.join(totals.select(*groups, "n_clusters"), groups)
+    else:
+        sized = indexed.withColumn("n_clusters", totals.select("n_clusters").scalar())
+    parts = -(-int(draws) // DRAWS_AT_ONCE)
+    dealt = (sized.filter(F.col("n_clusters") >= min_clusters)
+             .withColumn("_block", F.floor(F.col("_i") / CLUSTERS_AT_ONCE)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+    keys = [*groups, "_block", "_part"]
+
+    def drawn_sums(rows: pa.Table) -> pa.Table:
+        """Sums of one block of clusters in one run of draws: how often each cluster was drawn, times its sums."""
+        first, n = rows.column("_block")[0].as_py() * CLUSTERS_AT_ONCE, rows.column("n_clusters")[0].as_py()
+        at = rows.column("_i").to_numpy() - first
+        values = np.zeros((CLUSTERS_AT_ONCE, len(sums)))
+        values[at] = np.nan_to_num(np.stack([rows.column(c).to_numpy() for c in sums], axis=1))
+        start = rows.column("_part")[0].as_py() * DRAWS_AT_ONCE
+        numbers = np.arange(start + 1, min(start + DRAWS_AT_ONCE, draws) + 1)
+        counts = np.zeros((len(numbers), CLUSTERS_AT_ONCE))
+        for row, draw in enumerate(numbers.tolist()):
+            index = picked(seed, draw, n, n) - first
+            counts[row] = np.bincount(index[(index >= 0) & (index < CLUSTERS_AT_ONCE)], minlength=CLUSTERS_AT_ONCE)
+        found = counts @ values
+        same = [pa.array([rows.column(g)[0].as_py()] * len(numbers), rows.column(g).type) for g in groups]
+        return pa.table([*same, pa.array(numbers), *[pa.array(found[:, i]) for i in range(len(sums))]], names=[*groups, "draw", *sums])
+
+    kinds = dict(per.dtypes)
+    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in groups], "draw bigint", *[f"`{c}` double" for c in sums]])
+    blocks = spread(dealt.select(*keys, "_i", "n_clusters", *sums), *keys).groupBy(*keys).applyInArrow(drawn_sums, schema)
+    return totals, blocks.groupBy(*groups, "draw").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def bootstrap(df: DataFrame, groups, cluster: str, sums, stats: dict, *, draws: int = 1000,
@@ -138,18 +165,38 @@ def permutation_test(real: DataFrame, placebo: DataFrame, groups, pair, year: st
     """Pooled real ratio against draws of one placebo year per pair.
 
     groups, real_ratio, null_median, null_lo, null_hi, p_perm. A pair has at most one placebo
-    row per baseline year.
+    row per baseline year, so its years fit in one array; a task adds up the draws of its pairs and sends one row per group and draw.
     """
     groups, pair = list(groups), list(pair)
-    order = Window.partitionBy(*groups, *pair).orderBy(year)
-    rows = placebo.select(*groups, *pair, year, num, den).withColumn("_j", (F.row_number().over(order) - 1).cast("bigint"))
-    sizes = (placebo.groupBy(*groups, *pair).agg(F.count(F.lit(1)).alias("_m"))
-             .withColumn("_slot", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *pair)), 1, 8), 16, 10).cast("bigint"),
-                                         F.lit(1_000_003))))
-    drawn = (sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(int(draws)))))
-             .withColumn("_j", pick("draw", "_slot", "_m", seed))
-             .join(rows, [*groups, *pair, "_j"])
-             .groupBy(*groups, "draw").agg(ratio(F.sum(num), F.sum(den)).alias("_r")))
+    years = F.sort_array(F.collect_list(F.struct(F.col(year).alias("y"), F.col(num).cast("double").alias("num"), F.col(den).cast("double").alias("den"))))
+    packed = (placebo.groupBy(*groups, *pair).agg(years.alias("_years"))
+              .select(*groups, F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *pair)), 1, 8), 16, 10).cast("bigint"),
+                                      F.lit(1_000_003)).alias("_slot"), F.col("_years.num").alias("_num"), F.col("_years.den").alias("_den")))
+
+    def added(batches):
+        held: dict = {}
+        last = (None, None)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["_slot"] != last[0]:
+                    last = (row["_slot"], picked_in_draws(seed, draws, row["_slot"]))
+                index = last[1] % len(row["_num"])
+                sums = held.setdefault(tuple(row[g] for g in groups), np.zeros((2, draws)))
+                sums += np.array([row["_num"], row["_den"]], float)[:, index]
+                if len(held) > GROUPS_AT_ONCE:
+                    yield from flush(held)
+        yield from flush(held)
+
+    def flush(held):
+        for key, (a, b) in held.items():
+            yield pa.record_batch([*[pa.array([v] * draws, kind) for v, kind in zip(key, kinds)], pa.array(np.arange(1, draws + 1)), pa.array(a), pa.array(b)],
+                                  names=[*groups, "draw", "_a", "_b"])
+        held.clear()
+
+    kinds = [to_arrow_type(placebo.schema[g].dataType) for g in groups]
+    schema = ", ".join([*[f"`{g}` {placebo.schema[g].dataType.simpleString()}" for g in groups], "draw bigint, _a double, _b double"])
+    drawn = (spread(packed, "_slot").sortWithinPartitions("_slot").mapInArrow(added, schema)
+             .groupBy(*groups, "draw").agg(ratio(F.sum("_a"), F.sum("_b")).alias("_r")))
     key = groups or ["_all"]
     with_key = lambda d: d if groups else d.withColumn("_all", F.lit(1))
     truth = with_key(real).groupBy(*key).agg(ratio(F.sum(num), F.sum(den)).alias("real_ratio"))
