@@ -249,26 +249,50 @@ def standardised_predictors(spark, d):
     return rounded(rg.zscores(reg_rows(spark, d), ["x", "w"]).select("SID", "unit", "x", "w"), {"x": 6, "w": 6})
 
 
-DIV = """dv AS (SELECT *, "window" AS wd, CASE WHEN "window"='storm' THEN k_days WHEN "window"='after' THEN 10 ELSE k_days+32 END AS days FROM wsum),
-dg AS (SELECT *, ln(obs_hours/exp_hours) AS lh, ln(obs_co2/exp_co2) AS lc, ln(obs_nox/exp_nox) AS lno, ln(obs_co2/exp_co2)-ln(obs_hours/exp_hours) AS g, ln(obs_nox/exp_nox)-ln(obs_hours/exp_hours) AS g_nox, exp_hours/days AS hours_day FROM dv),
-bd AS (SELECT wd, zone, greatest(avg(abs(lh)),0.02) AS th, greatest(avg(abs(lc)),0.02) AS tc, greatest(avg(abs(lno)),0.02) AS tn, greatest(avg(abs(g)),0.02) AS tg FROM dg WHERE py<>0 AND hours_day>=24 GROUP BY wd, zone),
-cl AS (SELECT dg.*, th, tc, tn, tg, CASE WHEN NOT (th IS NOT NULL AND hours_day>=24) THEN 'no data' WHEN abs(lh)<=th AND abs(lc)<=tc THEN 'no response' WHEN abs(g)<=tg THEN 'coupled' WHEN abs(lh)>th AND abs(lc)>tc AND sign(lh)<>sign(lc) THEN 'absolute'
-  WHEN abs(lc)>abs(lh) THEN 'relative (amplified)' ELSE 'relative (damped)' END AS cls FROM dg LEFT JOIN bd USING (wd, zone))"""
+MEASURES = ["lh", "lc", "ln", "g", "g_nox"]
+GAP_ROWS = """dv AS (SELECT *, "window" AS wd, CASE WHEN "window"='storm' THEN k_days WHEN "window"='after' THEN 10 ELSE k_days+32 END AS days FROM wsum),
+dg AS (SELECT *, ln(obs_hours/exp_hours) AS lh, ln(obs_co2/exp_co2) AS lc, ln(obs_nox/exp_nox) AS lno, ln(obs_co2/exp_co2)-ln(obs_hours/exp_hours) AS g, ln(obs_nox/exp_nox)-ln(obs_hours/exp_hours) AS g_nox,
+  exp_hours/days AS hours_day, ln(exp_co2/days) AS size, ln(days) AS ld FROM dv),
+bi AS MATERIALIZED (SELECT * REPLACE (abs(a) AS a) FROM (SELECT wd, zone, size, ld, unnest(['lh','lc','ln','g','g_nox']) AS measure, unnest([lh,lc,lno,g,g_nox]) AS a FROM dg WHERE py<>0 AND hours_day>=24) WHERE isfinite(a) AND isfinite(size))"""
+FIT_ROUNDS = 24
+
+
+def band_fit_sql(rounds=FIT_ROUNDS):
+    """Quantile fits of |response| on 1, size and ld by reweighted least squares, one statement per round."""
+    sums = """count(*) AS n, sum(w) AS s0, sum(w*size) AS s1, sum(w*ld) AS s2, sum(w*size*size) AS s11, sum(w*size*ld) AS s12, sum(w*ld*ld) AS s22, sum(w*a*a) AS yy,
+ sum(w*a)+{p}*count(*) AS t0, sum(w*size*a)+{p}*sum(size) AS t1, sum(w*ld*a)+{p}*sum(ld) AS t2"""
+    centred = "SELECT *, s11-s1*s1/s0 AS c11, s12-s1*s2/s0 AS c12, s22-s2*s2/s0 AS c22, t1-s1*t0/s0 AS u1, t2-s2*t0/s0 AS u2 FROM ({rows})"
+    slopes = f"SELECT *, CASE WHEN c22-c12*c12/c11 > 1e-10*s22 THEN (c11*u2-c12*u1)/(c11*c22-c12*c12) ELSE 0 END AS b2 FROM ({centred})"
+    solve = f"SELECT *, (t0-s1*b1-s2*b2)/s0 AS b0 FROM (SELECT *, (u1-c12*b2)/c11 AS b1 FROM ({slopes}))"
+    first = solve.format(rows=f"SELECT wd, zone, measure, {sums.format(p='0')} FROM (SELECT *, 1.0::DOUBLE AS w FROM bi) GROUP BY ALL HAVING count(*)>=50")
+    parts = [f"q0 AS (SELECT wd, zone, measure, b0+1.6448536269514722*sqrt(greatest(yy-b0*t0-b1*t1-b2*t2,0)/n) AS b0, b1, b2, n FROM ({first}))"]
+    for i in range(rounds):
+        rows = f"SELECT wd, zone, measure, {sums.format(p='0.9')} FROM (SELECT bi.*, 1.0::DOUBLE/(1e-6+abs(a-b0-b1*size-b2*ld)) AS w FROM bi JOIN q{i} USING (wd, zone, measure)) GROUP BY ALL"
+        parts.append(f"q{i + 1} AS MATERIALIZED (SELECT wd, zone, measure, b0, b1, b2, n FROM ({solve.format(rows=rows)}))")
+    parts.append(f"fits AS (SELECT wd, zone, measure, round(b0,4) AS c0, round(b1,4) AS c1, round(b2,4) AS c2, n FROM q{rounds})")
+    return ",\n".join(parts)
+
+
+DIV = GAP_ROWS + ",\n" + band_fit_sql() + """,
+bw AS (SELECT wd, zone, """ + ", ".join(f"max(CASE WHEN measure='{m}' THEN [c0,c1,c2] END) AS k_{m}" for m in MEASURES) + """ FROM fits GROUP BY wd, zone),
+bd AS (SELECT dg.*, """ + ", ".join(f"CASE WHEN k_{m} IS NOT NULL THEN greatest(k_{m}[1]+k_{m}[2]*size+k_{m}[3]*ld, 0.02) END AS {t}" for m, t in zip(MEASURES, ["th", "tc", "tn", "tg", "tgn"])) + """ FROM dg LEFT JOIN bw USING (wd, zone)),
+cl AS (SELECT *, CASE WHEN NOT (th IS NOT NULL AND hours_day>=24) THEN 'no data' WHEN abs(lh)<=th AND abs(lc)<=tc THEN 'no response' WHEN abs(g)<=tg THEN 'coupled' WHEN abs(lh)>th AND abs(lc)>tc AND sign(lh)<>sign(lc) THEN 'absolute'
+  WHEN abs(lc)>abs(lh) THEN 'relative (amplified)' ELSE 'relative (damped)' END AS cls FROM bd)"""
 
 
 def divergences(spark, d):
     return pr.divergence(wsum(spark, d))
 
 
-def mean_bands(div):
-    """Noise band = mean |response| of the placebo dates, in the shape of fitted bands."""
-    return (pr.band_inputs(div.filter("py <> 0")).filter("a IS NOT NULL").groupBy("window", "zone", "measure")
-            .agg(F.avg("a").alias("intercept")).withColumn("size", F.lit(0.0)).withColumn("ld", F.lit(0.0)))
+def fitted_bands(div):
+    """Noise bands of the placebo dates with four digits."""
+    return rg.quantile_bands(pr.band_inputs(div.filter("py <> 0")), ["window", "zone", "measure"], "a", ["size", "ld"], rounds=FIT_ROUNDS, digits=4)
 
 
 def classified(spark, d):
+    """Fit, apply and classify in one chain."""
     div = divergences(spark, d)
-    return pr.classify_divergence(pr.apply_bands(div, mean_bands(div)))
+    return pr.classify_divergence(pr.apply_bands(div, fitted_bands(div)))
 
 
 @query("divergence_class", sql(WSUM, DIV, body='SELECT SID, unit, py, wd AS "window", zone, round(lh,6) AS lh, round(lc,6) AS lc, round(g,6) AS g, round(hours_day,4) AS hours_day, cls FROM cl'))
@@ -277,14 +301,12 @@ def divergence_class(spark, d):
     return rounded(out, {"lh": 6, "lc": 6, "g": 6, "hours_day": 4})
 
 
-@query("noise_bands")
+@query("noise_bands", sql(WSUM, GAP_ROWS, band_fit_sql(), body='SELECT wd AS "window", zone, measure, round(c0,3) AS intercept, round(c1,3) AS size, round(c2,3) AS ld, n FROM fits'))
 def noise_bands(spark, d):
-    rows = pr.band_inputs(divergences(spark, d).filter("py <> 0"))
-    return rounded(rg.quantile_bands(rows, ["window", "zone", "measure"], "a", ["size", "ld"]), {"intercept": 4, "size": 4, "ld": 4})
+    return rounded(fitted_bands(divergences(spark, d)).drop("moved"), {"intercept": 3, "size": 3, "ld": 3})
 
 
-@query("noise_band_checks", sql(WSUM, DIV, body="""SELECT wd AS "window", zone, measure, count(*) AS n, true AS five_percent_above FROM (SELECT wd, zone, unnest(['lh','lc','ln','g','g_nox']) AS measure, unnest([lh,lc,lno,g,g_nox]) AS a FROM dg WHERE py<>0 AND hours_day>=24)
- WHERE a IS NOT NULL AND isfinite(a) GROUP BY ALL HAVING count(*) >= 50"""))
+@query("noise_band_checks", sql(WSUM, GAP_ROWS, body="""SELECT wd AS "window", zone, measure, count(*) AS n, true AS five_percent_above FROM bi GROUP BY ALL HAVING count(*) >= 50"""))
 def noise_band_checks(spark, d):
     """Rows each band is fitted on, and whether a twentieth of them, give or take the terms of the fit, lies above it."""
     keys = ["window", "zone", "measure"]

@@ -7,7 +7,7 @@ from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewake.functions.numeric import finite
 from .quantiles import normal_two_sided
@@ -136,53 +136,71 @@ def leave_top_out(df: DataFrame, y: str, xs, unit: str, rank_by: str, focus: str
     return out
 
 
+def _part(factor, pivot) -> Column:
+    """factor * pivot, 0 for a pivot that is left out (its factors are 0)."""
+    return F.when(pivot < float("inf"), factor * pivot).otherwise(0.0)
+
+
+def solved(matrix, right, names) -> list[tuple[str, Column]]:
+    """Columns, in the order to add them, whose last k are the solution of a symmetric k x k system by elimination:
+    matrix(i, j) for i >= j and right(i) are columns. A term that the ones before it determine gets 0."""
+    k, col = len(names), F.col
+    steps: list[tuple[str, Column]] = []
+    for j in range(k):
+        before = [(col(f"_l{j}_{m}"), col(f"_d{m}")) for m in range(j)]
+        pivot = matrix(j, j) - sum((_part(left * left, d) for left, d in before), F.lit(0.0))
+        steps.append((f"_d{j}", F.when(pivot > 1e-10 * matrix(j, j), pivot).otherwise(float("inf"))))
+        for i in range(j + 1, k):
+            cross = sum((_part(col(f"_l{i}_{m}") * left, d) for m, (left, d) in enumerate(before)), F.lit(0.0))
+            steps.append((f"_l{i}_{j}", (matrix(i, j) - cross) / col(f"_d{j}")))
+        steps.append((f"_z{j}", right(j) - sum((left * col(f"_z{m}") for m, (left, _) in enumerate(before)), F.lit(0.0))))
+    for j in reversed(range(k)):
+        steps.append((names[j], col(f"_z{j}") / col(f"_d{j}") - sum((col(f"_l{i}_{j}") * col(names[i]) for i in range(j + 1, k)), F.lit(0.0))))
+    return steps
+
+
+def _added(df: DataFrame, steps) -> DataFrame:
+    for name, column in steps:
+        df = df.withColumn(name, column)
+    return df
+
+
+#: Rounds that are one job, and groups up to which their coefficients are sent to all tasks.
+ROUNDS_AT_ONCE, MAX_SENT_GROUPS = 4, 10_000
+
+
 def quantile_bands(df: DataFrame, groups, y: str, xs, *, q: float = 0.95, min_rows: int = 50,
-                   iterations: int = 40, floor: float = 1e-6, tolerance: float = 5e-4) -> DataFrame:
+                   rounds: int = 24, floor: float = 1e-6, digits: int | None = None) -> DataFrame:
     """Quantile regression of y on xs for every group at once: groups, intercept, one column per
-    x, n, rounds and converged.
+    x, n, and moved, the largest change of a coefficient in the last round.
 
-    Each round is one aggregate of weighted moments over all groups. It stops when no
-    coefficient moves by more than `tolerance`, a fortieth of the smallest band, or after `iterations` rounds; a group whose
-    last step was larger than the tolerance says so in `converged`. The number of groups is a product of small
-    vocabularies (window, zone, measure); their k x k systems are solved on the driver.
+    Rows are weighted by the inverse of their distance to the last fit, starting from the mean line raised to the quantile
+    of a normal. A round is one aggregate of weighted moments over all groups, and its k x k systems are solved by column
+    expressions, so rounds are chained without the driver; the number of rounds is fixed, so that every engine can repeat
+    them. digits rounds the coefficients, as published ones are. Terms that do not vary in a group get 0.
     """
     groups, xs = list(groups), list(xs)
-    data = complete_rows(df.select(*groups, y, *xs), [y, *xs])
-    data = checkpointed(data)
-    cols = [F.lit(1.0), *[F.col(x) for x in xs]]
-    k = len(cols)
-    spark = df.sparkSession
-    kinds = dict(data.dtypes)
-    schema = ", ".join([*[f"{g} {kinds[g]}" for g in groups], *[f"_b{i} double" for i in range(k)]])
-    aggs = lambda w: [F.count(F.lit(1)).alias("n"), F.sum(w * F.col(y) * F.col(y)).alias("yy"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)],
-                      *[F.sum(w * cols[i] * cols[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)],
-                      *[F.sum(w * cols[i] * F.col(y)).alias(f"b{i}") for i in range(k)]]
-    beta: dict = {}
-    sizes: dict = {}
-    steps: dict = {}
-    for step in range(iterations):
-        if step == 0:
-            rows = data.groupBy(*groups).agg(*aggs(F.lit(1.0))).filter(F.col("n") >= min_rows).collect()
-        else:
-            coefs = spark.createDataFrame([(*g, *map(float, v)) for g, v in beta.items()], schema)
-            fitted = sum(F.col(f"_b{i}") * c for i, c in enumerate(cols))
-            weight = 1.0 / (F.lit(floor) + F.abs(F.col(y) - fitted))
-            rows = data.join(F.broadcast(coefs), groups).groupBy(*groups).agg(*aggs(weight)).collect()
-        moved = 0.0
-        for r in rows:
-            g = tuple(r[x] for x in groups)
-            A = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-            b = np.array([r[f"b{i}"] for i in range(k)], dtype=float)
-            if step:
-                b = b + (2 * q - 1) * np.array([r[f"s{i}"] for i in range(k)], dtype=float)
-            new = np.linalg.lstsq(A, b, rcond=None)[0]
-            if step == 0:      # start near the quantile: the mean line raised by a normal quantile
-                spread = math.sqrt(max(float(r["yy"]) - float(new @ b), 0.0) / r["n"])
-                new[0] += NormalDist().inv_cdf(q) * spread
-            steps[g] = float(np.max(np.abs(new - beta[g]))) if g in beta else math.inf
-            moved = max(moved, steps[g])
-            beta[g], sizes[g] = new, int(r["n"])
-        if not rows or moved < tolerance:
-            break
-    out = ", ".join([*[f"{g} {kinds[g]}" for g in groups], "intercept double", *[f"{x} double" for x in xs], "n bigint", "rounds int", "converged boolean"])
-    return spark.createDataFrame([(*g, *map(float, v), sizes[g], step + 1, steps[g] < tolerance) for g, v in beta.items()], out)
+    data = checkpointed(complete_rows(df.select(*groups, y, *xs), [y, *xs]))
+    cols, k = [F.lit(1.0), *[F.col(x) for x in xs]], len(xs) + 1
+    beta = [f"_b{i}" for i in range(k)]
+
+    def moments(w):
+        return [F.count(F.lit(1)).alias("n"), F.sum(w * F.col(y) * F.col(y)).alias("_yy"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)],
+                *[F.sum(w * cols[i] * cols[j]).alias(f"_a{i}_{j}") for i in range(k) for j in range(i + 1)], *[F.sum(w * cols[i] * F.col(y)).alias(f"_t{i}") for i in range(k)]]
+
+    steps = solved(lambda i, j: F.col(f"_a{i}_{j}"), lambda i: F.col(f"_t{i}"), beta)
+    start = _added(data.groupBy(*groups).agg(*moments(F.lit(1.0))).filter(F.col("n") >= min_rows), steps)
+    spread = F.sqrt(F.greatest(F.col("_yy") - sum(F.col(b) * F.col(f"_t{i}") for i, b in enumerate(beta)), F.lit(0.0)) / F.col("n"))
+    fits = checkpointed(start.withColumn("_b0", F.col("_b0") + NormalDist().inv_cdf(q) * spread).select(*groups, *beta, "n", F.lit(None).cast("double").alias("moved")))
+    sent = F.broadcast if fits.count() <= MAX_SENT_GROUPS else (lambda small: small)
+    fitted = sum(F.col(f"_p{i}") * c for i, c in enumerate(cols))
+    for step in range(1, rounds + 1):
+        before = fits.select(*groups, *[F.col(b).alias(f"_p{i}") for i, b in enumerate(beta)])
+        sums = data.join(sent(before), groups).groupBy(*groups, *[f"_p{i}" for i in range(k)]).agg(*moments(1.0 / (floor + F.abs(F.col(y) - fitted))))
+        pulled = sums.withColumns({f"_t{i}": F.col(f"_t{i}") + (2 * q - 1) * F.col(f"_s{i}") for i in range(k)})
+        moved = F.greatest(*[F.abs(F.col(b) - F.col(f"_p{i}")) for i, b in enumerate(beta)])
+        fits = _added(pulled, steps).select(*groups, *beta, "n", moved.alias("moved"))
+        if step % ROUNDS_AT_ONCE == 0 or step == rounds:
+            fits = checkpointed(fits)
+    given = (lambda b: F.round(b, digits)) if digits is not None else F.col
+    return fits.select(*groups, *[given(b).alias(name) for b, name in zip(beta, ["intercept", *xs])], "n", "moved")
