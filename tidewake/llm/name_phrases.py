@@ -32,6 +32,8 @@ BITS = 1 << 26
 BITMAP_BITS = 1 << 15                       # of one row of Spark's bitmap aggregate
 #: A task passes on what it has counted after so many words, or so many different ones.
 FLUSH_WORDS, FLUSH_DISTINCT = 1 << 22, 1 << 20
+#: Rows that a task hands to Spark at once.
+SENT_ROWS = 1 << 16
 #: Bytes of text that are split into words at once; a piece without punctuation is never cut.
 SLICE = 1 << 22
 # A-Z become a-z, everything that ends a piece becomes a full stop
@@ -76,7 +78,9 @@ def _counted(records: DataFrame, count: Counter) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for vclass, (numbers, runs) in held.items():
                 phrase, f = count(vclass, list(numbers), runs)
-                yield pa.record_batch({"vclass": pa.array([vclass] * len(f), pa.string()), "phrase": phrase.cast(pa.string()), "f": pa.array(f, pa.int64())})
+                for at in range(0, len(f), SENT_ROWS):
+                    some = f[at:at + SENT_ROWS]
+                    yield pa.record_batch({"vclass": pa.array([vclass] * len(some), pa.string()), "phrase": phrase.slice(at, SENT_ROWS).cast(pa.string()), "f": pa.array(some, pa.int64())})
             held.clear()
 
         for batch in batches:
