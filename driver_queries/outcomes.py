@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions.binning import cut
 from tidewake.functions.numeric import ratio
-from tidewake.operators import emission as em, normal as nm, products as pr, quantiles as qt, regress as rg, resample as rs
+from tidewake.operators import emission as em, normal as nm, products as pr, quantiles as qt, regress as rg, resample as rs, specifications as spc
 
 from tidewake.operators.sizing import checkpointed
 from . import standins as s
@@ -244,6 +244,85 @@ def two_way_nested_specs(spark, d):
     return rounded(out.select("spec", "clustering", "coef", "se", "n"), {"coef": 6, "se": 6})
 
 
+# events of forty ports with storm and port covariates
+def _pcols(div, dbl):
+    q = lambda a, b: f"({a} {div} {b})"
+    return dict(SID="l_suppkey", pn="l_partkey % 40", py=f"{q('l_orderkey', 18)} % 4", window=nth("l_orderkey % 3", WINDOW), zone=nth(f"{q('l_orderkey', 3)} % 6", TIER),
+                k_days="1 + (l_suppkey + l_partkey % 40) % 5", wind="30 + (l_suppkey*7) % 90", intensity=INTENSITY)
+
+
+def _covariates(dbl):
+    """Covariates of an event from its storm and port numbers."""
+    return dict(dist=f"((SID*31 + pn*17) % 500) / 2.5{dbl}", surge_m=f"CASE WHEN (SID+pn) % 7 > 0 THEN ((SID*13 + pn*7) % 40) / 10.0{dbl} END",
+                rain_mm=f"CASE WHEN (SID*3+pn) % 11 > 0 THEN ((SID*29 + pn*3) % 300) / 1.0{dbl} END", landfall="(SID*5 + pn*3) % 2", season="2015 + SID % 9", gulf="CASE WHEN pn % 3 = 0 THEN 1 ELSE 0 END")
+
+
+def _port_shares(dbl):
+    return {"wait_sh": f"((pn*37) % 29 + 1) / 60.0{dbl}", "tanker_sh": f"((pn*17) % 31) / 62.0{dbl}", "passenger_sh": f"((pn*11) % 13) / 52.0{dbl}", "other_sh": f"((pn*7) % 19) / 57.0{dbl}",
+            "open_sh": f"((pn*23) % 17) / 34.0{dbl}", "all": f"1000.0{dbl} + ((pn*7919) % 997) * 13", "days": "365"}
+
+
+PSUM = ("psum AS (SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in _pcols("//", "::DOUBLE").items()) + ", " + ", ".join(f"sum({e.format(d='::DOUBLE')}) AS {n}" for n, e in SUMS.items()) + " FROM lineitem GROUP BY ALL)")
+PORTS = "pt AS (SELECT DISTINCT pn, 'P' || pn AS port, " + ", ".join(f'{e} AS "{n}"' for n, e in _port_shares("::DOUBLE").items()) + " FROM psum)"
+
+
+def port_events(spark, d):
+    """Responses of events and placebo dates at forty ports, with covariates."""
+    keys = _pcols("div", "D")
+    rows = s.table(spark, d, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in keys.items()], *[f"{e.format(d='D')} AS {n}" for n, e in SUMS.items()])
+    sums = checkpointed(rows.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in SUMS]))
+    return pr.divergence(sums).selectExpr("*", "concat('P', pn) AS port", "py <> 0 AS placebo", *[f"{e} AS {n}" for n, e in _covariates("D").items()])
+
+
+def port_table(spark, d):
+    numbers = s.table(spark, d, "lineitem").selectExpr("l_partkey % 40 AS pn").distinct()
+    shares = numbers.selectExpr("concat('P', pn) AS port", *[f"{e} AS `{n}`" for n, e in _port_shares("D").items()])
+    return checkpointed(shares.withColumn("layout", pr.layout("open_sh", "wait_sh")))
+
+
+TERMS = [*spc.STORM_TERMS, *spc.SIZE_TERMS, *spc.FLEET_TERMS, "gulf", *spc.PLACE_TERMS, "season"]
+DESIGN = """pd AS (SELECT *, py<>0 AS placebo, "window" AS wd, CASE WHEN "window"='storm' THEN k_days WHEN "window"='after' THEN 10 ELSE k_days+32 END AS edays, """ + ", ".join(f"{e} AS {n}" for n, e in _covariates("::DOUBLE").items()) + """ FROM psum),
+nh AS (SELECT pn, avg(exp_hours/edays) AS hd FROM pd WHERE NOT placebo AND wd='event30' AND zone='total' GROUP BY pn),
+nw AS (SELECT pn, avg(h) AS wh FROM (SELECT pn, SID, sum(exp_hours/edays) AS h FROM pd WHERE NOT placebo AND wd='event30' AND zone IN ('anchorage','offshore_hold') GROUP BY pn, SID) GROUP BY pn),
+de AS (SELECT SID, port, placebo, wd, ln(obs_co2/exp_co2) AS lc, ln(obs_nox/exp_nox) AS lno, wait_sh, ln(1+coalesce(wh,0)) AS log_wait, wind, CASE WHEN intensity='""" + STS + """' THEN 1 ELSE 0 END AS i_strong, CASE WHEN intensity='""" + HU + """' THEN 1 ELSE 0 END AS i_hurricane,
+ ln(greatest(dist,5)) AS log_dist, k_days, coalesce(surge_m,0) AS surge_m, coalesce(rain_mm,0) AS rain_mm, landfall, CASE WHEN surge_m IS NULL OR rain_mm IS NULL THEN 1 ELSE 0 END AS met_missing, ln("all"/days) AS log_co2_day, ln(hd) AS log_hours_day,
+ tanker_sh, passenger_sh, other_sh, gulf, open_sh, CASE WHEN open_sh < .05 THEN 1 ELSE 0 END AS river, season FROM pd JOIN pt USING (pn) LEFT JOIN nh USING (pn) LEFT JOIN nw USING (pn) WHERE zone='total' AND hd IS NOT NULL)"""
+
+
+def _spec_sql():
+    """All 51 fits as one long table whose terms are projected out one after the other."""
+    sizes, n = [], 0
+    for name, more in spc.NESTED.items():
+        n += len(more)
+        sizes.append(f"('{name}', {n}, 'wait_sh', false, false)")
+    sizes += [f"('8 absolute waiting capacity', {n}, 'log_wait', false, false)", f"('9 without ', {n}, 'wait_sh', false, true)", f"('10 placebo dates', {n}, 'wait_sh', true, false)"]
+    parts = ["o(outcome, ow, oy) AS (VALUES " + ", ".join(f"('{n}', '{w}', '{y}')" for n, (w, y) in spc.OUTCOMES.items()) + ")",
+             "sp0(spec, m, focus, pl, lo) AS (VALUES " + ", ".join(sizes) + ")",
+             "tp AS (SELECT port AS gone FROM pt ORDER BY wait_sh DESC, port LIMIT 8)",
+             "fl AS (SELECT outcome, ow, oy, spec || coalesce(gone, '') AS spec, m, focus, pl, gone FROM o, sp0 LEFT JOIN tp ON lo)",
+             "lf AS MATERIALIZED (SELECT outcome || '|' || spec AS sp, m, SID, port AS unit, CASE WHEN oy='lc' THEN lc ELSE lno END AS y, CASE WHEN focus='wait_sh' THEN wait_sh ELSE log_wait END AS f, "
+             + ", ".join(f"CAST(CASE WHEN {i} < m THEN {t} ELSE 0 END AS DOUBLE) AS x{i}" for i, t in enumerate(TERMS)) + " FROM fl JOIN de ON wd=ow AND placebo=pl AND (gone IS NULL OR port<>gone))",
+             "e0 AS MATERIALIZED (SELECT sp, SID, unit, stddev_samp(f) OVER w AS sd, y-avg(y) OVER w AS yt, f-avg(f) OVER w AS xt, 2 AS k, " + ", ".join(f"x{i}-avg(x{i}) OVER w AS x{i}" for i in range(len(TERMS))) + " FROM lf WINDOW w AS (PARTITION BY sp))",
+             "v0 AS (SELECT sp, " + ", ".join(f"sum(x{i}*x{i}) AS v{i}" for i in range(len(TERMS))) + " FROM e0 GROUP BY sp)"]
+    for i in range(len(TERMS)):
+        later = ["yt", "xt", *[f"x{j}" for j in range(i + 1, len(TERMS))]]
+        parts.append(f"g{i} AS (SELECT sp, sum(x{i}*x{i}) > 1e-10*any_value(v{i}) AS ok, " + ", ".join(f"sum(x{i}*{c})/sum(x{i}*x{i}) AS c_{c}" for c in later) + f" FROM e{i} JOIN v0 USING (sp) GROUP BY sp)")
+        parts.append(f"e{i + 1} AS MATERIALIZED (SELECT sp, SID, unit, sd, k + CASE WHEN ok THEN 1 ELSE 0 END AS k, " + ", ".join(f"{c} - CASE WHEN ok THEN c_{c} * x{i} ELSE 0 END AS {c}" for c in later) + f" FROM e{i} JOIN g{i} USING (sp))")
+    parts.append(focus_sql("a", f"e{len(TERMS)}"))
+    parts.append(f"""sc AS (SELECT sp, any_value(sd) AS sd FROM e0 GROUP BY sp),
+ac AS (SELECT sp, 'storm' AS clustering, ab.b, ab.n, v FROM ab JOIN "as" USING (sp) UNION ALL SELECT sp, 'port', ab.b, ab.n, v FROM ab JOIN ap USING (sp) UNION ALL
+ SELECT ab.sp, 'two-way', ab.b, ab.n, "as".v + ap.v - asp.v FROM ab JOIN "as" USING (sp) JOIN ap USING (sp) JOIN asp USING (sp))""")
+    return ",\n".join(parts)
+
+
+@query("waiting_specifications", sql(PSUM, PORTS, DESIGN, _spec_sql().replace("as AS (SELECT sp, g/", '"as" AS (SELECT sp, g/'), body="""SELECT split_part(sp,'|',1) AS outcome, split_part(sp,'|',2) AS spec, clustering, round(b*sd,6) AS coef, round(sd*sqrt(CASE WHEN v > 0 THEN v ELSE 'NaN'::DOUBLE END),6) AS se, n
+ FROM ac JOIN sc USING (sp) WHERE clustering='two-way' OR NOT (sp LIKE '%|9 %' OR sp LIKE '%|10 %')"""))
+def waiting_specifications(spark, d):
+    traits = port_table(spark, d)
+    design = checkpointed(spc.waiting_design(port_events(spark, d), traits, STS, HU))
+    return rounded(spc.waiting_specifications(design, traits).select("outcome", "spec", "clustering", "coef", "se", "n"), {"coef": 6, "se": 6})
+
+
 @query("standardised_predictors", sql(WSUM, REG, body="SELECT SID, unit, round((x-avg(x) OVER ())/stddev_samp(x) OVER (),6) AS x, round((w-avg(w) OVER ())/stddev_samp(w) OVER (),6) AS w FROM rg"))
 def standardised_predictors(spark, d):
     return rounded(rg.zscores(reg_rows(spark, d), ["x", "w"]).select("SID", "unit", "x", "w"), {"x": 6, "w": 6})
