@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewake.functions.numeric import finite
 from .quantiles import normal_two_sided
 from .regress import Z95
+from .sizing import checkpointed
 
 #: Sets of rows (which fits a row belongs to) whose moments the driver may hold; more mean that `where` conditions cut rows too finely.
 MAX_ROW_SETS = 20_000
@@ -102,7 +103,7 @@ def fit_all(df: DataFrame, fits: Sequence[Fit], clusters: dict[str, tuple[str, .
         return has_all if f.where is None else has_all & F.coalesce(f.where, F.lit(False))
 
     sets = F.concat(*[F.when(complete(f), "1").otherwise("0") for f in fits])
-    rows = there.withColumn("_set", sets).where(F.col("_set").contains("1")).select("_set", *ends, *names)
+    rows = checkpointed(there.withColumn("_set", sets).where(F.col("_set").contains("1")).select("_set", *ends, *names))
     value = [F.lit(1.0), *[F.coalesce(F.col(c), F.lit(0.0)) for c in names]]
     width = len(value)
     vector = rows.withColumn("_v", F.array(*value))
