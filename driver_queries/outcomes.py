@@ -258,19 +258,20 @@ def _covariates(dbl):
 
 
 def _port_shares(dbl):
-    return {"wait_sh": f"((pn*37) % 29 + 1) / 60.0{dbl}", "tanker_sh": f"((pn*17) % 31) / 62.0{dbl}", "passenger_sh": f"((pn*11) % 13) / 52.0{dbl}", "other_sh": f"((pn*7) % 19) / 57.0{dbl}",
+    return {"wait_sh": f"((pn*37) % 29 + 1) / 60.0{dbl}", "tanker_sh": f"((pn*17) % 31) / 50.0{dbl}", "passenger_sh": f"((pn*11) % 13) / 52.0{dbl}", "other_sh": f"((pn*7) % 19) / 40.0{dbl}", "cargo_sh": f"((pn*13) % 23) / 40.0{dbl}",
             "open_sh": f"((pn*23) % 17) / 34.0{dbl}", "all": f"1000.0{dbl} + ((pn*7919) % 997) * 13", "days": "365"}
 
 
-PSUM = ("psum AS (SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in _pcols("//", "::DOUBLE").items()) + ", " + ", ".join(f"sum({e.format(d='::DOUBLE')}) AS {n}" for n, e in SUMS.items()) + " FROM lineitem GROUP BY ALL)")
+PSUMS = SUMS | {"obs_hours": "l_quantity*100", "exp_hours": "l_quantity*100*(0.8{d} + 4*l_discount)"}
+PSUM = ("psum AS (SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in _pcols("//", "::DOUBLE").items()) + ", " + ", ".join(f"sum({e.format(d='::DOUBLE')}) AS {n}" for n, e in PSUMS.items()) + " FROM lineitem GROUP BY ALL)")
 PORTS = "pt AS (SELECT DISTINCT pn, 'P' || pn AS port, " + ", ".join(f'{e} AS "{n}"' for n, e in _port_shares("::DOUBLE").items()) + " FROM psum)"
 
 
 def port_events(spark, d):
     """Responses of events and placebo dates at forty ports, with covariates."""
     keys = _pcols("div", "D")
-    rows = s.table(spark, d, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in keys.items()], *[f"{e.format(d='D')} AS {n}" for n, e in SUMS.items()])
-    sums = checkpointed(rows.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in SUMS]))
+    rows = s.table(spark, d, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in keys.items()], *[f"{e.format(d='D')} AS {n}" for n, e in PSUMS.items()])
+    sums = checkpointed(rows.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in PSUMS]))
     return pr.divergence(sums).selectExpr("*", "concat('P', pn) AS port", "py <> 0 AS placebo", *[f"{e} AS {n}" for n, e in _covariates("D").items()])
 
 
