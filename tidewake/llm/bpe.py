@@ -12,7 +12,7 @@ the result is the one that merging pair by pair gives.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .columns import list_array, parse_ranks, put_columns, read_vocabulary
 
-#: Entries that a worker remembers of pieces and of neighbours before it starts afresh.
-MAX_REMEMBERED = 1 << 16
+#: Pieces that a worker remembers before the table becomes the old one, and neighbours before it starts afresh.
+MAX_REMEMBERED = 1 << 18
 BLOCK_CHARS = 1 << 20
 SLICE_ROWS = 256
 
@@ -46,7 +46,7 @@ class PairEncoder:
                 if token[:end] in ranks:
                     self.shorter[rank] = ranks[token[:end]]
                     break
-        self.remembered: dict[tuple[int, int], bool] = {}
+        self.remembered: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         for rank in sorted(self.tokens):
@@ -96,7 +96,7 @@ class PairEncoder:
                 left = split[1]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         found = self.remembered.get(key)
         if found is None:
             if len(self.remembered) >= MAX_REMEMBERED:
@@ -140,16 +140,17 @@ class PairEncoder:
 
 
 class Remembered(dict):
-    """Ids of pieces seen lately. A full table becomes the old one, whose entries are taken back when they are asked for."""
+    """Ids of pieces seen lately, packed as 32-bit numbers. A full table becomes the old one, whose entries are taken back when they are asked for."""
 
     def __init__(self, encoder: PairEncoder):
         super().__init__()
         self.encoder, self.old = encoder, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass"))
+            found = self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass"))
+            ids = pack(f"={len(found)}i", *found)
         if len(piece) <= 64:
             if len(self) >= MAX_REMEMBERED:
                 self.old = dict(self)
@@ -180,11 +181,12 @@ class TextEncoder:
             start = found.start() + 1
         yield text[start:]
 
+    def packed(self, text: str) -> bytes:
+        """Ids as 32-bit numbers."""
+        return b"".join([b"".join(map(self.known.__getitem__, self.pieces(block))) for block in self.blocks(text)])
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for block in self.blocks(text):
-            ids += chain.from_iterable(map(self.known.__getitem__, self.pieces(block)))
-        return ids
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
 _workers: dict = {}
@@ -221,10 +223,10 @@ def encode(records: DataFrame, vocabulary: str, pattern: str, text: str = "text"
             for i in range(0, len(batch), SLICE_ROWS):
                 flat, sizes, back = [], [], []
                 for value in batch.slice(i, SLICE_ROWS):
-                    own = encoder.encode(value.as_py() or "")
-                    flat.append(np.fromiter(own, np.int32, len(own)))
+                    own = np.frombuffer(encoder.packed(value.as_py() or ""), np.int32)
+                    flat.append(own)
                     sizes.append(len(own))
-                    back.append(b"".join(map(tokens.__getitem__, own)) if content else None)
+                    back.append(b"".join(map(tokens.__getitem__, own.tolist())) if content else None)
                 yield pa.StructArray.from_arrays([list_array(np.concatenate(flat), sizes, pa.int32()), pa.array(back, pa.binary())], fields=list(kind))
 
     found = put_columns(records, __bpe=encoded(F.col(text).cast("string")))
