@@ -143,15 +143,32 @@ TRAIN = """tr AS (SELECT e.SID, e.unit, date_diff('day', (SELECT min(date) FROM
  CAST(2 + least(floor((max(t)-min(t))/90),12) + CASE WHEN max(t)-min(t)>=28 THEN 6 ELSE 0 END + CASE WHEN max(t)-min(t)>=730 THEN 20 WHEN max(t)-min(t)>=365 THEN 6 ELSE 0 END AS INT) AS n_terms, 0.0::DOUBLE AS off_normal FROM tr GROUP BY SID, unit HAVING count(*)>=45 AND avg(y)>=1e-9"""))
 def trend_fit_checks(spark, d):
     """The fit's training days and terms, and how far its residuals are from satisfying the normal equations."""
-    facts, terms = wt.fitted_terms(s.daily(spark, d), s.events(spark, d), unit="unit", day="date", value="hours")
-    keys = ["SID", "unit"]
-    off = (terms.join(trend_fit.solve(terms, keys, "_x", "_y"), keys).withColumn("_r", F.col("_y") - trend_fit.product(F.col("_x"), F.col("coefficients")))
-           .select(*keys, "_r", F.posexplode("_x").alias("term", "_v")).groupBy(*keys, "term").agg(F.abs(F.avg(F.col("_v") * F.col("_r"))).alias("off"))
-           .groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n_terms"), F.max("off").alias("off_normal")))
-    out = facts.join(off, keys).select(*keys, F.col("_n").alias("n_train"), F.col("_first").alias("first_t"), F.col("_last").alias("last_t"), F.col("_within").alias("within"), F.col("_top").alias("top"), "n_terms", "off_normal")
+    fits = trend_fit.fit(s.daily(spark, d), s.events(spark, d).select("SID", "unit", "start", "end"), unit="unit", day="date", value="hours", mask=wt.MASK_DAYS, interval=wt.INTERVAL)
+    out = fits.select("SID", "unit", F.col("n_train").cast("bigint").alias("n_train"), "first_t", "last_t", "within", "top", F.size("coefficients").alias("n_terms"), "off_normal")
     return rounded(out, {"within": 4, "top": 4, "off_normal": 6})
 
 
+# coefficients as if published: a level near the mean, then small numbers
+GIVEN = "concat(array(2D), transform(sequence(1, 39), i -> CAST((SID * 7 + i * 13) % 11 - 5 AS DOUBLE) / (10 + i)))"
+CURVES = """gf AS (SELECT SID, unit, min(t) AS t0, max(t) AS t1, quantile_cont(t,0.8) AS within, 2*max(y)+stddev_samp(y)+1 AS top FROM tr GROUP BY SID, unit HAVING count(*)>=45 AND avg(y)>=1e-9),
+gl AS (SELECT *, t1-t0 AS len, CAST(least(floor((t1-t0)/90),12) AS INT) AS nh, CASE WHEN t1-t0>=28 THEN 3 ELSE 0 END AS nw, CASE WHEN t1-t0>=730 THEN 10 WHEN t1-t0>=365 THEN 3 ELSE 0 END AS ny,
+  list_concat([2.0::DOUBLE], [((SID*7+i*13) % 11 - 5)/(10.0::DOUBLE+i) for i in range(1,40)]) AS c FROM gf),
+ad AS (SELECT e.SID, e.unit, d.date, date_diff('day', (SELECT min(date) FROM days), d.date)::DOUBLE AS t, coalesce(p.hours,0) AS y, d.date BETWEEN e."start" - 10 AND e."end" + 10 AS masked FROM cov10 e CROSS JOIN days d LEFT JOIN daily p ON p.unit=e.unit AND p.date=d.date),
+fx AS (SELECT ad.*, top, c, list_concat([1.0::DOUBLE, t/greatest(len,1)], [greatest(t-t0-(within-t0)*k/(nh+1),0)/greatest(len,1) for k in range(1,nh+1)], [sin(2*pi()/7*t*k) for k in range(1,nw+1)], [cos(2*pi()/7*t*k) for k in range(1,nw+1)],
+  [sin(2*pi()/365.25::DOUBLE*t*k) for k in range(1,ny+1)], [cos(2*pi()/365.25::DOUBLE*t*k) for k in range(1,ny+1)]) AS x FROM ad JOIN gl USING (SID, unit)),
+fy AS (SELECT SID, unit, date, y, masked, top, list_dot_product(x, c[1:len(x)]) AS m FROM fx),
+fr AS (SELECT SID, unit, quantile_cont(y-m,0.025) AS lo, quantile_cont(y-m,0.975) AS hi FROM fy WHERE NOT masked GROUP BY SID, unit)"""
+
+
+@query("given_baseline", sql(*BASE, COVERED10, TRAIN, CURVES, body="""SELECT SID, unit, date, round(y,2) AS observed, round(greatest(least(m,top),0),3) AS yhat, round(greatest(least(m+lo,top),0),3) AS yhat_lower, round(greatest(least(m+hi,top),0),3) AS yhat_upper
+ FROM fy JOIN fr USING (SID, unit) WHERE masked"""))
+def given_baseline(spark, d):
+    """Curves and bounds from given coefficients."""
+    ev = s.events(spark, d).select("SID", "unit", "start", "end").withColumn("given", F.expr(GIVEN))
+    out = wt.fitted_baseline(s.daily(spark, d), ev, unit="unit", day="date", value="hours", coefficients="given")
+    return rounded(out.select("SID", "unit", "date", "observed", "yhat", "yhat_lower", "yhat_upper"), {"observed": 2, "yhat": 3, "yhat_lower": 3, "yhat_upper": 3})
+
+
 RANK = """wr AS (SELECT e.SID, e.unit, e."start", e."end", e.k_days, k.date, coalesce(hours,0) AS v, row_number() OVER (PARTITION BY e.SID, e.unit ORDER BY k.date) AS i FROM (SELECT SID, unit, CAST(unnest(generate_series("start" - 45, "end" + 45, INTERVAL 1 DAY)) AS DATE) AS date FROM cov0) k
   JOIN cov0 e USING (SID, unit) JOIN days ON k.date=days.date LEFT JOIN daily p ON p.unit=e.unit AND p.date=k.date),
 win AS (SELECT a.SID, a.unit, a."start", a."end", a.k_days, a.date AS d0, avg(b.v) AS m FROM wr a JOIN wr b ON a.SID=b.SID AND a.unit=b.unit AND b.i BETWEEN a.i AND a.i + a.k_days - 1 GROUP BY ALL HAVING count(*)=a.k_days),

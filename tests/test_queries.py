@@ -37,4 +37,4 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     own = {name for name in entry.queries() if not name.startswith("op") and name != "pipeline"}
-    assert sorted(own - set(entry.oracle_sql())) == ["fitted_baseline", "noise_bands"]
+    assert sorted(own - set(entry.oracle_sql())) == ["fitted_baseline"]

@@ -107,12 +107,12 @@ def test_fit_solves_the_normal_equations(spark):
     from tidewake.operators import trend_fit
     rng = np.random.default_rng(4)
     y = 30 + rng.normal(0, 3, 900)
-    facts, terms = wt.fitted_terms(panel(spark, y), event(spark, 500, 510), unit="unit", day="date", value="v")
-    beta = np.array(trend_fit.solve(terms, ["SID", "unit"], "_x", "_y").first().coefficients)
-    rows = terms.toPandas()
-    x = np.array(rows._x.tolist())
-    assert x.shape == (900 - 31, 1 + 1 + 9 + 6 + 20) and facts.first()._n == 869
-    assert np.abs(x.T @ (rows._y.to_numpy() - x @ beta)).max() < 1e-6
+    r = trend_fit.fit(panel(spark, y), event(spark, 500, 510), unit="unit", day="date", value="v", mask=10, interval=.95).first()
+    t = np.array([i for i in range(900) if not 490 <= i <= 520], float)
+    x = trend_fit.design(t, r.first_t, r.last_t, r.within)
+    assert x.shape == (900 - 31, 1 + 1 + 9 + 6 + 20) and r.n_train == 869 and len(r.coefficients) == 37
+    assert np.abs(x.T @ (y[t.astype(int)] - x @ np.array(r.coefficients))).max() < 1e-6 and r.off_normal < 1e-8
+    assert [c.observed for c in r.curve] == pytest.approx(y[490:521]) and [c.next_observed for c in r.curve] == pytest.approx(y[491:522])
 
 
 def test_window_rank_against_pandas(spark):

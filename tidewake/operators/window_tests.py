@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewake.functions.binning import cut
 from tidewake.functions.numeric import log_ratio, positive_part, ratio
 from . import trend_fit
-from .calendar import attach_daily, covered_array, covered_events, event_days
+from .calendar import attach_daily, covered_events, event_days
 from .ordered import runs
 from .quantiles import exact_quantiles
 
 HALF_DAYS, MASK_DAYS = 45, 10
 INTERVAL = 0.95
-MIN_LOCAL_DAYS, MIN_TRAIN_DAYS, MIN_MEAN = 30, 45, 1e-9
+MIN_LOCAL_DAYS, MIN_MEAN = 30, 1e-9
 MIN_REF_WINDOWS, MIN_REF_DAYS = 20, 20
 MIN_SLOPE_ROWS = 10
 
@@ -60,44 +60,16 @@ def local_baseline(panel: DataFrame, events: DataFrame, *, unit: str, day: str,
 
 
 def fitted_baseline(panel: DataFrame, events: DataFrame, *, unit: str, day: str, value: str,
-                    mask: int = MASK_DAYS, interval: float = INTERVAL) -> DataFrame:
+                    mask: int = MASK_DAYS, interval: float = INTERVAL, coefficients: str | None = None) -> DataFrame:
     """The same curve from a regression on trend, hinges and weekly and yearly waves, fitted on all days outside the mask.
 
-    Events with fewer than MIN_TRAIN_DAYS training days or a mean below MIN_MEAN have no curve. Curves are kept between 0
-    and twice the largest training value plus one standard deviation plus 1.
+    Events with fewer than trend_fit.MIN_TRAIN_DAYS training days or a mean below MIN_MEAN have no curve. Curves are kept between 0
+    and twice the largest training value plus one standard deviation plus 1. coefficients: column of events with coefficients
+    of an earlier fit; they are used in place of a new one.
     """
-    keys = ["SID", unit]
-    observed = _around(panel, events, unit, day, value, 1, mask).filter(~F.col("_train")).drop("_train")
-    facts, terms = fitted_terms(panel, events, unit=unit, day=day, value=value, mask=mask)
-    fits = trend_fit.solve(terms, keys, "_x", "_y")
-    tail = (1 - interval) / 2
-    off = (terms.join(fits, keys).withColumn("_r", F.col("_y") - trend_fit.product(F.col("_x"), F.col("coefficients")))
-           .groupBy(*keys).agg(F.percentile("_r", F.array(F.lit(tail), F.lit(1 - tail))).alias("_off")))
-    known = facts.join(fits, keys).join(off, keys)
-    at = F.datediff(day, "_origin").cast("double")
-    middle = trend_fit.product(trend_fit.design(at, F.col("_first"), F.col("_last"), F.col("_within")), F.col("coefficients"))
-    kept = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.col("_top"))
-    return (observed.join(known, keys).withColumn("_c", middle)
-            .withColumns({"yhat": kept(F.col("_c")), "yhat_lower": kept(F.col("_c") + F.col("_off")[0]),
-                          "yhat_upper": kept(F.col("_c") + F.col("_off")[1])})
-            .drop("_c", "_off", "_first", "_last", "_within", "_top", "_n", "_origin", "coefficients"))
-
-
-def fitted_terms(panel: DataFrame, events: DataFrame, *, unit: str, day: str, value: str, mask: int = MASK_DAYS) -> tuple[DataFrame, DataFrame]:
-    """Facts of each event's training days, and those days with their value _y and regressors _x."""
-    keys = ["SID", unit]
-    ev = covered_events(events, panel, day, "start", "end", mask).select("SID", unit, "start", "end")
-    days = covered_array(panel, day)
-    daily = panel.groupBy(unit, day).agg(F.sum(value).cast("double").alias("_y"))
-    outside = (F.col(day) < F.date_sub("start", mask)) | (F.col(day) > F.date_add("end", mask))
-    rows = (ev.withColumn("_days", days).withColumn("_origin", F.col("_days")[0]).withColumn(day, F.explode("_days")).filter(outside)
-            .join(daily, [unit, day], "left").fillna(0.0, ["_y"]).select(*keys, "_origin", F.datediff(day, "_origin").cast("double").alias("_t"), "_y"))
-    facts = (rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_mean"), F.min("_origin").alias("_origin"), F.min("_t").alias("_first"), F.max("_t").alias("_last"),
-        F.percentile("_t", F.lit(trend_fit.HINGES_WITHIN)).alias("_within"), (2 * F.max("_y") + F.stddev_samp("_y") + 1).alias("_top"))
-        .filter((F.col("_n") >= MIN_TRAIN_DAYS) & (F.col("_mean") >= MIN_MEAN)).drop("_mean"))
-    x = trend_fit.design(F.col("_t"), F.col("_first"), F.col("_last"), F.col("_within"))
-    return facts, rows.drop("_origin").join(facts, keys).select(*keys, "_t", "_y", x.alias("_x"))
+    fits = trend_fit.fit(panel, events, unit=unit, day=day, value=value, mask=mask, interval=interval, coefficients=coefficients)
+    own = [c for c in events.columns if c != coefficients]
+    return fits.select(*own, F.explode("curve").alias("_c")).select(*own, F.col("_c.date").alias(day), *[F.col("_c")[c].alias(c) for c in ("observed", "next_observed", "yhat", "yhat_lower", "yhat_upper")])
 
 
 # ---------------------------------------------------------------- curve metrics
