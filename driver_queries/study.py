@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from tidewake.functions.dates import same_day_in_year
 from tidewake.operators import calendar as cal, normal as nm, resample as rs, trend_fit, window_tests as wt
 from tidewake.operators.sizing import checkpointed
+from tidewake.plans import event_study as es
 from . import standins as s
 from .standins import draw_sql, rounded, sql
 
@@ -304,8 +303,6 @@ def shortfall_totals(spark, d):
 
 
 # ---------------------------------------------------------------- the normal
-FIRST, LAST = date(1994, 6, 1), date(2002, 5, 31)
-YEARS = (1995, 2000)
 ROLLUP = """long AS (SELECT unit, date, vclass, tier, unnest([{'m':'hours','v':hours},{'m':'co2_ton','v':co2_ton}], recursive := true) FROM panel),
 series AS (SELECT unit, date, m AS measure, coalesce(vclass,'all') AS vclass, coalesce(tier,'total') AS tier, sum(v) AS value FROM long GROUP BY GROUPING SETS ((unit,date,m,vclass,tier),(unit,date,m,vclass),(unit,date,m,tier),(unit,date,m)))"""
 
@@ -339,24 +336,32 @@ def same_day(spark, d):
 
 def base_sql(excl=250, min_base=3):
     return f"""sel AS (SELECT * FROM event WHERE dist <= 200 AND wind >= 34),
-cand AS (SELECT e.SID, e.unit, y, {shift_sql('e."start" - 60', 'y')} AS a, {shift_sql('e."end" + 45', 'y')} AS b FROM sel e, range({YEARS[0]}, {YEARS[1] + 1}) r(y) WHERE y <> year(e."start")),
-free AS (SELECT SID, unit, y FROM cand c WHERE a IS NOT NULL AND b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM event x WHERE x.unit=c.unit AND x.dist <= {excl} AND x."end" >= c.a AND x."start" <= c.b)),
-scored AS (SELECT s.* FROM sel s WHERE (SELECT count(*) FROM free f WHERE f.SID=s.SID AND f.unit=s.unit) >= {min_base})"""
+span AS (SELECT min(date) AS d0, max(date) AS d1 FROM days),
+cand AS (SELECT e.SID, e.unit, y, {shift_sql('e."start" - 60', 'y')} AS a, {shift_sql('e."end" + 45', 'y')} AS b FROM sel e, span, range(1900, 2101) r(y) WHERE y BETWEEN year(d0) AND year(d1) AND y <> year(e."start")),
+free AS (SELECT SID, unit, y FROM cand c, span WHERE a IS NOT NULL AND b IS NOT NULL AND a >= d0 AND b <= d1 AND NOT EXISTS (SELECT 1 FROM event x WHERE x.unit=c.unit AND x.dist <= {excl} AND x."end" >= c.a AND x."start" <= c.b)),
+scored AS (SELECT s.* FROM sel s WHERE (SELECT count(*) FROM free f WHERE f.SID=s.SID AND f.unit=s.unit) >= {min_base} AND s."start" - 60 >= (SELECT d0 FROM span) AND s."end" + 45 <= (SELECT d1 FROM span))"""
+
+
+def bounds(spark, d):
+    """First and last day of the panel, and the years they lie in."""
+    first, last = cal.panel_bounds(s.table(spark, d, "lineitem"), "l_shipdate")
+    return first, last, (first.year, last.year)
 
 
 def based(spark, d, o):
     ev = s.events(spark, d)
+    first, last, years = bounds(spark, d)
     near = ev.filter(F.col("dist") <= o["excl_km"])
     chosen = nm.select_events(ev, o)
-    return cal.baseline_years(chosen, near, unit="unit", start="start", end="end", x_start="start", x_end="end", years=YEARS, pre=o["pre"], post=o["post"])
+    return cal.baseline_years(chosen, near, unit="unit", start="start", end="end", x_start="start", x_end="end", years=years, pre=o["pre"], post=o["post"], covered=(first, last))
 
 
-@query("baseline_years", sql(s.EVENT, base_sql(), body="SELECT s.SID, s.unit, count(y) AS n_base, coalesce(string_agg(CAST(y AS VARCHAR), ',' ORDER BY y),'') AS base FROM sel s LEFT JOIN free f ON s.SID=f.SID AND s.unit=f.unit GROUP BY s.SID, s.unit"))
+@query("baseline_years", sql(s.PANEL, s.DAYS, s.EVENT, base_sql(), body="SELECT s.SID, s.unit, count(y) AS n_base, coalesce(string_agg(CAST(y AS VARCHAR), ',' ORDER BY y),'') AS base FROM sel s LEFT JOIN free f ON s.SID=f.SID AND s.unit=f.unit GROUP BY s.SID, s.unit"))
 def baseline_years(spark, d):
     return based(spark, d, nm.options()).select("SID", "unit", F.size("base").cast("bigint").alias("n_base"), F.array_join(F.transform("base", lambda y: y.cast("string")), ",").alias("base"))
 
 
-def normal_sql(ref=(45, 11), pool=3, stat="quantile_cont(b.x,0.5)", source="scored", base="free"):
+def normal_sql(ref=(45, 11), pool=3, stat="quantile_cont(b.x,0.5)", source="scored", base="free", flat=False):
     """Long-form normal: one row per event, day and series, every year and offset spelled out."""
     return f"""tot AS (SELECT unit, date, tier, value FROM series WHERE measure='co2_ton' AND vclass='all'),
 ev2 AS (SELECT SID, unit, "start", "end", k_days, ("end"-"start")+1+105 AS nd, "start"-60 AS lo, tier FROM {source} JOIN (SELECT DISTINCT unit, tier FROM tot) USING (unit)),
@@ -367,7 +372,8 @@ idx AS (SELECT g.*, coalesce(t.value,0) AS v, CASE WHEN level>0 THEN coalesce(t.
 own AS (SELECT * FROM idx WHERE y = year("start")),
 pool AS (SELECT o.SID, o.unit, o.tier, o.i, {stat} AS med FROM own o JOIN (VALUES {','.join(f'({k})' for k in range(-pool, pool + 1))}) p(off) ON true
   JOIN idx b ON b.SID=o.SID AND b.unit=o.unit AND b.tier=o.tier AND b.y<>o.y AND b.i = least(greatest(o.i+off,0), o.nd-1) WHERE b.x IS NOT NULL GROUP BY ALL),
-day_ AS (SELECT o.SID, o.unit, o.tier, o.k_days, o.i - 60 AS rel_day, o.v AS obs, med, med*level AS expected FROM own o LEFT JOIN pool USING (SID, unit, tier, i)),
+{"fl AS (SELECT e.SID, e.unit, e.tier, coalesce(sum(t.value),0)/70 AS lv FROM ev2 e LEFT JOIN tot t ON t.unit=e.unit AND t.tier=e.tier AND (t.date BETWEEN e.start-45 AND e.start-11 OR t.date BETWEEN e.end+11 AND e.end+45) GROUP BY ALL),".replace("e.start", 'e."start"').replace("e.end", 'e."end"') if flat else ""}
+day_ AS (SELECT o.SID, o.unit, o.tier, o.k_days, o.i - 60 AS rel_day, o.v AS obs, {"1.0 AS med, lv AS expected FROM own o JOIN fl USING (SID, unit, tier)" if flat else "med, med*level AS expected FROM own o LEFT JOIN pool USING (SID, unit, tier, i)"}),
 ph AS (SELECT *, CASE WHEN rel_day BETWEEN -2 AND -1 THEN 'prep' WHEN rel_day BETWEEN 0 AND k_days-1 THEN 'storm' WHEN rel_day BETWEEN k_days AND k_days+9 THEN 'after' END AS phase FROM day_),
 yr AS (SELECT b.SID, b.unit, b.tier, b.y, p.phase, avg(b.x) AS mx, count(b.x)=count(*) AS full_ FROM idx b JOIN ph p ON b.SID=p.SID AND b.unit=p.unit AND b.tier=p.tier AND b.i-60=p.rel_day WHERE b.y<>year(b."start") AND phase IS NOT NULL GROUP BY ALL),
 pm AS (SELECT SID, unit, tier, phase, sum(obs) AS obs, sum(expected) AS expected, avg(med) AS mm FROM ph WHERE phase IS NOT NULL GROUP BY ALL HAVING count(expected)=count(*) AND sum(expected)>0),
@@ -375,12 +381,13 @@ sc AS (SELECT pm.*, min(mx/nullif(mm,0)) FILTER (full_) AS lo_, max(mx/nullif(mm
 
 
 def scored_rows(spark, d, **changes):
-    o = nm.options(min_co2=0.0, **changes)
+    o = nm.options(**{"min_co2": 0.0, **changes})
+    first, last, _ = bounds(spark, d)
     tier = nm.rollup_series(s.panel(spark, d).select("unit", "date", "tier", "co2_ton"), ["unit", "date"], {"tier": "total"}, ["co2_ton"])
-    arrays = nm.series_arrays(tier, ["unit", "tier"], "date", "value", FIRST, LAST)
+    arrays = nm.series_arrays(tier, ["unit", "tier"], "date", "value", first, last)
     ev = based(spark, d, o)
     floor = arrays.filter("tier = 'total'")
-    return nm.normal_arrays(nm.active_events(ev, floor, o, FIRST), arrays, o, FIRST), o
+    return nm.normal_arrays(nm.active_events(ev, floor, o, first), arrays, o, first), o
 
 
 SCORE = "SELECT SID, unit, tier, phase, round(obs,6) AS obs, round(expected,4) AS expected, round(obs/expected,5) AS ratio, coalesce(obs/expected < lo_ OR obs/expected > hi_, false) AS outside FROM sc"
@@ -391,7 +398,7 @@ def phases(spark, d, **changes):
     return rounded(nm.phase_scores(rows, o).select("SID", "unit", "tier", "phase", "obs", "expected", "ratio", "outside"), {"obs": 6, "expected": 4, "ratio": 5})
 
 
-NORMAL = (s.PANEL, s.EVENT, ROLLUP)
+NORMAL = (s.PANEL, s.DAYS, s.EVENT, ROLLUP)
 
 
 @query("seasonal_normal", sql(*NORMAL, base_sql(), normal_sql(), body=SCORE))
@@ -425,6 +432,28 @@ def normal_daily(spark, d):
     return rounded(out, {"obs": 6, "expected": 4})
 
 
+def floored(floor, ref=(45, 11)):
+    """Events whose total is at least `floor` a day in their own reference window."""
+    return f"""act AS (SELECT s.* FROM scored s WHERE (SELECT coalesce(sum(t.value),0) FROM series t WHERE t.measure='co2_ton' AND t.vclass='all' AND t.tier='total' AND t.unit=s.unit AND t.date BETWEEN s."start" - {ref[0]} AND s."start" - {ref[1]})/{ref[0] - ref[1] + 1} >= {floor})"""
+
+
+FLOOR = 110.0
+MEAN_STAT = "avg(b.x)"
+VARIANT_SQL = {"default": ({}, {}), "reference [-60,-11]": ({}, dict(ref=(60, 11))), "reference [-30,-8]": ({}, dict(ref=(30, 8))), "no day pooling": ({}, dict(pool=0)), "pool 7 days": ({}, dict(pool=7)),
+               "mean not median": ({}, dict(stat=MEAN_STAT)), "exclusion 150 km": (dict(excl=150), {}), "exclusion 400 km": (dict(excl=400), {}), "at least 4 baseline years": (dict(min_base=4), {}), "same-year flat": ({}, dict(flat=True))}
+VARIANT_PARTS = ["SELECT '" + name + "' AS variant, * FROM (" + sql(base_sql(**b), floored(FLOOR, n.get("ref", (45, 11))), normal_sql(source="act", **n), body=SCORE) + ")" for name, (b, n) in VARIANT_SQL.items()]
+
+
+@query("normal_variants", sql(*NORMAL[:3], ROLLUP.replace("series AS (", "series AS MATERIALIZED ("), body=" UNION ALL ".join(VARIANT_PARTS)))
+def normal_variants(spark, d):
+    """All ten normals with the activity floor on, in one plan."""
+    first, last, years = bounds(spark, d)
+    long = nm.rollup_series(s.panel(spark, d).select("unit", "date", "tier", "co2_ton"), ["unit", "date"], {"tier": "total"}, ["co2_ton"]).withColumn("vclass", F.lit("all"))
+    ex = s.events(spark, d).withColumnsRenamed({"start": "exposure_start", "end": "exposure_end"}).withColumn("wind_at_closest", F.col("wind"))
+    out = es.variants(long, ex, None, first=first, last=last, years=years, opts={"min_co2": FLOOR})
+    return rounded(out.select("variant", "SID", "unit", "tier", "phase", "obs", "expected", "ratio", "outside"), {"obs": 6, "expected": 4, "ratio": 5})
+
+
 PLACEBO = f"""plc AS (SELECT s.SID || '/' || f.y AS SID, s.unit, {shift_sql('s."start"', 'f.y')} AS "start", {shift_sql('s."end"', 'f.y')} AS "end", s.k_days FROM scored s JOIN free f ON s.SID=f.SID AND s.unit=f.unit WHERE (SELECT count(*) FROM free g WHERE g.SID=s.SID AND g.unit=s.unit) >= 4),
 pbase AS (SELECT p.SID, p.unit, g.y FROM plc p JOIN free g ON split_part(p.SID,'/',1)=CAST(g.SID AS VARCHAR) AND p.unit=g.unit WHERE g.y <> year(p."start"))"""
 
@@ -432,10 +461,11 @@ pbase AS (SELECT p.SID, p.unit, g.y FROM plc p JOIN free g ON split_part(p.SID,'
 @query("placebo_normal", sql(*NORMAL, base_sql(), PLACEBO, normal_sql(source="plc", base="pbase"), body=SCORE))
 def placebo_normal(spark, d):
     o = nm.options(min_co2=0.0)
+    first, last, _ = bounds(spark, d)
     tier = nm.rollup_series(s.panel(spark, d).select("unit", "date", "tier", "co2_ton"), ["unit", "date"], {"tier": "total"}, ["co2_ton"])
-    arrays = nm.series_arrays(tier, ["unit", "tier"], "date", "value", FIRST, LAST)
-    ev = nm.active_events(based(spark, d, o), arrays.filter("tier = 'total'"), o, FIRST)
+    arrays = nm.series_arrays(tier, ["unit", "tier"], "date", "value", first, last)
+    ev = nm.active_events(based(spark, d, o), arrays.filter("tier = 'total'"), o, first)
     fake = cal.placebo_events(ev, start="start", end="end").withColumn("SID", F.concat_ws("/", F.col("SID").cast("string"), F.col("placebo_year").cast("string")))
-    out = nm.phase_scores(nm.normal_arrays(fake, arrays, o, FIRST), o)
+    out = nm.phase_scores(nm.normal_arrays(fake, arrays, o, first), o)
     return rounded(out.select("SID", "unit", "tier", "phase", "obs", "expected", "ratio", "outside"), {"obs": 6, "expected": 4, "ratio": 5})
 

@@ -52,22 +52,37 @@ def test_gap_of_exactly_the_limit_is_joined(spark):
     assert sorted(r.n for r in ordered.chain_number(df, ["k"], "a", "b", 6, "n").collect()) == [1, 1, 2]
 
 
-def test_cumulative_and_shares(spark):
+def test_cumulative_and_shares(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = np.unique(np.concatenate([rng.normal(0, 1, 400), rng.lognormal(5, 3, 400), [-1e12, 1e12]]))
     df = spark.createDataFrame([(float(x), int(i % 7)) for i, x in enumerate(v)], "v double, n int")
-    for heavy in (100_000, 30):
-        out = ordered.cumulative(df, [], "v", ["n"], bins=16, heavy=heavy).orderBy("v").toPandas()
+    for bins in (1024, 16):
+        monkeypatch.setattr(ordered, "BINS", bins)
+        out = ordered.cumulative(df, [], "v", ["n"]).orderBy("v").toPandas()
         assert out.columns.tolist() == ["v", "n", "cum_n", "total_n"]
         assert (out.cum_n.to_numpy() == np.cumsum([i % 7 for i in range(len(v))])).all()
     assert set(out.total_n) == {sum(i % 7 for i in range(len(v)))}
 
 
+def test_bins_are_even_beside_nested_outliers(spark):
+    """Values crowd around 1, and each group of outliers is a million times as far out as the one before it."""
+    rng = np.random.default_rng(8)
+    v = np.concatenate([1 + rng.normal(0, 1e-9, 20_000), *[10.0 ** (6 * i) * (1 + rng.random(5)) for i in range(1, 6)], [-1e300, 1e300]])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    cuts = df.agg(F.percentile_approx("v", F.array(*[F.lit(i / ordered.BINS) for i in range(1, ordered.BINS)]), 10 * ordered.BINS).alias("cuts")).scalar()
+    bins = df.withColumn("cuts", cuts).groupBy(ordered._bin_of(F.col("v"), F.col("cuts")).alias("b")).count().toPandas()
+    assert bins["count"].max() <= 3 * len(v) / ordered.BINS and len(bins) > 0.9 * ordered.BINS
+    placed = df.withColumn("cuts", cuts).select("v", ordered._bin_of(F.col("v"), F.col("cuts")).alias("b")).orderBy("v").toPandas()
+    assert placed.b.is_monotonic_increasing
+    out = ordered.cumulative(df.select("v", F.lit(1).alias("n")).distinct(), [], "v", ["n"]).orderBy("v").toPandas()
+    assert out.cum_n.to_list() == list(range(1, len(out) + 1))
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(5)
     rows = [("hot", float(x)) for x in np.round(rng.lognormal(0, 4, 5000), 2)] + [("few", 3.0), ("few", 9.0), ("one", 7.0), ("flat", 2.0), ("flat", 2.0)]
     df = spark.createDataFrame(rows + [("few", None)], "k string, v double")
-    got = quantiles.exact_quantiles(df, ["k"], "v", {"a": .025, "m": .5, "z": .9}, bins=32).toPandas().set_index("k")
+    got = quantiles.exact_quantiles(df, ["k"], "v", {"a": .025, "m": .5, "z": .9}).toPandas().set_index("k")
     for k in ("hot", "few", "one", "flat"):
         v = [x for g, x in rows if g == k]
         assert got.loc[k, ["a", "m", "z"]].to_list() == pytest.approx(list(np.quantile(v, [.025, .5, .9])))
@@ -77,7 +92,7 @@ def test_ks_distance(spark):
     rng = np.random.default_rng(6)
     a, b = np.round(rng.normal(0, 1, 300), 1), np.round(rng.normal(.4, 1, 200), 1)
     df = spark.createDataFrame([("a", float(x)) for x in a] + [("b", float(x)) for x in b], "s string, v double")
-    r = quantiles.ks_two_sample(df, [], "v", "s", "a", "b", bins=8).first()
+    r = quantiles.ks_two_sample(df, [], "v", "s", "a", "b").first()
     grid = np.unique(np.concatenate([a, b]))
     d = max(abs((a <= x).mean() - (b <= x).mean()) for x in grid)
     assert r.ks_d == pytest.approx(d) and .02 < r.ks_p < .08

@@ -140,23 +140,51 @@ def overlaps_any(intervals, lo, hi) -> Column:
                                lambda x: (x["e"] >= as_col(lo)) & (x["s"] <= as_col(hi))), F.lit(False))
 
 
+def panel_bounds(panel: DataFrame, day: str):
+    """First and last day of a panel: one small aggregate, run when a plan needs the length of its dense arrays."""
+    return panel.agg(F.min(F.col(day).cast("date")), F.max(F.col(day).cast("date"))).first()
+
+
+def _free(lo: Column, hi: Column, start: str, years, covered, met) -> Column:
+    """Years other than the event's whose window exists, lies inside `covered` and is not met (met(lo, hi) -> condition)."""
+    def fits(y):
+        a, b = same_day_in_year(lo, y), same_day_in_year(hi, y)
+        there = a.isNotNull() & b.isNotNull()
+        if covered is not None:
+            there = there & (a >= F.lit(covered[0])) & (b <= F.lit(covered[1]))
+        return F.coalesce(there & ~met(a, b), F.lit(False))
+    candidates = F.filter(F.sequence(F.lit(int(years[0])), F.lit(int(years[1]))), lambda y: y != F.year(F.col(start)))
+    return F.filter(candidates, fits)
+
+
 def baseline_years(events: DataFrame, exposures: DataFrame, *, unit: str, start: str, end: str,
-                   x_start, x_end, years, pre: int = 60, post: int = 45) -> DataFrame:
+                   x_start, x_end, years, pre: int = 60, post: int = 45, covered=None) -> DataFrame:
     """Add `base`: the other years whose same calendar window meets no exposure of the unit.
 
-    x_start / x_end are the first and last day an exposure counts for; years = (first, last).
-    Years in which a shifted date does not exist are left out.
+    x_start / x_end are the first and last day an exposure counts for; years = (first, last); covered = (first day,
+    last day) of the panel, which the window must not leave. Years in which a shifted date does not exist are left out.
     """
     lo, hi = F.date_sub(F.col(start), pre), F.date_add(F.col(end), post)
     busy = interval_sets(exposures, unit, x_start, x_end)
-    candidates = F.filter(F.sequence(F.lit(int(years[0])), F.lit(int(years[1]))),
-                          lambda y: y != F.year(F.col(start)))
-    free = F.filter(candidates, lambda y: F.coalesce(
-        same_day_in_year(lo, y).isNotNull() & same_day_in_year(hi, y).isNotNull()
-        & ~overlaps_any("_busy", same_day_in_year(lo, y), same_day_in_year(hi, y)), F.lit(False)))
+    free = _free(lo, hi, start, years, covered, lambda a, b: overlaps_any("_busy", a, b))
     return events.join(busy, unit, "left").withColumn("base", free).drop("_busy")
 
 
+def baseline_sets(events: DataFrame, exposures: DataFrame, limits, *, unit: str, start: str, end: str, x_start, x_end, years, distance: str = "dist",
+                  pre: int = 60, post: int = 45, covered=None) -> DataFrame:
+    """Add `base_sets`: for each limit the baseline years when exposures within that distance count (see baseline_years).
+
+    One interval set serves all limits: an entry per start day with the last day of the exposures within each limit.
+    """
+    lo, hi = F.date_sub(F.col(start), pre), F.date_add(F.col(end), post)
+    ends = [F.max(F.when(F.col(distance) <= limit, as_col(x_end))).alias(f"e{i}") for i, limit in enumerate(limits)]
+    busy = (exposures.groupBy(unit, as_col(x_start).alias("s")).agg(*ends)
+            .groupBy(unit).agg(F.collect_list(F.struct("s", *[f"e{i}" for i in range(len(limits))])).alias("_busy")))
+    met = lambda i: lambda a, b: F.coalesce(F.exists("_busy", lambda x: F.coalesce((x[f"e{i}"] >= a) & (x["s"] <= b), F.lit(False))), F.lit(False))
+    sets = [_free(lo, hi, start, years, covered, met(i)) for i in range(len(limits))]
+    return events.join(busy, unit, "left").withColumn("base_sets", F.array(*sets)).drop("_busy")
+
+
 def placebo_events(events: DataFrame, *, start: str, end: str, min_base: int = 3) -> DataFrame:
     """Every baseline year in turn plays the event year, scored against the remaining ones."""
     rest = F.filter("base", lambda y: y != F.col("placebo_year"))

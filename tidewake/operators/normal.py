@@ -151,24 +151,49 @@ def normal_arrays(events: DataFrame, arrays: DataFrame, o: dict, first: date, un
           .withColumn("_blocks", F.transform("base", block))
           .withColumn("index", F.transform("_blocks", lambda b: F.transform(
               b["v"], lambda x: F.when(b["level"] > 0, F.try_divide(x, b["level"]))))))
-    if o["normal"] == "same_year":
-        late_a, late_b = F.date_add("end", rb), F.date_add("end", ra)
-        flat = F.concat(part(at(ref_a), F.datediff(ref_b, ref_a) + 1), part(at(late_a), F.datediff(late_b, late_a) + 1))
-        ones = F.array_repeat(F.lit(1.0), F.col("_n"))
+    late_a, late_b = F.date_add("end", rb), F.date_add("end", ra)
+    flat = F.concat(part(at(ref_a), F.datediff(ref_b, ref_a) + 1), part(at(late_a), F.datediff(late_b, late_a) + 1))
+    ones = F.array_repeat(F.lit(1.0), F.col("_n"))
+    by_row = isinstance(o["normal"], Column)
+    if not by_row and o["normal"] == "same_year":
         return (df.withColumn("pooled", ones)
                 .withColumn("expected", F.array_repeat(_mean(flat), F.col("_n"))).drop("_n", "_blocks", "values"))
-    df = spread(df.drop("_blocks", "values"), unit, "start", "end", *[c for c in arrays.columns if c not in (unit, "values")])
+    if by_row:
+        df = df.withColumn("_flat", F.when(o["normal"] == "same_year", _mean(flat)))
+    df = spread(df.drop("_blocks", "values"), unit, "start", "end", *[c for c in arrays.columns if c not in (unit, "values")], *(["variant"] if by_row else []))
     edge = lambda x, i: F.array_repeat(F.element_at(x, i), p)
     padded = F.transform("index", lambda x: F.concat(edge(x, 1), x, edge(x, -1)))
     df = df.withColumn("_padded", padded)
     pool = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda d: F.array_sort(F.filter(
         F.flatten(F.transform("_padded", lambda x: F.slice(x, d, 2 * p + 1))), lambda v: v.isNotNull())))
+    if by_row:
+        center = lambda s: F.when(o["stat"] == "median", _middle(s)).otherwise(_mean(s))
+        flat_row = o["normal"] == "same_year"
+        return (df.withColumn("pooled", F.when(flat_row, ones).otherwise(F.transform(pool, center)))
+                .withColumn("expected", F.when(flat_row, F.array_repeat("_flat", F.col("_n"))).otherwise(F.transform("pooled", lambda m: m * F.col("level"))))
+                .drop("_n", "_padded", "_flat"))
     center = _middle if o["stat"] == "median" else _mean
     return (df.withColumn("pooled", F.transform(pool, center))
             .withColumn("expected", F.transform("pooled", lambda m: m * F.col("level")))
             .drop("_n", "_padded"))
 
 
+def variant_options(shared: dict, variants: dict) -> tuple[Column, dict, list]:
+    """(array of option rows, options as columns, exclusion limits) for scoring all variants in one plan. The rows hold variant
+    and what the variants change; everything else comes from `shared`."""
+    full = {name: options(**{**shared, **changes}) for name, changes in variants.items()}
+    limits = sorted({x["excl_km"] for x in full.values()})
+    rows = F.array(*[F.struct(F.lit(name).alias("variant"), F.lit(int(x["ref"][0])).alias("_ref_a"), F.lit(int(x["ref"][1])).alias("_ref_b"), F.lit(int(x["pool"])).alias("_pool"),
+                              F.lit(x["stat"]).alias("_stat"), F.lit(x["normal"]).alias("_normal"), F.lit(int(x["min_base"])).alias("_min_base"),
+                              F.lit(limits.index(x["excl_km"])).alias("_excl")) for name, x in full.items()])
+    by_row = dict(ref=(F.col("_ref_a"), F.col("_ref_b")), pool=F.col("_pool"), stat=F.col("_stat"), normal=F.col("_normal"), min_base=F.col("_min_base"))
+    return rows, {**options(**shared), **by_row}, limits
+
+
+#: Option columns of scored variants; of no use in results.
+OPTION_COLUMNS = ["_ref_a", "_ref_b", "_pool", "_stat", "_normal", "_min_base", "_excl"]
+
+
 def phase_scores(scored: DataFrame, o: dict) -> DataFrame:
     """Observed and expected sums before, during and after each event, their ratio, and whether
     it leaves the range of the baseline years. Rows without a positive normal are dropped."""

@@ -8,9 +8,10 @@ table is then spread over its buckets, and the big side is shuffled once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewake.functions.numeric import as_col
+from .sizing import checkpointed
 
 
 def time_bucket(time, seconds: int):
@@ -73,47 +74,46 @@ def chain_number(df: DataFrame, keys, start: str, end: str, max_gap_hours: float
             .drop("_bucket", "_new", "_local", "_offset"))
 
 
-def cumulative(df: DataFrame, keys, order: str, sums, tie=(), bins: int = 1024, heavy: int = 100_000) -> DataFrame:
+#: Cuts of a value axis: with 1,024 of them a bin holds about a thousandth of its key's rows.
+BINS = 1024
+
+
+def _bin_of(value, cuts) -> Column:
+    """Number of cuts below a value, by halving; cuts is a sorted array whose size is a power of two less one."""
+    halves = F.array(*[F.lit(BINS >> (i + 1)) for i in range(BINS.bit_length() - 1)])
+    return F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(F.lit(0)))
+
+
+def cumulative(df: DataFrame, keys, order: str, sums, tie=()) -> DataFrame:
     """Add cum_<m> (inclusive running sum in ascending `order`) and total_<m> per key.
 
-    Rows are cut into value bins (signed logarithm, so heavy tails spread too), and a bin of over `heavy` rows, such as one
-    beside a far outlier, is cut again over its own range. Rows are summed inside each bin and offset by the totals of the
-    lower bins: at most `bins` summary rows, and as many again for each heavy bin, travel along a key. Equal (order, tie)
-    rows must have been merged beforehand.
+    Rows are cut into BINS bins at sampled quantiles of their key's values, so that bins hold about equally many rows however the values
+    are spread, outliers beside outliers included. Rows are summed inside each bin and offset by the totals of the lower bins:
+    at most BINS summary rows travel along a key. The cuts are stored once, since a sample may differ from run to run and every use must
+    see the same. Rows of a null `order` count as the least. Equal (order, tie) rows must have been merged beforehand.
     """
     keys, sums = list(keys), list(sums)
-    scaled = F.signum(order) * F.log1p(F.abs(F.col(order)))
-    summary = [F.min(scaled).alias("lo"), F.max(scaled).alias("hi"),
-               *[F.sum(m).alias(f"total_{m}") for m in sums]]
+    probs = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    facts = [F.percentile_approx(F.col(order).cast("double"), probs, 10 * BINS).alias("_cuts"), *[F.sum(m).alias(f"total_{m}") for m in sums]]
     if keys:
-        span = df.groupBy(*keys).agg(F.struct(*summary).alias("_span"))
-        rows = df.join(span, keys)
+        cuts = checkpointed(df.groupBy(*keys).agg(*facts))
+        rows = df.join(cuts, keys)
     else:
-        span = df.agg(F.struct(*summary).alias("_span"))
-        rows = df.withColumn("_span", span.scalar())
-    width = F.col("_span.hi") - F.col("_span.lo")
-    place = F.floor(F.try_divide(scaled - F.col("_span.lo"), width) * bins)
-    rows = rows.withColumn("_bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
-    crowded = (rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_crowd"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-               .filter(F.col("_crowd") > heavy))
-    part = F.floor(F.try_divide(F.col(order) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins)
-    rows = (rows.join(crowded, [*keys, "_bin"], "left")
-            .withColumn("_part", F.least(F.coalesce(part, F.lit(0)), F.lit(bins - 1))).drop("_crowd", "_lo", "_hi"))
-    slots = [*keys, "_bin", "_part"]
+        cuts = checkpointed(df.agg(*facts))
+        rows = df.withColumn("_all", cuts.select(F.struct("_cuts", *[f"total_{m}" for m in sums])).scalar()).select("*", "_all.*").drop("_all")
+    rows = rows.withColumn("_bin", F.coalesce(_bin_of(F.col(order).cast("double"), F.col("_cuts")), F.lit(0))).drop("_cuts")
+    slots = [*keys, "_bin"]
     inside = (Window.partitionBy(*slots).orderBy(order, *tie)
               .rowsBetween(Window.unboundedPreceding, 0))
-    along = (Window.partitionBy(*keys).orderBy("_bin", "_part")
+    along = (Window.partitionBy(*keys).orderBy("_bin")
              .rowsBetween(Window.unboundedPreceding, -1))
     totals = rows.groupBy(*slots).agg(*[F.sum(m).alias(f"_s_{m}") for m in sums])
     carry = totals.select(*slots, *[F.coalesce(F.sum(f"_s_{m}").over(along), F.lit(0))
                                     .alias(f"_c_{m}") for m in sums])
     out = (rows.select("*", *[F.sum(m).over(inside).alias(f"_w_{m}") for m in sums])
            .join(carry, slots))
-    for m in sums:
-        out = (out.withColumn(f"cum_{m}", F.col(f"_w_{m}") + F.col(f"_c_{m}"))
-               .withColumn(f"total_{m}", F.col(f"_span.total_{m}")))
-    drop = [f"_{p}_{m}" for p in "wc" for m in sums]
-    return out.drop("_span", "_bin", "_part", *drop)
+    added = [c for m in sums for c in ((F.col(f"_w_{m}") + F.col(f"_c_{m}")).alias(f"cum_{m}"), F.col(f"total_{m}"))]
+    return out.select(*df.columns, *added)
 
 
 def stable_index(df: DataFrame, keys, item: str, out: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from .ordered import cumulative
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, bins: int = 1024) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
     """keys + one column per entry of probs (name -> probability), linear interpolation.
 
     Equal values are merged first (a hot group spreads over its values), then the two
@@ -24,7 +24,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, bins: int = 10
     counts = (df.filter(F.col(value).isNotNull())
               .groupBy(*keys, F.col(value).cast("double").alias("_v"))
               .agg(F.count(F.lit(1)).alias("n")))
-    ranked = cumulative(counts, keys, "_v", ["n"], bins=bins)
+    ranked = cumulative(counts, keys, "_v", ["n"])
     picks = []
     for i, p in enumerate(probs.values()):
         place = F.lit(float(p)) * (F.col("total_n") - 1)
@@ -40,8 +40,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, bins: int = 10
     return agg.select(*keys, *out)
 
 
-def ks_two_sample(df: DataFrame, keys, value: str, sample: str, first, second,
-                  bins: int = 1024) -> DataFrame:
+def ks_two_sample(df: DataFrame, keys, value: str, sample: str, first, second) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per key with its asymptotic p-value:
     keys, n_first, n_second, ks_d, ks_p."""
     keys = list(keys)
@@ -49,7 +48,7 @@ def ks_two_sample(df: DataFrame, keys, value: str, sample: str, first, second,
     counts = (df.filter(F.col(value).isNotNull() & F.col(sample).isin(first, second))
               .groupBy(*keys, F.col(value).cast("double").alias("_v"))
               .agg(hit(first).alias("a"), hit(second).alias("b")))
-    ranked = cumulative(counts, keys, "_v", ["a", "b"], bins=bins)
+    ranked = cumulative(counts, keys, "_v", ["a", "b"])
     gap = F.abs(F.try_divide(F.col("cum_a").cast("double"), F.col("total_a"))
                 - F.try_divide(F.col("cum_b").cast("double"), F.col("total_b")))
     out = ranked.groupBy(*keys).agg(F.max("total_a").alias("n_first"),
@@ -67,12 +66,12 @@ def ks_two_sample(df: DataFrame, keys, value: str, sample: str, first, second,
     return out.withColumn("ks_p", F.when(F.col("ks_d").isNotNull(), p)).drop("_lam")
 
 
-def cumulative_share(df: DataFrame, keys, unit: str, value: str, bins: int = 1024) -> DataFrame:
+def cumulative_share(df: DataFrame, keys, unit: str, value: str) -> DataFrame:
     """Ranked list with its running share of the total, largest value first:
     adds rank (1 = largest) and cum_share."""
     keys = list(keys)
     rows = df.withColumn("_order", -F.col(value)).withColumn("_one", F.lit(1))
-    out = cumulative(rows, keys, "_order", [value, "_one"], tie=[unit], bins=bins)
+    out = cumulative(rows, keys, "_order", [value, "_one"], tie=[unit])
     return (out.withColumn("rank", F.col("cum__one").cast("long"))
             .withColumn("cum_share", F.try_divide(F.col(f"cum_{value}"), F.col(f"total_{value}")))
             .drop("_order", "_one", "cum__one", "total__one", f"cum_{value}", f"total_{value}"))

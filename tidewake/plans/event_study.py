@@ -58,7 +58,7 @@ def score(series: DataFrame, exposures: DataFrame, *, first: date, last: date, y
     near = ex.filter(F.col("dist") <= o["excl_km"])
     chosen = nm.select_events(ex, o, list(exclude_units))
     based = cal.baseline_years(chosen, near, unit="unit", start="start", end="end", x_start=ceil_day("exposure_start"),
-                               x_end="end", years=years, pre=o["pre"], post=o["post"])
+                               x_end="end", years=years, pre=o["pre"], post=o["post"], covered=(first, last))
     arrays = nm.series_arrays(series, ["unit", *SERIES], "date", "value", first, last)
     floor = arrays.filter((F.col("vclass") == nm.ALL) & (F.col("tier") == nm.TOTAL) & (F.col("measure") == "co2_ton")).select("unit", "values")
     ev = nm.active_events(based, floor, o, first)
@@ -82,11 +82,18 @@ def reconciled(results: DataFrame, daily: DataFrame) -> tuple[DataFrame, DataFra
     return nm.reconcile(r, factors, keys).drop("_py"), nm.reconcile(d, factors, keys).drop("_py")
 
 
-def variants(series: DataFrame, exposures: DataFrame, keep_series, **where) -> DataFrame:
-    """Window results of every alternative normal, with a `variant` column."""
-    parts = []
-    for name, changes in nm.VARIANTS.items():
-        results, _, _ = score(series, exposures, opts={**where.get("opts", {}), **changes}, keep_series=keep_series,
-                              **{k: v for k, v in where.items() if k != "opts"})
-        parts.append(results.withColumn("variant", F.lit(name)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def variants(series: DataFrame, exposures: DataFrame, keep_series, *, first: date, last: date, years, opts: dict | None = None,
+             exclude_units=(), named: dict | None = None) -> DataFrame:
+    """Window results of every alternative normal, with a `variant` column: options are rows that meet each event, so one
+    join with the series and one scoring plan serve all of them. Arguments as in score; named: other variants than nm.VARIANTS."""
+    rows, o, limits = nm.variant_options(opts or {}, named or nm.VARIANTS)
+    ex = exposures.withColumn("start", F.to_date("exposure_start")).withColumn("end", F.to_date("exposure_end"))
+    chosen = nm.select_events(ex, o, list(exclude_units))
+    based = cal.baseline_sets(chosen, ex, limits, unit="unit", start="start", end="end", x_start=ceil_day("exposure_start"), x_end="end", years=years,
+                              pre=o["pre"], post=o["post"], covered=(first, last))
+    each = based.withColumn("_o", F.explode(rows)).select(*based.columns, "_o.*").withColumn("base", F.get("base_sets", F.col("_excl"))).drop("base_sets")
+    arrays = nm.series_arrays(series, ["unit", *SERIES], "date", "value", first, last)
+    floor = arrays.filter((F.col("vclass") == nm.ALL) & (F.col("tier") == nm.TOTAL) & (F.col("measure") == "co2_ton")).select("unit", "values")
+    ev = nm.active_events(each, floor, o, first)
+    scored = nm.normal_arrays(ev, arrays if keep_series is None else arrays.filter(keep_series), o, first)
+    return nm.phase_scores(scored, o).drop(*nm.OPTION_COLUMNS).withColumn("intensity", cut("wind_at_closest", nm.INTENSITY_EDGES, nm.INTENSITY_LABELS))
