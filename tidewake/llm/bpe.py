@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .columns import list_array, parse_ranks, put_columns, read_vocabulary
 
 #: Pieces that a worker remembers before the table becomes the old one, and neighbours before it starts afresh.
-MAX_REMEMBERED = 1 << 18
+MAX_REMEMBERED = 1 << 17
 BLOCK_CHARS = 1 << 20
 SLICE_ROWS = 256
 
@@ -228,6 +228,7 @@ def encode(records: DataFrame, vocabulary: str, pattern: str, text: str = "text"
                     sizes.append(len(own))
                     back.append(b"".join(map(tokens.__getitem__, own.tolist())) if content else None)
                 yield pa.StructArray.from_arrays([list_array(np.concatenate(flat), sizes, pa.int32()), pa.array(back, pa.binary())], fields=list(kind))
+        encoder.known.old = {}                          # workers live on; the newer half is enough for the next task
 
     found = put_columns(records, __bpe=encoded(F.col(text).cast("string")))
     new = {ids: F.col("__bpe.ids")} | ({content: F.col("__bpe.content")} if content else {})
