@@ -66,6 +66,26 @@ def test_nearest_is_exact(spark, metric):
     assert len(capped) == 151 and all(r.dist_km is None or r.dist_km <= 200 for r in capped)
 
 
+@pytest.mark.parametrize("metric", ["haversine", "planar"])
+def test_nearest_beside_a_crowd(spark, metric):
+    """Half of all points and targets share one degree cell; points compare themselves with few of them all the same."""
+    rng = np.random.default_rng(7)
+    crowd = lambda n: np.column_stack([rng.uniform(29, 30, n), rng.uniform(-95, -94, n)])
+    wide = lambda n: np.column_stack([rng.uniform(-60, 60, n), rng.uniform(-179, 179, n)])
+    t, q = np.vstack([crowd(2500), wide(2500)]), np.vstack([crowd(400), wide(400), [[28.2, -94.5], [30.0, 179.9], [90.0, 0.0]]])
+    T = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(t)], "n int, _tlat double, _tlon double")
+    S = spark.createDataFrame([(float(a), float(b)) for a, b in q], "_lat double, _lon double")
+    pairs = space.candidate_places(S, T, metric, None).toPandas()
+    per = pairs.groupby(["_lat", "_lon"]).size()
+    assert len(per) == len(q) and per.mean() < len(t) / 15 and per.max() < len(t) / 4
+    children, leaves = space.search_tree(T)
+    sizes = [r.k for r in leaves.select(F.size("places").alias("k")).collect()]
+    assert sum(sizes) == len(t) and max(sizes) <= space.LEAF_PLACES
+    for (a, o), g in pairs.groupby(["_lat", "_lon"]):
+        d = hav(a, o, t[:, 0], t[:, 1]) if metric == "haversine" else np.hypot((a - t[:, 0]) * 110.57, (o - t[:, 1]) * 111.32 * np.cos(np.radians(a)))
+        assert int(d.argmin()) in set(g.n)
+
+
 def test_within_km_wraps_the_date_line_and_poles(spark):
     pts = [(0.0, 179.5), (0.0, -179.5), (89.0, 10.0), (89.0, -170.0), (10.0, 10.0)]
     centers = [("date", 0.0, -179.9), ("pole", 89.5, 100.0), ("mid", 10.5, 10.5)]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewake.functions import geo
+from .sizing import checkpointed
 
 SLACK = 1e-9
 
@@ -105,64 +106,113 @@ def within_km(points: DataFrame, centers: DataFrame, *, lat: str, lon: str, c_la
             .filter(F.col(out) <= km))
 
 
+#: Target places in a leaf of the search tree, levels below the whole map (each 16 x 16 cells), and copies of a tree row so that many
+#: points in one cell meet it in different tasks.
+LEAF_PLACES, TREE_LEVELS, TREE_COPIES = 32, 7, 16
+_NODE = ["level", "cx", "cy", "leaf", "south", "north", "west", "east"]
+
+
+def _cell(fine: Column, level: Column) -> Column:
+    """Cell of a level from the cell of the finest one."""
+    return F.call_function("shiftright", fine, (F.lit(TREE_LEVELS) - level) * 4)
+
+
+def search_tree(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(children, leaves) of a tree over places (_tlat, _tlon and anything else), cut where places are dense.
+
+    A cell with over LEAF_PLACES places is cut into 16 x 16, down to cells of some ten centimetres. children: level, cx, cy of a cut cell and
+    an array of what it holds, with the bounds of the places in each; leaves: level, cx, cy and the array of its places.
+    """
+    unit = 360.0 / 16 ** TREE_LEVELS
+    keyed = places.withColumn("_fx", F.floor((F.col("_tlon") + 180.0) / unit)).withColumn("_fy", F.floor((F.col("_tlat") + 90.0) / unit))
+    each = (keyed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TREE_LEVELS))))
+            .withColumn("cx", _cell(F.col("_fx"), F.col("level"))).withColumn("cy", _cell(F.col("_fy"), F.col("level"))))
+    counts = each.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("_n"), F.min("_tlat").alias("south"), F.max("_tlat").alias("north"), F.min("_tlon").alias("west"), F.max("_tlon").alias("east"))
+    nodes = checkpointed(counts.withColumn("leaf", (F.col("_n") <= LEAF_PLACES) | (F.col("level") == TREE_LEVELS)))
+    up = F.call_function("shiftright", F.col("cx"), F.lit(4)), F.call_function("shiftright", F.col("cy"), F.lit(4))
+    cut = nodes.where(~F.col("leaf")).select(F.col("level").alias("_pl"), F.col("cx").alias("_px"), F.col("cy").alias("_py"))
+    inner = nodes.where("level > 0").withColumns({"_pl": F.col("level") - 1, "_px": up[0], "_py": up[1]})
+    kept = inner.join(cut, ["_pl", "_px", "_py"], "left_semi")
+    children = kept.groupBy("_pl", "_px", "_py").agg(F.collect_list(F.struct(*_NODE)).alias("nodes")).select(F.col("_pl").alias("level"), F.col("_px").alias("cx"), F.col("_py").alias("cy"), "nodes")
+    root = nodes.where("level = 0").groupBy().agg(F.collect_list(F.struct(*_NODE)).alias("nodes")).select(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"), "nodes")
+    ends = kept.where("leaf").unionByName(nodes.where("level = 0 AND leaf"), allowMissingColumns=True).select("level", "cx", "cy")
+    leaves = each.join(ends, ["level", "cx", "cy"]).groupBy("level", "cx", "cy").agg(F.collect_list(F.struct(*places.columns)).alias("places"))
+    return checkpointed(children.unionByName(root)), checkpointed(leaves)
+
+
+def _bounds(metric: str, lat, lon, n) -> tuple[Column, Column]:
+    """Least and largest distance that a place in the bounds of node n can have from a point."""
+    if metric == "planar":
+        scale = geo.KM_PER_LON_DEGREE * F.cos(F.radians(lat))
+        outside = lambda x, lo, hi: F.greatest(lo - x, x - hi, F.lit(0.0))
+        across = lambda x, lo, hi: F.greatest(hi - x, x - lo)
+        return (F.hypot(outside(lat, n["south"], n["north"]) * geo.KM_PER_LAT_DEGREE, outside(lon, n["west"], n["east"]) * scale),
+                F.hypot(across(lat, n["south"], n["north"]) * geo.KM_PER_LAT_DEGREE, across(lon, n["west"], n["east"]) * scale))
+    middle = geo.haversine_km(lat, lon, (n["south"] + n["north"]) / 2, (n["west"] + n["east"]) / 2)
+    widest = F.cos(F.radians(F.greatest(n["south"], -n["north"], F.lit(0.0))))        # along a parallel, after going along the meridian
+    radius = geo.EARTH_RADIUS_KM * (F.radians(n["north"] - n["south"]) + widest * F.radians(n["east"] - n["west"])) / 2
+    return F.greatest(middle - radius, F.lit(0.0)), middle + radius
+
+
+def _promising(metric: str, nodes: Column, cap: float | None) -> Column:
+    """Nodes that may hold the nearest place: none is farther than the nearest that some node is sure to have."""
+    lat, lon = F.col("_lat"), F.col("_lon")
+    surest = F.array_min(F.transform(nodes, lambda n: _bounds(metric, lat, lon, n)[1]))
+    if cap is not None:
+        surest = F.least(surest, F.lit(float(cap)))
+    return F.filter(nodes, lambda n: _bounds(metric, lat, lon, n)[0] <= surest * (1 + 1e-9) + 1e-6)
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    return df.withColumn("_copy", F.pmod(F.xxhash64("_lat", "_lon"), F.lit(TREE_COPIES)).cast("int"))
+
+
+def _copied(df: DataFrame) -> DataFrame:
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(TREE_COPIES - 1))))
+
+
+def candidate_places(spots: DataFrame, places: DataFrame, metric: str, cap: float | None) -> DataFrame:
+    """Distinct points (_lat, _lon) with every place that may be their nearest.
+
+    All points go down the tree together, a level at a time. A point keeps the cells whose least distance does not exceed the surest
+    bound of any other of its cells; cells that are cut are replaced by what they hold.
+    """
+    children, leaves = search_tree(places)
+    depth = children.agg(F.max("level")).first()[0]
+    top = children.where("level = -1").select("nodes").scalar()
+    copies = _copied(children.where("level >= 0"))
+    front = spots.withColumn("_nodes", top)
+    for level in range((depth if depth is not None else -1) + 1):
+        opened = _dealt(front.withColumn("_n", F.explode("_nodes")).select("_lat", "_lon", "_n"))
+        cut = opened.where(~F.col("_n.leaf")).select("_lat", "_lon", "_copy", F.col("_n.level").alias("level"), F.col("_n.cx").alias("cx"), F.col("_n.cy").alias("cy"))
+        lower = cut.join(copies, ["level", "cx", "cy", "_copy"]).select("_lat", "_lon", F.explode("nodes").alias("_n"))
+        all_ = opened.where("_n.leaf").select("_lat", "_lon", "_n").unionByName(lower).groupBy("_lat", "_lon").agg(F.collect_list("_n").alias("_nodes"))
+        front = all_.withColumn("_nodes", _promising(metric, F.col("_nodes"), cap))
+        if level % 3 == 2:
+            front = checkpointed(front)
+    last = _dealt(front.withColumn("_n", F.explode("_nodes")).select("_lat", "_lon", F.col("_n.level").alias("level"), F.col("_n.cx").alias("cx"), F.col("_n.cy").alias("cy")))
+    return last.join(_copied(leaves), ["level", "cx", "cy", "_copy"]).select("_lat", "_lon", F.explode("places").alias("_place")).select("_lat", "_lon", "_place.*")
+
+
 def nearest(df: DataFrame, targets: DataFrame, *, lat: str, lon: str, t_lat: str, t_lon: str,
             order, columns, out: str = "dist_km", metric: str = "haversine",
-            cap: float | None = None, cell: float = 1.0) -> DataFrame:
+            cap: float | None = None) -> DataFrame:
     """Add `columns` of the nearest target and its distance; ties go to the lowest `order`.
 
-    Exact and without pairing everything: per occupied query cell, a ladder of doubling
-    cell sizes finds the first level with a target next door. That bounds the distance,
-    and only targets inside the bound are compared. `cap` leaves farther matches NULL.
+    Exact and without pairing everything: targets at one place are merged, places form a tree whose leaves are small wherever places
+    crowd, and a point meets only the leaves that may hold its nearest place. `cap` leaves farther matches NULL. Points and
+    targets without a position match nothing.
     """
     if metric not in ("haversine", "planar"):
         raise ValueError(f"unknown metric {metric!r}")
     order = [order] if isinstance(order, str) else list(order)
-    top = math.ceil(math.log2(400.0 / cell))
-    levels = F.sequence(F.lit(0), F.lit(top))
-    at = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
-
-    t = targets.select(F.col(t_lat).alias("_tlat"), F.col(t_lon).alias("_tlon"), F.col(t_lon).alias("_klon"),
-                       F.struct(*order).alias("_rank"), F.struct(*columns).alias("_payload"))
-    if metric == "haversine":      # copies one turn away make the date line seamless
-        turn = F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)))
-        t = t.withColumn("_turn", turn).withColumn("_klon", F.col("_klon") + F.col("_turn")).drop("_turn")
-    ladder = (t.withColumn("_level", F.explode(levels))
-              .withColumn("_cx", at(geo.cell_index("_klon", cell)))
-              .withColumn("_cy", at(geo.cell_index("_tlat", cell))))
-
-    spots = (df.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-             .filter(F.col("_lat").isNotNull() & F.col("_lon").isNotNull()).distinct()
-             .withColumn("_qx", geo.cell_index("_lon", cell))
-             .withColumn("_qy", geo.cell_index("_lat", cell)))
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    seen = ladder.select("_level", "_cx", "_cy").distinct()
-    level = (spots.select("_qx", "_qy").distinct()
-             .withColumn("_level", F.explode(levels))
-             .withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step))
-             .withColumn("_cx", at(F.col("_qx")) + F.col("_dx"))
-             .withColumn("_cy", at(F.col("_qy")) + F.col("_dy"))
-             .join(seen, ["_level", "_cx", "_cy"])
-             .groupBy("_qx", "_qy").agg(F.min("_level").alias("_level")))
-
-    size = F.pow(F.lit(2.0), F.col("_level")) * cell
-    km = size * 4 * geo.KM_PER_LON_DEGREE
-    if cap is not None:            # nothing beyond the cap can be an answer
-        km = F.least(km, F.lit(float(cap) * 1.001))
-    dlat = F.least(km / geo.KM_PER_LAT_DEGREE, F.lit(180.0))
-    far = F.greatest(F.abs(F.col("_qy") * cell), F.abs((F.col("_qy") + 1) * cell))
-    if metric == "haversine":
-        dlon = _lon_reach(far, km)
-    else:
-        dlon = F.least(F.try_divide(km, geo.KM_PER_LON_DEGREE * F.cos(F.radians(F.least(far, F.lit(89.9))))),
-                       F.lit(720.0))
-    axis = lambda base, reach: F.explode(F.sequence(
-        F.floor((base * cell - reach) / size).cast("long"),
-        F.floor(((base + 1) * cell + reach) / size).cast("long")))
-    window = (level.withColumn("_cx", axis(F.col("_qx"), dlon))
-              .withColumn("_cy", axis(F.col("_qy"), dlat)))
-    near = window.join(ladder, ["_level", "_cx", "_cy"]).select("_qx", "_qy", "_tlat", "_tlon", "_rank", "_payload")
     measure = geo.haversine_km if metric == "haversine" else geo.planar_km
-    best = (spots.join(near, ["_qx", "_qy"])
+    t = targets.select(F.col(t_lat).cast("double").alias("_tlat"), F.col(t_lon).cast("double").alias("_tlon"), F.struct(*order).alias("_rank"), F.struct(*columns).alias("_payload"))
+    places = (t.where("_tlat IS NOT NULL AND _tlon IS NOT NULL").groupBy("_tlat", "_tlon")
+              .agg(F.min("_rank").alias("_rank"), F.min_by("_payload", "_rank").alias("_payload")))
+    spots = (df.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+             .filter(F.col("_lat").isNotNull() & F.col("_lon").isNotNull()).distinct())
+    best = (candidate_places(spots, checkpointed(places), metric, cap)
             .withColumn("_d", measure("_lat", "_lon", "_tlat", "_tlon"))
             .groupBy("_lat", "_lon")
             .agg(F.min_by(F.struct("_d", "_payload"), F.struct("_d", "_rank")).alias("_best")))
