@@ -13,15 +13,17 @@ from tidewake.llm import topk
 def slow(rows, k):
     fine = [(u, [math.floor(256 * x) for x in v]) for u, v in rows if u is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, qv in {(u, tuple(v)) for u, v in fine if u % 5 == 0}:
-        scored = sorted((-sum(a * b for a, b in zip(qv, v)), u) for u, v in fine if u != q)[:k]
+    for i, (q, qv) in enumerate(fine):
+        if q % 5:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(qv, v)), u) for j, (u, v) in enumerate(fine) if j != i)[:k]
         out += [(q, i + 1, u, -s) for i, (s, u) in enumerate(scored)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("step,shard,block", [(2048, 16384, 4096), (7, 40, 6)])
-def test_ports_by_profile(spark, monkeypatch, step, shard, block):
-    monkeypatch.setattr(topk, "STEP_UNITS", step)
+@pytest.mark.parametrize("sample,shard,block", [(1024, 16384, 8192), (9, 40, 6), (2, 16384, 6)])
+def test_ports_by_profile(spark, monkeypatch, sample, shard, block):
+    monkeypatch.setattr(topk, "SAMPLE_UNITS", sample)
     monkeypatch.setattr(topk, "SHARD_UNITS", shard)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", block)
     rng = random.Random(6)
@@ -41,13 +43,29 @@ def test_few_and_none(spark):
     assert topk.most_alike(df, F.lit(False)).count() == 0
 
 
-def test_pruning_is_exact_and_prunes():
+def test_scores_beyond_doubles(spark):
+    rows = [(i, [float(3_000_000 + 7 * i + j) for j in range(4)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "unit long, values array<double>")
+    assert sorted(tuple(r) for r in topk.most_alike(df, F.col("unit") % 5 == 0, k=4).collect()) == slow(rows, 4)
+    assert max(r[3] for r in slow(rows, 4)) > topk.MAX_EXACT
+    with pytest.raises(ValueError):
+        topk.most_alike(spark.createDataFrame([(5, [1e8] * 4)], "unit long, values array<double>"), F.lit(True))
+
+
+@pytest.mark.parametrize("kind", ["skewed", "classes", "even"])
+def test_pruning_is_exact_and_prunes(kind):
     rng = np.random.default_rng(2)
-    units = np.floor(rng.normal(0, 30, (9000, 16)) * np.linspace(0.05, 2, 16))
+    if kind == "classes":                                            # profiles around ten centres, as real ones are
+        units = np.floor(rng.normal(0, 60, (10, 32))[rng.integers(0, 10, 4000)] + rng.normal(0, 12, (4000, 32)))
+    else:
+        units = np.floor(rng.normal(0, 30, (4000, 32)) * (np.linspace(0.02, 3, 32) ** 2 if kind == "skewed" else 1))
     queries = units[:20]
-    row, ids, score = topk.best_of_cell(np.arange(20), queries, np.arange(9000), units, 5)
     every = queries @ units.T
     every[np.arange(20), np.arange(20)] = -np.inf
+    floor = np.sort(every[:, :topk.SAMPLE_UNITS], axis=1)[:, -5]
+    row, at, score, probes = topk.best_of_cell(np.arange(20), queries, floor, np.arange(4000), np.arange(4000), units, 5)
     for q in range(20):
-        want = np.lexsort((np.arange(9000), -every[q]))[:5]
-        assert ids[row == q].tolist() == want.tolist() and score[row == q].tolist() == every[q][want].tolist()
+        want = np.lexsort((np.arange(4000), -every[q]))[:5]
+        assert at[row == q].tolist() == want.tolist() and score[row == q].tolist() == every[q][want].tolist()
+    share = probes / (20 * 4000 * 32)
+    assert share < {"skewed": 0.1, "classes": 0.1, "even": 0.3}[kind]
