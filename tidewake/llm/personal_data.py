@@ -3,9 +3,10 @@
 The project keeps no free text, so the operators are general: records are any table with a text column.
 
 Four base kinds are exact patterns and are always reported. Everything that only may be personal data is a candidate: a
-loose pattern finds it, and labelers vote for or against it. Three read its shape by regular expressions, two look words
-near it up in gazetteers, two read the context. Expectation-maximisation over the vote patterns of the whole table
-estimates how reliable each labeler is; the chances it gives train a logistic classifier of spans, which decides.
+loose pattern finds it, and labelers vote for or against it. Three read its shape by regular expressions and check digits, two look
+words near it up in gazetteers, three read the context. Expectation-maximisation over the vote patterns of the whole table
+estimates how reliable each labeler is for each kind; the chances it gives train a logistic classifier of spans, which
+decides. A table may hold nothing but secrets, or none, so made-up examples of both sorts are voted on and learned from as well.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidewake.operators.sizing import checkpointed
+
 from .columns import put_columns
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -85,19 +89,47 @@ _MASK = re.compile(r"[\[(] ?at ?[\])] ?", re.I)
 _MASK_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?\Z")
 _MASK_RIGHT = re.compile(r"[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+", re.I)
 _LOOSE = [
-    ("local_phone", re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")),
-    ("national_id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+    ("local_phone", re.compile(r"(?<![0-9A-Za-z+.,/-])(?:\([0-9]{2,5}\)[ ./-]?)?[0-9]{2,6}(?:[ ./-][0-9]{2,8}){0,4}(?![0-9A-Za-z-])")),
+    ("national_id", re.compile(r"(?<![A-Za-z0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[A-Z]{1,2}[0-9]{6,8}[A-Z]?|[0-9]{8}[A-Z])(?![A-Za-z0-9-])")),
     ("secret", re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{14,}+")),
 ]
-# gazetteers: words that stand near personal data in the languages of the corpus
+# gazetteers: words that stand near personal data, and near what only looks like it, in the languages of the corpus
 WORDS = {
-    "masked_email": {"email", "mail", "contact", "write", "correo", "courriel", "kontakt", "address"},
-    "local_phone": {"phone", "tel", "call", "fax", "mobile", "telefon", "telephone", "telefono", "appelez", "cell", "contact"},
-    "national_id": {"ssn", "social", "security", "id", "passport", "ausweis", "dni", "insurance"},
-    "secret": {"password", "passwd", "pwd", "token", "secret", "key", "apikey", "api_key", "access_key", "auth", "bearer", "kennwort", "passwort", "contrasena"},
+    "masked_email": {"email", "mail", "contact", "write", "correo", "courriel", "kontakt", "address", "reach", "escriba", "schreiben", "ecrivez"},
+    "local_phone": {"phone", "tel", "call", "fax", "mobile", "telefon", "telephone", "telefono", "appelez", "cell", "contact", "ring", "dial", "llame", "anrufen",
+                    "handy", "movil", "portable", "rufen", "whatsapp", "hotline", "number", "nummer", "numero"},
+    "national_id": {"ssn", "social", "security", "id", "passport", "ausweis", "dni", "insurance", "iban", "account", "konto", "reisepass", "pasaporte", "passeport",
+                    "nie", "nif", "steuer", "licence", "license", "compte", "cuenta", "identity"},
+    "secret": {"password", "passwd", "pwd", "token", "secret", "key", "apikey", "api_key", "access_key", "secret_key", "access_token", "auth", "bearer", "kennwort", "passwort",
+               "contrasena", "credential", "credentials", "passphrase", "login", "clave", "motdepasse", "authorization"},
 }
-INNOCENT = {"version", "isbn", "issn", "page", "doi", "commit", "sha", "md5", "http", "https", "www", "figure", "table", "no"}
-LABELERS = ["shape", "mixture", "delimiters", "words_before", "innocent_words", "assignment", "line"]
+INNOCENT = {"version", "isbn", "issn", "page", "pages", "doi", "commit", "sha", "md5", "http", "https", "www", "figure", "table", "no", "release", "branch", "hash",
+            "checksum", "revision", "uuid", "guid", "build", "digest", "file", "class", "since", "until", "between", "from", "year", "vol", "pp", "chapter", "section", "etag"}
+_WORD_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+LABELERS = ["shape", "form", "mixture", "delimiters", "words_before", "innocent_words", "assignment", "line"]
+_UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z")
+_DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})\Z")
+_SLUG = re.compile(r"(?:[A-Za-z]{2,}|[0-9]{1,4}|[A-Za-z]{3,}[0-9]{1,4})(?:[-_](?:[A-Za-z]{1,}|[0-9]{1,4}|[A-Za-z]{3,}[0-9]{1,4}))*\Z")
+_DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)?[0-9]{2}|(?:1[0-9]|20)[0-9]{2}[ -]?[/-][ -]?(?:1[0-9]|20)[0-9]{2})(?: [0-9]{2,6})?\Z")
+_ISSUED = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|sk_|pk_|rk_|xox[abprs]-|eyJ|AIza|glpat-|npm_)")
+FORMS = ["uuid", "digest", "slug", "date", "issued", "valid", "plain"]
+
+
+def _iban(value: str) -> bool:
+    """Whether the check digits of an account number are right."""
+    text = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def form_of(kind: str, value: str) -> str:
+    """What a value looks like: one of FORMS."""
+    if kind == "secret":
+        return ("issued" if _ISSUED.match(value) else "uuid" if _UUID.match(value) else "digest" if _DIGEST.match(value) else "slug" if _SLUG.match(value) else "plain")
+    if kind == "local_phone":
+        return "date" if _DATE.match(value) else "plain"
+    if kind == "national_id" and len(value) >= 15:
+        return "valid" if _iban(value) else "plain"
+    return "plain"
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -107,12 +139,15 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         left, right = _MASK_LEFT.search(text[max(0, m.start() - 66):m.start()]), _MASK_RIGHT.match(text, m.end())
         if left and right:
             found.append(("masked_email", m.start() - len(left[0]), right.end()))
-    if _DIGIT.search(text):
-        for kind, pattern in _LOOSE:
-            for m in pattern.finditer(text):
-                value = m[0]
-                if kind != "secret" or (_DIGIT.search(value) and sum(map(str.isalpha, value)) >= 4):
-                    found.append((kind, *m.span()))
+    for kind, pattern in _LOOSE if _DIGIT.search(text) else _LOOSE[-1:]:
+        for m in pattern.finditer(text):
+            value = m[0]
+            if kind == "secret":
+                fine = sum(map(str.isalpha, value)) >= 4 and (_DIGIT.search(value) or "_" in value or "-" in value)
+            else:
+                fine = kind != "local_phone" or 7 <= sum("0" <= c <= "9" for c in value) <= 12
+            if fine:
+                found.append((kind, *m.span()))
     if not found or not base:
         return found
     taken = sorted((a, b) for _, a, b in base)
@@ -127,40 +162,85 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
 def votes(text: str, kind: str, first: int, end: int) -> tuple[int, ...]:
     """One vote of each labeler: 1 for, -1 against, 0 abstains."""
     value, before, after = text[first:end], text[max(0, first - NEAR):first], text[end:end + NEAR]
-    digits, letters = sum("0" <= c <= "9" for c in value), sum(map(str.isalpha, value))
+    digits = sum("0" <= c <= "9" for c in value)
     near = set(re.findall(r"[a-z_]+", before.lower()))
-    alone = set(value) <= set("0123456789abcdefABCDEF")
-    shape = {"secret": 1 if alone and len(value) >= 16 else 0, "local_phone": 1 if value[0] == "(" or value.count("-") == 2 else 0,
-             "national_id": 1 if value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" else -1, "masked_email": 1}[kind]
+    form = form_of(kind, value)
+    groups = re.findall("[0-9]+", value)
+    if kind == "secret":
+        sorts = sum((any(map(str.isupper, value)), any(map(str.islower, value)), digits > 0))
+        shape = -1 if form in ("slug", "uuid") else 1 if sorts == 3 or digits >= 6 or form == "issued" else 0
+    elif kind == "local_phone":
+        thousands = len(groups) > 1 and all(len(g) == 3 for g in groups[1:]) and len(groups[0]) <= 3
+        shape = -1 if thousands or digits < 9 and value[0] != "0" else 1 if value[0] in "0(" or len(groups) == 3 else 0
+    elif kind == "national_id":
+        shape = 1 if len(value) == 11 and value[3] == "-" and value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" else -1 if len(value) == 11 and value[3] == "-" else 0
+    else:
+        shape = 1
+    formed = {"issued": 1, "valid": 1, "uuid": -1, "digest": -1, "slug": -1, "date": -1}.get(form, -1 if kind == "national_id" and len(value) >= 15 else 0)
     changes = sum((a.isdigit() != b.isdigit()) for a, b in zip(value, value[1:]))
-    mixture = {"secret": 1 if changes >= 4 else -1 if changes <= 1 else 0}.get(kind, 1 if digits >= 9 or letters >= 6 else 0)
-    delimiters = 1 if before[-1:] in "\"'=:" and before else -1 if before[-1:] in "/#.&?" and before or after[:1] in "/" and after else 0
-    assignment = 1 if re.search(r"[=:]\s?[\"']?\Z", before) else 0
+    mixture = (1 if changes >= 4 or form == "issued" else -1 if changes <= 2 else 0) if kind == "secret" else 1 if digits >= 9 and shape >= 0 else 0
+    attached = before[len(before.rstrip("/._-?&=#:%" + _WORD_CHARS)):]               # what the value hangs on
+    in_path = "/" in attached or before[-1:] in ("#", "?", "&") and bool(before) or after[:1] == "/"
+    delimiters = -1 if in_path else 1 if before[-1:] in ("\"", "'", "=", ":") else 0
+    assignment = 1 if re.search(r"[=:]\s?[\"']?\Z", before) and not in_path else -1 if kind == "secret" and form != "issued" else 0
     line = -1 if "|" in before[-3:] or "|" in after[:3] else 0
-    return (shape, mixture, delimiters, 1 if near & WORDS[kind] else 0, -1 if near & INNOCENT else 0, assignment, line)
+    cue = 1 if near & WORDS[kind] else 0 if kind == "masked_email" else -1
+    return (shape, formed, mixture, delimiters, cue, -1 if near & INNOCENT else 0, assignment, line)
 
 
 def features(text: str, kind: str, first: int, end: int) -> np.ndarray:
-    """Features of a span for the classifier: kind, shape, and hashed words before it; the votes are not among them."""
+    """Features of a span for the classifier: kind, form, shape, surroundings and hashed words before it; the votes are not among them."""
     value, before, after = text[first:end], text[max(0, first - NEAR):first], text[end:end + 3]
-    x = np.zeros(len(LOOSE_KINDS) + 8 + BUCKETS)
-    x[LOOSE_KINDS.index(kind)] = 1
+    k, f = len(LOOSE_KINDS), len(FORMS)
+    x = np.zeros(WIDTH)
+    kind_at = LOOSE_KINDS.index(kind)
+    x[kind_at] = 1
+    x[k + kind_at * f + FORMS.index(form_of(kind, value))] = 1
     n = len(value)
-    k = len(LOOSE_KINDS)
-    x[k:k + 8] = (min(n, 64) / 64, sum(map(str.isdigit, value)) / n, sum(map(str.isalpha, value)) / n, sum(map(str.isupper, value)) / n,
-                  min(16, sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))) / 16,
-                  before[-1:] in ("=", ":", '"', "'"), before[-2:-1] in ("=", ":"), after[:1] in ('"', "'"))
-    for word in re.findall(r"[a-z_]+", before.lower())[-3:]:
-        x[k + 8 + crc32(word.encode()) % BUCKETS] = 1
+    words = re.findall(r"[a-z_]+", before.lower())
+    path = before[-1:] in ("/", "#", "?", "&") and bool(before) or after[:1] == "/"
+    shape = (min(n, 64) / 64, sum(map(str.isdigit, value)) / n, sum(map(str.isalpha, value)) / n, sum(map(str.isupper, value)) / n,
+             min(16, sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))) / 16, bool(re.search(r"[=:]\s?[\"']?\Z", before)) and not path,
+             after[:1] in ('"', "'"), path, bool(WORDS[kind] & set(words)), bool(INNOCENT & set(words)), value[:1] in ("0", "("))
+    start = k + k * f + kind_at * SHAPES
+    x[start:start + SHAPES] = shape
+    for word in words[-3:]:
+        x[k + k * (f + SHAPES) + crc32(word.encode()) % BUCKETS] = 0.5
     return x
 
 
+SHAPES = 11
+WIDTH = len(LOOSE_KINDS) * (1 + len(FORMS) + SHAPES) + BUCKETS
+
+
+def examples() -> list[tuple[str, str, int, int]]:
+    """Made-up candidates (text, kind, first, end) of every sort, the same at every run. They carry no labels: labelers vote
+    on them as on any other."""
+    out = []
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for i in range(40):
+        h = sha256(str(i).encode()).hexdigest()
+        d = str(int(h, 16))
+        code = "".join(letters[b % 62] for b in bytes.fromhex(h)[:18 + i % 9])
+        word = ["configuration", "international", "documentation", "administration", "transformation", "implementation"][i % 6]
+        account = "DE" + str(98 - int(d[:18] + "131400") % 97).zfill(2) + d[:18]
+        texts = [f"password={code}", f'token: "{code}"', f"the api_key = {h[:24 + i % 20]} works", f"secret is {code} ok", f"login with clave: {code}",
+                 f"at commit {h[:40]} of", f"sha {h[:32]} matches", f"see https://a.org/f/{h[:32]}/x", f"uuid {h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]} was", f"the {word}{2000 + i % 25}-release came",
+                 f"in version {i}-{word}", f"a {word}-of-the-{word} thing", f"file {code}.png in /{code}/", f"class {word}_{word}_{i} of", f"uses AKIA{h[:16].upper()} there", f"uses ghp_{code} there", f"order {code} shipped",
+                 f"call 0{d[:2]} {d[2:8]} now", f"phone ({d[:3]}) {d[3:6]}-{d[6:10]}", f"tel. {d[:3]}-{d[3:6]}-{d[6:10]}", f"on {2000 + i % 25}-0{1 + i % 9}-1{i % 9} we", f"between 19{10 + i}-20{10 + i % 15} and",
+                 f"had {d[:3]} {d[3:6]} {d[6:9]} people", f"pages {d[:4]} {d[4:8]} of", f"IBAN {account} please", f"passport C{d[:8]} of", f"ssn {100 + i}-{10 + i}-{d[:4]} on",
+                 f"part no AB{d[:6]} fits", f"lot 9{d[:2]}-00-{d[:4]} left", f"write to ann{i} [at] mail{i} [dot] org", f"ask bob{i}(at)post.example.com"]
+        for text in texts:
+            out += [(text, *c) for c in candidates(text, base_spans(text))]
+    return out
+
+
 @dataclass
 class SpanModel:
     """Reliability of each labeler, and the classifier that decides over candidates."""
 
     prior: dict[str, float]
-    reliability: np.ndarray         # labeler, class, vote + 1
+    reliability: dict[str, np.ndarray]         # kind: labeler, class, vote + 1
     weights: np.ndarray
     bias: float
 
@@ -168,37 +248,43 @@ class SpanModel:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -50, 50))))
 
 
-def expectation(kinds: list[str], patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Expectation-maximisation over vote patterns and how often each occurs. A labeler that abstains says nothing. Starts
-    from the sum of votes, so that class 1 is what labelers vote for."""
+#: Votes that a labeler is taken to have cast before any is seen, and how many of them were right.
+PRIOR_VOTES, PRIOR_RIGHT = 10.0, 8.0
+
+
+def expectation(kinds: list[str], patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[dict, dict, np.ndarray]:
+    """Expectation-maximisation over vote patterns and how often each occurs, for each kind by itself. A labeler that abstains says
+    nothing. Starts from the sum of votes, so that class 1 is what labelers vote for; reliabilities start from PRIOR_VOTES and may end
+    anywhere, also below a half."""
     chance = 1 / (1 + np.exp(-1.5 * patterns.sum(axis=1)))
     kinds_of = np.array(kinds)
-    prior, table = {}, np.ones((patterns.shape[1], 2, 3))
-    for _ in range(rounds):
-        for kind in set(kinds):
-            own = kinds_of == kind
-            prior[kind] = float(np.clip((chance[own] @ counts[own] + 1) / (counts[own].sum() + 2), 0.02, 0.98))
-        for k in range(patterns.shape[1]):
-            for c, share in enumerate((1 - chance, chance)):
-                yes, no = (float(counts @ (share * (patterns[:, k] == v))) for v in (1, -1))
-                agree = (no if c == 0 else yes) + 4
-                total = yes + no + 5
-                right = float(np.clip(agree / total, 0.5, 0.999))
-                table[k, c, 2], table[k, c, 0] = (1 - right, right) if c == 0 else (right, 1 - right)
-        odds = np.array([np.log(prior[x] / (1 - prior[x])) for x in kinds])
-        for k in range(patterns.shape[1]):
-            odds += np.log(table[k, 1, patterns[:, k] + 1] / table[k, 0, patterns[:, k] + 1])
-        chance = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-    return prior, table, chance
-
-
-def _fit(x: np.ndarray, chance: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, by gradient steps with a small penalty."""
-    weights, bias = np.zeros(x.shape[1]), 0.0
+    prior, tables = {}, {}
+    for kind in sorted(set(kinds)):
+        own = kinds_of == kind
+        votes_of, n, c1 = patterns[own], counts[own], chance[own]
+        table = np.ones((patterns.shape[1], 2, 3))
+        for _ in range(rounds):
+            prior[kind] = float(np.clip((c1 @ n + 2) / (n.sum() + 4), 0.02, 0.98))
+            for k in range(patterns.shape[1]):
+                for c, share in enumerate((1 - c1, c1)):
+                    yes, no = (float(n @ (share * (votes_of[:, k] == v))) for v in (1, -1))
+                    right = ((no if c == 0 else yes) + PRIOR_RIGHT) / (yes + no + PRIOR_VOTES)
+                    table[k, c, 2], table[k, c, 0] = (1 - right, right) if c == 0 else (right, 1 - right)
+            odds = np.full(own.sum(), np.log(prior[kind] / (1 - prior[kind])))
+            for k in range(patterns.shape[1]):
+                odds += np.log(table[k, 1, votes_of[:, k] + 1] / table[k, 0, votes_of[:, k] + 1])
+            c1 = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        chance[own], tables[kind] = c1, table
+    return prior, tables, chance
+
+
+def _fit(x: np.ndarray, chance: np.ndarray, weight: np.ndarray, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels of given weights, by gradient steps with a small penalty."""
+    weights, bias, weight = np.zeros(x.shape[1]), 0.0, weight / weight.sum()
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-(x @ weights + bias))) - chance
-        weights -= 2.0 * (x.T @ error / len(x) + 1e-4 * weights)
-        bias -= 2.0 * error.mean()
+        error = (1 / (1 + np.exp(-np.clip(x @ weights + bias, -50, 50))) - chance) * weight
+        weights -= 2.0 * (x.T @ error + 1e-4 * weights)
+        bias -= 2.0 * error.sum()
     return weights, bias
 
 
@@ -206,8 +292,9 @@ def learn(records: DataFrame, text: str = "text", sample: int = SAMPLE_CANDIDATE
     """Estimate the labelers and fit the classifier on the candidates of all texts.
 
     Vote patterns are counted over the whole table (at most 3 to the power of the labelers, for each kind, whatever its
-    size). The classifier is fitted on at most `sample` distinct candidates, those with the least hash. A table without
-    candidates gives a model that accepts nothing. Null and empty texts have no candidates.
+    size), with those of examples(). The classifier is fitted on at most `sample` distinct candidates, those with the least hash, and on
+    the examples, which weigh a fifth of all. A table without candidates gives a model that accepts nothing. Null and empty
+    texts have no candidates.
     """
     kind = "array<struct<kind:string,votes:array<int>,features:array<float>,h:long>>"
 
@@ -223,20 +310,23 @@ def learn(records: DataFrame, text: str = "text", sample: int = SAMPLE_CANDIDATE
             yield pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("votes", pa.list_(pa.int32())),
                                                      ("features", pa.list_(pa.float32())), ("h", pa.int64())])))
 
-    seen = records.select(F.explode(voted(F.col(text).cast("string"))).alias("c")).select("c.*")
-    groups = seen.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "features")).alias("low"))
-    spread = seen.groupBy("kind", "votes", "h").agg(F.min("features").alias("features")).orderBy("h").limit(sample)
-    patterns = groups.orderBy("kind", "votes").collect()
-    width = len(LOOSE_KINDS) + 8 + BUCKETS
-    if not patterns:
-        return SpanModel({}, np.zeros((len(LABELERS), 2, 3)), np.zeros(width), -50.0)
-    prior, table, chance = expectation([r.kind for r in patterns], np.array([r.votes for r in patterns]),
-                                       np.array([float(r.n) for r in patterns]))
-    known = {(r.kind, tuple(r.votes)): c for r, c in zip(patterns, chance)}
-    rows = [(r.features, known[r.kind, tuple(r.votes)]) for r in spread.collect()]
-    rows += [(r.low.features, c) for r, c in zip(patterns, chance)]
-    weights, bias = _fit(np.array([x for x, _ in rows]), np.array([c for _, c in rows]))
-    return SpanModel(prior, table, weights, bias)
+    seen = checkpointed(records.select(F.explode(voted(F.col(text).cast("string"))).alias("c")).select("c.*"))
+    groups = seen.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n"))
+    drawn = seen.groupBy("kind", "votes", "h").agg(F.min("features").alias("features")).orderBy("h").limit(sample).collect()
+    counted = {(r.kind, tuple(r.votes)): float(r.n) for r in groups.collect()}
+    if not counted:
+        return SpanModel({}, {}, np.zeros(WIDTH), -50.0)
+    made = [(k, votes(t, k, a, b), features(t, k, a, b)) for t, k, a, b in examples()]
+    for k, v, _ in made:
+        counted[k, v] = counted.get((k, v), 0.0) + 1.0
+    keys = sorted(counted)
+    prior, tables, chance = expectation([k for k, _ in keys], np.array([v for _, v in keys]), np.array([counted[key] for key in keys]))
+    known = dict(zip(keys, chance))
+    x = np.array([r.features for r in drawn] + [f for _, _, f in made])
+    y = np.array([known[r.kind, tuple(r.votes)] for r in drawn] + [known[k, v] for k, v, _ in made])
+    weight = np.concatenate([np.ones(len(drawn)), np.full(len(made), max(1.0, len(drawn) / (4 * len(made))))])
+    weights, bias = _fit(x, y, weight)
+    return SpanModel(prior, tables, weights, bias)
 
 
 def find(records: DataFrame, model: SpanModel, text: str = "text", spans: str = "pii", threshold: float = 0.5) -> DataFrame:
@@ -263,7 +353,7 @@ def find(records: DataFrame, model: SpanModel, text: str = "text", spans: str =
 
 def mask(records: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
     """Replace each span of a text by its kind in angle brackets. Of spans that overlap, the first is named and all are
-    covered. Null texts stay null; other columns are kept."""
+    covered. Null texts stay null; other columns are kept. Column names are compared as Spark does, without case."""
     @F.arrow_udf("string")
     def masked(values: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, places in values:
@@ -280,5 +370,5 @@ def mask(records: DataFrame, text: str = "text", spans: str = "pii") -> DataFram
                 out.append(value)
             yield pa.array(out, pa.string())
 
-    kept = [masked(F.col(text), F.col(spans)).alias(c) if c == text else records[c] for c in records.columns]
+    kept = [masked(F.col(text), F.col(spans)).alias(c) if c.lower() == text.lower() else records[c] for c in records.columns]
     return records.select(*kept)
