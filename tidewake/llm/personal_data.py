@@ -112,7 +112,8 @@ _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0
 _SLUG = re.compile(r"(?:[A-Za-z]{2,}|[0-9]{1,4}|[A-Za-z]{3,}[0-9]{1,4})(?:[-_](?:[A-Za-z]{1,}|[0-9]{1,4}|[A-Za-z]{3,}[0-9]{1,4}))*\Z")
 _DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)?[0-9]{2}|(?:1[0-9]|20)[0-9]{2}[ -]?[/-][ -]?(?:1[0-9]|20)[0-9]{2})(?: [0-9]{2,6})?\Z")
 _ISSUED = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|sk_|pk_|rk_|xox[abprs]-|eyJ|AIza|glpat-|npm_)")
-FORMS = ["uuid", "digest", "slug", "date", "issued", "valid", "plain"]
+FORMS = ["uuid", "digest", "slug", "date", "thousands", "issued", "valid", "plain"]
+_THOUSANDS = re.compile(r"[0-9]{1,3}(?:[ .][0-9]{3})+\Z")
 
 
 def _iban(value: str) -> bool:
@@ -126,7 +127,7 @@ def form_of(kind: str, value: str) -> str:
     if kind == "secret":
         return ("issued" if _ISSUED.match(value) else "uuid" if _UUID.match(value) else "digest" if _DIGEST.match(value) else "slug" if _SLUG.match(value) else "plain")
     if kind == "local_phone":
-        return "date" if _DATE.match(value) else "plain"
+        return "date" if _DATE.match(value) else "thousands" if _THOUSANDS.match(value) and value[0] != "0" else "plain"
     if kind == "national_id" and len(value) >= 15:
         return "valid" if _iban(value) else "plain"
     return "plain"
@@ -170,13 +171,12 @@ def votes(text: str, kind: str, first: int, end: int) -> tuple[int, ...]:
         sorts = sum((any(map(str.isupper, value)), any(map(str.islower, value)), digits > 0))
         shape = -1 if form in ("slug", "uuid") else 1 if sorts == 3 or digits >= 6 or form == "issued" else 0
     elif kind == "local_phone":
-        thousands = len(groups) > 1 and all(len(g) == 3 for g in groups[1:]) and len(groups[0]) <= 3
-        shape = -1 if thousands or digits < 9 and value[0] != "0" else 1 if value[0] in "0(" or len(groups) == 3 else 0
+        shape = -1 if form == "thousands" or digits < 9 and value[0] != "0" else 1 if value[0] in "0(" or len(groups) == 3 else 0
     elif kind == "national_id":
         shape = 1 if len(value) == 11 and value[3] == "-" and value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" else -1 if len(value) == 11 and value[3] == "-" else 0
     else:
         shape = 1
-    formed = {"issued": 1, "valid": 1, "uuid": -1, "digest": -1, "slug": -1, "date": -1}.get(form, -1 if kind == "national_id" and len(value) >= 15 else 0)
+    formed = {"issued": 1, "valid": 1, "uuid": -1, "digest": -1, "slug": -1, "date": -1, "thousands": -1}.get(form, -1 if kind == "national_id" and len(value) >= 15 else 0)
     changes = sum((a.isdigit() != b.isdigit()) for a, b in zip(value, value[1:]))
     mixture = (1 if changes >= 4 or form == "issued" else -1 if changes <= 2 else 0) if kind == "secret" else 1 if digits >= 9 and shape >= 0 else 0
     attached = before[len(before.rstrip("/._-?&=#:%" + _WORD_CHARS)):]               # what the value hangs on
@@ -184,7 +184,7 @@ def votes(text: str, kind: str, first: int, end: int) -> tuple[int, ...]:
     delimiters = -1 if in_path else 1 if before[-1:] in ("\"", "'", "=", ":") else 0
     assignment = 1 if re.search(r"[=:]\s?[\"']?\Z", before) and not in_path else -1 if kind == "secret" and form != "issued" else 0
     line = -1 if "|" in before[-3:] or "|" in after[:3] else 0
-    cue = 1 if near & WORDS[kind] else 0 if kind == "masked_email" else -1
+    cue = 1 if near & WORDS[kind] else 0 if kind == "masked_email" or form in ("issued", "valid") else -1
     return (shape, formed, mixture, delimiters, cue, -1 if near & INNOCENT else 0, assignment, line)
 
 
@@ -278,14 +278,17 @@ def expectation(kinds: list[str], patterns: np.ndarray, counts: np.ndarray, roun
     return prior, tables, chance
 
 
-def _fit(x: np.ndarray, chance: np.ndarray, weight: np.ndarray, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels of given weights, by gradient steps with a small penalty."""
-    weights, bias, weight = np.zeros(x.shape[1]), 0.0, weight / weight.sum()
+def _fit(x: np.ndarray, chance: np.ndarray, weight: np.ndarray, rounds: int = 40, penalty: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels of given weights, by Newton steps with a small penalty."""
+    z, weight = np.column_stack([x, np.ones(len(x))]), weight / weight.sum()
+    beta = np.zeros(z.shape[1])
+    shrink = np.full(z.shape[1], penalty)
     for _ in range(rounds):
-        error = (1 / (1 + np.exp(-np.clip(x @ weights + bias, -50, 50))) - chance) * weight
-        weights -= 2.0 * (x.T @ error + 1e-4 * weights)
-        bias -= 2.0 * error.sum()
-    return weights, bias
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        slope = z.T @ ((p - chance) * weight) + shrink * beta
+        curve = (z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z + np.diag(shrink)
+        beta -= np.linalg.solve(curve, slope)
+    return beta[:-1], float(beta[-1])
 
 
 def learn(records: DataFrame, text: str = "text", sample: int = SAMPLE_CANDIDATES) -> SpanModel:
