@@ -31,8 +31,12 @@ def test_positions_two_layouts(spark, tmp_path):
         positions.read_positions(spark, a, ["MMSI", "Nope"])
     assert positions.between_days(df, "2025-01-01").count() == 1
     pruned = positions.read_positions(spark, [a, b], start="2025-01-01")
-    assert pruned.count() == 1 and positions.list_files(spark, [a, b], "2025-01-01")[0].endswith("ais-2025-01-03.csv")
-    assert len(pruned.inputFiles()) == 1
+    assert pruned.count() == 1 and [r.path.split("/")[-1] for r in positions.day_files(spark, [a, b], "2025-01-01").collect()] == ["ais-2025-01-03.csv"]
+    (tmp_path / "AIS_2020_01_01.csv.gz").write_bytes(b"not compressed at all")     # never opened outside its day
+    kept = positions.read_positions(spark, str(tmp_path), start="2024-01-01")
+    assert kept.count() == 3 and positions.read_positions(spark, str(tmp_path), days=["2024-01-02"]).count() == 2
+    with pytest.raises(Exception):
+        positions.read_positions(spark, str(tmp_path)).count()
 
 
 def test_null_guard(spark):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidewake.operators.sizing import checkpointed, spread
 
 # fixed values: column names of the two feed layouts, lower case -> canonical
 CANONICAL = {
@@ -25,6 +27,8 @@ FILE_DAY = r"(?:AIS_|ais-)(\d{4})[_-](\d{2})[_-](\d{2})\.(?:csv|csv\.gz|parquet)
 MERCHANT_TYPES = [*range(70, 90), 1003, 1004, 1016, 1017, 1024]
 HARD_NULLS = {"LAT": 0.5, "LON": 0.5, "BaseDateTime": 0.5}
 SOFT_NULLS = {"SOG": 0.9, "VesselType": 0.9, "Status": 0.9}
+#: Different headers that one scan may have; a feed changes its layout every few years.
+MAX_LAYOUTS = 1000
 
 
 def file_day():
@@ -39,26 +43,56 @@ def named_day(path: str) -> str | None:
     return "-".join(m.groups()) if m else None
 
 
-def list_files(spark: SparkSession, paths, start=None, end=None) -> list[str]:
-    """Files under paths in name order, without opening them. With a range, files that name a day outside it are left out;
-    files that name none stay."""
-    found = spark.read.format("binaryFile").load(paths).select("path").collect()
-    day = lambda p: named_day(p) or ""
-    lo, hi = str(start or ""), str(end or "9999-99-99")
-    return sorted(r.path for r in found if not day(r.path) or lo <= day(r.path) <= hi)
+def day_files(spark: SparkSession, paths, start=None, end=None, days=None) -> DataFrame:
+    """path and day of the files under paths, without opening them. With a range or a list of days, files that name another day are
+    left out; in a range, files that name none stay."""
+    part = lambda i: F.regexp_extract("path", FILE_DAY + "$", i)
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("_metadata.file_path").alias("path"))
+             .withColumn("day", F.concat_ws("-", part(1), part(2), part(3)).try_cast("date")))
+    return found.where(_wanted(F.col("day"), start, end, days))
 
 
-def header_line(spark: SparkSession, path: str) -> str:
-    """First line of a plain or compressed text file."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(conf).open(place)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+def _wanted(day: Column, start, end, days) -> Column:
+    keep = F.lit(True)
+    if days is not None:
+        keep = F.coalesce(day.isin(*[F.lit(str(d)).cast("date") for d in days]), F.lit(False))
+    for bound, holds in ((start, day >= F.lit(str(start)).cast("date")), (end, day <= F.lit(str(end)).cast("date"))):
+        if bound is not None:
+            keep = keep & F.coalesce(holds, F.lit(True))
+    return keep
+
+
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First line of each file; plain or compressed."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+
+    for batch in batches:
+        lines = []
+        for path in batch.column("path").to_pylist():
+            system, place = fs.FileSystem.from_uri(unquote(path))
+            with system.open_input_stream(place, compression="detect") as stream:
+                text = b""
+                while b"\n" not in text and (more := stream.read(1 << 14)):
+                    text += more
+            lines.append(text.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip("\r").lstrip("\ufeff"))
+        yield pa.record_batch([batch.column("path"), pa.array(lines, pa.string())], names=["path", "header"])
+
+
+def headers(spark: SparkSession, files: DataFrame, paths) -> DataFrame:
+    """path and header of every file, read in tasks. Where the tasks cannot open the store by themselves, the lines that name a ship's
+    identity column are taken from a scan."""
+    from pyarrow import fs
+
+    one = files.select("path").limit(1).collect()
     try:
-        return (reader.readLine() or "").lstrip("\ufeff")
-    finally:
-        reader.close()
+        if one:
+            fs.FileSystem.from_uri(one[0].path)
+        return spread(files.select("path"), "path").mapInArrow(_first_lines, "path string, header string")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        lines = spark.read.option("recursiveFileLookup", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("header"))
+        return lines.where(F.lower("header").rlike("(^|,) *mmsi *(,|$)")).join(files.select("path"), "path", "left_semi")
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -79,24 +113,21 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_positions(spark: SparkSession, paths, columns=None, fmt: str = "csv", start=None, end=None) -> DataFrame:
+def read_positions(spark: SparkSession, paths, columns=None, fmt: str = "csv", start=None, end=None, days=None) -> DataFrame:
     """Scan day files (plain or gz CSV, or Parquet) and add the `date` partition day from the file name, falling back to
     the timestamp. Quote characters are data.
 
-    Layouts may be mixed: each CSV file is read by its own header, one scan for each distinct header, and columns meet by
-    name. start and end prune files by the day in their names. Without files there is an error, as Spark's own readers
-    give it.
+    Layouts may be mixed: each CSV line is cut by the header of its own file, in one scan, and columns meet by name. Headers are read in
+    tasks; only the distinct ones, as many as there are layouts, come to the driver. start, end and days (a list) prune files by
+    the day in their names. Without files there is an error.
     """
     if fmt == "csv":
-        groups: dict[str, list[str]] = {}
-        for path in list_files(spark, paths, start, end):
-            groups.setdefault(header_line(spark, path), []).append(path)
-        parts = [_one_layout(spark, header, files) for header, files in sorted(groups.items())]
-        if not parts:
-            raise ValueError(f"no files in {paths}")
-        df = parts[0]
-        for p in parts[1:]:
-            df = df.unionByName(p, allowMissingColumns=True)
+        files = day_files(spark, paths, start, end, days)
+        known = checkpointed(headers(spark, files, paths))
+        layouts = sorted(r.header for r in known.select("header").distinct().limit(MAX_LAYOUTS + 1).collect())
+        if not layouts or len(layouts) > MAX_LAYOUTS:
+            raise ValueError(f"no files in {paths}" if not layouts else f"over {MAX_LAYOUTS} different headers in {paths}")
+        df = _cut_lines(spark, paths, known, layouts, start, end, days)
     else:
         df = canonical(spark.read.parquet(*([paths] if isinstance(paths, str) else paths)).withColumn("_day", file_day()))
     df = df.withColumn("date", F.coalesce("_day", F.to_date("BaseDateTime"))).drop("_day")
@@ -110,10 +141,22 @@ def read_positions(spark: SparkSession, paths, columns=None, fmt: str = "csv", s
     return df
 
 
-def _one_layout(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
-    schema = StructType([StructField(name.strip(), StringType()) for name in header.split(",")])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("quote", "").option("mode", "PERMISSIVE").csv(files)
-    return canonical(raw.withColumn("_day", file_day()))
+def _cut_lines(spark: SparkSession, paths, known: DataFrame, layouts: list[str], start, end, days) -> DataFrame:
+    """Rows of all CSV files with canonical columns and the day of the file's name. The scan is pruned by that day."""
+    lines = (spark.read.option("recursiveFileLookup", True).text(paths)
+             .select("value", F.col("_metadata.file_path").alias("path"), file_day().alias("_day")).where(_wanted(file_day(), start, end, days)))
+    rows = lines.join(known, "path").where((F.regexp_replace("value", "^\ufeff", "") != F.col("header")) & (F.length("value") > 0))
+    place: dict[str, dict[int, int]] = {}
+    for number, header in enumerate(layouts):
+        for at, name in enumerate(header.split(",")):
+            place.setdefault(CANONICAL.get(name.strip().lower(), name.strip()), {}).setdefault(number, at)
+    layout = F.array_position(F.array(*[F.lit(h) for h in layouts]), F.col("header")) - 1
+    cells = rows.select(F.split("value", ",", -1).alias("_c"), layout.alias("_layout"), "_day")
+
+    def cell(where: dict[int, int]) -> Column:
+        at = F.element_at(F.array(*[F.lit(where.get(i, -1)) for i in range(len(layouts))]), (F.col("_layout") + 1).cast("int"))
+        return F.nullif(F.get("_c", at), F.lit(""))
+    return canonical(cells.select(*[cell(where).alias(name) for name, where in place.items()], "_day"))
 
 
 def between_days(df: DataFrame, start=None, end=None, day: str = "date") -> DataFrame:
@@ -168,4 +211,4 @@ def only_days(df: DataFrame, days, day: str = "date") -> DataFrame:
 
 
 __all__ = ["CANONICAL", "between_days", "canonical", "file_day", "merchant", "null_rates", "only_days",
-           "list_files", "named_day", "read_positions", "require_parsed", "sample_days"]
+           "day_files", "named_day", "read_positions", "require_parsed", "sample_days"]

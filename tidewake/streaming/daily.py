@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewake.sources.panels import new_days, write_days
-from tidewake.sources.positions import list_files, named_day, read_positions
+from tidewake.sources.positions import named_day, read_positions
 
 
 def run_new_files(spark: SparkSession, source: str, output: str, checkpoint: str, compute, files_per_batch: int = 30) -> None:
@@ -26,10 +26,9 @@ def run_new_files(spark: SparkSession, source: str, output: str, checkpoint: str
         nameless = [p for p in fresh if named_day(p) is None]
         if nameless:
             raise ValueError(f"files without a day in their name: {nameless[:5]}")
-        days = {named_day(p) for p in fresh}
-        whole = [p for p in list_files(spark, source, min(days), max(days)) if named_day(p) in days] if days else []
-        if whole:
-            write_days(compute(read_positions(spark, whole)), output)
+        days = sorted({named_day(p) for p in fresh})                # at most files_per_batch
+        if days:
+            write_days(compute(read_positions(spark, source, days=days)), output)
 
     (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
