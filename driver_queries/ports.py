@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidewake.operators import groupings as gr, products as pr, regress as rg
+from tidewake.functions import geo
+from tidewake.operators import geolocate as gl, groupings as gr, products as pr, space as sp
 from tidewake.operators.sizing import checkpointed
 from . import outcomes as o, standins as s
 from .outcomes import CI, DIV, HU, OE, PORTS, PSUM, R5, RATIO, STS, TS, WINDOW
@@ -190,3 +191,50 @@ def map_tracks(spark, d):
     tracks = e.selectExpr("user_id % 100 AS SID", "date_trunc('hour', ts) AS time", "20 + (user_id*7 + event_id*13) % 100 AS wind")
     fixes = e.where("event_type <> 'view'").selectExpr("user_id % 100 AS SID", "date_trunc('hour', ts) AS time", "20 + (event_id % 2000)/100D AS lat", "-95 + (event_id % 3000)/100D AS lon", "(event_id*31 % 600)/10D AS rms_km")
     return rounded(gr.map_tracks(fixes, tracks, s.table(spark, d, "lineitem").selectExpr("l_suppkey AS SID")), {"lat": 4, "lon": 4})
+
+
+# storms on known tracks, and their exact distances to the ports in reach
+PLACES = ["25 + (pn*11 % 40) * 0.2{0}", "-98 + (pn*17 % 40) * 0.6{0}"]
+TRUTH = ["24 + {t} * 0.06{0}", "-96 + s_suppkey % 10 + {t} * 0.05{0}"]
+HAV = "2*6371.0::DOUBLE*asin(sqrt(least(1, sin(radians({a}-{c})/2)**2 + cos(radians({a}))*cos(radians({c}))*sin(radians({b}-{d})/2)**2)))"
+GEO = (f"gp AS (SELECT DISTINCT 'P' || pn AS port, {PLACES[0].format('::DOUBLE')} AS p_lat, {PLACES[1].format('::DOUBLE')} AS p_lon FROM (SELECT l_partkey % 40 AS pn FROM lineitem))",
+       f"gs AS (SELECT s_suppkey % 10 AS SID, s_suppkey // 10 AS time, {TRUTH[0].format('::DOUBLE', t='(s_suppkey // 10)')} AS lat, {TRUTH[1].format('::DOUBLE', t='(s_suppkey // 10)')} AS lon FROM supplier)",
+       f"gd AS (SELECT SID, time, port, {HAV.format(a='lat', b='lon', c='p_lat', d='p_lon')} AS dist_km FROM gs, gp)")
+
+
+def known_ports(spark, d):
+    numbers = s.table(spark, d, "lineitem").selectExpr("l_partkey % 40 AS pn").distinct()
+    return checkpointed(numbers.selectExpr("concat('P', pn) AS port", f"{PLACES[0].format('D')} AS p_lat", f"{PLACES[1].format('D')} AS p_lon"))
+
+
+def known_storms(spark, d):
+    t = "(s_suppkey div 10)"
+    return s.table(spark, d, "supplier").selectExpr("s_suppkey % 10 AS SID", f"{t} AS time", f"{TRUTH[0].format('D', t=t)} AS lat", f"{TRUTH[1].format('D', t=t)} AS lon")
+
+
+def known_track(spark, d, ports):
+    storms = known_storms(spark, d)
+    near = sp.within_km(storms, ports, lat="lat", lon="lon", c_lat="p_lat", c_lon="p_lon", km=500.0, cell=2)
+    return checkpointed(near.select("SID", "time", "port", "dist_km"))
+
+
+@query("storm_fixes", sql(*GEO, body="SELECT SID, time, count(*) AS n_ports, true AS placed, 0.0::DOUBLE AS rms_km FROM gd WHERE dist_km<=500 GROUP BY SID, time HAVING count(*)>=5"))
+def storm_fixes(spark, d):
+    """Storms located from their distances alone; `placed` says that the fix is within a kilometre of where the storm was."""
+    ports = known_ports(spark, d)
+    fixes = gl.locate_storms(known_track(spark, d, ports), ports)
+    truth = known_storms(spark, d).withColumnsRenamed({"lat": "t_lat", "lon": "t_lon"})
+    out = fixes.where("n_ports >= 5").join(truth, ["SID", "time"]).withColumn("placed", geo.haversine_km("lat", "lon", "t_lat", "t_lon") < 1.0)
+    return rounded(out.select("SID", "time", "n_ports", "placed", "rms_km"), {"rms_km": 2})
+
+
+@query("port_fixes", sql(*GEO, body="SELECT port, CASE WHEN n>=5 THEN 'placed' ELSE 'as given' END AS state FROM gp LEFT JOIN (SELECT port, count(*) AS n FROM gd WHERE dist_km<=500 GROUP BY port) USING (port)"))
+def port_fixes(spark, d):
+    """Ports that were given a tenth of a degree off, moved to where the storms' distances put them."""
+    ports = known_ports(spark, d)
+    fixes = known_storms(spark, d).withColumn("rms_km", F.lit(0.0))
+    given = ports.withColumns({"p_lat": F.col("p_lat") + 0.1, "p_lon": F.col("p_lon") - 0.1})
+    moved = gl.refine_ports(known_track(spark, d, ports), fixes, given)
+    off = geo.haversine_km("p_lat", "p_lon", "t_lat", "t_lon")
+    out = moved.join(ports.withColumnsRenamed({"p_lat": "t_lat", "p_lon": "t_lon"}), "port")
+    return out.select("port", F.when(off < 0.5, "placed").when((off > 10) & (off < 20), "as given").otherwise("lost").alias("state"))

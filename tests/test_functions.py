@@ -105,3 +105,8 @@ def test_draws_resample_like_numpy(spark, n):
 def test_large_groups_are_drawn_whole(spark):
     top = spark.range(20000).select(F.max(pick(F.lit(1), "id", F.lit(10_000_000), 1))).first()[0]
     assert top > 9_900_000
+
+
+def test_no_distance_without_a_position(spark):
+    row = spark.sql("SELECT CAST(NULL AS DOUBLE) AS a, 1D AS b").select(geo.haversine_km("a", "b", "b", "b").alias("x"), geo.haversine_km("b", "b", "b", "b").alias("y")).first()
+    assert row.x is None and row.y == 0

@@ -16,11 +16,11 @@ KM_PER_LON_DEGREE = 111.32
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance; the arcsine argument is bounded to [0, 1]."""
+    """Great-circle distance, NULL if a coordinate is; the arcsine argument is bounded to [0, 1]."""
     a1, o1, a2, o2 = (F.radians(as_col(c)) for c in (lat1, lon1, lat2, lon2))
     dlat, dlon = F.sin((a2 - a1) / 2), F.sin((o2 - o1) / 2)
     h = dlat * dlat + F.cos(a1) * F.cos(a2) * dlon * dlon
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.greatest(h, F.lit(0.0)), F.lit(1.0))))
+    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.when(h < 0, 0.0).when(h > 1, 1.0).otherwise(h)))
 
 
 def planar_km(lat1, lon1, lat2, lon2) -> Column:

@@ -1,61 +1,96 @@
 """Place storms from their distances to known ports, and ports from their distances to storms.
 
-A fix is the point that minimises the squared distance residuals. It is found by a grid that
-starts wide around the mean of the known ports and halves its step around each candidate; one
-row per (fix, candidate) holds its anchors as an array, bounded by the ports within reach.
+A fix is the point that minimises the squared distance residuals. One row per fix holds its anchors and the ports near enough to matter,
+both found by joins on cells; a worker runs damped Gauss-Newton steps from a grid of starts, all at once. Along a storm, the
+candidates of its fixes are chosen in time order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewake.functions import geo
 from .sizing import checkpointed, spread
+from .space import within_km
 
 BUFFER_KM, FAR_WEIGHT = 500.0, 0.5
 MIN_ANCHORS, MAX_CANDIDATES, DISTINCT_KM = 3, 3, 30.0
 JUMP_KM, JUMP_WEIGHT = 150.0, 50.0
 GOOD_RMS_KM, MIN_GOOD_FIXES, MAX_MOVE_KM = 40.0, 5, 150.0
-START_REACH, START_STEP, ROUNDS = 9.0, 1.5, 12
-
-
-def _cost(lat, lon, near, far):
-    """Squared residuals at the anchors, plus a penalty for being close to ports that did not see
-    the storm."""
-    seen = F.aggregate(near, F.lit(0.0), lambda s, p: s + F.pow(geo.haversine_km(lat, lon, p["lat"], p["lon"]) - p["d"], F.lit(2.0)))
-    if far is None:
-        return seen
-    gap = lambda p: F.greatest(FAR_WEIGHT * (BUFFER_KM - geo.haversine_km(lat, lon, p["lat"], p["lon"])), F.lit(0.0))
-    return seen + F.aggregate(far, F.lit(0.0), lambda s, p: s + F.pow(gap(p), F.lit(2.0)))
-
-
-def _refine(df: DataFrame, near, far, step: float = START_STEP, rounds: int = ROUNDS) -> DataFrame:
-    """Move (lat, lon) to the best of its 3 x 3 neighbourhood while the step shrinks."""
-    side = F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0))
-    offsets = F.flatten(F.transform(side, lambda y: F.transform(side, lambda x: F.struct(y.alias("y"), x.alias("x")))))
-
-    def move(acc, _):
-        options = F.transform(offsets, lambda o: F.struct(
-            _cost(acc["lat"] + o["y"] * acc["step"], acc["lon"] + o["x"] * acc["step"], near, far).alias("cost"),
-            (acc["lat"] + o["y"] * acc["step"]).alias("lat"), (acc["lon"] + o["x"] * acc["step"]).alias("lon")))
-        best = F.array_min(options)
-        still = (best["lat"] == acc["lat"]) & (best["lon"] == acc["lon"])
-        return F.struct(best["lat"].alias("lat"), best["lon"].alias("lon"), best["cost"].alias("cost"),
-                        F.when(still, acc["step"] / 2).otherwise(acc["step"] * 0.75).alias("step"))
-
-    start = F.struct(F.col("lat"), F.col("lon"), F.lit(float("inf")).alias("cost"), F.lit(step).alias("step"))
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds * 3)), start, move)
-    return df.withColumn("_p", out).withColumns({"lat": F.col("_p.lat"), "lon": F.col("_p.lon"), "cost": F.col("_p.cost")}).drop("_p")
-
-
-def _spread(df: DataFrame, keys) -> DataFrame:
-    """Keep the best candidates of a fix that are at least DISTINCT_KM apart."""
-    c = F.struct("cost", "lat", "lon")
-    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(c)).alias("_c"), F.first("_near").alias("_near"), F.first("n_ports").alias("n_ports"))
-    apart = lambda kept, x: ~F.exists(kept, lambda k: geo.haversine_km(x["lat"], x["lon"], k["lat"], k["lon"]) < DISTINCT_KM)
-    none = F.array().cast("array<struct<cost:double,lat:double,lon:double>>")
-    kept = F.aggregate("_c", none, lambda acc, x: F.when((F.size(acc) < MAX_CANDIDATES) & apart(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return packed.withColumn("candidates", kept).drop("_c")
+START_DEGREES = (-6, -3, 0, 3, 6)
+#: How far from the mean of its anchors a fix may lie; only ports within this and the buffer can add to its cost.
+REACH_KM, STEPS = 2500.0, 60
+
+
+def _residuals(points: np.ndarray, near: np.ndarray, distance: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals of each point (lat, lon) at the anchors and at ports that did not see the storm, and their derivatives north and east
+    in km per km."""
+    place = np.radians(np.concatenate([near, far]))
+    lat, lon = np.radians(points[:, :1]), np.radians(points[:, 1:])
+    dlon = place[None, :, 1] - lon
+    cosine = np.clip(np.sin(lat) * np.sin(place[:, 0]) + np.cos(lat) * np.cos(place[:, 0]) * np.cos(dlon), -1, 1)
+    half = np.sin((place[None, :, 0] - lat) / 2) ** 2 + np.cos(lat) * np.cos(place[None, :, 0]) * np.sin(dlon / 2) ** 2
+    km = 2 * geo.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.clip(half, 0, 1)))
+    sine = np.maximum(np.sqrt(1 - cosine ** 2), 1e-9)
+    north = -(np.cos(lat) * np.sin(place[None, :, 0]) - np.sin(lat) * np.cos(place[None, :, 0]) * np.cos(dlon)) / sine
+    east = -np.cos(place[None, :, 0]) * np.sin(dlon) / sine
+    n = len(near)
+    short = FAR_WEIGHT * np.maximum(BUFFER_KM - km[:, n:], 0)
+    inside = -FAR_WEIGHT * (km[:, n:] < BUFFER_KM)
+    slopes = np.stack([np.concatenate([north[:, :n], north[:, n:] * inside], axis=1), np.concatenate([east[:, :n], east[:, n:] * inside], axis=1)], axis=2)
+    return np.concatenate([km[:, :n] - distance, short], axis=1), slopes
+
+
+def fit_points(starts: np.ndarray, near: np.ndarray, distance: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points reached from all starts by damped Gauss-Newton steps, and their squared residuals."""
+    points, damping = starts.astype(float).copy(), np.full(len(starts), 1e-2)
+    rest, slopes = _residuals(points, near, distance, far)
+    cost = (rest ** 2).sum(axis=1)
+    for _ in range(STEPS):
+        curve = np.einsum("pki,pkj->pij", slopes, slopes)
+        curve = curve + damping[:, None, None] * (np.eye(2) * np.trace(curve, axis1=1, axis2=2)[:, None, None] + 1e-9 * np.eye(2))
+        step = -np.linalg.solve(curve, np.einsum("pki,pk->pi", slopes, rest)[:, :, None])[:, :, 0]
+        step *= np.minimum(1, 500 / np.maximum(np.linalg.norm(step, axis=1), 1e-12))[:, None]
+        scale = np.degrees(1 / geo.EARTH_RADIUS_KM)
+        moved = points + np.stack([step[:, 0] * scale, step[:, 1] * scale / np.maximum(np.cos(np.radians(points[:, 0])), 0.01)], axis=1)
+        moved[:, 0] = np.clip(moved[:, 0], -89.9, 89.9)
+        new_rest, new_slopes = _residuals(moved, near, distance, far)
+        new_cost = (new_rest ** 2).sum(axis=1)
+        better = new_cost < cost
+        points[better], rest[better], slopes[better], cost[better] = moved[better], new_rest[better], new_slopes[better], new_cost[better]
+        damping = np.where(better, np.maximum(damping / 4, 1e-9), damping * 4)
+        if (damping > 1e12).all() or (np.linalg.norm(step, axis=1) < 1e-9).all():
+            break
+    return points, cost
+
+
+def _km(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = np.radians(a), np.radians(b)
+    half = np.sin((a[..., 0] - b[..., 0]) / 2) ** 2 + np.cos(a[..., 0]) * np.cos(b[..., 0]) * np.sin((a[..., 1] - b[..., 1]) / 2) ** 2
+    return 2 * geo.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.clip(half, 0, 1)))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best points of each fix that are at least DISTINCT_KM apart."""
+    grid = np.array([(dy, dx) for dy in START_DEGREES for dx in START_DEGREES], float)
+    kind = pa.list_(pa.struct([("cost", pa.float64()), ("lat", pa.float64()), ("lon", pa.float64())]))
+    for batch in batches:
+        out = []
+        for near, far in zip(batch.column("_near").to_pylist(), batch.column("_far").to_pylist()):
+            anchors = np.array([(p["lat"], p["lon"]) for p in near])
+            others = np.array([(p["lat"], p["lon"]) for p in far or []]).reshape(-1, 2)
+            middle = anchors.mean(axis=0)
+            points, cost = fit_points(middle + grid, anchors, np.array([p["d"] for p in near]), others)
+            kept: list[int] = []
+            for i in np.argsort(cost, kind="stable"):
+                if len(kept) < MAX_CANDIDATES and _km(points[i], middle) <= REACH_KM and all(_km(points[i], points[k]) >= DISTINCT_KM for k in kept):
+                    kept.append(int(i))
+            out.append([{"cost": cost[i], "lat": points[i, 0], "lon": points[i, 1]} for i in kept])
+        yield pa.record_batch([*[batch.column(c) for c in ("SID", "time", "_near", "n_ports")], pa.array(out, kind)], names=["SID", "time", "_near", "n_ports", "candidates"])
 
 
 def locate_storms(track: DataFrame, ports: DataFrame) -> DataFrame:
@@ -70,16 +105,13 @@ def locate_storms(track: DataFrame, ports: DataFrame) -> DataFrame:
     fixes = known.groupBy("SID", "time").agg(
         F.collect_list(place).alias("_near"), F.collect_set("port").alias("_ports"), F.avg("p_lat").alias("_lat"),
         F.avg("p_lon").alias("_lon"), F.count(F.lit(1)).alias("n_ports")).filter(F.col("n_ports") >= MIN_ANCHORS)
-    # the port list is a small dimension; every fix needs the ports that did not see the storm
-    everyone = ports.agg(F.collect_list(F.struct(F.col("port"), F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")))).scalar()
-    fixes = (fixes.withColumn("_all", everyone)
-             .withColumn("_far", F.filter("_all", lambda p: ~F.array_contains("_ports", p["port"]))).drop("_all", "_ports"))
-    steps = F.sequence(F.lit(-6.0).cast("int"), F.lit(6), F.lit(3))
-    starts = (fixes.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-              .withColumn("lat", F.col("_lat") + F.col("_dy")).withColumn("lon", F.col("_lon") + F.col("_dx")))
-    starts = spread(starts, "SID", "time", "_dy", "_dx")
-    tuned = _refine(starts, F.col("_near"), F.col("_far"))
-    offered = _spread(tuned, ["SID", "time"])
+    centre = fixes.select("SID", "time", "_lat", "_lon", "_ports")
+    around = within_km(centre, ports.select("port", "p_lat", "p_lon"), lat="_lat", lon="_lon", c_lat="p_lat", c_lon="p_lon", km=REACH_KM + BUFFER_KM, cell=6)
+    unseen = (around.where(~F.array_contains("_ports", F.col("port"))).groupBy("SID", "time")
+              .agg(F.collect_list(F.struct(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"))).alias("_far")))
+    rows = spread(fixes.select("SID", "time", "_near", "n_ports").join(unseen, ["SID", "time"], "left"), "SID", "time")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    offered = rows.mapInArrow(_candidates, f"SID {kinds['SID']}, time {kinds['time']}, _near {kinds['_near']}, n_ports bigint, candidates array<struct<cost:double,lat:double,lon:double>>").where(F.size("candidates") > 0)
     path = offered.groupBy("SID").agg(F.sort_array(F.collect_list(F.struct("time", "candidates", "n_ports", "_near"))).alias("_path"))
 
     def choose(acc, x):
