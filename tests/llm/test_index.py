@@ -37,9 +37,9 @@ def make():
     return docs, items
 
 
-@pytest.mark.parametrize("block,slices", [(1 << 19, 32 << 20), (50, 400)])
-def test_same_as_scan(spark, monkeypatch, block, slices):
-    monkeypatch.setattr(pi, "SLICE_BYTES", slices)
+@pytest.mark.parametrize("block,phrases", [(1 << 19, 1 << 20), (50, 40)])
+def test_same_as_scan(spark, monkeypatch, block, phrases):
+    monkeypatch.setattr(pi, "PART_PHRASES", phrases)
     monkeypatch.setattr(pi, "BLOCK_WORDS", block)
     docs, items = make()
     table = spark.createDataFrame([(k, t, "x") for k, t in docs], "doc_id long, text string, TERM string")
@@ -68,7 +68,7 @@ def test_proximity(spark):
 def test_small_blocks_keep_matches_inside_records():
     schema_words = [[b"a", b"b"], [b"c", b"d"]]
     import pyarrow as pa
-    schema = pa.schema([("block", pa.int64()), ("term", pa.binary()), ("positions", pa.binary()), ("ids", pa.list_(pa.int64()))])
+    schema = pa.schema([("block", pa.int64()), ("term", pa.binary()), ("positions", pa.binary()), ("ids", pa.list_(pa.int64())), ("n", pa.int64())])
     batch = pi._block(0, [1, 2], schema_words, schema)
     import numpy as np
     lists = {t: np.cumsum(np.frombuffer(p, "<u4").astype(np.int64)) for t, p in

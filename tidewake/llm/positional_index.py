@@ -3,8 +3,9 @@
 The project keeps no free text, so the operators are general: records are any table with an id and a text column.
 
 `build` writes the index: training records are dealt into blocks, and each block stores one posting list for each term
-(positions in the block, as differences). `matches` reads the lists of the terms that the tests use, intersects them
-from the rarest term of a phrase with positions adjusted by the term's offset, and returns spans. A block is bounded, so
+(positions in the block, as differences, and their number). `matches` files each phrase of the tests under its rarest term, takes it
+to the blocks that hold that term, intersects the lists of its terms there from the rarest on, with positions adjusted by the
+term's offset, and returns spans. A block is bounded, so
 is a task, however often a term, record or passage occurs.
 
 A word is a run of 0-9, a-z (A-Z is lowered first) and characters beyond ASCII.
@@ -18,15 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidewake.operators.sizing import _shared_folder
+from tidewake.operators.sizing import _shared_folder, checkpointed
 
 from .columns import small_batches
 
 BLOCK_WORDS = 1 << 19
-#: Tests are searched in slices of at most so many text bytes, which is what reaches the driver and the executors at once.
-SLICE_BYTES = 32 << 20
+#: Distinct phrases of the tests that a block is searched for at once, and rows that are made of a test at a time.
+PART_PHRASES, PHRASE_ROWS = 1 << 20, 1 << 12
 
 _WORD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
               for b in range(256))
@@ -62,7 +63,7 @@ def _block(block: int, ids: list, word_lists: list[list[bytes]], schema: pa.Sche
     return pa.record_batch([
         pa.array(np.full(n + 1, block)), pa.array([*number, None], pa.binary()),
         _binary(np.concatenate([steps, lengths]).astype("<u4"), np.append(counts, len(ids))),
-        pa.array([None] * n + [ids], schema.field(3).type)], schema=schema)
+        pa.array([None] * n + [ids], schema.field(3).type), pa.array(np.append(counts, len(ids)).astype(np.int64))], schema=schema)
 
 
 def build(records: DataFrame, record_id: str = "doc_id", text: str = "text", folder: str | None = None) -> str:
@@ -82,7 +83,7 @@ def build(records: DataFrame, record_id: str = "doc_id", text: str = "text", fol
         schema = None
         for batch in batches:
             schema = schema or pa.schema([("block", pa.int64()), ("term", pa.binary()), ("positions", pa.binary()),
-                                          ("ids", pa.list_(batch.schema.field(0).type))])
+                                          ("ids", pa.list_(batch.schema.field(0).type)), ("n", pa.int64())])
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(value.as_py())
                 if ids and size + len(words) > limit:
@@ -95,7 +96,7 @@ def build(records: DataFrame, record_id: str = "doc_id", text: str = "text", fol
             yield _block(block, ids, held, schema)
 
     (records.select(record_id, F.col(text).cast("string"))
-     .mapInArrow(postings, f"block long, term binary, positions binary, ids array<{kind}>")
+     .mapInArrow(postings, f"block long, term binary, positions binary, ids array<{kind}>, n long")
      .write.option("compression", "zstd").parquet(folder))
     return folder
 
@@ -143,37 +144,42 @@ def _near(phrase: tuple[bytes, ...], lists: dict[bytes, np.ndarray], reach: int)
     return found
 
 
-class PhraseSet:
-    """Phrases of a slice of the tests, with the items that hold each."""
-
-    def __init__(self, items: list[tuple], window: int):
-        self.phrases: dict[tuple[bytes, ...], set] = {}
-        for item, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                self.phrases.setdefault(tuple(words[i:i + window]), set()).add(item)
-        self.terms = {t for phrase in self.phrases for t in phrase}
-
-
-def _slices(tests: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
-    """The tests in parts of bounded size; each part is collected alone."""
-    size = tests.agg(F.sum(F.octet_length(F.col(text).cast("string")) + 64)).first()[0] or 0
-    n = -(-int(size) // (SLICE_BYTES // 2)) or 1
-    part = F.pmod(F.xxhash64(text), F.lit(n))
-    rows = tests.select(F.col(item_id).cast("string"), F.col(text).cast("string"))
-    for k in range(n):
-        yield [tuple(r) for r in (rows.where(part == k) if n > 1 else rows).collect()]
-
-
-def _search(index: DataFrame, tests: PhraseSet, record_kind: str, slop: int | None) -> DataFrame:
-    spark: SparkSession = index.sparkSession
-    shared = spark.sparkContext.broadcast(tests)
-    terms = spark.createDataFrame([(bytearray(t),) for t in sorted(tests.terms)], "term binary")
-    postings = index.join(F.broadcast(terms), "term", "left_semi").select("block", "term", "positions", F.lit(None).cast(
-        f"array<{record_kind}>").alias("ids"))
+def phrases_of(tests: DataFrame, window: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """Distinct phrases of the tests: phrase (words joined by spaces), terms, items (distinct ids, as strings, sorted)."""
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(value.as_py())
+                at = range(max(1, len(words) - window + 1) if words else 0)
+                for some in (at[i:i + PHRASE_ROWS] for i in range(0, len(at), PHRASE_ROWS)):
+                    parts = [words[i:i + window] for i in some]
+                    yield pa.record_batch([pa.array([b" ".join(p) for p in parts], pa.binary()), pa.array(parts, pa.list_(pa.binary())), pa.array([item] * len(parts), pa.string())],
+                                          names=["phrase", "terms", "item"])
+
+    rows = tests.select(F.col(item_id).cast("string"), F.col(text).cast("string")).mapInArrow(windows, "phrase binary, terms array<binary>, item string")
+    return rows.groupBy("phrase").agg(F.first("terms").alias("terms"), F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _candidates(used: DataFrame, phrases: DataFrame, parts: int) -> DataFrame:
+    """block, part, phrase, items: each phrase in the blocks that hold the rarest of its terms. Phrases with a term that no block
+    holds are left out."""
+    counts = used.groupBy("term").agg(F.sum("n").alias("held"))
+    terms = phrases.select("phrase", F.explode(F.array_distinct("terms")).alias("term"))
+    rarest = (terms.join(counts, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), F.col("term").alias("term"))).alias("least"))
+              .where("least.held > 0").select("phrase", F.col("least.term").alias("term")))
+    filed = phrases.select("phrase", "items").join(rarest, "phrase")
+    return used.select("block", "term").join(filed, "term").select("block", F.pmod(F.xxhash64("phrase"), F.lit(parts)).alias("part"), "phrase", "items")
+
+
+def _search(index: DataFrame, phrases: DataFrame, record_kind: str, slop: int | None, parts: int) -> DataFrame:
+    terms = phrases.select(F.explode("terms").alias("term")).distinct()
+    used = checkpointed(index.where(F.col("term").isNotNull()).join(terms, "term", "left_semi").select("block", "term", "positions", "n"))
+    wanted = _candidates(used, phrases, parts)
     own = index.where(F.col("term").isNull()).select("block", "term", "positions", "ids")
+    lists_of = used.select("block", "term", "positions", F.lit(None).cast(f"array<{record_kind}>").alias("ids"))
+    postings = own.unionByName(lists_of).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
-    def block_matches(table: pa.Table) -> pa.Table:
+    def block_matches(table: pa.Table, asked: pa.Table) -> pa.Table:
         lists, ids, lengths = {}, [], np.empty(0, np.int64)
         for term, packed, owners in zip(table.column("term"), table.column("positions"), table.column("ids")):
             values = np.frombuffer(packed.as_buffer(), "<u4").astype(np.int64)
@@ -184,7 +190,8 @@ def _search(index: DataFrame, tests: PhraseSet, record_kind: str, slop: int | No
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(lengths) else np.empty(0, np.int64)
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set] = {}
-        for phrase, holders in shared.value.phrases.items():
+        for joined, holders in zip(asked.column("phrase").to_pylist(), asked.column("items")):
+            phrase = tuple(joined.split(b" "))
             if slop is None:
                 found = [(s, s + len(phrase)) for s in _find(phrase, lists).tolist()]
             else:
@@ -193,16 +200,16 @@ def _search(index: DataFrame, tests: PhraseSet, record_kind: str, slop: int | No
                 row = int(np.searchsorted(starts, first, side="right")) - 1
                 if end - starts[row] <= lengths[row]:
                     spans.setdefault(row, []).append((int(first - starts[row]), int(end - starts[row])))
-                    items.setdefault(row, set()).update(holders)
+                    items.setdefault(row, set()).update(holders.as_py())
         n = len(ids)
         return pa.table({
-            "block": pa.array(np.full(n, table.column("block")[0].as_py())), "row": pa.array(np.arange(n, dtype=np.int64)),
+            "block": pa.array(np.full(n, table.column("block")[0].as_py() if table.num_rows else 0)), "row": pa.array(np.arange(n, dtype=np.int64)),
             "record": pa.array(ids, table.schema.field("ids").type.value_type), "n_words": pa.array(lengths),
             "spans": pa.array([[{"first": a, "end": b} for a, b in sorted(set(spans.get(i, ())))] for i in range(n)],
                               pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
             "items": pa.array([sorted(x for x in items.get(i, ()) if x is not None) for i in range(n)], pa.list_(pa.string()))})
 
-    return own.unionByName(postings).groupBy("block").applyInArrow(
+    return postings.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInArrow(
         block_matches, f"block long, row long, record {record_kind}, n_words long, "
                        "spans array<struct<first:long,end:long>>, items array<string>")
 
@@ -217,15 +224,15 @@ def matches(index: DataFrame, tests: DataFrame, item_id: str = "item_id", text:
 
     Returns record, n_words, spans (array of first word and end word, exclusive, per occurrence, sorted), n_hit (words in
     any span), items (distinct ids of matched tests, as strings, sorted; tests without an id count for hits only). Null or
-    empty tests never match, repeated ones count once; without tests or records the result has no matches or no rows. All
-    tests are searched, in slices of at most SLICE_BYTES.
+    empty tests never match, repeated ones count once; without tests or records the result has no matches or no rows. Phrases are a
+    table keyed by their rarest term, and meet only the blocks that hold it; nothing of the tests passes the driver. Of over
+    PART_PHRASES phrases, each part is searched apart.
     """
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    parts = [_search(index, PhraseSet(items, window), kind, slop) for items in _slices(tests, item_id, text)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    if len(parts) > 1:
+    phrases = checkpointed(phrases_of(tests, window, item_id, text))
+    parts = -(-phrases.count() // PART_PHRASES) or 1
+    found = _search(index, phrases, kind, slop, parts)
+    if parts > 1:
         found = found.groupBy("block", "row").agg(
             F.first("record").alias("record"), F.first("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
