@@ -25,6 +25,8 @@ PAD = 256
 MAX_LABELS = 1000
 #: Bounds of the training sample: texts of each language, and characters of each text.
 SAMPLE_TEXTS = 300
+#: Parts in which the texts of a language are ranked before they are ranked together.
+SAMPLE_PARTS = 64
 SAMPLE_CHARS = 4000
 
 
@@ -178,8 +180,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_te
     """
     rows = labelled.select(F.col(text).cast("string").alias("body"), F.col(lang).cast("string").alias("tongue")).where(
         "tongue is not null and length(body) > 0").withColumn("h", F.xxhash64("body"))
-    least = Window.partitionBy("tongue").orderBy("h")
-    chosen = rows.select("tongue", "h").distinct().withColumn("k", F.row_number().over(least)).where(F.col("k") <= sample_texts)
+    # the least of each part of a language first, so that no task ranks a whole language
+    part, least = Window.partitionBy("tongue", "part").orderBy("h"), Window.partitionBy("tongue").orderBy("h")
+    parts = rows.select("tongue", "h", F.pmod("h", F.lit(SAMPLE_PARTS)).alias("part")).distinct().withColumn("k", F.row_number().over(part)).where(F.col("k") <= sample_texts)
+    chosen = parts.select("tongue", "h").withColumn("k", F.row_number().over(least)).where(F.col("k") <= sample_texts)
     limits = chosen.groupBy("tongue").agg(F.max("h").alias("top")).limit(MAX_LABELS + 1).collect()
     if len(limits) > MAX_LABELS:
         raise ValueError(f"over {MAX_LABELS} languages")
