@@ -14,21 +14,22 @@ from tidewake.operators.sizing import checkpointed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-
-#: A text of so many characters or more goes if no language has so much of its chance: it is mixed, or of a language without labels.
-JUDGED_CHARS, LEAST_SCORE = 100, 0.4
+#: Best chance that a long text needs to stay, and the length at which half of the way to it is asked for. A text that is mixed,
+#: or of a language without labels, spreads its chances.
+LEAST_CHANCE, HALF_LENGTH = 0.4, 60.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null texts, those without a letter, which the network gives `und`, and those of at
-    least JUDGED_CHARS characters whose best language scores under LEAST_SCORE. Shorter ones say too little to be judged.
-    Without labels to learn from, or with one or two languages, all documents with a letter stay."""
+    """Drop documents without a language: null texts, those without a letter, which the network gives `und`, and those whose best
+    language has too small a chance. With k languages the best has 1/k at least; what is asked for rises from there, where a text has
+    no length, towards LEAST_CHANCE, by one formula for all lengths. Without labels to learn from all documents with a letter stay."""
     net = trained(docs)
     if not net.labels:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = language_id.predict(docs, net, lang_pred="__tongue", score="__chance")
-    clear = (F.length("text") < JUDGED_CHARS) | (F.col("__chance") >= LEAST_SCORE)
-    return found.where((F.col("__tongue") != language_id.UNKNOWN) & clear).select(*docs.columns)
+    even = min(1 / len(net.labels), LEAST_CHANCE)
+    asked = even + (LEAST_CHANCE - even) * F.length("text") / (F.length("text") + HALF_LENGTH)
+    return found.where((F.col("__tongue") != language_id.UNKNOWN) & (F.col("__chance") >= asked - 1e-9)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
