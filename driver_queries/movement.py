@@ -373,3 +373,11 @@ def type_mapping(spark, d):
     t = p.select("p_partkey", registry.export_type("l5", "main").alias("registry_type"))
     t = t.withColumn("model_class", registry.registry_type_class("registry_type"))
     return t.withColumn("vclass", em.traffic_class("model_class"))
+
+
+@query("thin_panel", sql(body="""SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'F') AS panel_days, count(DISTINCT CAST(o_orderdate AS DATE)) AS input_days,
+ count(DISTINCT CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'F') < 0.9 * count(DISTINCT CAST(o_orderdate AS DATE)) AS thin FROM orders""").replace("WITH \n", ""))
+def thin_panel(spark, d):
+    """Whether the days with finished orders, as a panel, cover the days of all orders, its input."""
+    days = s.table(spark, d, "orders").selectExpr("CAST(o_orderdate AS DATE) AS date", "o_orderstatus")
+    return tr.thin_panel(days.where("o_orderstatus = 'F'"), days, "date")

@@ -751,6 +751,13 @@ def category_summary(spark, d):
     return rounded(pr.category_summary(m, "cat", "total_impact"), {"disrupted": 6, "mean_impact": 2, "mean_recovery": 6})
 
 
+@query("category_step", """WITH m AS (SELECT CAST(substr(o_orderpriority,1,1) AS INT) AS cat, avg(greatest(o_totalprice-200000,0)) AS i FROM orders GROUP BY ALL)
+SELECT round(jump,6) AS jump, jump > 1.5 AS is_step FROM (SELECT (SELECT i FROM m WHERE cat=4)/(SELECT i FROM m WHERE cat=3) AS jump)""")
+def category_step(spark, d):
+    m = s.table(spark, d, "orders").selectExpr("CAST(substr(o_orderpriority,1,1) AS INT) AS cat", "greatest(o_totalprice-200000, 0D) AS total_impact", "o_orderkey % 30 AS recovery_days")
+    return rounded(pr.category_step(pr.category_summary(m, "cat", "total_impact")), {"jump": 6})
+
+
 @query("published_counts", sql(s.TRACK, s.PORT, body=f"""SELECT name, published, ours, round(100.0*(ours-published)/published,4) AS diff_pct FROM (SELECT unnest(['ports','storms','interactions']) AS name, unnest([145,90,1927]) AS published, unnest([p,st,n]) AS ours FROM
  (SELECT count(DISTINCT port) AS p, count(DISTINCT SID) AS st, count(*) AS n FROM (SELECT DISTINCT SID, port FROM track, port WHERE {s.hav_sql("p_lat", "p_lon", "LAT", "LON")} <= 500)))"""))
 def published_counts(spark, d):

@@ -56,19 +56,19 @@ NATION_NAME = "CASE n_nationkey % 6 WHEN 0 THEN concat('P', n_nationkey, ', AK')
 
 
 def features(spark, d):
-    """A ring per nation; every fourth nation's is in metres, every fifth has a short second part, every seventh is a point."""
+    """A ring per customer; every fourth one's is in metres, every fifth has a short second part, every seventh is a point."""
     corner = lambda x, y: f"concat('[', CAST({x} AS STRING), ',', CAST({y} AS STRING), ']')"
     ring = f"concat('[', {corner('x', 'y')}, ',', {corner('x + w', 'y')}, ',', {corner('x + w', 'y + w')}, ',', {corner('x', 'y')}, ']')"
-    return (s.table(spark, d, "nation").selectExpr("n_nationkey", "n_nationkey AS feature_no", f"{NATION_NAME} AS name",
-            "CASE WHEN n_nationkey % 4 = 0 THEN -1000000D - 1000*n_nationkey ELSE -90D + n_nationkey END AS x",
+    return (s.table(spark, d, "customer").selectExpr("c_custkey AS n_nationkey").selectExpr("n_nationkey", "n_nationkey AS feature_no", f"{NATION_NAME} AS name",
+            "CASE WHEN n_nationkey % 4 = 0 THEN -1000000D - 1000*(n_nationkey % 5000) ELSE -90D + n_nationkey % 150 END AS x",
             "CASE WHEN n_nationkey % 4 = 0 THEN 3000000D ELSE 30D END AS y", "CASE WHEN n_nationkey % 4 = 0 THEN 1000D ELSE 1D END AS w")
             .selectExpr("feature_no", "n_nationkey", f"""named_struct('properties', named_struct('PORTNAME', name, 'TYPE', 'Coastal'), 'geometry', named_struct(
               'type', CASE WHEN n_nationkey % 7 = 0 THEN 'Point' WHEN n_nationkey % 5 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END,
               'coordinates', CASE WHEN n_nationkey % 5 = 0 THEN concat('[[', {ring}, '],[[[0,0],[1,1],[0,0]]]]') ELSE concat('[', {ring}, ']') END)) AS _f"""))
 
 
-FEATURE = """f AS (SELECT n_nationkey AS k, 'P' || n_nationkey || ', TX' AS port, n_nationkey % 4 = 0 AS m, CASE WHEN n_nationkey % 4 = 0 THEN -1000000 - 1000*n_nationkey ELSE -90 + n_nationkey END::DOUBLE AS x,
- CASE WHEN n_nationkey % 4 = 0 THEN 3000000 ELSE 30 END::DOUBLE AS y, CASE WHEN n_nationkey % 4 = 0 THEN 1000 ELSE 1 END::DOUBLE AS w FROM nation WHERE n_nationkey % 6 NOT IN (0, 1) AND n_nationkey % 7 <> 0)"""
+FEATURE = """f AS (SELECT n_nationkey AS k, 'P' || n_nationkey || ', TX' AS port, n_nationkey % 4 = 0 AS m, CASE WHEN n_nationkey % 4 = 0 THEN -1000000 - 1000*(n_nationkey % 5000) ELSE -90 + n_nationkey % 150 END::DOUBLE AS x,
+ CASE WHEN n_nationkey % 4 = 0 THEN 3000000 ELSE 30 END::DOUBLE AS y, CASE WHEN n_nationkey % 4 = 0 THEN 1000 ELSE 1 END::DOUBLE AS w FROM (SELECT c_custkey AS n_nationkey FROM customer) WHERE n_nationkey % 6 NOT IN (0, 1) AND n_nationkey % 7 <> 0)"""
 LON, LAT = "degrees({}/6378137::DOUBLE)", "degrees(2*atan(exp({}/6378137::DOUBLE))-pi()/2)"
 
 
@@ -151,10 +151,10 @@ def vessel_export(spark, d):
 
 
 # ---------------------------------------------------------------- panels
-@query("wide_panel", """SELECT make_date(2015, 1, i::INT) AS date, 'N' || n_nationkey AS port, (n_nationkey * i)::BIGINT AS vessels_present FROM nation, (VALUES (1),(2),(13)) t(i) WHERE n_nationkey % 5 <> i % 5""")
+@query("wide_panel", """SELECT make_date(2015, 1, i::INT) AS date, 'N' || n_nationkey AS port, (n_nationkey * i)::BIGINT AS vessels_present FROM (SELECT c_custkey AS n_nationkey FROM customer), (VALUES (1),(2),(13)) t(i) WHERE n_nationkey % 5 <> i % 5""")
 def wide_panel(spark, d):
-    wide = s.table(spark, d, "nation").selectExpr("n_nationkey AS portid", *[f"CASE WHEN n_nationkey % 5 = {i} % 5 THEN NULL ELSE n_nationkey * {i} END AS `{name}`" for i, name in ((1, "2015-01-01"), (2, "1/2/2015"), (13, "2015-01-13"))])
-    names = s.table(spark, d, "nation").selectExpr("n_nationkey AS id", "concat('N', n_nationkey) AS name")
+    wide = s.table(spark, d, "customer").selectExpr("c_custkey AS n_nationkey").selectExpr("n_nationkey AS portid", *[f"CASE WHEN n_nationkey % 5 = {i} % 5 THEN NULL ELSE n_nationkey * {i} END AS `{name}`" for i, name in ((1, "2015-01-01"), (2, "1/2/2015"), (13, "2015-01-13"))])
+    names = s.table(spark, d, "customer").selectExpr("c_custkey AS id", "concat('N', c_custkey) AS name")
     return panels.wide_to_long(wide, names, "portid")
 
 

@@ -9,24 +9,6 @@ from tidewake.operators import ordered, quantiles
 T0 = dt.datetime(2024, 1, 1)
 
 
-def hot_rows(n=600, seed=1):
-    """One key holds most rows; times repeat and cross bucket edges."""
-    rng = np.random.default_rng(seed)
-    return [(int(k), T0 + dt.timedelta(seconds=int(s)), i) for i, (k, s) in
-            enumerate(zip(np.where(rng.random(n) < .7, 0, rng.integers(1, 5, n)), rng.integers(0, 40000, n)))]
-
-
-@pytest.mark.parametrize("bucket", [60, 3600, 10**9])
-def test_previous_in_time(spark, bucket):
-    rows = hot_rows()
-    df = spark.createDataFrame(rows, "k int, t timestamp_ntz, i int")
-    got = {r.i: r.p for r in ordered.previous_in_time(df, ["k"], "t", "p", ["i"], bucket).collect()}
-    want, last = {}, {}
-    for k, t, i in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        want[i], last[k] = last.get(k), t
-    assert got == want
-
-
 @pytest.mark.parametrize("bucket", [1800, 86400, 10**9])
 def test_chain_number_ignores_buckets_and_input_order(spark, bucket):
     rng = np.random.default_rng(2)

@@ -23,11 +23,6 @@ def cut(x, edges, labels, right: bool = True) -> Column:
     return out
 
 
-def bin_rank(x, edges, right: bool = True) -> Column:
-    """0-based ordinal of the same bins, for sorting labelled output."""
-    return cut(x, edges, list(range(len(edges) - 1)), right)
-
-
 def first_match(rules, default) -> Column:
     """Priority rules: value of the first true condition, else the default."""
     out = None

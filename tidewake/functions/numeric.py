@@ -17,11 +17,6 @@ def ratio(num, den) -> Column:
     return F.try_divide(as_col(num).cast("double"), as_col(den).cast("double"))
 
 
-def ratio_if_positive(num, den) -> Column:
-    """num / den only where den > 0."""
-    return F.when(as_col(den) > 0, ratio(num, den))
-
-
 def finite(x) -> Column:
     """NaN and +-inf become NULL."""
     c = as_col(x).cast("double")

@@ -21,25 +21,6 @@ def time_bucket(time, seconds: int):
                    / F.lit(int(seconds))).cast("long")
 
 
-def previous_in_time(df: DataFrame, keys, time: str, out: str, tie=(),
-                     bucket_seconds: int = 3600) -> DataFrame:
-    """Add `out`: the time of the previous row of the same key (NULL for the first).
-
-    `tie` orders rows with equal times; it decides which of them carries the gap.
-    """
-    keys = list(keys)
-    slots = [*keys, "_bucket"]
-    rows = df.withColumn("_bucket", time_bucket(time, bucket_seconds))
-    inside = Window.partitionBy(*slots).orderBy(time, *tie)
-    ends = rows.groupBy(*slots).agg(F.max(time).alias("_end"))
-    along = Window.partitionBy(*keys).orderBy("_bucket")
-    carry = ends.select(*slots, F.lag("_end").over(along).alias("_carry"))
-    return (rows.withColumn("_within", F.lag(time).over(inside))
-            .join(carry, slots, "left")
-            .withColumn(out, F.coalesce("_within", "_carry"))
-            .drop("_bucket", "_within", "_carry"))
-
-
 def chain_number(df: DataFrame, keys, start: str, end: str, max_gap_hours: float,
                  out: str, tie=(), bucket_seconds: int = 32 * 86400) -> DataFrame:
     """Number the chains of intervals per key: a new chain starts when `start` is more

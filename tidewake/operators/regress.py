@@ -21,21 +21,6 @@ def complete_rows(df: DataFrame, columns) -> DataFrame:
     return df.withColumns({c: finite(c) for c in columns}).dropna(subset=list(columns))
 
 
-def standardise(df: DataFrame, columns, drop_constant: bool = True):
-    """(rows, kept): z-scores with the sample deviation; constant columns are dropped."""
-    columns = list(columns)
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-                 *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    kept, cols = [], {}
-    for i, c in enumerate(columns):
-        sd = row[f"s{i}"]
-        if sd is not None and sd > 0:
-            kept.append(c)
-            cols[c] = (F.col(c) - F.lit(float(row[f"m{i}"]))) / F.lit(float(sd))
-    out = df.withColumns(cols)
-    return (out.drop(*[c for c in columns if c not in kept]) if drop_constant else out), kept
-
-
 def zscores(df: DataFrame, columns) -> DataFrame:
     """Lazy z-scores of the columns, NULL where a column does not vary."""
     stats = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in columns],

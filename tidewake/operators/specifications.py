@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewake.functions.numeric import finite
 from .quantiles import normal_two_sided
-from .regress import Z95
+from .regress import Z95, with_missing_flag
 from .sizing import checkpointed
 
 #: Sets of rows (which fits a row belongs to) whose moments the driver may hold; more mean that `where` conditions cut rows too finely.
@@ -175,10 +175,10 @@ def waiting_design(events: DataFrame, traits: DataFrame, strong: str, hurricane:
                .groupBy("port").agg(F.avg("_h").alias("_wait")))
     own = traits.select("port", "wait_sh", "tanker_sh", "passenger_sh", "other_sh", "open_sh", (F.col("layout") == "River / inland").cast("double").alias("river"),
                         F.ln(F.col("all") / F.col("days")).alias("log_co2_day"))
-    return (events.where("zone = 'total'").join(own, "port").join(whole, "port", "left").join(waiting, "port", "left")
+    flagged = with_missing_flag(events.where("zone = 'total'"), ["surge_m", "rain_mm"], "met_missing")
+    return (flagged.join(own, "port").join(whole, "port", "left").join(waiting, "port", "left")
             .withColumns({"log_hours_day": F.ln("_hours"), "log_wait_hours_day": F.log1p(F.coalesce("_wait", F.lit(0.0))),
-                          "log_dist": F.ln(F.greatest("dist", F.lit(MIN_DISTANCE_KM))), "met_missing": (F.col("surge_m").isNull() | F.col("rain_mm").isNull()).cast("double"),
-                          "surge_m": F.coalesce("surge_m", F.lit(0.0)), "rain_mm": F.coalesce("rain_mm", F.lit(0.0)),
+                          "log_dist": F.ln(F.greatest("dist", F.lit(MIN_DISTANCE_KM))), 
                           "i_strong": F.coalesce(F.col("intensity") == strong, F.lit(False)).cast("double"),
                           "i_hurricane": F.coalesce(F.col("intensity") == hurricane, F.lit(False)).cast("double")}).drop("_hours", "_wait"))
 
