@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .columns import list_array, parse_ranks, put_columns, read_vocabulary
 
-#: Pieces that a worker remembers before the table becomes the old one, and neighbours before it starts afresh.
-MAX_REMEMBERED = 1 << 17
+#: Pieces that a worker remembers before the table becomes the old one, and neighbours before it starts afresh; about 200 bytes each.
+MAX_REMEMBERED = 1 << 18
 BLOCK_CHARS = 1 << 20
 SLICE_ROWS = 256
 
@@ -142,9 +142,9 @@ class PairEncoder:
 class Remembered(dict):
     """Ids of pieces seen lately, packed as 32-bit numbers. A full table becomes the old one, whose entries are taken back when they are asked for."""
 
-    def __init__(self, encoder: PairEncoder):
+    def __init__(self, encoder: PairEncoder, size: int):
         super().__init__()
-        self.encoder, self.old = encoder, {}
+        self.encoder, self.size, self.old = encoder, size, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -152,7 +152,7 @@ class Remembered(dict):
             found = self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass"))
             ids = pack(f"={len(found)}i", *found)
         if len(piece) <= 64:
-            if len(self) >= MAX_REMEMBERED:
+            if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -162,12 +162,12 @@ class Remembered(dict):
 class TextEncoder:
     """Splits text by a pattern and encodes each match; matches seen before are looked up."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = MAX_REMEMBERED):
         import regex
 
         self.pieces = regex.compile(pattern).findall
         self.cut = regex.compile(r"\S (?=\p{L})").search
-        self.known = Remembered(PairEncoder(ranks))
+        self.known = Remembered(PairEncoder(ranks), remembered)
 
     def blocks(self, text: str) -> Iterator[str]:
         """Parts of a long text. A cut lies before a space between a non-space and a letter, where the pattern of the
@@ -192,23 +192,24 @@ class TextEncoder:
 _workers: dict = {}
 
 
-def _encoder(content: Broadcast, pattern: str) -> TextEncoder:
+def _encoder(content: Broadcast, pattern: str, remembered: int) -> TextEncoder:
     """One encoder for each Python worker and vocabulary."""
-    key = (hash(content.value), pattern)
+    key = (hash(content.value), pattern, remembered)
     if key not in _workers:
-        _workers[key] = TextEncoder(parse_ranks(content.value), pattern)
+        _workers[key] = TextEncoder(parse_ranks(content.value), pattern, remembered)
     return _workers[key]
 
 
 def encode(records: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids",
-           content: str | None = None) -> DataFrame:
+           content: str | None = None, remembered: int = MAX_REMEMBERED) -> DataFrame:
     """Append the token ids of a text column.
 
     records: any table; its other columns are kept, those named like the new ones are replaced. vocabulary: path on the
     driver of a rank file with lines of base64 token and rank; at most columns.MAX_VOCABULARY_BYTES, so it can be
     broadcast. pattern: regular expression whose matches are encoded separately; it must end a match before a space that
     follows a non-space and precedes a letter, as the public ones do. No special tokens. content: if given, also append
-    the bytes that the ids decode to, in the same pass.
+    the bytes that the ids decode to, in the same pass. remembered: pieces that a worker keeps; fewer take less memory and
+    more time, and the ids are the same.
 
     Null and empty texts give an empty array. Repeated rows are encoded each; row order and count do not change. Very
     long texts are encoded whole, in blocks of BLOCK_CHARS characters cut where a match ends anyway.
@@ -218,7 +219,7 @@ def encode(records: DataFrame, vocabulary: str, pattern: str, text: str = "text"
 
     @F.arrow_udf("struct<ids:array<int>,content:binary>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, tokens = _encoder(ranks, pattern), _tokens(ranks)
+        encoder, tokens = _encoder(ranks, pattern, remembered), _tokens(ranks)
         for batch in batches:
             for i in range(0, len(batch), SLICE_ROWS):
                 flat, sizes, back = [], [], []
