@@ -17,6 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Best chance that a long text needs to stay, and the length at which half of the way to it is asked for. A text that is mixed,
 #: or of a language without labels, spreads its chances.
 LEAST_CHANCE, HALF_LENGTH = 0.4, 60.0
+#: Pieces that a worker keeps when it encodes: half the default, as the workers of a pipeline hold what earlier stages left.
+REMEMBERED_PIECES = 1 << 17
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and the digest of what they decode to."""
-    done = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ids="ids", content="__content")
+    done = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ids="ids", content="__content", remembered=REMEMBERED_PIECES)
     return done.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("__content", 256).alias("decoded_sha256"))
 
 
