@@ -154,13 +154,15 @@ def _bounds(metric: str, lat, lon, n) -> tuple[Column, Column]:
     return F.greatest(middle - radius, F.lit(0.0)), middle + radius
 
 
-def _promising(metric: str, nodes: Column, cap: float | None) -> Column:
-    """Nodes that may hold the nearest place: none is farther than the nearest that some node is sure to have."""
-    lat, lon = F.col("_lat"), F.col("_lon")
-    surest = F.array_min(F.transform(nodes, lambda n: _bounds(metric, lat, lon, n)[1]))
-    if cap is not None:
-        surest = F.least(surest, F.lit(float(cap)))
-    return F.filter(nodes, lambda n: _bounds(metric, lat, lon, n)[0] <= surest * (1 + 1e-9) + 1e-6)
+def _promising(rows: DataFrame, metric: str, cap: float | None) -> DataFrame:
+    """Rows (_lat, _lon, _n) of nodes that may hold the nearest place: none is farther than the nearest that some node of the point is
+    sure to have."""
+    least, most = _bounds(metric, F.col("_lat"), F.col("_lon"), F.col("_n"))
+    per = (rows.withColumn("_least", least).withColumn("_most", most).groupBy("_lat", "_lon")
+           .agg(F.min("_most").alias("_sure"), F.collect_list(F.struct("_n", "_least")).alias("_all")))
+    sure = F.col("_sure") if cap is None else F.least("_sure", F.lit(float(cap)))
+    return (per.select("_lat", "_lon", sure.alias("_sure"), F.explode("_all").alias("_e")).where(F.col("_e._least") <= F.col("_sure") * (1 + 1e-9) + 1e-6)
+            .select("_lat", "_lon", "_e._n"))
 
 
 def _dealt(df: DataFrame) -> DataFrame:
@@ -181,16 +183,13 @@ def candidate_places(spots: DataFrame, places: DataFrame, metric: str, cap: floa
     depth = children.agg(F.max("level")).first()[0]
     top = children.where("level = -1").select("nodes").scalar()
     copies = _copied(children.where("level >= 0"))
-    front = spots.withColumn("_nodes", top)
+    front = spots.withColumn("_n", F.explode(top))
     for level in range((depth if depth is not None else -1) + 1):
-        opened = _dealt(front.withColumn("_n", F.explode("_nodes")).select("_lat", "_lon", "_n"))
+        opened = _dealt(front)
         cut = opened.where(~F.col("_n.leaf")).select("_lat", "_lon", "_copy", F.col("_n.level").alias("level"), F.col("_n.cx").alias("cx"), F.col("_n.cy").alias("cy"))
         lower = cut.join(copies, ["level", "cx", "cy", "_copy"]).select("_lat", "_lon", F.explode("nodes").alias("_n"))
-        all_ = opened.where("_n.leaf").select("_lat", "_lon", "_n").unionByName(lower).groupBy("_lat", "_lon").agg(F.collect_list("_n").alias("_nodes"))
-        front = all_.withColumn("_nodes", _promising(metric, F.col("_nodes"), cap))
-        if level % 3 == 2:
-            front = checkpointed(front)
-    last = _dealt(front.withColumn("_n", F.explode("_nodes")).select("_lat", "_lon", F.col("_n.level").alias("level"), F.col("_n.cx").alias("cx"), F.col("_n.cy").alias("cy")))
+        front = checkpointed(_promising(opened.where("_n.leaf").select("_lat", "_lon", "_n").unionByName(lower), metric, cap))
+    last = _dealt(front.select("_lat", "_lon", F.col("_n.level").alias("level"), F.col("_n.cx").alias("cx"), F.col("_n.cy").alias("cy")))
     return last.join(_copied(leaves), ["level", "cx", "cy", "_copy"]).select("_lat", "_lon", F.explode("places").alias("_place")).select("_lat", "_lon", "_place.*")
 
 
